@@ -78,3 +78,15 @@ def overview(statement: DataFrame, ratios: DataFrame, holders: DataFrame) -> Dat
         F.array_sort(F.collect_list(F.struct("child_no", "holder", "amount"))).alias("holders")
     )
     return statement.join(ratios, "symbol", "full_outer").join(by_symbol, "symbol", "full_outer")
+
+
+def pie_shares(slices: DataFrame, label: str, value: str) -> DataFrame:
+    """Positive slices with their share of the total in percent, one decimal.
+
+    The total is a scalar subquery, so no window over the whole input is needed.
+    """
+    positive = slices.select(
+        F.coalesce(F.col(label).cast("string"), F.lit("(null)")).alias(label), F.col(value).try_cast("double").alias(value)
+    ).filter(F.col(value) > 0)
+    total = positive.agg(F.sum(value).alias("total")).scalar()
+    return positive.withColumn("pct", F.round(F.lit(100.0) * F.col(value) / total, 1))

@@ -33,14 +33,19 @@ def sql_pick(values: tuple[str, ...], position: str) -> str:
     return f"([{', '.join(repr(v) for v in values)}])[{position} + 1]"
 
 
+def _decimal(value: str) -> str:
+    # Through the shortest text of a double, which is what Spark rounds.
+    return f"CAST(CAST({value} AS VARCHAR) AS DECIMAL(38,16))"
+
+
 def sql_round(value: str, digits: int) -> str:
     """Round half up on the decimal form, as Spark's `round` does."""
-    return f"CAST(round(CAST({value} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    return f"CAST(round({_decimal(value)}, {digits}) AS DOUBLE)"
 
 
 def sql_bround(value: str, digits: int) -> str:
     """Round half to even on the decimal form, as Spark's `bround` does."""
-    shifted = f"(CAST({value} AS DECIMAL(38,10)) * {10**digits})"
+    shifted = f"({_decimal(value)} * {10**digits})"
     return (
         f"CAST(CASE WHEN abs({shifted} - trunc({shifted})) = 0.5 AND trunc({shifted}) % 2 = 0"
         f" THEN trunc({shifted}) ELSE round({shifted}, 0) END AS DOUBLE) / {10**digits}"
@@ -75,8 +80,8 @@ stmt AS (
 CASHFLOW = """
 cashflow AS (
   SELECT 'C' || CAST(o_custkey AS VARCHAR) AS symbol, CAST(year(o_orderdate) AS BIGINT) AS year,
-         sum(l_extendedprice) AS operating, -sum(l_extendedprice * l_discount) AS capex,
-         sum(l_extendedprice * l_tax) AS tax, sum(l_quantity) AS quantity
+         round(sum(l_extendedprice), 2) AS operating, 0 - round(sum(l_extendedprice * l_discount), 4) AS capex,
+         round(sum(l_extendedprice * l_tax), 4) AS tax, round(sum(l_quantity), 2) AS quantity
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
 """
 
@@ -162,7 +167,7 @@ class Data:
             .groupBy("l_orderkey")
             .agg(
                 F.sum(price).alias("operating"),
-                (-F.sum(price * F.col("l_discount"))).alias("capex"),
+                F.sum(price * F.col("l_discount")).alias("spent"),
                 F.sum(price * F.col("l_tax")).alias("tax"),
                 F.sum("l_quantity").alias("quantity"),
             )
@@ -172,8 +177,16 @@ class Data:
             F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("symbol"),
             F.year("o_orderdate").cast("long").alias("year"),
         )
-        measures = ("operating", "capex", "tax", "quantity")
-        return lines.join(orders, "l_orderkey").groupBy("symbol", "year").agg(*[F.sum(m).alias(m) for m in measures])
+        return (
+            lines.join(orders, "l_orderkey")
+            .groupBy("symbol", "year")
+            .agg(
+                F.round(F.sum("operating"), 2).alias("operating"),
+                (F.lit(0.0) - F.round(F.sum("spent"), 4)).alias("capex"),
+                F.round(F.sum("tax"), 4).alias("tax"),
+                F.round(F.sum("quantity"), 2).alias("quantity"),
+            )
+        )
 
     def lineitem_versions(self) -> Table:
         return Table(
