@@ -2,6 +2,6 @@
 
 from quarry.plans.registry import ORACLES, QUERIES
 
-from quarry.plans import finance, joins, structured  # noqa: E402, F401  isort: skip
+from quarry.plans import chat, finance, joins, structured  # noqa: E402, F401  isort: skip
 
 __all__ = ["ORACLES", "QUERIES"]
