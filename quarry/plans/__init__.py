@@ -2,6 +2,6 @@
 
 from quarry.plans.registry import ORACLES, QUERIES
 
-from quarry.plans import chat, corpus, files, finance, joins, scores, structured  # noqa: E402, F401  isort: skip
+from quarry.plans import chat, corpus, files, finance, io, joins, scores, structured  # noqa: E402, F401  isort: skip
 
 __all__ = ["ORACLES", "QUERIES"]
