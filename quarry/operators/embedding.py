@@ -10,7 +10,7 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,12 +45,13 @@ class HashedWords:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[dict[str, float]]]:
         counts = [Counter(_WORD.findall(t.lower())) for t in texts]
-        dense = np.zeros((len(texts), self.dims))
-        for row, words in zip(dense, counts):
-            for word, n in words.items():
-                row[word_bucket(word, self.dims)] += n
+        dense = np.array([self._buckets(c) for c in counts]).reshape(len(texts), self.dims)
         norms = np.linalg.norm(dense, axis=1, keepdims=True)
-        return dense / np.where(norms > 0, norms, 1.0), [{w: float(n) for w, n in c.items()} for c in counts]
+        return dense / np.where(norms > 0, norms, 1.0), counts
+
+    def _buckets(self, words: Counter) -> np.ndarray:
+        at = [word_bucket(w, self.dims) for w in words]
+        return np.bincount(np.array(at, dtype=np.int64), list(words.values()) if at else None, self.dims)
 
 
 @lru_cache(maxsize=200_000)
@@ -58,6 +59,26 @@ def word_bucket(word: str, dims: int) -> int:
     return int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % dims
 
 
+def _encode(embedder: Embedder, texts: list[str]) -> pa.StructArray:
+    dense, sparse = embedder.encode(texts)
+    if len(dense) != len(texts) or len(sparse) != len(texts):
+        raise ValueError(f"{len(texts)} texts but {len(dense)} dense and {len(sparse)} sparse vectors")
+    return _vector_array(dense, sparse)
+
+
+def _vector_array(dense: np.ndarray, sparse: list[dict[str, float]]) -> pa.StructArray:
+    """Both vectors as one Arrow struct column, built from flat arrays."""
+    matrix = np.asarray(dense, dtype=np.float32).reshape(len(sparse), -1)
+    vectors = pa.ListArray.from_arrays(
+        pa.array(np.arange(len(sparse) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel(), pa.float32())
+    )
+    ends = np.cumsum([0, *map(len, sparse)])
+    tokens = pa.array([w for words in sparse for w in words], pa.string())
+    weights = pa.array([x for words in sparse for x in words.values()], pa.float64()).cast(pa.float32())
+    maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), tokens, weights)
+    return pa.StructArray.from_arrays([vectors, maps], ["embedding", "sparse"])
+
+
 def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = BATCH_TEXTS) -> DataFrame:
     """Add `embedding` and `sparse` columns.
 
@@ -65,21 +86,13 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = BA
     A model that returns another number of vectors than texts is an error.
     """
 
-    @F.pandas_udf(_VECTORS)
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_VECTORS)
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder.load()
-        for series in batches:
-            texts = series.fillna("").tolist()
-            dense: list = []
-            sparse: list = []
-            for at in range(0, len(texts), batch):
-                part = texts[at : at + batch]
-                d, s = embedder.encode(part)
-                if len(d) != len(part) or len(s) != len(part):
-                    raise ValueError(f"{len(part)} texts but {len(d)} dense and {len(s)} sparse vectors")
-                dense.extend(np.asarray(d, dtype=np.float32))
-                sparse.extend(s)
-            yield pd.DataFrame({"embedding": dense, "sparse": sparse})
+        for column in batches:
+            texts = [t or "" for t in column.to_pylist()]
+            parts = [_encode(embedder, texts[at : at + batch]) for at in range(0, len(texts), batch)]
+            yield pa.concat_arrays(parts) if parts else _vector_array([], [])
 
     return df.withColumn("__v", vectors(F.col(text))).select("*", "__v.embedding", "__v.sparse").drop("__v")
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import catalog, retrieval, search
+from quarry.operators.chunking import chunk_documents
 from quarry.operators.embedding import HashedWords, embed, sparse_rows
+from quarry.operators.ranking import top_n
 from quarry.plans.registry import query
 from quarry.plans.tables import FILES, sql_round
-from quarry.session import scratch_path
+from quarry.session import scratch_path, spread
 
 DIMS = 64
 
@@ -68,7 +70,7 @@ def _chunk_documents(data):
     f"WITH {_tokens('d', 'documents', 'doc_id')} SELECT doc_id, token, weight FROM d_words",
 )
 def _embed_sparse(data):
-    vectors = embed(data.table("documents").select("doc_id", "text"), HashedWords(DIMS))
+    vectors = embed(spread(data.table("documents").select("doc_id", "text")), HashedWords(DIMS))
     return sparse_rows(vectors, ["doc_id"]).withColumn("weight", F.col("weight").cast("double"))
 
 
@@ -80,7 +82,7 @@ def _embed_sparse(data):
     """,
 )
 def _embed_dense(data):
-    vectors = embed(data.table("documents").select("doc_id", "text"), HashedWords(DIMS))
+    vectors = embed(spread(data.table("documents").select("doc_id", "text")), HashedWords(DIMS))
     long = vectors.select("doc_id", F.posexplode("embedding").alias("dim", "x")).filter("x > 0")
     return long.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
@@ -132,10 +134,8 @@ def _ingest_status(data):
 )
 def _rebuild_index(data):
     """Chunk all ready files again and report per project."""
-    from quarry.operators.chunking import chunk_documents
-
     ready = data.files().filter("process_status = 'ready'")
-    counts = chunk_documents(ready, ["file_id"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
+    counts = chunk_documents(spread(ready.select("file_id", "text")), ["file_id"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
     done = ready.select("file_id", "project_id").join(counts, "file_id", "left")
     some = F.coalesce("chunks", F.lit(0)) > 0
     return done.groupBy("project_id").agg(
@@ -254,7 +254,7 @@ sparse_hits AS (
     SELECT question_id, query_no, id, sum(q.weight * c.weight) AS score
     FROM q_words q JOIN c_words c USING (token) GROUP BY 1, 2, 3) d USING (question_id, query_no, id)),
 lists AS (
-  SELECT *, row_number() OVER (PARTITION BY question_id, kind, query_no ORDER BY round(score, 9) DESC, id) AS rank
+  SELECT *, row_number() OVER (PARTITION BY question_id, kind, query_no ORDER BY round(score, 12) DESC, id) AS rank
   FROM (SELECT * FROM dense_hits UNION ALL SELECT * FROM sparse_hits)),
 pool AS (SELECT * FROM lists WHERE rank <= 40)
 """
@@ -270,10 +270,15 @@ def _questions(data):
     )
 
 
+def _embedded_chunks(data):
+    """Whole chunks are embedded before their stored text is cut."""
+    return retrieval.chunk_rows(embed(data.chunks(), HashedWords(DIMS)))
+
+
 def _index(data):
     """All chunks with both vectors, written once to the shared folder."""
     path = scratch_path(data.spark, "index")
-    embed(retrieval.chunk_rows(data.chunks()), HashedWords(DIMS)).write.parquet(path)
+    _embedded_chunks(data).write.parquet(path)
     return data.spark.read.parquet(path)
 
 
@@ -285,8 +290,7 @@ def _index(data):
 )
 def _sparse_topk(data):
     queries = embed(retrieval.exploded_queries(_questions(data)), HashedWords(DIMS))
-    index = embed(retrieval.chunk_rows(data.chunks()), HashedWords(DIMS))
-    return search.sparse_search(index, queries, 20).select("question_id", "query_no", "id", "rank", "score")
+    return search.sparse_search(_embedded_chunks(data), queries, 20).select("question_id", "query_no", "id", "rank", "score")
 
 
 @query(
@@ -353,8 +357,6 @@ def _rag_sources(data):
 )
 def _context_block(data):
     """The longest five files per project as context, every other one kept."""
-    from quarry.operators.ranking import top_n
-
     order = [F.length("text").desc(), F.col("file_id").asc()]
     top = top_n(data.files(), ["project_id"], order, 5, rank="n").withColumn("useful", F.col("n") % 2 == 1)
     blocks = retrieval.context_block(top, ["project_id"], "n", 900, keep="useful")
@@ -375,8 +377,6 @@ def _context_block(data):
 )
 def _rerank(data):
     """Messages of a conversation ranked against its first one."""
-    from quarry.operators.ranking import top_n
-
     said = data.table("conversations")
     first = top_n(said, ["conv_id"], [F.col("turn").asc()], 1).select("conv_id", F.col("text").alias("question"))
     candidates = said.join(first, "conv_id").select(F.col("conv_id").alias("question_id"), "question", F.col("turn").alias("position"), "text")

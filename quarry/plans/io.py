@@ -13,7 +13,7 @@ from quarry.operators.embedding import HashedWords
 from quarry.plans.registry import query
 from quarry.plans.structured import LATEST_LINEITEM
 from quarry.plans.tables import FILES, LOGS, TICKS, day_text
-from quarry.session import scratch_path
+from quarry.session import scratch_path, spread
 from quarry.sources import csv, documents, json, pages, warehouse
 from quarry.streaming import bars, batches, documents as document_streams, sequence, upsert
 
@@ -94,17 +94,16 @@ def _txt_decode(data):
 @query(
     "pages_title",
     """
-    SELECT page_id, substring(trim(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1),
-      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')), 1, 300) AS title FROM pages
+    SELECT page_id, substring(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')), 1, 300) AS title FROM pages
     """,
 )
 def _pages_title(data):
-    return pages.pages_to_text(data.table("pages")).select("page_id", "title")
+    return pages.pages_to_text(spread(data.table("pages"))).select("page_id", "title")
 
 
 @query("pages_to_text")
 def _pages_to_text(data):
-    return pages.pages_to_text(data.table("pages"))
+    return pages.pages_to_text(spread(data.table("pages")))
 
 
 @query(
@@ -178,7 +177,7 @@ def _semantic_chunks(data):
     def cut(text):
         return chunking.semantic_chunk(text, lambda sentences: model.encode(sentences)[0])
 
-    chunks = chunking.chunk_documents(data.table("documents"), ["doc_id"], chunker=cut)
+    chunks = chunking.chunk_documents(spread(data.table("documents").select("doc_id", "text")), ["doc_id"], chunker=cut)
     return chunks.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
 
 

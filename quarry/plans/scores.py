@@ -154,13 +154,13 @@ def _score_compare(data):
     "last_attempt",
     """
     SELECT 'T' || CAST(conv_id % 40 AS VARCHAR) AS id, arg_max(md5(text), conv_id * 100 + turn) AS text_md5
-    FROM conversations WHERE conv_id % 40 <> 0 GROUP BY 1
+    FROM conversations WHERE role <> 'system' GROUP BY 1
     """,
 )
 def _last_attempt(data):
     n = F.col("conv_id") % 40
     attempts = data.table("conversations").select(
-        F.when(n != 0, F.concat(F.lit("T"), n.cast("string"))).alias("id"), "conv_id", "turn", "text"
+        F.when(F.col("role") != "system", F.concat(F.lit("T"), n.cast("string"))).alias("id"), "conv_id", "turn", "text"
     )
     return evaluation.last_attempt(attempts, [F.col("conv_id"), F.col("turn")]).select("id", F.md5("text").alias("text_md5"))
 
@@ -436,13 +436,13 @@ def _layer_lookup(data):
 @query(
     "merge_batches",
     """
-    SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'done' ELSE 'raw' END AS origin FROM documents
+    SELECT doc_id AS id, CASE WHEN lang <> 'en' THEN 'done' ELSE 'raw' END AS origin FROM documents
     """,
 )
 def _merge_batches(data):
-    raw = data.table("documents").select(F.col("doc_id").alias("id"), F.lit("raw").alias("origin"))
-    done = raw.filter("id % 3 = 0").withColumn("origin", F.lit("done"))
-    return evaluation.merge_batches(raw, done)
+    raw = data.table("documents").select(F.col("doc_id").alias("id"), "lang", F.lit("raw").alias("origin"))
+    done = raw.filter("lang <> 'en'").withColumn("origin", F.lit("done"))
+    return evaluation.merge_batches(raw, done).drop("lang")
 
 
 @query(

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import arrays, dates, numeric, text
-from quarry.operators import cleaning, market, statements
+from quarry.operators import cleaning, statements
 from quarry.operators.query import aggregate, distinct_values, select_rows, where
-from quarry.operators.ranking import top_n
+from quarry.operators.ranking import pick_positions
 from quarry.plans.registry import query
 from quarry.plans.tables import FILES, STATEMENT, day_text, sql_round, time_text
 
@@ -45,13 +45,13 @@ def _latest_version(data):
     f"""
     WITH {LATEST_LINEITEM}
     SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity FROM latest
-    WHERE l_quantity > 25 AND l_orderkey >= 100
+    WHERE l_quantity > 25 AND l_linenumber >= 2
     """,
 )
 def _latest_version_filtered(data):
     latest = where(
         data.lineitem_versions().read(),
-        [{"column": "l_quantity", "op": ">", "value": 25}, {"column": "l_orderkey", "op": ">=", "value": 100}],
+        [{"column": "l_quantity", "op": ">", "value": 25}, {"column": "l_linenumber", "op": ">=", "value": 2}],
     )
     return latest.select("l_orderkey", F.col("l_linenumber").cast("long"), "l_quantity")
 
@@ -603,8 +603,6 @@ def _unit_scale(data):
 )
 def _pct_pick(data):
     """92nd percentile by nearest rank; values are cut into blocks of their integer part."""
-    from quarry.operators.ranking import pick_positions
-
     events = data.table("events").select("event_type", "value")
     picked = pick_positions(
         events,

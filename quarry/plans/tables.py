@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import chunking, market, statements
 from quarry.operators.versions import Table
+from quarry.session import spread
 
 FILE_STATES = ("ready", "failed", "pending", "processing", "deleted")
 FILE_TYPES = ("txt", "md", "pdf", "docx", "csv", "xlsx")
@@ -214,7 +215,7 @@ class Data:
     def chunks(self) -> DataFrame:
         """Rule-based chunks of all documents with the columns of a collection."""
         files = self.files().select("file_id", "project_id", "file_name", "text")
-        return chunking.chunk_documents(files, keep=["file_id", "project_id", "file_name"])
+        return chunking.chunk_documents(spread(files), keep=["file_id", "project_id", "file_name"])
 
     # conversations ---------------------------------------------------------------
     def chat(self) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every operator relies on. They can be changed on a live
 # session, so `configure` also works on a session somebody else has built.
@@ -23,12 +25,39 @@ SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators expect."""
+    """Apply the runtime settings the operators expect and ship this package."""
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per Spark context.
+
+    Same as passing it with --py-files: the archive is made on the driver and
+    Spark itself hands it to the executors. An installed archive is left alone.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_quarry_shipped", False) or not os.path.isdir(package):
+        return
+    name = os.path.join(tempfile.mkdtemp(prefix="quarry-package-"), "quarry")
+    context.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(package), os.path.basename(package)))
+    context._quarry_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a plain scan over all cores when it has fewer partitions.
+
+    For heavy per-row work on small inputs, which may sit in one file. Large
+    inputs have more partitions than cores and are not shuffled. Only for
+    frames without a shuffle of their own, whose partitions are known unrun.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def build_session(app: str = "quarry", master: str | None = None, **settings: str) -> SparkSession:
     """A new session with the settings above; the web page stays off."""
     builder = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
