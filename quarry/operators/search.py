@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ranking import top_n
 
-# Values in a query matrix that may be sent to every task (8 bytes each).
+# Vector entries or tokens of a query table that may be sent to every task.
 MAX_SHARED_VALUES = 4_000_000
-GRID_QUERY_ROWS = 2_000
+# Queries scored together, which bounds the size of a score matrix.
+QUERY_BLOCK = 256
+GRID_QUERY_ROWS = 2_048
 GRID_CHUNK_ROWS = 50_000
 SCORE_CELLS = 4_000_000
 SCORE_DIGITS = 12
@@ -55,6 +57,7 @@ class _Queries:
     project_id: np.ndarray
 
     positive_only = False
+    matrix = np.zeros((0, 0))
 
     @classmethod
     def read(cls, table: pa.Table) -> _Queries:
@@ -128,8 +131,7 @@ class _Leaders:
         self.hits = [empty] * len(queries.question_id)
 
     def add(self, chunks: pa.Table) -> None:
-        width = getattr(self.queries, "matrix").shape
-        step = max(64, SCORE_CELLS // max(1, *width))
+        step = max(64, SCORE_CELLS // max(1, *self.queries.matrix.shape))
         for at in range(0, len(chunks), step):
             self._add(chunks.slice(at, step))
 
@@ -159,14 +161,29 @@ class _Leaders:
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _HIT_FIELDS)], schema=_HIT_FIELDS)
 
 
+class _Scan:
+    """Leaders of any number of queries, scored in blocks."""
+
+    def __init__(self, reader: type[_Queries], queries: pa.Table, pool: int):
+        starts = range(0, len(queries), QUERY_BLOCK)
+        self.blocks = [_Leaders(reader.read(queries.slice(at, QUERY_BLOCK)), pool) for at in starts]
+
+    def add(self, chunks: pa.Table) -> None:
+        for block in self.blocks:
+            block.add(chunks)
+
+    def table(self) -> pa.Table:
+        return pa.concat_tables([_HIT_FIELDS.empty_table(), *(block.table() for block in self.blocks)])
+
+
 def _shared_search(chunks: DataFrame, block: pa.Table, reader: type[_Queries], pool: int) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaders = _Leaders(reader.read(shared.value), pool)
+        best = _Scan(reader, shared.value, pool)
         for batch in batches:
-            leaders.add(pa.Table.from_batches([batch]))
-        yield from leaders.table().to_batches()
+            best.add(pa.Table.from_batches([batch]))
+        yield from best.table().to_batches()
 
     return chunks.mapInArrow(scan, HIT_SCHEMA)
 
@@ -182,10 +199,10 @@ def _grid_search(
     right = spread(queries, ["question_id", "query_no"], "__q", query_blocks, "__c", chunk_blocks)
 
     def cell(chunk_block: pa.Table, query_block: pa.Table) -> pa.Table:
-        leaders = _Leaders(reader.read(query_block), pool)
-        if len(query_block) and len(chunk_block):
-            leaders.add(chunk_block)
-        return leaders.table()
+        best = _Scan(reader, query_block, pool)
+        if len(chunk_block):
+            best.add(chunk_block)
+        return best.table()
 
     return left.groupBy("__c", "__q").cogroup(right.groupBy("__c", "__q")).applyInArrow(cell, HIT_SCHEMA)
 
@@ -194,13 +211,12 @@ def _search(
     chunks: DataFrame, queries: DataFrame, size: str, reader: type[_Queries], pool: int, max_shared: int
 ) -> DataFrame:
     rows, values = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(size)), F.lit(0))).first()
-    # A sparse matrix has one row per distinct token and one column per query.
-    values = values * rows if reader is _SparseQueries else values
     if values <= max_shared:
         hits = _shared_search(chunks, queries.toArrow(), reader, pool)
     else:
-        query_blocks = max(1, -(-rows // GRID_QUERY_ROWS))
-        chunk_blocks = max(1, -(-chunks.count() // GRID_CHUNK_ROWS))
+        cores = chunks.sparkSession.sparkContext.defaultParallelism
+        query_blocks = -(-rows // GRID_QUERY_ROWS)
+        chunk_blocks = max(-(-cores // query_blocks), -(-chunks.count() // GRID_CHUNK_ROWS))
         hits = _grid_search(chunks, queries, reader, pool, query_blocks, chunk_blocks)
     best_first = [F.col("score").desc(), F.col("id").asc()]
     return top_n(hits, ["question_id", "query_no"], best_first, pool, rank="rank")
