@@ -12,7 +12,12 @@ MAX_ENTITIES = 10
 PREFIX_PATTERN = r"^[A-Za-z0-9]+_?$"
 PREFIX_CHARS = 32
 TEST_TOKEN_PATTERN = r"(?s)^\s*\[\s*([A-Za-z]+-\d+)\s*\]\s*(.*)$"
-SENTENCE_PATTERN = r"(?<=[.!?;])\s+|\n{2,}"
+# All characters that count as white space, also beyond ASCII.
+WHITE_SPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+SENTENCE_PATTERN = f"(?<=[.!?;])[{WHITE_SPACE}]+|\n{{2,}}"
 FILE_NAME_CHARS = 512
 
 # Words that carry no topic (Vietnamese, then English).
@@ -28,8 +33,8 @@ TOPIC_STOP_WORDS = (
 
 
 def strip(text: Column) -> Column:
-    """Trim blanks and line breaks on both sides."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Trim white space on both sides."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def unique_by(values: Column, key) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import strip
 from quarry.operators.ranking import top_n
 
 # Accepted file types and size limits.
@@ -90,7 +91,7 @@ def ingest_status(files: DataFrame, chunk_counts: DataFrame) -> DataFrame:
     if "vectors" not in counts.columns:
         counts = counts.withColumn("vectors", F.col("chunks"))
     chunks = F.coalesce("chunks", F.lit(0))
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    text = strip(F.coalesce("text", F.lit("")))
     error = (
         F.when(~F.lower(F.btrim("file_type", F.lit("."))).isin(*SUPPORTED_TYPES), "unsupported file type")
         .when(F.col("file_bytes") > MAX_FILE_BYTES, "file too large")

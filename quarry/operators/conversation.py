@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import topic_tokens
-from quarry.operators.ranking import group_position, next_marker, top_n
+from quarry.operators.ranking import group_position, next_marker, previous_rows, top_n
 
 # Window sizes and the topic-change rule.
 HISTORY_MESSAGES = 6
@@ -28,32 +28,17 @@ def sequence_block(order: Column) -> Column:
 def topic_change(messages: DataFrame) -> DataFrame:
     """User messages with `changed`: few of their words occur in the three before.
 
-    Earlier messages with the same text are ignored. A long session is numbered
-    in blocks, and every message is sent to its three successors, so no window
-    over a whole session is needed.
+    Earlier messages with the same text are ignored. A long session is cut into
+    blocks, so no window ever holds a whole session.
     """
     users = messages.filter(F.col("role") == "user").select(
         "session_id", "num_order", "text", topic_tokens(F.col("text")).alias("tokens")
     )
-    numbered = group_position(users, ["session_id"], [F.col("num_order")], sequence_block(F.col("num_order")), "nth")
-    earlier = numbered.select(
-        "session_id",
-        F.explode(F.sequence(F.col("nth") + 1, F.col("nth") + TOPIC_LOOKBACK)).alias("nth"),
-        F.col("text").alias("old_text"),
-        F.col("tokens").alias("old_tokens"),
-    )
-    # At most TOPIC_LOOKBACK rows meet one message.
-    recent = (
-        numbered.join(earlier, ["session_id", "nth"], "left")
-        .groupBy("session_id", "nth")
-        .agg(
-            F.first("num_order").alias("num_order"),
-            F.first("tokens").alias("tokens"),
-            F.array_distinct(
-                F.flatten(F.collect_list(F.when(F.col("old_text") != F.col("text"), F.col("old_tokens"))))
-            ).alias("old_tokens"),
-        )
-    )
+    said = F.struct("text", "tokens")
+    block = sequence_block(F.col("num_order"))
+    known = previous_rows(users, ["session_id"], "num_order", block, TOPIC_LOOKBACK, said, "before")
+    others = F.filter("before", lambda m: m["text"] != F.col("text"))
+    recent = known.withColumn("old_tokens", F.flatten(F.transform(others, lambda m: m["tokens"])))
     size = F.size("tokens")
     overlap = F.size(F.array_intersect("tokens", "old_tokens")) / F.greatest(size, F.lit(1))
     changed = (size >= TOPIC_MIN_TOKENS) & (F.size("old_tokens") > 0) & (overlap < TOPIC_MIN_OVERLAP)

@@ -137,3 +137,31 @@ def next_marker(
         .withColumn(name, F.coalesce("__near", "__later"))
         .drop(_BLOCK, _GROUP, "__mark", "__near", "__later")
     )
+
+
+def previous_rows(
+    df: DataFrame, keys: Sequence[str], order: str, block: Column, n: int, value: Column, name: str
+) -> DataFrame:
+    """Add `value` of the up to `n` rows before each row of a group, oldest first.
+
+    Rows are only windowed inside their block; each block also receives the last
+    `n` values of the blocks before it, from a table of at most `n` rows a block.
+    """
+    blocked = _blocked(df, keys, block).withColumn("__value", value)
+    tails = (
+        top_n(blocked.select(_GROUP, _BLOCK, F.col(order).alias("__at"), "__value"), [_BLOCK], [F.col("__at").desc()], n)
+        .groupBy(_GROUP, _BLOCK)
+        .agg(F.array_sort(F.collect_list(F.struct("__at", "__value"))).alias("__tail"))
+    )
+    # Every block has a row, so n blocks hold the n values wanted.
+    blocks_before = Window.partitionBy(_GROUP).orderBy(f"{_BLOCK}.block").rowsBetween(-n, -1)
+    earlier = F.transform(F.flatten(F.collect_list("__tail").over(blocks_before)), lambda e: e["__value"])
+    carried = tails.select(_BLOCK, earlier.alias("__earlier"))
+    near = F.collect_list("__value").over(Window.partitionBy(_BLOCK).orderBy(order).rowsBetween(-n, -1))
+    both = F.concat("__earlier", "__near")
+    return (
+        blocked.withColumn("__near", near)
+        .join(carried, _BLOCK)
+        .withColumn(name, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n))
+        .drop(_BLOCK, _GROUP, "__value", "__near", "__earlier")
+    )

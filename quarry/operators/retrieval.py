@@ -5,7 +5,7 @@ After the search every frame is small: at most `pool` rows per ranked list.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from quarry.functions.text import normalize_prefixes, strip, words
 from quarry.operators.embedding import Embedder, embed
 from quarry.operators.ranking import top_n
 from quarry.operators.search import dense_search, sparse_search
+from quarry.session import checkpoint
 
 # Ranking constants and cuts.
 FILENAME_BOOST = 1.20
@@ -28,6 +29,9 @@ PREVIEW_CHARS = 300
 STORED_CHARS = 8000
 STORED_NAME_CHARS = 512
 
+# Hits that may be sent to every task when names and texts are looked up.
+MAX_SHARED_HITS = 500_000
+
 Scorer = Callable[[Column, Column], Column]
 
 # Fused scores are sums of doubles in no fixed order; equal ones must stay equal.
@@ -40,11 +44,12 @@ def boost_hits(hits: DataFrame, names: DataFrame, prefixes: DataFrame | None) ->
     """Multiply scores of chunks whose file name starts with a prefix of the question.
 
     `names` holds `(id, file_name)`, `prefixes` `(question_id, prefixes)`. Adds
-    `file_name`, `raw_score` and `boosted`, and ranks every list again.
+    `raw_score` and `boosted`, and ranks every list again. Without prefixes the
+    names are not read.
     """
-    named = hits.withColumnRenamed("score", "raw_score").join(names.select("id", "file_name"), "id")
     if prefixes is None:
-        return named.withColumns({"score": F.col("raw_score"), "boosted": F.lit(False)})
+        return hits.withColumns({"raw_score": F.col("score"), "boosted": F.lit(False)})
+    named = names.select("id", "file_name").join(hits.withColumnRenamed("score", "raw_score"), "id")
     safe = prefixes.select("question_id", normalize_prefixes(F.col("prefixes")).alias("__prefixes"))
     upper = F.upper("file_name")
     starts = F.exists("__prefixes", lambda p: F.startswith(upper, p))
@@ -58,11 +63,11 @@ def boost_hits(hits: DataFrame, names: DataFrame, prefixes: DataFrame | None) ->
     return scored.withColumn("rank", F.row_number().over(again).cast("long"))
 
 
-def fuse(hits: DataFrame, top_k: int, k: int = RRF_K) -> DataFrame:
+def fuse(hits: DataFrame, top_k: int, k: int = RRF_K, keep: Sequence[str] = ()) -> DataFrame:
     """Reciprocal rank fusion of all lists of a question.
 
     Ties go to the chunk seen first: dense lists before sparse ones, in query
-    order, then by rank.
+    order, then by rank. The maxima of the `keep` columns are carried along.
     """
     seen = F.struct(*[c for c in ("kind", "query_no", "rank") if c in hits.columns])
     fused = hits.groupBy("question_id", "id").agg(
@@ -70,6 +75,7 @@ def fuse(hits: DataFrame, top_k: int, k: int = RRF_K) -> DataFrame:
         F.greatest(F.max("score"), F.lit(0.0)).alias("raw_score"),
         F.max("boosted").alias("boosted"),
         F.min(seen).alias("__seen"),
+        *[F.max(c).alias(c) for c in keep],
     )
     best = [F.col("score").desc(), F.col("__seen").asc()]
     return top_n(fused, ["question_id"], best, top_k, rank="position").drop("__seen")
@@ -164,48 +170,63 @@ def retrieve(
     `id, project_id, file_name, text, embedding, sparse`; it is scanned once per
     vector kind, and once for the names and texts of the hits.
     """
-    vectors = embed(exploded_queries(questions), embedder)
+    # Queries are embedded once; the size of what follows is known from their number.
+    vectors = checkpoint(embed(exploded_queries(questions), embedder))
     prefixes = questions.select("question_id", "prefixes") if "prefixes" in questions.columns else None
-    several = questions.select("question_id", (F.size("queries") > 1).alias("several"))
     if hybrid:
         pool = max(2 * top_k, MIN_POOL)
         dense = dense_search(index, vectors, pool).withColumn("kind", F.lit(0))
         hits = dense.unionByName(sparse_search(index, vectors, pool).withColumn("kind", F.lit(1)))
     else:
-        hits = dense_search(index, vectors, 4 * top_k).withColumn("kind", F.lit(0))
-    ids = hits.select("id").distinct()
-    found = index.select("id", "file_name", "text").join(ids, "id", "left_semi")
+        pool = 4 * top_k
+        hits = dense_search(index, vectors, pool).withColumn("kind", F.lit(0))
+    if vectors.count() * 2 * pool <= MAX_SHARED_HITS:
+        small = F.broadcast
+    else:
+        small = _unchanged
+    names = index.select("id", "file_name")
     if hybrid:
-        best = fuse(boost_hits(hits, found, prefixes), top_k).filter(F.col("score") > 0)
+        best = fuse(boost_hits(small(hits), names, prefixes), top_k).filter(F.col("score") > 0)
     else:
-        best = _dense_only(hits, found, prefixes, several, top_k)
+        best = _dense_only(hits, names, prefixes, vectors, top_k, small)
     asked = F.get(F.filter("queries", lambda q: F.length(strip(F.coalesce(q, F.lit("")))) > 0), 0)
     if "rerank_query" in questions.columns:
         asked = F.coalesce("rerank_query", asked)
     named = questions.select(F.col("question_id").cast("string"), asked.alias("question"))
-    return rerank(best.join(found, "id").join(named, "question_id"), scorer, top)
+    candidates = index.select("id", "file_name", "text").join(small(best), "id").join(named, "question_id")
+    return rerank(candidates, scorer, top)
+
+
+def _unchanged(df: DataFrame) -> DataFrame:
+    return df
 
 
 def _dense_only(
-    hits: DataFrame, found: DataFrame, prefixes: DataFrame | None, several: DataFrame, top_k: int
+    hits: DataFrame,
+    names: DataFrame,
+    prefixes: DataFrame | None,
+    vectors: DataFrame,
+    top_k: int,
+    small: Callable[[DataFrame], DataFrame],
 ) -> DataFrame:
     """One query: its list with a score floor. Several: fused lists of twice the depth.
 
     A list is first cut by raw score to twice its depth where prefixes are
     given, then boosted and cut to its depth.
     """
-    several = several.select(F.col("question_id").cast("string"), "several")
-    depth = F.when(F.col("several"), 2 * top_k).otherwise(top_k)
-    pooled = hits.join(several, "question_id").withColumn("depth", depth)
-    if prefixes is None:
-        factor = F.lit(1)
-    else:
+    asked = vectors.groupBy(F.col("question_id").cast("string").alias("question_id")).agg(F.count(F.lit(1)).alias("asked"))
+    several = F.col("asked") > 1
+    pooled = hits.join(asked, "question_id").withColumn("depth", F.when(several, 2 * top_k).otherwise(top_k))
+    factor = F.lit(1)
+    if prefixes is not None:
         usable = prefixes.select("question_id", (F.size(normalize_prefixes(F.col("prefixes"))) > 0).alias("boostable"))
         pooled = pooled.join(usable, "question_id", "left")
         factor = F.when(F.coalesce("boostable", F.lit(False)), 2).otherwise(1)
     pooled = pooled.filter(F.col("rank") <= factor * F.col("depth"))
-    ranked = boost_hits(pooled, found, prefixes).filter(F.col("rank") <= F.col("depth"))
-    single = ranked.filter(~F.col("several") & (F.col("score") >= MIN_DENSE_SCORE)).select(
-        "question_id", "id", "score", "raw_score", "boosted", F.col("rank").alias("position")
-    )
-    return single.unionByName(fuse(ranked.filter("several"), top_k).filter(F.col("score") > 0))
+    ranked = boost_hits(small(pooled), names, prefixes).filter(F.col("rank") <= F.col("depth"))
+    # A single list is one that fusion keeps in order; only its score differs.
+    alone = F.when(several, F.lit(None)).otherwise(F.col("score"))
+    fused = fuse(ranked.withColumn("alone", alone), top_k, keep=["alone"])
+    scored = fused.withColumn("score", F.coalesce("alone", "score"))
+    floor = F.when(F.col("alone").isNotNull(), F.col("score") >= MIN_DENSE_SCORE).otherwise(F.col("score") > 0)
+    return scored.filter(floor).drop("alone")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.text import strip
 from quarry.operators import catalog, retrieval, search
 from quarry.operators.chunking import chunk_documents
 from quarry.operators.embedding import HashedWords, embed, sparse_rows
@@ -262,7 +263,7 @@ pool AS (SELECT * FROM lists WHERE rank <= 40)
 
 def _questions(data):
     """Benchmark texts as questions: the text, then its first three sentences."""
-    parts = F.filter(F.transform(F.split("text", r"\."), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: F.length(s) > 0)
+    parts = F.filter(F.transform(F.split("text", r"\."), strip), lambda s: F.length(s) > 0)
     return data.table("benchmark").select(
         F.col("item_id").cast("string").alias("question_id"),
         (F.col("item_id") % 20).alias("project_id"),

@@ -74,10 +74,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     The folder is the one the cluster names in `spark.checkpoint.dir`. Only a
     local session may fall back to a temporary folder of its own machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_quarry_folder", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = spark.sparkContext._quarry_folder = tempfile.mkdtemp(prefix="quarry-")
+    return base.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Compute a small frame once and keep it in the shared folder, free of its lineage."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(_shared_folder(df.sparkSession))
+    return df.checkpoint()
