@@ -117,13 +117,11 @@ def replay(events: DataFrame, order: str, block: Column, is_message: Column, is_
     message belong to it, of the source lists only the latest. Events that no
     message follows are left out, as they are never shown.
     """
-    placed = next_marker(events, ["session_id"], order, block, is_message, "message_order")
-    attached = placed.withColumn("__source", is_source).filter(~is_message & F.col("message_order").isNotNull())
-    tools = attached.filter(~F.col("__source"))
-    sources = top_n(
-        attached.filter("__source"), ["session_id", "message_order"], [F.col(order).desc()], 1
+    placed = next_marker(
+        events, ["session_id"], order, block, {"message_order": is_message, "__next_source": is_source}
     )
-    return tools.unionByName(sources).drop("__source")
+    replaced = is_source & F.coalesce(F.col("__next_source") < F.col("message_order"), F.lit(False))
+    return placed.filter(~is_message & F.col("message_order").isNotNull() & ~replaced).drop("__next_source")
 
 
 def running_usage(messages: DataFrame) -> DataFrame:

@@ -98,5 +98,10 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = BA
 
 
 def sparse_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Sparse vectors as `(keys, token, weight)` rows."""
-    return df.select(*keys, F.explode("sparse").alias("token", "weight"))
+    """Sparse vectors as `(keys, token, weight)` rows.
+
+    The outer form of explode: the plain one adds a filter on the vectors, which
+    would run the model a second time below it.
+    """
+    long = df.select(*keys, F.explode_outer("sparse").alias("token", "weight"))
+    return long.filter(F.col("token").isNotNull())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_entities, contains_ignore_case
 from quarry.operators.ranking import top_n
+from quarry.session import checkpoint
 
 GRAM_CHARS = 3
 MAX_MATCHES = 20
@@ -84,13 +85,16 @@ def match_mentions(mentions: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def resolve_entities(mentions: DataFrame, master: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Up to 20 companies per call, exact ones first, then by symbol."""
-    companies = (
-        match_mentions(mentions, master)
-        .groupBy("call_id", "symbol", "organ_name")
-        .agg(F.max("exact").alias("exact"))
-    )
-    best = top_n(companies, ["call_id"], [F.col("exact").desc(), F.col("symbol")], MAX_MATCHES)
+    """Up to 20 companies per call, exact ones first, then by symbol.
+
+    What is among the best of a call is also among the best of one of its
+    mentions, so each mention is cut first, before anything is shuffled.
+    """
+    order = [F.col("exact").desc(), F.col("symbol")]
+    # A symbol can match one mention twice, exactly and by name.
+    per_mention = top_n(match_mentions(mentions, master), ["call_id", "mention"], order, 2 * MAX_MATCHES)
+    companies = per_mention.groupBy("call_id", "symbol", "organ_name").agg(F.max("exact").alias("exact"))
+    best = top_n(companies, ["call_id"], order, MAX_MATCHES)
     if profile is None:
         return best
     extra = [c for c in profile.columns if c != "symbol"]
@@ -99,20 +103,23 @@ def resolve_entities(mentions: DataFrame, master: DataFrame, profile: DataFrame
 
 def unresolved_entities(mentions: DataFrame, master: DataFrame) -> DataFrame:
     """Mentions without a match of their own that also contain no matched name of their call."""
-    matches = match_mentions(mentions, master)
-    open_mentions = mentions.join(matches.select("call_id", "mention").distinct(), ["call_id", "mention"], "left_anti")
+    # Read several times below, so it is computed once.
+    matched = checkpoint(
+        match_mentions(mentions, master).select("call_id", "mention", F.lower("organ_name").alias("name")).distinct()
+    )
+    open_mentions = mentions.join(matched.select("call_id", "mention").distinct(), ["call_id", "mention"], "left_anti")
     names = (
-        matches.filter("organ_name <> ''")
-        .select("call_id", F.lower("organ_name").alias("name"))
+        matched.filter("name <> ''")
+        .join(open_mentions.select("call_id").distinct(), "call_id", "left_semi")
+        .select("call_id", "name")
         .distinct()
         .withColumn("gram", F.substring("name", 1, GRAM_CHARS))
     )
     keyed = open_mentions.withColumn("gram", F.explode(_all_grams(F.lower("mention"))))
-    covered = keyed.alias("m").join(
-        names.alias("n"),
-        (F.col("m.call_id") == F.col("n.call_id"))
-        & (F.col("m.gram") == F.col("n.gram"))
-        & F.contains(F.lower("m.mention"), F.col("n.name")),
-        "left_semi",
+    covered = (
+        keyed.join(names, ["call_id", "gram"])
+        .filter(F.contains(F.lower("mention"), F.col("name")))
+        .select("call_id", "mention")
+        .distinct()
     )
-    return open_mentions.join(covered.select("call_id", "mention").distinct(), ["call_id", "mention"], "left_anti")
+    return open_mentions.join(covered, ["call_id", "mention"], "left_anti")

@@ -13,7 +13,7 @@ use one of two exact ways round that:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,29 +114,33 @@ def pick_positions(
 
 
 def next_marker(
-    df: DataFrame, keys: Sequence[str], order: str, block: Column, marker: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: str, block: Column, markers: Mapping[str, Column]
 ) -> DataFrame:
-    """Add the `order` value of the first marker row after each row of a group."""
-    blocked = _blocked(df, keys, block).withColumn("__mark", F.when(marker, F.col(order)))
-    first_in_block = blocked.groupBy(_GROUP, _BLOCK).agg(F.min("__mark").alias("__first"))
+    """Add, per marker, the `order` value of the first such row after each row of a group."""
+    blocked = _blocked(df, keys, block)
+    for name, marker in markers.items():
+        blocked = blocked.withColumn(f"__mark_{name}", F.when(marker, F.col(order)))
+    firsts = [F.min(f"__mark_{name}").alias(f"__first_{name}") for name in markers]
     later = (
         Window.partitionBy(_GROUP)
         .orderBy(F.col(f"{_BLOCK}.block").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    following = first_in_block.withColumn("__later", F.min("__first").over(later))
+    following = (
+        blocked.groupBy(_GROUP, _BLOCK)
+        .agg(*firsts)
+        .select(_BLOCK, *[F.min(f"__first_{name}").over(later).alias(f"__later_{name}") for name in markers])
+    )
     # Descending order with a growing frame: linear, unlike a shrinking frame.
     after = (
         Window.partitionBy(_BLOCK)
         .orderBy(F.col(order).desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        blocked.withColumn("__near", F.min("__mark").over(after))
-        .join(following.select(_BLOCK, "__later"), _BLOCK)
-        .withColumn(name, F.coalesce("__near", "__later"))
-        .drop(_BLOCK, _GROUP, "__mark", "__near", "__later")
-    )
+    near = {f"__near_{name}": F.min(f"__mark_{name}").over(after) for name in markers}
+    found = {name: F.coalesce(f"__near_{name}", f"__later_{name}") for name in markers}
+    helpers = [f"__{kind}_{name}" for kind in ("mark", "near", "later") for name in markers]
+    return blocked.withColumns(near).join(following, _BLOCK).withColumns(found).drop(_BLOCK, _GROUP, *helpers)
 
 
 def previous_rows(

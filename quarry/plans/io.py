@@ -182,17 +182,11 @@ def _semantic_chunks(data):
 
 
 # Streams ------------------------------------------------------------------------------
-def _staged(data, name: str, *slices):
-    """A folder of parquet files, one write after the other, as a stream of files."""
-    path = scratch_path(data.spark, name)
-    for rows in slices:
-        rows.coalesce(1).write.mode("append").parquet(path)
-    return path
-
-
-def _stream(data, path: str, per_batch: int = 1):
-    schema = data.spark.read.parquet(path).schema
-    return data.spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+def _stream(data, path: str, batches_wanted: int = 1):
+    """A stream over the parquet files of a folder, drained in about so many batches."""
+    files = data.spark.read.parquet(path)
+    per_batch = -(-len(files.inputFiles()) // batches_wanted)
+    return data.spark.readStream.schema(files.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 @query(
@@ -206,9 +200,9 @@ def _stream_upsert(data):
     """Lines arrive by quantity, so versions of a key are spread over batches."""
     lines = data.table("lineitem")
     path = scratch_path(data.spark, "lines")
-    lines.repartitionByRange(4, "l_quantity").write.parquet(path)
+    lines.repartitionByRange("l_quantity").write.parquet(path)
     out = scratch_path(data.spark, "upsert")
-    upsert.append_stream(_stream(data, path), f"{out}/rows", f"{out}/checkpoint")
+    upsert.append_stream(_stream(data, path, 3), f"{out}/rows", f"{out}/checkpoint")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema.fields)
     keys, tie = ("l_orderkey", "l_linenumber"), ("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     table = upsert.versioned(data.spark, f"{out}/rows", schema, keys, "l_shipdate", tie)
@@ -222,12 +216,13 @@ def _stream_upsert(data):
     """,
 )
 def _stream_sequence(data):
-    """Turns arrive in three files, earlier ones first."""
+    """Turns arrive in three parts, earlier ones first; the job runs after each part."""
     said = data.table("conversations").select(F.col("conv_id").alias("session_id"), "turn", "role")
     turn = F.col("turn")
-    path = _staged(data, "turns", said.filter(turn < 2), said.filter((turn >= 2) & (turn < 5)), said.filter(turn >= 5))
-    out = scratch_path(data.spark, "numbered")
-    sequence.number_stream(_stream(data, path), turn, F.floor(turn / 100_000), out, f"{out}/checkpoint")
+    path, out = scratch_path(data.spark, "turns"), scratch_path(data.spark, "numbered")
+    for part in (turn < 2, (turn >= 2) & (turn < 5), turn >= 5):
+        said.filter(part).write.mode("append").parquet(path)
+        sequence.number_stream(_stream(data, path), turn, F.floor(turn / 100_000), out, f"{out}/checkpoint")
     numbered = batches.read_batches(data.spark, f"{out}/events", "session_id BIGINT, turn BIGINT, role STRING, num_order BIGINT")
     return numbered.select("session_id", "turn", "num_order")
 
@@ -245,7 +240,7 @@ def _stream_bars(data):
     path = scratch_path(data.spark, "ticks")
     data.ticks().write.parquet(path)
     out = scratch_path(data.spark, "bars")
-    bars.write_bars(bars.bar_stream(_stream(data, path, 1000), "1 day"), f"{out}/bars", f"{out}/checkpoint")
+    bars.write_bars(bars.bar_stream(_stream(data, path), "1 day"), f"{out}/bars", f"{out}/checkpoint")
     emitted = data.spark.read.parquet(f"{out}/bars")
     return emitted.select("symbol", day_text("time").alias("day"), "open", "high", "low", "close", "volume")
 
@@ -256,8 +251,8 @@ def _stream_bars(data):
 )
 def _stream_dedup(data):
     path = scratch_path(data.spark, "uploads")
-    data.files().select("project_id", "file_hash", "file_id").repartition(3).write.parquet(path)
+    data.files().select("project_id", "file_hash", "file_id").write.parquet(path)
     out = scratch_path(data.spark, "first")
-    fresh = document_streams.first_uploads(_stream(data, path))
+    fresh = document_streams.first_uploads(_stream(data, path, 3))
     batches.run_batches(fresh, lambda rows, n: batches.write_batch(rows, f"{out}/rows", n), f"{out}/checkpoint")
     return batches.read_batches(data.spark, f"{out}/rows", "project_id BIGINT, file_hash STRING").select("project_id", "file_hash")

@@ -294,6 +294,40 @@ def _prj_sanitize(data):
     return cleaning.sanitize_columns(raw).drop("id")
 
 
+@query(
+    "prj_headers",
+    "SELECT s_suppkey AS sub_id, s_name AS organ_name, s_acctbal AS ownership_pct, CAST(s_nationkey AS BIGINT) AS x_y_z FROM supplier",
+)
+def _prj_headers(data):
+    raw = data.table("supplier").withColumn("s_nationkey", F.col("s_nationkey").cast("long"))
+    raw = raw.select("s_suppkey", "s_name", "s_acctbal", "s_nationkey").toDF(" Sub-ID", "Organ.Name", "(Ownership)_%", "X y-z")
+    return raw.toDF(*map(cleaning.header_name, raw.columns))
+
+
+@query(
+    "prj_shape",
+    """
+    SELECT coalesce(nullif(c_mktsegment, 'BUILDING'), 'UNKNOWN') AS symbol, CAST(c_custkey AS DOUBLE) AS dps,
+           strftime(DATE '2020-01-01' + CAST(c_custkey % 300 AS INTEGER), '%Y-%m-%d') AS record_date, 'UNKNOWN' AS market
+    FROM customer
+    """,
+)
+def _prj_shape(data):
+    """Aliased, repeated and unknown headers; a missing column that must not be null."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("c_custkey") % 300).cast("int"))
+    raw = data.table("customer").select(
+        F.expr("nullif(c_mktsegment, 'BUILDING')"), "c_name", F.format_number("c_custkey", 0), F.date_format(day, "dd/MM/yyyy"), "c_acctbal"
+    ).toDF("Ticker", "SYMBOL", "Dividend per Share", "Ex-Date", "Other")
+    schema = {
+        "symbol": cleaning.Field("string", nullable=False, fallback="UNKNOWN"),
+        "dps": cleaning.Field("double"),
+        "record_date": cleaning.Field("date"),
+        "market": cleaning.Field("string", nullable=False, fallback="UNKNOWN"),
+    }
+    aliases = {"ticker": "symbol", "dividend_per_share": "dps", "ex_date": "record_date"}
+    return cleaning.shape_to_schema(raw, schema, aliases).withColumn("record_date", day_text("record_date"))
+
+
 _DATE_TEXTS = """
   CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y')
     WHEN 2 THEN strftime(o_orderdate, '%d-%m-%Y') WHEN 3 THEN strftime(o_orderdate, '%m/%d/%Y') ELSE 'n/a' END

@@ -86,3 +86,8 @@ def test_value_filters_of_versioned_reads_are_not_pushed(plans):
 def test_only_needed_columns_are_read(plans, name, columns):
     read = re.search(r"ReadSchema: struct<(.*?)>", plans[name]).group(1)
     assert read.count(":") <= columns
+
+
+@pytest.mark.parametrize("name", ["chunk_documents", "embed_sparse", "embed_dense", "pages_to_text", "rebuild_index", "semantic_chunks"])
+def test_models_and_parsers_run_once_per_row(plans, name):
+    assert plans[name].count("EvalPython") == 1

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import even_positions, nearest_rank
-from quarry.operators.ranking import group_position, next_marker, pick_positions, top_n
+from quarry.operators.ranking import group_position, next_marker, pick_positions, previous_rows, top_n
 from quarry.operators.versions import Table, latest_version
 
 
@@ -59,12 +59,20 @@ def test_even_positions_match_python_rounding(spark, k):
 
 def test_next_marker(skewed):
     data, df = skewed
-    got = next_marker(df, ["k"], "v", F.floor(F.col("v") / 500), F.col("v") % 13 == 0, "next").collect()
+    got = next_marker(df, ["k"], "v", F.floor(F.col("v") / 500), {"a": F.col("v") % 13 == 0, "b": F.col("v") % 2 == 0}).collect()
     want = {}
     for k, vs in groups(data).items():
         for v in vs:
-            want[(k, v)] = next((m for m in vs if m > v and m % 13 == 0), None)
-    assert {(r.k, r.v): r.next for r in got} == want
+            want[(k, v)] = tuple(next((m for m in vs if m > v and m % n == 0), None) for n in (13, 2))
+    assert {(r.k, r.v): (r.a, r.b) for r in got} == want
+
+
+@pytest.mark.parametrize("width", [3, 37, 5000])
+def test_previous_rows_reach_into_earlier_blocks(skewed, width):
+    data, df = skewed
+    got = previous_rows(df, ["k"], "v", F.floor(F.col("v") / width), 3, F.col("v") * 2, "before").collect()
+    want = {(k, v): [2 * x for x in vs[max(0, i - 3) : i]] for k, vs in groups(data).items() for i, v in enumerate(vs)}
+    assert {(r.k, r.v): r.before for r in got} == want
 
 
 def plan(df):
