@@ -163,12 +163,12 @@ def _select_rows_all(data):
 @query(
     "order_multi",
     """
-    SELECT c_custkey, c_mktsegment, nullif(c_nationkey, 3) AS nation FROM customer
+    SELECT c_custkey, c_mktsegment, CAST(nullif(c_nationkey, 3) AS DOUBLE) AS nation FROM customer
     ORDER BY nation DESC NULLS LAST, c_mktsegment ASC NULLS LAST, c_custkey DESC NULLS LAST LIMIT 1000
     """,
 )
 def _order_multi(data):
-    customers = data.table("customer").select("c_custkey", "c_mktsegment", F.expr("nullif(c_nationkey, 3)").alias("nation"))
+    customers = data.table("customer").select("c_custkey", "c_mktsegment", F.expr("CAST(nullif(c_nationkey, 3) AS DOUBLE)").alias("nation"))
     return select_rows(
         customers,
         order_by=[
