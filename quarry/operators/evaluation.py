@@ -83,6 +83,11 @@ def first_layer(tagged: DataFrame, order: Sequence[str] = LOOKUP_ORDER) -> DataF
     return top_n(tagged, ["id"], [priority.asc()], 1)
 
 
+def union_keep_first(master: DataFrame, extra: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All master cases and those extra ones whose key the master does not have."""
+    return master.unionByName(extra.join(master.select(*keys), list(keys), "left_anti"))
+
+
 def merge_batches(raw: DataFrame, done: DataFrame) -> DataFrame:
     """Enriched records replace the raw ones with the same id."""
     both = raw.withColumn("__done", F.lit(0)).unionByName(done.withColumn("__done", F.lit(1)))

@@ -90,3 +90,11 @@ def pie_shares(slices: DataFrame, label: str, value: str) -> DataFrame:
     ).filter(F.col(value) > 0)
     total = positive.agg(F.sum(value).alias("total")).scalar()
     return positive.withColumn("pct", F.round(F.lit(100.0) * F.col(value) / total, 1))
+
+
+def chart_series(points: DataFrame, label: str, values: Sequence[str]) -> DataFrame:
+    """Label as text, values as double or null; points without any value are dropped."""
+    rest = [c for c in points.columns if c not in (label, *values)]
+    numbers = [F.col(v).try_cast("double").alias(v) for v in values]
+    typed = points.select(F.col(label).cast("string").alias(label), *rest, *numbers)
+    return typed.filter(F.coalesce(*values).isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
 from quarry.operators import catalog, retrieval, search
-from quarry.operators.chunking import chunk_documents
+from quarry.operators.chunking import chunk_documents, semantic_chunk
 from quarry.operators.embedding import HashedWords, embed, sparse_rows
 from quarry.operators.ranking import top_n
 from quarry.plans.registry import query
@@ -88,6 +88,52 @@ def _embed_dense(data):
     return long.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
+SENTENCES = f"""
+parts AS (
+  SELECT doc_id, list_filter(list_transform(
+    string_split(regexp_replace(regexp_replace(trim(text, E' \\n'), '([.!?;])\\s+', '\\1\x01', 'g'), '\\n{{2,}}', '\x01', 'g'), '\x01'),
+    lambda x: trim(x, E' \\n')), lambda x: length(x) > 0) AS s FROM documents WHERE length(text) > 1500),
+sents AS (SELECT doc_id, unnest(s) AS text, generate_subscripts(s, 1) AS pos, len(s) AS n FROM parts WHERE len(s) > 3),
+{_tokens('s', 'sents', 'doc_id, pos').strip()},
+unit AS (SELECT doc_id, pos, b, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, pos)) AS x FROM s_buckets),
+dots AS (SELECT l.doc_id, l.pos, sum(l.x * r.x) AS dot FROM unit l JOIN unit r ON l.doc_id = r.doc_id AND r.pos = l.pos + 1 AND l.b = r.b GROUP BY 1, 2),
+dist AS (SELECT doc_id, pos, round(1 - coalesce(dot, 0), 12) AS d FROM sents LEFT JOIN dots USING (doc_id, pos) WHERE pos < n),
+ranks AS (SELECT doc_id, d, row_number() OVER (PARTITION BY doc_id ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY doc_id) AS m FROM dist),
+limits AS (SELECT doc_id, d AS top FROM ranks WHERE r = floor(0.92 * (m - 1))),
+steps AS (SELECT doc_id, pos, length(text) + 1 AS size, pos = n AS last, coalesce(d >= top, false) AS far
+          FROM sents JOIN limits USING (doc_id) LEFT JOIN dist USING (doc_id, pos)),
+walk AS (
+  SELECT doc_id, pos, 0 AS chunk, size AS len, last OR size >= 1500 OR (far AND size >= 50) AS cut FROM steps WHERE pos = 1
+  UNION ALL
+  SELECT doc_id, pos, chunk, len, last OR len >= 1500 OR (far AND len >= 50) FROM (
+    SELECT t.doc_id, t.pos, chunk + CASE WHEN cut THEN 1 ELSE 0 END AS chunk, CASE WHEN cut THEN 0 ELSE len END + size AS len, last, far
+    FROM walk w JOIN steps t ON t.doc_id = w.doc_id AND t.pos = w.pos + 1)),
+joined AS (SELECT doc_id, chunk, string_agg(text, ' ' ORDER BY pos) AS text FROM walk JOIN sents USING (doc_id, pos) GROUP BY 1, 2),
+semantic AS (SELECT doc_id, text, min(chunk) AS chunk FROM joined WHERE length(text) >= 50 GROUP BY 1, 2),
+all_chunks AS (
+  SELECT doc_id, text, chunk FROM semantic
+  UNION ALL
+  SELECT file_id, text, chunk_index FROM chunks WHERE file_id NOT IN (SELECT doc_id FROM semantic))
+"""
+
+
+@query(
+    "semantic_chunks",
+    f"""
+    WITH RECURSIVE {CHUNKS}, {SENTENCES}
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1 AS chunk_index, md5(text) AS text_md5 FROM all_chunks
+    """,
+)
+def _semantic_chunks(data):
+    model = HashedWords(DIMS)
+
+    def cut(text):
+        return semantic_chunk(text, lambda sentences: model.encode(sentences)[0])
+
+    chunks = chunk_documents(spread(data.table("documents").select("doc_id", "text")), ["doc_id"], chunker=cut)
+    return chunks.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
+
+
 @query(
     "chunk_upsert",
     f"""

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import chunking
-from quarry.operators.embedding import HashedWords
 from quarry.plans.registry import query
 from quarry.plans.structured import LATEST_LINEITEM
 from quarry.plans.tables import FILES, LOGS, TICKS, day_text
@@ -170,17 +168,6 @@ def _ingest_audit(data):
     return audit.select("table_name", "row_count", "status")
 
 
-@query("semantic_chunks")
-def _semantic_chunks(data):
-    model = HashedWords(64)
-
-    def cut(text):
-        return chunking.semantic_chunk(text, lambda sentences: model.encode(sentences)[0])
-
-    chunks = chunking.chunk_documents(spread(data.table("documents").select("doc_id", "text")), ["doc_id"], chunker=cut)
-    return chunks.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
-
-
 # Streams ------------------------------------------------------------------------------
 def _stream(data, path: str, batches_wanted: int = 1):
     """A stream over the parquet files of a folder, drained in about so many batches."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import arrays, dates, numeric, text
-from quarry.operators import cleaning, statements
+from quarry.operators import cleaning, evaluation, statements
 from quarry.operators.query import aggregate, distinct_values, select_rows, where
 from quarry.operators.ranking import pick_positions
 from quarry.plans.registry import query
@@ -460,14 +460,7 @@ def _chart_series(data):
         F.when(F.col("year") != 1997, F.col("total").cast("string")).otherwise("none").alias("y1"),
         F.when(F.col("o_orderstatus") != "P", F.col("n").cast("string")).alias("y2"),
     )
-    return market_series(raw, "x", ["y1", "y2"])
-
-
-def market_series(df, x: str, ys: list[str]):
-    """Label as text, values as double or null; points without any value are dropped."""
-    rest = [c for c in df.columns if c not in (x, *ys)]
-    typed = df.select(F.col(x).cast("string").alias(x), *rest, *[F.col(y).try_cast("double").alias(y) for y in ys])
-    return typed.filter(F.coalesce(*ys).isNotNull())
+    return statements.chart_series(raw, "x", ["y1", "y2"])
 
 
 # Set operations -------------------------------------------------------------------
@@ -482,12 +475,7 @@ def market_series(df, x: str, ys: list[str]):
 def _union_master_wins(data):
     master = data.table("customer").select(F.col("c_custkey").alias("id"), F.lit("master").alias("origin"))
     extra = data.table("orders").select((F.col("o_custkey") + 700).alias("id")).distinct().withColumn("origin", F.lit("extra"))
-    return union_keep_first(master, extra, ["id"])
-
-
-def union_keep_first(master, extra, keys: list[str]):
-    """All master rows and those extra rows whose key the master does not have."""
-    return master.unionByName(extra.join(master.select(*keys), keys, "left_anti"))
+    return evaluation.union_keep_first(master, extra, ["id"])
 
 
 @query(
