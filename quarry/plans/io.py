@@ -99,9 +99,30 @@ def _pages_title(data):
     return pages.pages_to_text(spread(data.table("pages"))).select("page_id", "title")
 
 
-@query("pages_to_text")
+@query(
+    "pages_to_text",
+    r"""
+    WITH marked AS (
+      SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '<x>', 'g'),
+        '<[^>]*>|[^<]+') AS ts FROM pages),
+    tokens AS (SELECT page_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM marked),
+    tags AS (SELECT *, CASE WHEN t LIKE '<%' THEN lower(regexp_extract(t, '^</?([a-zA-Z0-9]*)', 1)) END AS tag,
+                    t LIKE '</%' AS closing FROM tokens),
+    deep AS (SELECT *, sum(CASE WHEN tag IN ('nav', 'footer', 'header', 'aside', 'form', 'title') THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END)
+                       OVER (PARTITION BY page_id ORDER BY pos) AS depth FROM tags),
+    spelled AS (SELECT *, trim(regexp_replace(regexp_replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;?', '"', 'g'),
+                                              '&amp;?', '&', 'g'), E' \n\t') AS word FROM deep),
+    bodies AS (
+      SELECT page_id, string_agg(CASE WHEN tag IN ('p', 'br', 'li', 'h1', 'h2', 'h3', 'h4') AND NOT closing THEN chr(10)
+                                      WHEN tag IS NULL AND depth = 0 AND word <> '' THEN word || ' ' ELSE '' END, '' ORDER BY pos) AS body
+      FROM spelled GROUP BY 1),
+    texts AS (SELECT page_id, trim(regexp_replace(regexp_replace(body, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), E' \n\t') AS text FROM bodies)
+    SELECT page_id, url, substring(text, 1, 10000) AS text, length(text) > 10000 AS truncated, 'none' AS error FROM texts JOIN pages USING (page_id)
+    """,
+)
 def _pages_to_text(data):
-    return pages.pages_to_text(spread(data.table("pages")))
+    text = pages.pages_to_text(spread(data.table("pages")))
+    return text.select("page_id", "url", "text", "truncated", F.coalesce("error", F.lit("none")).alias("error"))
 
 
 @query(
