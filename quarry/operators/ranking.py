@@ -6,9 +6,10 @@ use one of two exact ways round that:
 
 * *first n per group* keeps `row_number() <= n` directly above the window, so
   Spark cuts each map task's rows to n per group before the shuffle;
-* *positions* cut every group into blocks that follow the sort order. Block
+* *positions* cut every hot group into blocks that follow the sort order. Block
   sizes are aggregated (map-side), their running sums are computed on the small
-  block table, and rows are only ever sorted inside their own block.
+  block table, and rows are only ever sorted inside their own block. Groups of
+  ordinary size are one block each.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Groups with more rows than this are cut into blocks.
+HOT_ROWS = 1_000_000
+
 _BLOCK = "__block"
 _GROUP = "__group"
 
@@ -36,12 +40,25 @@ def top_n(
     return kept.withColumn(name, F.col(name).cast("long")) if rank else kept.drop(name)
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+def _blocked(df: DataFrame, keys: Sequence[str], block: Column, hot_rows: int) -> DataFrame:
     # One struct key: a window and a join on it share the same shuffle, and
     # structs with null fields still compare equal.
-    return df.withColumn(_GROUP, F.struct(*keys)).withColumn(
-        _BLOCK, F.struct(F.col(_GROUP).alias("group"), block.alias("block"))
+    grouped = df.withColumn(_GROUP, F.struct(*keys))
+    hot = (
+        grouped.groupBy(_GROUP)
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .filter(F.col("__rows") > hot_rows)
+        .select(_GROUP, F.lit(True).alias("__hot"))
     )
+    # At most one hot group per `hot_rows` rows of the table, so it is small.
+    is_hot = F.coalesce("__hot", F.lit(False))
+    cut = F.struct(F.col(_GROUP).alias("group"), is_hot.alias("hot"), F.when(is_hot, block).alias("block"))
+    return grouped.join(F.broadcast(hot), _GROUP, "left").withColumn(_BLOCK, cut).drop("__hot")
+
+
+def _in_hot_groups(blocked: DataFrame) -> DataFrame:
+    """Rows that have other blocks of their group beside them."""
+    return blocked.filter(F.col(f"{_BLOCK}.hot"))
 
 
 def _block_sizes(blocked: DataFrame) -> DataFrame:
@@ -57,20 +74,21 @@ def _block_sizes(blocked: DataFrame) -> DataFrame:
 
 
 def group_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], block: Column, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add the 1-based position of every row inside its group.
 
     `block` must never decrease along `order` and should hold a bounded number
     of rows, for instance `floor(sequence / 100000)` or the day of a timestamp.
+    It only matters for groups of more than `hot_rows` rows.
     """
-    blocked = _blocked(df, keys, block)
-    before = _block_sizes(blocked).select(_BLOCK, "__before")
+    blocked = _blocked(df, keys, block, hot_rows)
+    before = _block_sizes(_in_hot_groups(blocked)).select(_BLOCK, "__before")
     local = F.row_number().over(Window.partitionBy(_BLOCK).orderBy(*order))
     return (
         blocked.withColumn("__local", local)
-        .join(before, _BLOCK)
-        .withColumn(name, F.col("__before") + F.col("__local"))
+        .join(before, _BLOCK, "left")
+        .withColumn(name, F.coalesce("__before", F.lit(0).cast("long")) + F.col("__local"))
         .drop(_BLOCK, _GROUP, "__before", "__local")
     )
 
@@ -82,13 +100,14 @@ def pick_positions(
     block: Column,
     wanted: Callable[[Column], Column],
     name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows at chosen 0-based positions of every group.
 
     `wanted` maps the group size to an array of positions and may also use the
     key columns. Only blocks that hold a chosen position are ever sorted.
     """
-    blocked = _blocked(df, keys, block)
+    blocked = _blocked(df, keys, block, hot_rows)
     key_columns = [F.col(f"{_GROUP}.{k}").alias(k) for k in keys]
     targets = (
         _block_sizes(blocked)
@@ -114,10 +133,10 @@ def pick_positions(
 
 
 def next_marker(
-    df: DataFrame, keys: Sequence[str], order: str, block: Column, markers: Mapping[str, Column]
+    df: DataFrame, keys: Sequence[str], order: str, block: Column, markers: Mapping[str, Column], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add, per marker, the `order` value of the first such row after each row of a group."""
-    blocked = _blocked(df, keys, block)
+    blocked = _blocked(df, keys, block, hot_rows)
     for name, marker in markers.items():
         blocked = blocked.withColumn(f"__mark_{name}", F.when(marker, F.col(order)))
     firsts = [F.min(f"__mark_{name}").alias(f"__first_{name}") for name in markers]
@@ -127,7 +146,8 @@ def next_marker(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     following = (
-        blocked.groupBy(_GROUP, _BLOCK)
+        _in_hot_groups(blocked)
+        .groupBy(_GROUP, _BLOCK)
         .agg(*firsts)
         .select(_BLOCK, *[F.min(f"__first_{name}").over(later).alias(f"__later_{name}") for name in markers])
     )
@@ -140,20 +160,28 @@ def next_marker(
     near = {f"__near_{name}": F.min(f"__mark_{name}").over(after) for name in markers}
     found = {name: F.coalesce(f"__near_{name}", f"__later_{name}") for name in markers}
     helpers = [f"__{kind}_{name}" for kind in ("mark", "near", "later") for name in markers]
-    return blocked.withColumns(near).join(following, _BLOCK).withColumns(found).drop(_BLOCK, _GROUP, *helpers)
+    return blocked.withColumns(near).join(following, _BLOCK, "left").withColumns(found).drop(_BLOCK, _GROUP, *helpers)
 
 
 def previous_rows(
-    df: DataFrame, keys: Sequence[str], order: str, block: Column, n: int, value: Column, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    block: Column,
+    n: int,
+    value: Column,
+    name: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add `value` of the up to `n` rows before each row of a group, oldest first.
 
-    Rows are only windowed inside their block; each block also receives the last
-    `n` values of the blocks before it, from a table of at most `n` rows a block.
+    Rows are only windowed inside their block; blocks of hot groups also receive
+    the last `n` values before them, from a table of at most `n` rows a block.
     """
-    blocked = _blocked(df, keys, block).withColumn("__value", value)
+    blocked = _blocked(df, keys, block, hot_rows).withColumn("__value", value)
+    hot = _in_hot_groups(blocked).select(_GROUP, _BLOCK, F.col(order).alias("__at"), "__value")
     tails = (
-        top_n(blocked.select(_GROUP, _BLOCK, F.col(order).alias("__at"), "__value"), [_BLOCK], [F.col("__at").desc()], n)
+        top_n(hot, [_BLOCK], [F.col("__at").desc()], n)
         .groupBy(_GROUP, _BLOCK)
         .agg(F.array_sort(F.collect_list(F.struct("__at", "__value"))).alias("__tail"))
     )
@@ -162,10 +190,10 @@ def previous_rows(
     earlier = F.transform(F.flatten(F.collect_list("__tail").over(blocks_before)), lambda e: e["__value"])
     carried = tails.select(_BLOCK, earlier.alias("__earlier"))
     near = F.collect_list("__value").over(Window.partitionBy(_BLOCK).orderBy(order).rowsBetween(-n, -1))
-    both = F.concat("__earlier", "__near")
+    both = F.when(F.col("__earlier").isNull(), F.col("__near")).otherwise(F.concat("__earlier", "__near"))
     return (
         blocked.withColumn("__near", near)
-        .join(carried, _BLOCK)
+        .join(carried, _BLOCK, "left")
         .withColumn(name, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n))
         .drop(_BLOCK, _GROUP, "__value", "__near", "__earlier")
     )

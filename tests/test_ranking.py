@@ -25,18 +25,20 @@ def groups(data):
     return {k: sorted(v) for k, v in out.items()}
 
 
-def test_group_position_counts_across_blocks(skewed):
+@pytest.mark.parametrize("hot_rows", [0, 150, 10**6])
+def test_group_position_counts_across_blocks(skewed, hot_rows):
     data, df = skewed
-    got = group_position(df, ["k"], [F.col("v")], F.floor(F.col("v") / 100), "pos").collect()
+    got = group_position(df, ["k"], [F.col("v")], F.floor(F.col("v") / 100), "pos", hot_rows).collect()
     want = {(k, v): i + 1 for k, vs in groups(data).items() for i, v in enumerate(vs)}
     assert {(r.k, r.v): r.pos for r in got} == want
 
 
+@pytest.mark.parametrize("hot_rows", [0, 150, 10**6])
 @pytest.mark.parametrize("share", [0.0, 0.5, 0.92, 1.0])
-def test_nearest_rank_position(skewed, share):
+def test_nearest_rank_position(skewed, share, hot_rows):
     data, df = skewed
     got = pick_positions(
-        df, ["k"], [F.col("v")], F.floor(F.col("v") / 37), lambda n: F.array(nearest_rank(n, share)), "pos"
+        df, ["k"], [F.col("v")], F.floor(F.col("v") / 37), lambda n: F.array(nearest_rank(n, share)), "pos", hot_rows
     ).collect()
     want = {k: vs[min(len(vs) - 1, int(share * (len(vs) - 1)))] for k, vs in groups(data).items()}
     assert {r.k: r.v for r in got} == want
@@ -57,9 +59,11 @@ def test_even_positions_match_python_rounding(spark, k):
         assert row.p == python_even(row.n, k), (row.n, k)
 
 
-def test_next_marker(skewed):
+@pytest.mark.parametrize("hot_rows", [0, 150, 10**6])
+def test_next_marker(skewed, hot_rows):
     data, df = skewed
-    got = next_marker(df, ["k"], "v", F.floor(F.col("v") / 500), {"a": F.col("v") % 13 == 0, "b": F.col("v") % 2 == 0}).collect()
+    markers = {"a": F.col("v") % 13 == 0, "b": F.col("v") % 2 == 0}
+    got = next_marker(df, ["k"], "v", F.floor(F.col("v") / 500), markers, hot_rows).collect()
     want = {}
     for k, vs in groups(data).items():
         for v in vs:
@@ -67,10 +71,11 @@ def test_next_marker(skewed):
     assert {(r.k, r.v): (r.a, r.b) for r in got} == want
 
 
+@pytest.mark.parametrize("hot_rows", [0, 150, 10**6])
 @pytest.mark.parametrize("width", [3, 37, 5000])
-def test_previous_rows_reach_into_earlier_blocks(skewed, width):
+def test_previous_rows_reach_into_earlier_blocks(skewed, width, hot_rows):
     data, df = skewed
-    got = previous_rows(df, ["k"], "v", F.floor(F.col("v") / width), 3, F.col("v") * 2, "before").collect()
+    got = previous_rows(df, ["k"], "v", F.floor(F.col("v") / width), 3, F.col("v") * 2, "before", hot_rows).collect()
     want = {(k, v): [2 * x for x in vs[max(0, i - 3) : i]] for k, vs in groups(data).items() for i, v in enumerate(vs)}
     assert {(r.k, r.v): r.before for r in got} == want
 
