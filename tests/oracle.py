@@ -59,7 +59,7 @@ def compare(spark, con, sf_dir: str, plan, sql: str) -> tuple[bool, str]:
 def session():
     from quarry.session import build_session
 
-    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = build_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.checkpoint.dir": os.environ.get("SCRATCH", "/tmp/quarry-scratch")})
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
