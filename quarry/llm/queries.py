@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, rules, simhash
+from quarry.llm import bpe, decontaminate, langid, rules, simhash
 from quarry.llm.common import in_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,39 @@ def op2(documents: DataFrame) -> DataFrame:
     return simhash.near_duplicates(documents.select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+OP5 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), UPPER, LOWER), PATTERN) AS words FROM documents),
+i AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), UPPER, LOWER), PATTERN) AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[k:k + 9], ' ') AS gram
+  FROM (SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS k FROM i WHERE len(words) > 0)),
+grams AS (
+  SELECT r, k, n, array_to_string(words[k:k + n - 1], ' ') AS gram
+  FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM windows))),
+matches AS (SELECT r, item_id, k, n FROM grams JOIN windows USING (n, gram)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM matches) GROUP BY r),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM matches) GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
+OP5 = OP5.replace("UPPER", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'").replace("LOWER", "'abcdefghijklmnopqrstuvwxyz'")
+OP5 = OP5.replace("PATTERN", r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'")
+
+
+@query("op5_decontaminate", "documents", "benchmark", sql=OP5)
+def op5(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return decontaminate.contamination(documents.select("doc_id", "text"), benchmark).drop("text_hash")
+
+
+@query("op6_byte_bpe", "documents")
+def op6(documents: DataFrame) -> DataFrame:
+    return bpe.digest(documents.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP9 = rf"""
