@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, langid, rules, simhash
+from quarry.llm import bpe, decontaminate, langid, link_graph, preference, rules, simhash, warc
 from quarry.llm.common import in_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,102 @@ def query(name: str, *tables: str, sql: str | None = None):
     return register
 
 
+OP1 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+w AS (SELECT payload_digest, payload_bytes, max(page_id) AS winner FROM p WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < winner THEN 'revisit' ELSE 'response' END AS record_type,
+  CAST(CASE WHEN page_id < winner THEN winner END AS DOUBLE) AS refers_to
+FROM p LEFT JOIN w USING (payload_digest, payload_bytes)
+"""
+
+
+@query("op1_warc", "pages", sql=OP1)
+def op1(pages: DataFrame) -> DataFrame:
+    index = warc.write_archives(warc.page_records(pages))
+    read = warc.read_records(index, with_payload=False)
+    ids = [F.col(c).cast("long") for c in ("record_id", "refers_to")]
+    return read.select(ids[0].alias("page_id"), "payload_bytes", "payload_digest", "record_type", ids[1].alias("refers_to"))
+
+
+URL_RULES = (
+    link_graph.UrlRule("block", "net"), link_graph.UrlRule("allow", "example.net", "/en/"),
+    link_graph.UrlRule("block", "example.com", "/de/"), link_graph.UrlRule("allow", "org", "/fr/"),
+)
+
+
+def op4_sql() -> str:
+    """The rules, then the rounds of the propagation one after the other."""
+
+    def parts(url: str) -> str:
+        rest = f"CASE WHEN contains({url}, '://') THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+        host = f"translate(regexp_extract({rest}, '^[^/?#]*'), '{link_graph.UPPER}', '{link_graph.LOWER}')"
+        return f"coalesce({host}, '') AS host, coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path"
+
+    rules = sorted(URL_RULES, key=lambda r: -len(r.name))
+    fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in rules]
+    rule = " ".join(f"WHEN {f} THEN '{r.name}'" for f, r in zip(fits, rules))
+    action = " ".join(f"WHEN {f} THEN '{r.action}'" for f, r in zip(fits, rules))
+    link, d = link_graph.LINK.replace("'", "''"), link_graph.DAMPING
+    rounds = "".join(
+        f"""
+r{k + 1} AS (
+  SELECT host, kind, sum(value) AS value FROM (
+    SELECT t AS host, kind, {d} * value * share AS value FROM r{k} JOIN steps ON kind = k AND host = f UNION ALL SELECT * FROM r0)
+  GROUP BY ALL),"""
+        for k in range(link_graph.ROUNDS)
+    )
+    return f"""
+WITH parts AS (SELECT page_id, html, {parts("url")} FROM pages),
+judged AS (SELECT *, CASE {rule} END AS rule, CASE {action} END AS action FROM parts),
+links AS (SELECT host AS source, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS link FROM parts),
+targets AS (SELECT source, {parts("CASE WHEN starts_with(link, '//') THEN ':' || link ELSE link END")} FROM links),
+edges AS (SELECT source, host AS target, count(*) AS n FROM targets WHERE source <> '' AND host <> '' AND source <> host GROUP BY ALL),
+steps AS (
+  SELECT 'trust' AS k, source AS f, target AS t, n / sum(n) OVER (PARTITION BY source) AS share FROM edges
+  UNION ALL SELECT 'distrust', target, source, n / sum(n) OVER (PARTITION BY target) FROM edges),
+r0 AS (
+  SELECT host, kind, (1 - {d}) * avg(CASE WHEN action = a THEN 1.0 ELSE 0.0 END) AS value
+  FROM judged, (VALUES ('trust', 'allow'), ('distrust', 'block')) v(kind, a) WHERE host <> '' GROUP BY ALL),{rounds}
+bad AS (
+  SELECT host FROM r{link_graph.ROUNDS} GROUP BY host
+  HAVING round(coalesce(sum(value) FILTER (kind = 'distrust'), 0), 9) - round(coalesce(sum(value) FILTER (kind = 'trust'), 0), 9) >= {link_graph.THRESHOLD})
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged
+"""
+
+
+@query("op4_url_filter", "pages", sql=op4_sql())
+def op4(pages: DataFrame) -> DataFrame:
+    return link_graph.judge_urls(pages, URL_RULES)
+
+
+OP8 = """
+WITH turns AS (SELECT conv_id AS pair_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE conv_id IS NOT NULL),
+lasts AS (SELECT DISTINCT pair_id, last FROM turns),
+raw AS (
+  SELECT 'chosen' AS side, pair_id, turn, role, text FROM turns
+  UNION ALL SELECT 'rejected', pair_id, turn, role, text FROM turns WHERE turn < last
+  UNION ALL SELECT 'rejected', l.pair_id, l.last, t.role, t.text
+  FROM turns t JOIN lasts l ON l.pair_id = t.pair_id + CASE WHEN t.pair_id % 2 = 0 THEN 1 ELSE -1 END WHERE t.turn = t.last),
+sides AS (SELECT *, row_number() OVER (PARTITION BY side, pair_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS copy FROM raw),
+matched AS (
+  SELECT pair_id, turn, copy, l.role IS NOT DISTINCT FROM r.role AND l.text IS NOT DISTINCT FROM r.text AND l.side IS NOT NULL AND r.side IS NOT NULL AS same
+  FROM (FROM sides WHERE side = 'chosen') l FULL JOIN (FROM sides WHERE side = 'rejected') r USING (pair_id, turn, copy)),
+firsts AS (SELECT pair_id, min(turn * 1000000 + copy) AS first FROM matched WHERE NOT same GROUP BY pair_id),
+parts AS (
+  SELECT CASE WHEN first IS NULL OR turn * 1000000 + copy < first THEN 'prompt' ELSE side END AS part, sides.*
+  FROM sides LEFT JOIN firsts USING (pair_id))
+SELECT pair_id, part, turn, copy, role, '<|im_start|>' || coalesce(role, '') || chr(10) AS header,
+  coalesce(text, '') || '<|im_end|>' || chr(10) AS body, part <> 'prompt' AND coalesce(role, '') = 'assistant' AS train
+FROM parts WHERE NOT (part = 'prompt' AND side = 'rejected')
+"""
+
+
+@query("op8_preference", "conversations", sql=OP8)
+def op8(conversations: DataFrame) -> DataFrame:
+    return preference.segments(*preference.swapped_endings(conversations))
+
+
 @query("op2_simhash", "documents")
 def op2(documents: DataFrame) -> DataFrame:
     return simhash.near_duplicates(documents.select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
