@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, langid, link_graph, preference, rules, simhash, warc
+from quarry.llm import bpe, decontaminate, langid, link_graph, preference, quality_model, rules, simhash, warc
 from quarry.llm.common import in_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,15 @@ def op1(pages: DataFrame) -> DataFrame:
     return read.select(ids[0].alias("page_id"), "payload_bytes", "payload_digest", "record_type", ids[1].alias("refers_to"))
 
 
+@query("op3_quality_model", "documents", "labels")
+def op3(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    docs = documents.select("doc_id", "text")
+    vectors = quality_model.word_vectors(docs)
+    model = quality_model.train(docs.filter(~held_out), labels.filter(~held_out).select("doc_id", "quality"), vectors)
+    return quality_model.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 URL_RULES = (
     link_graph.UrlRule("block", "net"), link_graph.UrlRule("allow", "example.net", "/en/"),
     link_graph.UrlRule("block", "example.com", "/de/"), link_graph.UrlRule("allow", "org", "/fr/"),
