@@ -9,6 +9,8 @@ from quarry.session import configure, scratch_path
 
 # Texts handed to a Python worker at once; a single longer text comes alone.
 BATCH_BYTES = 8 << 20
+# Written tables may hold rows of several megabytes; readers take a row group at a time.
+ROW_GROUP_BYTES = 32 << 20
 # Rows of a counted lookup table that may be sent to every executor.
 BROADCAST_ROWS = 500_000
 
@@ -23,7 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: computed once, free of lineage."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

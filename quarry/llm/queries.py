@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, langid, link_graph, preference, quality_model, rules, simhash, warc
+from quarry.llm import bpe, decontaminate, langid, link_graph, lm, preference, quality_model, rules, simhash, warc
 from quarry.llm.common import in_fold, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,6 +109,11 @@ def op4(pages: DataFrame) -> DataFrame:
     return link_graph.judge_urls(pages, URL_RULES)
 
 
+@query("op7_lm_score", "documents")
+def op7(documents: DataFrame) -> DataFrame:
+    return lm.score_texts(documents.select("doc_id", "text", in_fold(F.col("doc_id"), 10, 0).alias("held_out")))
+
+
 OP8 = """
 WITH turns AS (SELECT conv_id AS pair_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE conv_id IS NOT NULL),
 lasts AS (SELECT DISTINCT pair_id, last FROM turns),
