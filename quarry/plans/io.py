@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.plans.registry import query
 from quarry.plans.structured import LATEST_LINEITEM
 from quarry.plans.tables import FILES, LOGS, TICKS, day_text
-from quarry.session import scratch_path, spread
+from quarry.session import scratch_path
 from quarry.sources import csv, documents, json, pages, warehouse
 from quarry.streaming import bars, batches, documents as document_streams, sequence, upsert
 
@@ -92,11 +92,11 @@ def _txt_decode(data):
 @query(
     "pages_title",
     """
-    SELECT page_id, substring(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')), 1, 300) AS title FROM pages
+    SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS title FROM pages
     """,
 )
 def _pages_title(data):
-    return pages.pages_to_text(spread(data.table("pages"))).select("page_id", "title")
+    return pages.pages_to_text(data.table("pages")).select("page_id", "title")
 
 
 @query(
@@ -117,11 +117,11 @@ def _pages_title(data):
                                       WHEN tag IS NULL AND depth = 0 AND word <> '' THEN word || ' ' ELSE '' END, '' ORDER BY pos) AS body
       FROM spelled GROUP BY 1),
     texts AS (SELECT page_id, trim(regexp_replace(regexp_replace(body, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), E' \n\t') AS text FROM bodies)
-    SELECT page_id, url, substring(text, 1, 10000) AS text, length(text) > 10000 AS truncated, 'none' AS error FROM texts JOIN pages USING (page_id)
+    SELECT page_id, url, text, false AS truncated, 'none' AS error FROM texts JOIN pages USING (page_id)
     """,
 )
 def _pages_to_text(data):
-    text = pages.pages_to_text(spread(data.table("pages")))
+    text = pages.pages_to_text(data.table("pages"))
     return text.select("page_id", "url", "text", "truncated", F.coalesce("error", F.lit("none")).alias("error"))
 
 

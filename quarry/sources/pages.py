@@ -2,104 +2,133 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import is_web_url, strip
 
-# Which tags are skipped, which start a line, and size limits.
-SKIPPED_TAGS = frozenset(("script", "style", "nav", "footer", "header", "aside", "form"))
-LINE_TAGS = frozenset(("p", "br", "li", "h1", "h2", "h3", "h4"))
-TITLE_CHARS = 300
-TEXT_CHARS = 10_000
+# Tags whose content is skipped, and tags that start a line.
+SKIPPED_TAGS = ("script", "style", "nav", "footer", "header", "aside", "form")
+LINE_TAGS = ("p", "br", "li", "h1", "h2", "h3", "h4")
 
-_BLANKS = re.compile(r"[ \t]+")
-_EMPTY_LINES = re.compile(r"\n{3,}")
+# Named character references that are spelled out.
+ENTITIES = {
+    "quot;?": '"', "apos;": "'", "lt;?": "<", "gt;?": ">", "nbsp;?": "\u00a0", "copy;?": "©", "reg;?": "®", "middot;?": "·",
+    "hellip;": "…", "ndash;": "–", "mdash;": "—", "laquo;?": "«", "raquo;?": "»", "lsquo;": "‘", "rsquo;": "’",
+    "ldquo;": "“", "rdquo;": "”", "bull;": "•", "trade;": "™", "euro;": "€", "amp;?": "&",
+}
+
+_UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_MARKUP = r"<[^>]*>|[^<]+|<"
+_TAG = r"^</?([a-zA-Z][a-zA-Z0-9]*)"
 
 
 class PageExtractor(Protocol):
-    """Turns one HTML page into its title and its text."""
+    """Turns one HTML page into its title and its text; for parsers of other origin."""
 
     def extract(self, html: str) -> tuple[str, str]: ...
 
 
-class _Collector(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.title, self.body = [], []
-        self.depth = 0
-        self.titled = False
-
-    def handle_starttag(self, tag, attrs):
-        if tag in SKIPPED_TAGS:
-            self.depth += 1
-        elif tag == "title":
-            self.titled = True
-        elif tag in LINE_TAGS:
-            self.body.append("\n")
-
-    def handle_endtag(self, tag):
-        if tag in SKIPPED_TAGS and self.depth:
-            self.depth -= 1
-        elif tag == "title":
-            self.titled = False
-
-    def handle_data(self, data):
-        if self.depth:
-            return
-        if self.titled:
-            self.title.append(data)
-        elif data.strip():
-            self.body += (data.strip(), " ")
+def unescape(text: Column) -> Column:
+    """Character references spelled out: all numeric ones and the names in `ENTITIES`."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1)))
 
+    def spell(acc: Column, number: Column) -> Column:
+        hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
+        code = F.when(hexadecimal, F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
+        known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD).cast("long")), 8, "0")), "UTF-32")
+        return F.replace(acc, F.concat(F.lit("&#"), number, F.lit(";")), char)
 
-class VisibleText:
-    """Default extractor on the standard library parser."""
+    text = F.aggregate(numbers, text, spell)
+    for name, char in ENTITIES.items():
+        text = F.regexp_replace(text, "&" + name, char)
+    return text
 
-    def extract(self, html: str) -> tuple[str, str]:
-        page = _Collector()
-        page.feed(html)
-        text = _EMPTY_LINES.sub("\n\n", _BLANKS.sub(" ", "".join(page.body)))
-        return "".join(page.title).strip(), text.strip()
 
+def visible_text(html: Column) -> Column:
+    """Struct of title and text: a fold over the tags and texts of a page.
 
-def pages_to_text(pages: DataFrame, extractor: PageExtractor | None = None, max_chars: int = TEXT_CHARS) -> DataFrame:
-    """`url, title, text, truncated, error` next to the other columns of `pages`.
-
-    Only http and https addresses are read. The whole page is parsed; longer
-    texts are cut to `max_chars` afterwards and flagged.
+    Comments, scripts and styles go first. What stands inside a skipped tag is left out,
+    a line tag starts a line, and every other text is followed by a blank.
     """
-    reader = extractor or VisibleText()
+    tokens = F.regexp_extract_all(F.regexp_replace(html, _UNSEEN, ""), F.lit(_MARKUP), F.lit(0))
+    parts = F.transform(
+        tokens,
+        lambda t: F.struct(F.lower(F.regexp_extract(t, _TAG, 1)).alias("tag"), F.startswith(t, F.lit("</")).alias("ends"), t.alias("raw")),
+    )
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit(False).alias("titled"), F.lit("").alias("title"), F.array().cast("array<string>").alias("body")
+    )
+
+    def step(state: Column, part: Column) -> Column:
+        tag, ends = part["tag"], part["ends"]
+        change = F.when(~tag.isin(*SKIPPED_TAGS), 0).when(ends, -1).otherwise(1)
+        said = (tag == "") & (part["raw"] != "<") & ~F.startswith(part["raw"], F.lit("<!")) & (state["depth"] == 0)
+        word = strip(part["raw"])
+        body = (
+            F.when(said & ~state["titled"] & (word != ""), F.array_append(state["body"], F.concat(word, F.lit(" "))))
+            .when(tag.isin(*LINE_TAGS) & ~ends, F.array_append(state["body"], F.lit("\n")))
+            .otherwise(state["body"])
+        )
+        return F.struct(
+            F.greatest(state["depth"] + change, F.lit(0)).alias("depth"),
+            F.when(tag == "title", ~ends).otherwise(state["titled"]).alias("titled"),
+            F.when(said & state["titled"], F.concat(state["title"], part["raw"])).otherwise(state["title"]).alias("title"),
+            body.alias("body"),
+        )
+
+    def finish(state: Column) -> Column:
+        text = F.regexp_replace(unescape(F.array_join(state["body"], "")), r"[ \t]+", " ")
+        text = strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+        return F.struct(strip(unescape(state["title"])).alias("title"), text.alias("text"))
+
+    return F.aggregate(parts, start, step, finish)
+
+
+def _foreign(html: Column, extractor: PageExtractor) -> Column:
+    """Struct of title, text and error from a given extractor."""
 
     @F.pandas_udf("struct<title: string, text: string, error: string>")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def one(html: str | None) -> tuple[str, str, str | None]:
+        def one(page: str | None) -> tuple[str, str, str | None]:
             try:
-                return *reader.extract(html or ""), None
+                return *extractor.extract(page or ""), None
             except Exception as problem:  # a broken page must not stop the job
                 return "", "", f"html parse failed: {problem}"
 
         for batch in batches:
             yield pd.DataFrame(list(map(one, batch)), columns=["title", "text", "error"])
 
+    return extract(html)
+
+
+def pages_to_text(pages: DataFrame, extractor: PageExtractor | None = None, max_chars: int | None = None) -> DataFrame:
+    """`url, title, text, truncated, error` next to the other columns of `pages`.
+
+    Only http and https addresses are read. Texts are whole; with `max_chars` longer
+    ones are cut and flagged. Without an `extractor` everything stays in the JVM.
+    """
     web = F.coalesce(is_web_url(F.col("url")), F.lit(False))
     bad_url = F.when(strip(F.coalesce("url", F.lit(""))) == "", "empty url").when(
         ~web, "only http/https schemes are allowed"
     )
+    html = F.when(web, F.col("html"))
+    page = _foreign(html, extractor) if extractor else visible_text(html)
+    error = F.col("page.error") if extractor else F.lit(None).cast("string")
     rest = [c for c in pages.columns if c not in ("url", "html")]
-    parsed = pages.select(*rest, strip(F.col("url")).alias("url"), extract(F.when(web, F.col("html"))).alias("page"))
+    parsed = pages.select(*rest, strip(F.col("url")).alias("url"), page.alias("page"))
     blank = F.lit("")
+    text = F.coalesce("page.text", blank)
     return parsed.select(
         *rest,
         F.coalesce("url", blank).alias("url"),
-        F.substring(F.coalesce("page.title", blank), 1, TITLE_CHARS).alias("title"),
-        F.substring(F.coalesce("page.text", blank), 1, max_chars).alias("text"),
-        (F.length(F.coalesce("page.text", blank)) > max_chars).alias("truncated"),
-        F.coalesce(bad_url, F.col("page.error")).alias("error"),
+        F.coalesce("page.title", blank).alias("title"),
+        (F.substring(text, 1, max_chars) if max_chars else text).alias("text"),
+        (F.length(text) > max_chars if max_chars else F.lit(False)).alias("truncated"),
+        F.coalesce(bad_url, error).alias("error"),
     )

@@ -4,14 +4,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from quarry.plans import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 
 # Queries that run model or parser code in Python, or write files while planning.
 PYTHON = {
     "chunk_documents", "chunk_upsert", "embed_dense", "embed_sparse", "ingest_status", "rebuild_index", "dense_topk",
-    "boosted_topk", "rrf", "sparse_topk", "multi_query", "retrieve", "rag_sources", "pages_title", "pages_to_text",
+    "boosted_topk", "rrf", "sparse_topk", "multi_query", "retrieve", "rag_sources",
     "semantic_chunks",
 }
 
@@ -22,7 +22,7 @@ def plan(df):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return {name: plan(q(spark, SF_DIR)) for name, q in entry.queries().items()}
+    return {name: plan(q(spark, SF_DIR)) for name, q in QUERIES.items()}
 
 
 def test_no_query_pairs_everything_with_everything(plans):
@@ -88,6 +88,6 @@ def test_only_needed_columns_are_read(plans, name, columns):
     assert read.count(":") <= columns
 
 
-@pytest.mark.parametrize("name", ["chunk_documents", "embed_sparse", "embed_dense", "pages_to_text", "rebuild_index", "semantic_chunks"])
+@pytest.mark.parametrize("name", ["chunk_documents", "embed_sparse", "embed_dense", "rebuild_index"])
 def test_models_and_parsers_run_once_per_row(plans, name):
     assert plans[name].count("EvalPython") == 1
