@@ -28,7 +28,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -43,6 +42,9 @@ SHINGLE_WORDS = 3
 MAX_BITS = 2
 PIVOTS = 24
 CELL_ROWS = 4096
+# Rows of cells per task, and pairs looked at together.
+TASK_ROWS = 400_000
+PAIRS_AT_ONCE = 1 << 20
 # Shingle hashes whose bits are counted at once.
 BLOCK = 1 << 14
 
@@ -88,21 +90,21 @@ def pivots(n: int = PIVOTS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b"pivot %d" % k, SEED) for k in range(n)], np.uint64)
 
 
-def linked_pairs(fps: np.ndarray, max_bits: int = MAX_BITS, references: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of all pairs at most `max_bits` apart, each once, in bounded portions."""
-    references = pivots() if references is None else references
-    table = np.stack([np.bitwise_count(fps ^ p) for p in references], axis=1).astype(np.int8)
-    order = np.argsort(table[:, 0], kind="stable")
-    fps, table = fps[order], table[order]
-    end = np.searchsorted(table[:, 0], table[:, 0] + max_bits, side="right")
-    # Rows are taken in portions whose windows hold a bounded number of pairs.
-    pairs, start = np.cumsum(end - np.arange(len(fps)) - 1), 0
+def linked_pairs(cell: np.ndarray, fps: np.ndarray, max_bits: int = MAX_BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs of one cell at most `max_bits` apart, each once, in bounded portions."""
+    table = np.stack([np.bitwise_count(fps ^ p) for p in pivots()], axis=1).astype(np.int64)
+    # Cells stay apart, as coordinates are at most 64.
+    place = np.unique(cell, return_inverse=True)[1] * 256 + table[:, 0]
+    order = np.argsort(place, kind="stable")
+    fps, table, place = fps[order], table[order].astype(np.int8), place[order]
+    sizes = np.searchsorted(place, place + max_bits, side="right") - np.arange(len(fps)) - 1
+    pairs, start = np.cumsum(sizes), 0
     while start < len(fps):
         done = pairs[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(pairs, done + (1 << 20), side="right")))
-        sizes = end[start:stop] - np.arange(start, stop) - 1
-        left = np.repeat(np.arange(start, stop), sizes)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        stop = max(start + 1, int(np.searchsorted(pairs, done + PAIRS_AT_ONCE, side="right")))
+        own = sizes[start:stop]
+        left = np.repeat(np.arange(start, stop), own)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
         for k in range(1, table.shape[1]):
             near = np.abs(table[left, k] - table[right, k]) <= max_bits
             left, right = left[near], right[near]
@@ -111,23 +113,25 @@ def linked_pairs(fps: np.ndarray, max_bits: int = MAX_BITS, references: np.ndarr
         start = stop
 
 
-def forest(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside one cell: (position, position) edges."""
-    parent = np.arange(len(fps))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    edges = []
-    for left, right in linked_pairs(fps, max_bits):
-        for a, b in zip(left.tolist(), right.tolist()):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((a, b))
-    return edges
+def forest(cell: np.ndarray, fps: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links inside the cells, as positions."""
+    root, edges = np.arange(len(fps)), []
+    for lefts, rights in linked_pairs(cell, fps, max_bits):
+        for start in range(0, len(lefts), 4096):
+            a, b = root[lefts[start : start + 4096]], root[rights[start : start + 4096]]
+            apart = a != b
+            for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+                while root[i] != i:
+                    i = int(root[i])
+                while root[j] != j:
+                    j = int(root[j])
+                if i != j:
+                    root[max(i, j)] = min(i, j)
+                    edges.append((i, j))
+            while not np.array_equal(root, root[root]):
+                root = root[root]
+    found = np.array(edges, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
 
 
 def cells(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
@@ -147,33 +151,50 @@ def cells(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS)
     masks, ready = [0], None
     rows = dealt(fps.select("fp", F.lit(0).cast("long").alias("mask")), masks)
     while True:
-        masks = [m | p for m in masks for p in split_bits(~m & (1 << 64) - 1, max_bits + 1)]
-        rows = stored(rows.distinct() if ready is not None else rows, "simhash-cells")
+        masks = sorted({m | p for m in masks for p in split_bits(~m & (1 << 64) - 1, max_bits + 1)})
         sizes = stored(rows.groupBy("mask", "value").count().filter("count > 1"), "simhash-sizes")
         fit = sizes.filter(F.col("count") <= cell_rows).select("mask", "value")
-        part = rows.join(small(fit), ["mask", "value"], "left_semi")
+        part = rows.join(small(fit), ["mask", "value"], "left_semi").select("mask", "value", "fp")
         ready = part if ready is None else ready.unionByName(part)
         hot = sizes.filter(F.col("count") > cell_rows).select("mask", "value")
         if hot.isEmpty():
             return ready
-        rows = dealt(rows.join(small(hot), ["mask", "value"], "left_semi"), masks)
+        hot_rows = rows.join(small(hot), ["mask", "value"], "left_semi")
+        rows = stored(dealt(hot_rows, masks).distinct(), "simhash-cells")
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(a, b): a spanning forest, cell by cell, of all links between distinct fingerprints `fp`."""
+def link_task(batches: Iterator[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
+    """Forests of the cells of one task, whose rows come sorted by cell."""
+    mask = value = fps = np.zeros(0, np.int64)
 
-    def of_cell(cell: pd.DataFrame) -> pd.DataFrame:
-        values = np.unique(cell["fp"].to_numpy(np.int64))
-        edges = np.array(forest(values.view(np.uint64), max_bits), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": values[edges[:, 0]], "b": values[edges[:, 1]]})
+    def edges(cut: int) -> pa.RecordBatch:
+        cell = np.cumsum((np.diff(mask[:cut], prepend=0) != 0) | (np.diff(value[:cut], prepend=0) != 0))
+        a, b = forest(cell, fps[:cut].view(np.uint64), max_bits)
+        return pa.RecordBatch.from_pydict({"a": fps[a], "b": fps[b]})
 
-    return cells(fps, max_bits, cell_rows).groupBy("mask", "value").applyInPandas(of_cell, "a long, b long")
+    for batch in batches:
+        mask, value, fps = (np.concatenate([old, batch.column(k).to_numpy()]) for k, old in enumerate((mask, value, fps)))
+        # The last cell may go on in the next batch.
+        cut = int(np.argmax((mask == mask[-1]) & (value == value[-1]))) if len(mask) else 0
+        if cut:
+            yield edges(cut)
+            mask, value, fps = mask[cut:], value[cut:], fps[cut:]
+    if len(mask):
+        yield edges(len(mask))
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(a, b): a spanning forest, cell by cell, of all links between distinct fingerprints `fp`."""
+    # Dealt to a number of tasks of its own: rows are few bytes but much work.
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, 1 + (max_bits + 1) * fps.count() // TASK_ROWS)
+    dealt = cells(fps, max_bits, cell_rows).repartition(tasks, "mask", "value").sortWithinPartitions("mask", "value")
+    return dealt.mapInArrow(lambda batches: link_task(batches, max_bits), "a long, b long")
 
 
-def components(found: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def components(found: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """`found` (doc_id, fp, ...) with `component_id`, the smallest doc_id reachable over links."""
     owners = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-owners")
-    edges = stored(links(owners.select("fp"), max_bits), "simhash-links")
+    edges = stored(links(owners.select("fp"), max_bits, cell_rows), "simhash-links")
     named = connected_components(edges).select(F.col("node").alias("fp"), "component")
     joined = owners.join(named, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -195,7 +216,6 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     and one of those that are equal in id and text. A group without any id keeps one row.
     """
     found = stored(near_duplicates(docs, shingle_words, max_bits), "simhash-groups")
-    first = F.row_number().over(Window.partitionBy("component_id").orderBy("text_hash"))
     at_least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Repeats of the winning id only; usually one row a group.
     winners = at_least.groupBy("component_id", "fingerprint", "doc_id", "text_hash").count()
