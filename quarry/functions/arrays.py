@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quarry.functions.text import strip, unique_by
+from quarry.functions.text import first_of, strip, unique_by
 
 
 def string_set(values: Column) -> Column:
@@ -41,7 +41,7 @@ def clean_sparse(weights: Column) -> Column:
     )
 
 
-def query_list(original: Column, rewritten: Column, passages: Column, clarify: Column, cap: int = 4) -> Column:
+def query_list(original: Column, rewritten: Column, passages: Column, clarify: Column, cap: int | None = None) -> Column:
     """Texts to search with: the rewrite, then distinct passages; only the original when unclear."""
     base = F.when(clarify | (F.coalesce(rewritten, F.lit("")) == ""), original).otherwise(rewritten)
     extra = F.when(clarify, F.array().cast("array<string>")).otherwise(
@@ -50,7 +50,7 @@ def query_list(original: Column, rewritten: Column, passages: Column, clarify: C
     texts = F.array_distinct(F.concat(F.array(base), extra))
     filled = F.filter(texts, lambda t: F.length(F.coalesce(t, F.lit(""))) > 0)
     none = F.array().cast("array<string>")
-    return F.when(F.length(F.coalesce(base, F.lit(""))) > 0, F.slice(filled, 1, cap)).otherwise(none)
+    return F.when(F.length(F.coalesce(base, F.lit(""))) > 0, first_of(filled, cap)).otherwise(none)
 
 
 def useful_positions(raw: Column, chunks: Column) -> Column:

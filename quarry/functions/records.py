@@ -8,30 +8,19 @@ from pyspark.sql import functions as F
 from quarry.functions.text import coerce_list, strip
 from quarry.operators.ranking import top_n
 
-# Accepted names, list and text limits, and the fallback question.
+# Accepted names and the fallback question.
 SCOPES = ("company", "sector", "macro", "general")
-MAX_PASSAGES = 3
-PASSAGE_CHARS = 1500
-SUGGESTION_CHARS = 400
-REWRITE_CHARS = 2000
-CLARIFICATION_CHARS = 600
-SHORT_LIST = 5
 CLARIFICATION_FALLBACK = (
     "Bạn có thể nói rõ hơn về đối tượng (công ty, ngành hay vĩ mô) mà bạn đang muốn hỏi không ạ?"
 )
 TOOL_SWITCH = {"web_search": "web_search", "database": "database_query", "visualize": "visualize"}
 
 
-def _short_texts(values: Column, chars: int) -> Column:
-    cut = F.transform(coerce_list(values, SHORT_LIST), lambda v: strip(F.substring(v, 1, chars)))
-    return F.filter(cut, lambda v: F.length(v) > 0)
-
-
-def normalize_rewrites(records: DataFrame, passages: int = MAX_PASSAGES) -> DataFrame:
-    """Repair rewrite records: known scope, capped lists and texts, consistent flags.
+def normalize_rewrites(records: DataFrame, passages: int | None = None) -> DataFrame:
+    """Repair rewrite records: known scope, clean lists and texts, consistent flags.
 
     Passages only make sense for a clear question, suggestions only for an
-    unclear one. `passages = 0` switches passages off.
+    unclear one. `passages` keeps the first of them, 0 switches them off.
     """
     none = F.array().cast("array<string>")
     unclear = F.coalesce("needs_clarification", F.lit(False))
@@ -43,13 +32,13 @@ def normalize_rewrites(records: DataFrame, passages: int = MAX_PASSAGES) -> Data
     known = F.when(scope.isin(*SCOPES), scope).otherwise("")
     entities = coerce_list(F.coalesce("preserved_entities", none))
     guess = F.when(F.size(entities) > 0, "company").otherwise("general")
-    kept_passages = F.slice(_short_texts(F.coalesce("hypothetical_passages", none), PASSAGE_CHARS), 1, passages)
-    suggestions = _short_texts(F.coalesce("clarification_suggestions", none), SUGGESTION_CHARS)
+    kept_passages = coerce_list(F.coalesce("hypothetical_passages", none), passages)
+    suggestions = coerce_list(F.coalesce("clarification_suggestions", none))
     return records.withColumns(
         {
-            "rewritten": F.substring(rewritten, 1, REWRITE_CHARS),
+            "rewritten": rewritten,
             "needs_clarification": unclear,
-            "clarification": F.substring(clarification, 1, CLARIFICATION_CHARS),
+            "clarification": clarification,
             "scope_type": F.when(~unclear & (rewritten != "") & (known == ""), guess).otherwise(known),
             "preserved_entities": entities,
             "hypothetical_passages": F.when(unclear, none).otherwise(kept_passages),

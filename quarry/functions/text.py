@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted spellings and length limits.
+# Accepted spellings.
 ENTITY_PATTERN = r"(?U)^[\w \-\.&,/À-ỹ]+$"
-ENTITY_CHARS = 100
-MAX_ENTITIES = 10
 PREFIX_PATTERN = r"^[A-Za-z0-9]+_?$"
-PREFIX_CHARS = 32
 TEST_TOKEN_PATTERN = r"(?s)^\s*\[\s*([A-Za-z]+-\d+)\s*\]\s*(.*)$"
 # All characters that count as white space, also beyond ASCII.
 WHITE_SPACE = (
@@ -18,7 +15,6 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 SENTENCE_PATTERN = f"(?<=[.!?;])[{WHITE_SPACE}]+|\n{{2,}}"
-FILE_NAME_CHARS = 512
 
 # Words that carry no topic (Vietnamese, then English).
 TOPIC_STOP_WORDS = (
@@ -52,19 +48,29 @@ def unique_by(values: Column, key) -> Column:
     return F.aggregate(values, start, add, lambda seen: seen["kept"])
 
 
-def clean_entities(mentions: Column) -> Column:
-    """Trimmed, allowed characters, at most 100 long, first 10 distinct by lower case."""
+def first_of(values: Column, most: int | None) -> Column:
+    """The first `most` elements, or all of them."""
+    return values if most is None else F.slice(values, 1, most)
+
+
+def cut(text: Column, chars: int | None) -> Column:
+    """The first `chars` characters, or the whole text."""
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def clean_entities(mentions: Column, chars: int | None = None, most: int | None = None) -> Column:
+    """Trimmed, of allowed characters, distinct by lower case; with `chars` no longer ones, with `most` the first."""
     trimmed = F.transform(mentions, strip)
-    usable = F.filter(
-        trimmed, lambda m: (F.length(m) > 0) & (F.length(m) <= ENTITY_CHARS) & m.rlike(ENTITY_PATTERN)
-    )
-    return F.slice(unique_by(usable, F.lower), 1, MAX_ENTITIES)
+    usable = F.filter(trimmed, lambda m: (F.length(m) > 0) & m.rlike(ENTITY_PATTERN))
+    if chars is not None:
+        usable = F.filter(usable, lambda m: F.length(m) <= chars)
+    return first_of(unique_by(usable, F.lower), most)
 
 
 def normalize_prefixes(prefixes: Column) -> Column:
     """Upper case, alphanumeric, ending in one underscore, distinct."""
     upper = F.transform(prefixes, lambda p: F.upper(strip(p)))
-    usable = F.filter(upper, lambda p: (F.length(p) <= PREFIX_CHARS) & p.rlike(PREFIX_PATTERN))
+    usable = F.filter(upper, lambda p: p.rlike(PREFIX_PATTERN))
     return F.array_distinct(
         F.transform(usable, lambda p: F.when(F.endswith(p, F.lit("_")), p).otherwise(F.concat(p, F.lit("_"))))
     )
@@ -128,7 +134,7 @@ def is_web_url(url: Column) -> Column:
 
 def object_path(project: Column, user: Column, session: Column, file_hash: Column, file_name: Column) -> Column:
     """Storage path by project sign: private session, shared base, or personal project."""
-    safe = F.substring(F.regexp_replace(file_name, r"[/\\]", "_"), 1, FILE_NAME_CHARS)
+    safe = F.regexp_replace(file_name, r"[/\\]", "_")
     leaf = F.concat(file_hash, F.lit("_"), safe)
     owner = F.concat(F.lit("user_"), user.cast("string"))
     return (
@@ -159,11 +165,11 @@ def loose_json(raw: Column) -> Column:
     return F.coalesce(*[F.to_json(F.try_parse_json(c)) for c in candidates])
 
 
-def coerce_list(values: Column, cap: int = 10) -> Column:
-    """Trimmed, non-empty, first `cap` entries of a string array."""
+def coerce_list(values: Column, cap: int | None = None) -> Column:
+    """Trimmed, non-empty entries of a string array; the first `cap` if given."""
     trimmed = F.transform(values, strip)
-    return F.slice(F.filter(trimmed, lambda v: F.length(v) > 0), 1, cap)
+    return first_of(F.filter(trimmed, lambda v: F.length(v) > 0), cap)
 
 
-def coerce_comma_list(text: Column, cap: int = 10) -> Column:
+def coerce_comma_list(text: Column, cap: int | None = None) -> Column:
     return coerce_list(F.split(text, ","), cap)

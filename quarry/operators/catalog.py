@@ -10,8 +10,6 @@ from quarry.operators.ranking import top_n
 
 # Accepted file types and size limits.
 SUPPORTED_TYPES = ("pdf", "md", "txt", "docx")
-MAX_FILE_BYTES = 200 * 1024 * 1024
-MIN_TEXT_CHARS = 10
 RETRY_STATES = ("failed", "pending", "processing")
 
 
@@ -81,9 +79,13 @@ def dedup_uploads(uploads: DataFrame, catalog: DataFrame) -> DataFrame:
     return top_n(fresh, ["project_id", "file_hash"], [F.col("file_id").asc()], 1)
 
 
-def ingest_status(files: DataFrame, chunk_counts: DataFrame) -> DataFrame:
+def ingest_status(
+    files: DataFrame, chunk_counts: DataFrame, max_bytes: int | None = None, min_chars: int = 1
+) -> DataFrame:
     """Outcome per file: the first failed check, or ready with its number of chunks.
 
+    Files of any size are accepted unless `max_bytes` is given, and texts from `min_chars` on.
+
     `files` has `file_type`, `file_bytes` and `text`; a missing `vectors` column
     in `chunk_counts` means that every chunk was embedded.
     """
@@ -94,8 +96,8 @@ def ingest_status(files: DataFrame, chunk_counts: DataFrame) -> DataFrame:
     text = strip(F.coalesce("text", F.lit("")))
     error = (
         F.when(~F.lower(F.btrim("file_type", F.lit("."))).isin(*SUPPORTED_TYPES), "unsupported file type")
-        .when(F.col("file_bytes") > MAX_FILE_BYTES, "file too large")
-        .when(F.length(text) < MIN_TEXT_CHARS, "no extractable text")
+        .when(F.lit(False) if max_bytes is None else F.col("file_bytes") > max_bytes, "file too large")
+        .when(F.length(text) < min_chars, "no extractable text")
         .when(chunks == 0, "no usable chunks")
         .when(F.col("vectors") != F.col("chunks"), "embedding count mismatch")
     )

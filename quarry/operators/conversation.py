@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import topic_tokens
+from quarry.functions.text import cut, topic_tokens
 from quarry.operators.ranking import group_position, next_marker, previous_rows, top_n
 
 # Window sizes and the topic-change rule.
@@ -15,7 +15,6 @@ TOPIC_LOOKBACK = 3
 TOPIC_MIN_TOKENS = 2
 TOPIC_MIN_OVERLAP = 0.25
 TRANSCRIPT_MESSAGES = 8
-TRANSCRIPT_CHARS = 1500
 
 BLOCK_ROWS = 100_000
 
@@ -65,11 +64,11 @@ def chat_history(messages: DataFrame, current: DataFrame, changed: DataFrame | N
     return marked.filter(keep).drop("__back", "__current", "__changed")
 
 
-def transcript(messages: DataFrame, turns: int = TRANSCRIPT_MESSAGES) -> DataFrame:
-    """One `role: text` block per session from its last messages."""
+def transcript(messages: DataFrame, turns: int = TRANSCRIPT_MESSAGES, chars: int | None = None) -> DataFrame:
+    """One `role: text` block per session from its last messages, whole or cut to `chars` each."""
     recent = top_n(messages, ["session_id"], [F.col("num_order").desc()], turns)
-    cut = F.substring(F.coalesce("text", F.lit("")), 1, TRANSCRIPT_CHARS)
-    line = F.when(F.length(cut) > 0, F.concat(F.coalesce("role", F.lit("user")), F.lit(": "), cut))
+    said = cut(F.coalesce("text", F.lit("")), chars)
+    line = F.when(F.length(said) > 0, F.concat(F.coalesce("role", F.lit("user")), F.lit(": "), said))
     lines = F.array_sort(F.collect_list(F.struct("num_order", line.alias("line"))))
     return recent.groupBy("session_id").agg(
         F.concat_ws("\n", F.transform(lines, lambda entry: entry["line"])).alias("block")
@@ -104,8 +103,8 @@ def session_activity(events: DataFrame) -> DataFrame:
 
 
 def page(events: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of every session in sequence order; limit 1 to 1000."""
-    limit, offset = max(1, min(int(limit), 1000)), max(0, int(offset))
+    """One page of every session in sequence order; at least one row."""
+    limit, offset = max(1, int(limit)), max(0, int(offset))
     wanted = top_n(events, ["session_id"], [F.col("num_order").asc()], offset + limit, rank="position")
     return wanted.filter(F.col("position") > offset)
 

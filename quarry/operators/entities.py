@@ -17,7 +17,6 @@ from quarry.operators.ranking import top_n
 from quarry.session import checkpoint
 
 GRAM_CHARS = 3
-MAX_MATCHES = 20
 SALTS = 16
 
 
@@ -84,17 +83,22 @@ def match_mentions(mentions: DataFrame, master: DataFrame) -> DataFrame:
     return exact.unionByName(_name_matches(mentions, names).withColumn("exact", F.lit(False)))
 
 
-def resolve_entities(mentions: DataFrame, master: DataFrame, profile: DataFrame | None = None) -> DataFrame:
-    """Up to 20 companies per call, exact ones first, then by symbol.
+def resolve_entities(
+    mentions: DataFrame, master: DataFrame, profile: DataFrame | None = None, most: int | None = None
+) -> DataFrame:
+    """Companies per call; with `most` the first of them, exact ones first, then by symbol.
 
     What is among the best of a call is also among the best of one of its
-    mentions, so each mention is cut first, before anything is shuffled.
+    mentions, so with `most` each mention is cut first, before anything is shuffled.
     """
     order = [F.col("exact").desc(), F.col("symbol")]
-    # A symbol can match one mention twice, exactly and by name.
-    per_mention = top_n(match_mentions(mentions, master), ["call_id", "mention"], order, 2 * MAX_MATCHES)
-    companies = per_mention.groupBy("call_id", "symbol", "organ_name").agg(F.max("exact").alias("exact"))
-    best = top_n(companies, ["call_id"], order, MAX_MATCHES)
+    matches = match_mentions(mentions, master)
+    if most is not None:
+        # A symbol can match one mention twice, exactly and by name.
+        matches = top_n(matches, ["call_id", "mention"], order, 2 * most)
+    best = matches.groupBy("call_id", "symbol", "organ_name").agg(F.max("exact").alias("exact"))
+    if most is not None:
+        best = top_n(best, ["call_id"], order, most)
     if profile is None:
         return best
     extra = [c for c in profile.columns if c != "symbol"]

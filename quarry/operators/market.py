@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ranking import top_n
 
-MAX_HISTORY_DAYS = 365
-
 
 def bars(ticks: DataFrame, unit: str) -> DataFrame:
     """Open / high / low / close / volume per symbol and `unit` (minute, day, month).
@@ -87,8 +85,8 @@ def latest_quote(daily: DataFrame) -> DataFrame:
 
 def price_history(daily: DataFrame, days: int | None = 30) -> DataFrame:
     """The last `days` bars of every symbol, numbered from the oldest."""
-    days = max(1, min(int(days or 30), MAX_HISTORY_DAYS))
+    days = max(1, int(days or 30))
     recent = top_n(daily, ["symbol"], [F.col("time").desc()], days)
-    # At most MAX_HISTORY_DAYS rows per symbol are left here.
+    # At most `days` rows per symbol are left here.
     oldest_first = Window.partitionBy("symbol").orderBy("time")
     return recent.withColumn("bar_no", F.row_number().over(oldest_first).cast("long"))

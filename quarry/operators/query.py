@@ -13,12 +13,10 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators.versions import Table
 
-MAX_ROWS = 1000
-DEFAULT_ROWS = 100
-
 _NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 
 # Spellings accepted for each filter operator.
@@ -103,9 +101,12 @@ def _column(df: DataFrame, name: Any) -> Column:
     return F.col(name)
 
 
-def _literal(value: Any) -> Column:
+def _literal(df: DataFrame, name: str, value: Any) -> Column:
+    """A boolean stays one next to a boolean column and is 1 or 0 next to any other."""
     if value is None or isinstance(value, (int, float, str)):
-        return F.lit(int(value) if isinstance(value, bool) else value)
+        if isinstance(value, bool) and not isinstance(df.schema[name].dataType, T.BooleanType):
+            value = int(value)
+        return F.lit(value)
     raise ValueError(f"unsupported literal type: {type(value).__name__}")
 
 
@@ -119,9 +120,9 @@ def predicate(df: DataFrame, entry: Filter | Mapping) -> Column:
     if op in ("IN", "NOT IN"):
         if not isinstance(f.value, (list, tuple)) or not f.value:
             raise ValueError(f"{op} needs a non-empty list for {f.column!r}")
-        member = column.isin(*[_literal(v) for v in f.value])
+        member = column.isin(*[_literal(df, f.column, v) for v in f.value])
         return member if op == "IN" else ~member
-    value = _literal(f.value)
+    value = _literal(df, f.column, f.value)
     if op in _COMPARE:
         return _COMPARE[op](column, value)
     if f.value is None:
@@ -138,13 +139,13 @@ def where(df: DataFrame, filters: Sequence[Filter | Mapping] | None) -> DataFram
     return df
 
 
-def clamp_limit(limit: Any, cap: int = MAX_ROWS) -> int:
-    """Non-numeric or non-positive limits mean the cap."""
+def limited(df: DataFrame, limit: Any) -> DataFrame:
+    """The first rows; a limit that is no positive number means all rows."""
     try:
         n = int(limit)
     except (TypeError, ValueError):
-        return cap
-    return min(n, cap) if n > 0 else cap
+        return df
+    return df.limit(n) if n > 0 else df
 
 
 def ordered(df: DataFrame, order_by: Sequence[Order | Mapping] | None) -> DataFrame:
@@ -169,27 +170,27 @@ def select_rows(
     columns: Sequence[str] | None = None,
     filters: Sequence[Filter | Mapping] | None = None,
     order_by: Sequence[Order | Mapping] | None = None,
-    limit: Any = DEFAULT_ROWS,
+    limit: Any = None,
     use_final: bool = True,
 ) -> DataFrame:
     """Rows of one table; no columns means all of them."""
     df = ordered(where(_source(table, use_final), filters), order_by)
     if columns:
         df = df.select(*[_column(df, c) for c in columns])
-    return df.limit(clamp_limit(limit))
+    return limited(df, limit)
 
 
 def distinct_values(
     table: Table | DataFrame,
     column: str,
     filters: Sequence[Filter | Mapping] | None = None,
-    limit: Any = DEFAULT_ROWS,
+    limit: Any = None,
     use_final: bool = True,
 ) -> DataFrame:
     """Distinct values of one column, ascending, as `value`."""
     df = where(_source(table, use_final), filters)
     values = df.select(_column(df, column).alias("value")).distinct()
-    return values.orderBy(F.col("value").asc_nulls_last()).limit(clamp_limit(limit))
+    return limited(values.orderBy(F.col("value").asc_nulls_last()), limit)
 
 
 def _aggregate_column(df: DataFrame, entry: Agg | Mapping) -> Column:
@@ -214,7 +215,7 @@ def aggregate(
     group_by: Sequence[str] | None = None,
     filters: Sequence[Filter | Mapping] | None = None,
     order_by: Sequence[Order | Mapping] | None = None,
-    limit: Any = DEFAULT_ROWS,
+    limit: Any = None,
     use_final: bool = True,
 ) -> DataFrame:
     """sum / avg / min / max / count, grouped or over the whole table."""
@@ -223,4 +224,4 @@ def aggregate(
     df = where(_source(table, use_final), filters)
     measures = [_aggregate_column(df, a) for a in aggregations]
     result = df.groupBy(*[_column(df, c) for c in group_by or ()]).agg(*measures)
-    return ordered(result, order_by).limit(clamp_limit(limit))
+    return limited(ordered(result, order_by), limit)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import normalize_prefixes, strip, words
+from quarry.functions.text import cut, first_of, normalize_prefixes, strip, words
 from quarry.operators.embedding import Embedder, embed
 from quarry.operators.ranking import top_n
 from quarry.operators.search import dense_search, sparse_search
@@ -23,11 +23,7 @@ MIN_DENSE_SCORE = 0.3
 MIN_POOL = 40
 TOP_K = 20
 TOP_N = 5
-MAX_QUERIES = 4
-RERANK_CHARS = 2000
 PREVIEW_CHARS = 300
-STORED_CHARS = 8000
-STORED_NAME_CHARS = 512
 
 # Hits that may be sent to every task when names and texts are looked up.
 MAX_SHARED_HITS = 500_000
@@ -87,38 +83,38 @@ def word_overlap(question: Column, text: Column) -> Column:
     return F.size(F.array_intersect(asked, words(text))) / F.greatest(F.size(asked), F.lit(1))
 
 
-def rerank(candidates: DataFrame, scorer: Scorer = word_overlap, top: int = TOP_N) -> DataFrame:
-    """Best `top` candidates per question by `scorer(question, text)`.
+def rerank(candidates: DataFrame, scorer: Scorer = word_overlap, top: int = TOP_N, chars: int | None = None) -> DataFrame:
+    """Best `top` candidates per question by `scorer(question, text)`, of whole texts or their first `chars`.
 
     `candidates` holds `question_id, question, position, text`. Blank texts are
     dropped; candidates without a score keep their input order behind the rest.
     """
     filled = candidates.filter(F.length(strip(F.coalesce("text", F.lit("")))) > 0)
-    score = scorer(F.col("question"), F.substring("text", 1, RERANK_CHARS))
+    score = scorer(F.col("question"), cut(F.col("text"), chars))
     scored = filled.withColumn("rerank_score", score)
     order = [F.col("rerank_score").desc_nulls_last(), F.col("position").asc()]
     return top_n(scored, ["question_id"], order, top, rank="source_no")
 
 
-def source_rows(reranked: DataFrame) -> DataFrame:
-    """What is shown as sources: number, file, preview and the best score known."""
+def source_rows(reranked: DataFrame, preview: int | None = PREVIEW_CHARS) -> DataFrame:
+    """What is shown as sources: number, file, a preview of the text and the best score known."""
     return reranked.select(
         "question_id",
         "source_no",
         "id",
         "file_name",
-        F.substring("text", 1, PREVIEW_CHARS).alias("preview"),
+        cut(F.col("text"), preview).alias("preview"),
         F.coalesce("rerank_score", "score", F.lit(0.0)).alias("score"),
     )
 
 
-def context_block(chunks: DataFrame, keys: list[str], position: str, chars: int, keep: str | None = None) -> DataFrame:
+def context_block(chunks: DataFrame, keys: list[str], position: str, chars: int | None = None, keep: str | None = None) -> DataFrame:
     """`[n] (File: name) text` blocks of a short ranked list, joined by blank lines.
 
     `keep` names a boolean column; when it keeps nothing, everything is shown.
     """
     line = F.format_string(
-        "[%d] (File: %s) %s", F.col(position), F.coalesce("file_name", F.lit("unknown")), F.substring(F.coalesce("text", F.lit("")), 1, chars)
+        "[%d] (File: %s) %s", F.col(position), F.coalesce("file_name", F.lit("unknown")), cut(F.coalesce("text", F.lit("")), chars)
     )
     kept = F.col(keep) if keep else F.lit(True)
     entries = F.array_sort(F.collect_list(F.struct(F.col(position).alias("at"), kept.alias("keep"), line.alias("line"))))
@@ -130,14 +126,8 @@ def context_block(chunks: DataFrame, keys: list[str], position: str, chars: int,
 
 # Collections --------------------------------------------------------------------
 def chunk_rows(chunks: DataFrame) -> DataFrame:
-    """Stored form of chunks: id from file and index, file name and text cut to size."""
-    return chunks.withColumns(
-        {
-            "id": F.concat_ws("_", F.col("file_id").cast("string"), F.col("chunk_index").cast("string")),
-            "file_name": F.substring("file_name", 1, STORED_NAME_CHARS),
-            "text": F.substring("text", 1, STORED_CHARS),
-        }
-    )
+    """Stored form of chunks: whole, with an id from file and index."""
+    return chunks.withColumn("id", F.concat_ws("_", F.col("file_id").cast("string"), F.col("chunk_index").cast("string")))
 
 
 def upsert_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -147,10 +137,10 @@ def upsert_chunks(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 # Retrieval ------------------------------------------------------------------------
-def exploded_queries(questions: DataFrame) -> DataFrame:
-    """`(question_id, query_no, project_id, text)`: the first 4 non-blank queries."""
+def exploded_queries(questions: DataFrame, most: int | None = None) -> DataFrame:
+    """`(question_id, query_no, project_id, text)`: the non-blank queries, or the first `most` of them."""
     filled = F.filter("queries", lambda q: F.length(strip(F.coalesce(q, F.lit("")))) > 0)
-    asked = F.posexplode(F.slice(filled, 1, MAX_QUERIES)).alias("query_no", "text")
+    asked = F.posexplode(first_of(filled, most)).alias("query_no", "text")
     return questions.select("question_id", "project_id", asked)
 
 

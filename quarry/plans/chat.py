@@ -79,7 +79,7 @@ def _chat_history_topic(data):
     "history_block",
     f"""
     WITH {CHAT}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY num_order DESC) AS back FROM chat)
-    SELECT session_id, md5(string_agg(role || ': ' || substring(text, 1, 1500), chr(10) ORDER BY num_order)
+    SELECT session_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY num_order)
              FILTER (WHERE length(text) > 0)) AS block_md5
     FROM r WHERE back <= 8 GROUP BY 1
     """,
@@ -236,7 +236,7 @@ def _usage_normalise(data):
                  generate_subscripts(list_concat([base], CASE WHEN unclear THEN [] ELSE passages END), 1) AS pos FROM b),
     f AS (SELECT conv_id, turn, t, min(pos) AS pos FROM e WHERE length(t) > 0 GROUP BY 1, 2, 3),
     g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS rn FROM f)
-    SELECT conv_id, turn, count(*) AS n, md5(string_agg(t, '|' ORDER BY rn)) AS queries_md5 FROM g WHERE rn <= 4 GROUP BY 1, 2
+    SELECT conv_id, turn, count(*) AS n, md5(string_agg(t, '|' ORDER BY rn)) AS queries_md5 FROM g GROUP BY 1, 2
     """,
 )
 def _query_list(data):
@@ -258,18 +258,18 @@ def _query_list(data):
              CASE WHEN turn % 3 = 0 THEN '' ELSE trim(text, E' \\n') END AS given,
              CASE WHEN turn = 5 THEN '' ELSE trim(text, E' \\n') END AS asked,
              lower(trim(['Company', ' sector ', 'galaxy', ''][turn % 4 + 1])) AS scope,
-             list_filter(list_transform(string_split(text, ' '), lambda x: trim(x, E' \\n')), lambda x: length(x) > 0)[1:10] AS entities,
-             list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, E' \\n')), lambda x: length(x) > 0)[1:5] AS parts
+             list_filter(list_transform(string_split(text, ' '), lambda x: trim(x, E' \\n')), lambda x: length(x) > 0) AS entities,
+             list_filter(list_transform(string_split(text, '.'), lambda x: trim(x, E' \\n')), lambda x: length(x) > 0) AS parts
       FROM conversations),
     s AS (SELECT *, CASE WHEN NOT unclear AND given = '' THEN text ELSE given END AS rewritten,
                  CASE WHEN unclear AND asked = '' THEN '{records.CLARIFICATION_FALLBACK}' ELSE asked END AS clarification,
                  CASE WHEN scope IN ('company', 'sector', 'macro', 'general') THEN scope ELSE '' END AS known FROM r)
-    SELECT conv_id, turn, md5(substring(rewritten, 1, 2000)) AS rewritten_md5, md5(substring(clarification, 1, 600)) AS clarification_md5,
+    SELECT conv_id, turn, md5(rewritten) AS rewritten_md5, md5(clarification) AS clarification_md5,
            CASE WHEN NOT unclear AND rewritten <> '' AND known = '' THEN CASE WHEN len(entities) > 0 THEN 'company' ELSE 'general' END
                 ELSE known END AS scope_type,
            array_to_string(entities, '|') AS entities,
-           md5(CASE WHEN unclear THEN '' ELSE array_to_string(list_transform(parts, lambda x: trim(substring(x, 1, 1500), E' \\n'))[1:3], '|') END) AS passages_md5,
-           md5(CASE WHEN unclear THEN array_to_string(list_transform(parts, lambda x: trim(substring(x, 1, 400), E' \\n')), '|') ELSE '' END) AS suggestions_md5
+           md5(CASE WHEN unclear THEN '' ELSE array_to_string(parts, '|') END) AS passages_md5,
+           md5(CASE WHEN unclear THEN array_to_string(parts, '|') ELSE '' END) AS suggestions_md5
     FROM s
     """,
 )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
 from quarry.operators import catalog, retrieval, search
-from quarry.operators.chunking import chunk_documents, semantic_chunk
+from quarry.operators.chunking import chunk_documents, semantic_chunks
 from quarry.operators.embedding import HashedWords, embed, sparse_rows
 from quarry.operators.ranking import top_n
 from quarry.plans.registry import query
@@ -31,14 +31,14 @@ cuts AS (
   UNION ALL
   SELECT file_id, step + 1, substring(rest, 1, cut), substring(rest, cut - 199)
   FROM (SELECT file_id, step, rest, CASE {_CUT} ELSE 1500 END AS cut
-        FROM (SELECT *, substring(rest, 1, 1550) AS head FROM cuts WHERE length(rest) > 2250 AND step < 50))),
+        FROM (SELECT *, substring(rest, 1, 1550) AS head FROM cuts WHERE length(rest) > 2250))),
 pieces AS (
   SELECT file_id, step, trim(piece, E' \\n') AS text FROM cuts WHERE step > 0
   UNION ALL
   SELECT file_id, max(step) + 1, trim(arg_max(rest, step), E' \\n') FROM cuts GROUP BY 1),
 kept AS (
   SELECT p.file_id, p.text, min(step) AS step FROM pieces p JOIN files f USING (file_id)
-  WHERE length(p.text) >= 50 OR (length(trim(f.text, E' \\n')) <= 1500 AND length(p.text) > 0) GROUP BY 1, 2),
+  WHERE length(p.text) > 0 GROUP BY 1, 2),
 chunks AS (
   SELECT file_id, project_id, file_name, kept.text, row_number() OVER (PARTITION BY file_id ORDER BY step) - 1 AS chunk_index,
          CAST(file_id AS VARCHAR) || '_' || CAST(row_number() OVER (PARTITION BY file_id ORDER BY step) - 1 AS VARCHAR) AS id
@@ -97,7 +97,7 @@ sents AS (SELECT doc_id, unnest(s) AS text, generate_subscripts(s, 1) AS pos, le
 {_tokens('s', 'sents', 'doc_id, pos').strip()},
 unit AS (SELECT doc_id, pos, b, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id, pos)) AS x FROM s_buckets),
 dots AS (SELECT l.doc_id, l.pos, sum(l.x * r.x) AS dot FROM unit l JOIN unit r ON l.doc_id = r.doc_id AND r.pos = l.pos + 1 AND l.b = r.b GROUP BY 1, 2),
-dist AS (SELECT doc_id, pos, round(1 - coalesce(dot, 0), 12) AS d FROM sents LEFT JOIN dots USING (doc_id, pos) WHERE pos < n),
+dist AS (SELECT doc_id, pos, round(1 - coalesce(dot, 0), 6) AS d FROM sents LEFT JOIN dots USING (doc_id, pos) WHERE pos < n),
 ranks AS (SELECT doc_id, d, row_number() OVER (PARTITION BY doc_id ORDER BY d) - 1 AS r, count(*) OVER (PARTITION BY doc_id) AS m FROM dist),
 limits AS (SELECT doc_id, d AS top FROM ranks WHERE r = floor(0.92 * (m - 1))),
 steps AS (SELECT doc_id, pos, length(text) + 1 AS size, pos = n AS last, coalesce(d >= top, false) AS far
@@ -109,7 +109,7 @@ walk AS (
     SELECT t.doc_id, t.pos, chunk + CASE WHEN cut THEN 1 ELSE 0 END AS chunk, CASE WHEN cut THEN 0 ELSE len END + size AS len, last, far
     FROM walk w JOIN steps t ON t.doc_id = w.doc_id AND t.pos = w.pos + 1)),
 joined AS (SELECT doc_id, chunk, string_agg(text, ' ' ORDER BY pos) AS text FROM walk JOIN sents USING (doc_id, pos) GROUP BY 1, 2),
-semantic AS (SELECT doc_id, text, min(chunk) AS chunk FROM joined WHERE length(text) >= 50 GROUP BY 1, 2),
+semantic AS (SELECT doc_id, text, min(chunk) AS chunk FROM joined WHERE length(text) > 0 GROUP BY 1, 2),
 all_chunks AS (
   SELECT doc_id, text, chunk FROM semantic
   UNION ALL
@@ -125,12 +125,7 @@ all_chunks AS (
     """,
 )
 def _semantic_chunks(data):
-    model = HashedWords(DIMS)
-
-    def cut(text):
-        return semantic_chunk(text, lambda sentences: model.encode(sentences)[0])
-
-    chunks = chunk_documents(spread(data.table("documents").select("doc_id", "text")), ["doc_id"], chunker=cut)
+    chunks = semantic_chunks(spread(data.table("documents").select("doc_id", "text")), ["doc_id"], HashedWords(DIMS))
     return chunks.select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
 
 
@@ -158,7 +153,7 @@ def _chunk_upsert(data):
     WITH RECURSIVE {CHUNKS}, n AS (SELECT file_id, count(*) AS chunks FROM chunks GROUP BY 1),
     s AS (SELECT f.file_id, coalesce(chunks, 0) AS chunks, CASE
             WHEN file_type NOT IN ('pdf', 'md', 'txt', 'docx') THEN 'unsupported file type'
-            WHEN length(trim(text, E' \\n')) < 10 THEN 'no extractable text'
+            WHEN length(trim(text, E' \\n')) < 1 THEN 'no extractable text'
             WHEN coalesce(chunks, 0) = 0 THEN 'no usable chunks' END AS error FROM files f LEFT JOIN n USING (file_id))
     SELECT file_id, CASE WHEN error IS NULL THEN 'ready' ELSE 'failed' END AS status,
            CASE WHEN error IS NULL THEN chunks ELSE 0 END AS chunks_count, error FROM s
@@ -284,9 +279,9 @@ asked AS (
   SELECT CAST(item_id AS VARCHAR) AS question_id, item_id % 20 AS project_id, text,
          list_filter(list_transform(string_split(text, '.'), lambda s: trim(s, E' \\n')), lambda s: length(s) > 0) AS parts FROM benchmark),
 exploded AS (
-  SELECT question_id, project_id, unnest(list_concat([text], parts[1:3])) AS text,
-         generate_subscripts(list_concat([text], parts[1:3]), 1) - 1 AS query_no FROM asked),
-queries AS (SELECT question_id, query_no, project_id, text FROM exploded)
+  SELECT question_id, project_id, unnest(list_concat([text], parts)) AS text,
+         generate_subscripts(list_concat([text], parts), 1) - 1 AS query_no FROM asked),
+queries AS (SELECT question_id, query_no, project_id, text FROM exploded WHERE length(text) > 0)
 """
 
 HYBRID = f"""{CHUNKS}, {QUESTIONS}, {_tokens('c', 'chunks', 'id')}, {_tokens('q', 'queries', 'question_id, query_no')},
@@ -308,17 +303,16 @@ pool AS (SELECT * FROM lists WHERE rank <= 40)
 
 
 def _questions(data):
-    """Benchmark texts as questions: the text, then its first three sentences."""
+    """Benchmark texts as questions: the text, then its sentences."""
     parts = F.filter(F.transform(F.split("text", r"\."), strip), lambda s: F.length(s) > 0)
     return data.table("benchmark").select(
         F.col("item_id").cast("string").alias("question_id"),
         (F.col("item_id") % 20).alias("project_id"),
-        F.concat(F.array("text"), F.slice(parts, 1, 3)).alias("queries"),
+        F.concat(F.array("text"), parts).alias("queries"),
     )
 
 
 def _embedded_chunks(data):
-    """Whole chunks are embedded before their stored text is cut."""
     return retrieval.chunk_rows(embed(data.chunks(), HashedWords(DIMS)))
 
 
@@ -360,7 +354,7 @@ fused AS (SELECT question_id, id, round(sum(1.0 / CAST(60 + rank AS DOUBLE)), 12
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, seen) AS position FROM fused) WHERE position <= 20),
 word_sets AS (
   SELECT t.*, c.file_name, c.text, list_distinct(list_filter(regexp_split_to_array(lower(a.text), '\\s+'), lambda w: length(w) > 0)) AS qw,
-         list_distinct(list_filter(regexp_split_to_array(lower(substring(c.text, 1, 2000)), '\\s+'), lambda w: length(w) > 0)) AS cw
+         list_distinct(list_filter(regexp_split_to_array(lower(c.text), '\\s+'), lambda w: length(w) > 0)) AS cw
   FROM top t JOIN chunks c USING (id) JOIN asked a USING (question_id)),
 reranked AS (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rerank_score DESC, position) AS source_no
@@ -397,7 +391,7 @@ def _rag_sources(data):
     "context_block",
     f"""
     WITH {FILES}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY length(text) DESC, file_id) AS n FROM files)
-    SELECT project_id, md5(string_agg('[' || CAST(n AS VARCHAR) || '] (File: ' || file_name || ') ' || substring(text, 1, 900), E'\\n\\n' ORDER BY n)
+    SELECT project_id, md5(string_agg('[' || CAST(n AS VARCHAR) || '] (File: ' || file_name || ') ' || text, E'\\n\\n' ORDER BY n)
              FILTER (WHERE n % 2 = 1)) AS block_md5
     FROM r WHERE n <= 5 GROUP BY 1
     """,
@@ -406,7 +400,7 @@ def _context_block(data):
     """The longest five files per project as context, every other one kept."""
     order = [F.length("text").desc(), F.col("file_id").asc()]
     top = top_n(data.files(), ["project_id"], order, 5, rank="n").withColumn("useful", F.col("n") % 2 == 1)
-    blocks = retrieval.context_block(top, ["project_id"], "n", 900, keep="useful")
+    blocks = retrieval.context_block(top, ["project_id"], "n", keep="useful")
     return blocks.select("project_id", F.md5("block").alias("block_md5"))
 
 
@@ -415,7 +409,7 @@ def _context_block(data):
     f"""
     WITH d AS (
       SELECT c.conv_id, c.turn, c.text, list_distinct(list_filter(regexp_split_to_array(lower(q.text), '\\s+'), lambda w: length(w) > 0)) AS qw,
-             list_distinct(list_filter(regexp_split_to_array(lower(substring(c.text, 1, 2000)), '\\s+'), lambda w: length(w) > 0)) AS cw
+             list_distinct(list_filter(regexp_split_to_array(lower(c.text), '\\s+'), lambda w: length(w) > 0)) AS cw
       FROM conversations c JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY 1) q USING (conv_id)),
     r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) AS source_no
           FROM (SELECT *, len(list_intersect(qw, cw)) / greatest(len(qw), 1) AS score FROM d))

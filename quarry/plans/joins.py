@@ -49,7 +49,7 @@ def _master(data):
     WITH {MENTIONS},
     best AS (SELECT call_id, symbol, organ_name, bool_or(exact) AS exact FROM matches GROUP BY 1, 2, 3),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY exact DESC, symbol) AS rn FROM best)
-    SELECT call_id, symbol, r.organ_name, exact, sector FROM ranked r JOIN master USING (symbol) WHERE rn <= 20
+    SELECT call_id, symbol, r.organ_name, exact, sector FROM ranked r JOIN master USING (symbol)
     """,
 )
 def _resolve_entities(data):

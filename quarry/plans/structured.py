@@ -62,7 +62,7 @@ def _latest_version_filtered(data):
     WITH {LATEST_LINEITEM}
     SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
            {sql_round("avg(l_discount)", 6)} AS avg_disc, count(*) AS n
-    FROM latest WHERE l_quantity > 5 GROUP BY 1, 2 ORDER BY sum_qty DESC LIMIT 100
+    FROM latest WHERE l_quantity > 5 GROUP BY 1, 2
     """,
 )
 def aggregate_latest(data):
@@ -85,7 +85,7 @@ def aggregate_latest(data):
     """
     SELECT l_returnflag, round(sum(l_extendedprice), 2) AS total, min(l_quantity) AS lo, max(l_quantity) AS hi,
            count(*) AS n, count(l_tax) AS n_tax
-    FROM lineitem WHERE l_discount >= 0.02 GROUP BY 1 ORDER BY total DESC LIMIT 100
+    FROM lineitem WHERE l_discount >= 0.02 GROUP BY 1
     """,
 )
 def _aggregate_grouped(data):
@@ -123,7 +123,7 @@ def _aggregate_global(data):
 
 @query(
     "distinct_values",
-    "SELECT DISTINCT p_brand AS value FROM part WHERE p_size > 10 ORDER BY value ASC NULLS LAST LIMIT 100",
+    "SELECT DISTINCT p_brand AS value FROM part WHERE p_size > 10",
 )
 def _distinct_values(data):
     return distinct_values(data.table("part"), "p_brand", [{"column": "p_size", "op": ">", "value": 10}])
@@ -153,7 +153,7 @@ def _select_rows(data):
 @query(
     "select_rows_all_columns",
     """
-    SELECT n_nationkey, n_name, n_regionkey FROM nation ORDER BY n_name LIMIT 1000
+    SELECT n_nationkey, n_name, n_regionkey FROM nation
     """,
 )
 def _select_rows_all(data):
@@ -164,7 +164,6 @@ def _select_rows_all(data):
     "order_multi",
     """
     SELECT c_custkey, c_mktsegment, CAST(nullif(c_nationkey, 3) AS DOUBLE) AS nation FROM customer
-    ORDER BY nation DESC NULLS LAST, c_mktsegment ASC NULLS LAST, c_custkey DESC NULLS LAST LIMIT 1000
     """,
 )
 def _order_multi(data):
@@ -176,11 +175,10 @@ def _order_multi(data):
             {"column": "c_mktsegment", "dir": "asc"},
             {"column": "c_custkey", "dir": "desc"},
         ],
-        limit=1000,
     )
 
 
-@query("limit_clamp", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000")
+@query("limit_clamp", "SELECT o_orderkey FROM orders")
 def _limit_clamp(data):
     return select_rows(data.table("orders"), ["o_orderkey"], order_by=[{"column": "o_orderkey"}], limit="many")
 
@@ -425,7 +423,7 @@ def _prj_defaults(data):
 @query(
     "prj_truncate",
     """
-    SELECT doc_id, substring(lang || '_' || source, 1, 512) AS file_name, substring(text, 1, 8000) AS chunk_text,
+    SELECT doc_id, lang || '_' || source AS file_name, substring(text, 1, 8000) AS chunk_text,
            substring(text, 1, 2000) AS rerank_text, substring(text, 1, 300) AS preview FROM documents
     """,
 )
@@ -433,7 +431,7 @@ def _prj_truncate(data):
     cuts = {"chunk_text": 8000, "rerank_text": 2000, "preview": 300}
     return data.table("documents").select(
         "doc_id",
-        F.substring(F.concat_ws("_", "lang", "source"), 1, text.FILE_NAME_CHARS).alias("file_name"),
+        F.concat_ws("_", "lang", "source").alias("file_name"),
         *[F.substring("text", 1, n).alias(name) for name, n in cuts.items()],
     )
 
@@ -759,9 +757,9 @@ def _object_path(data):
                FROM conversations),
     e AS (SELECT conv_id, turn, unnest(ws) AS m, generate_subscripts(ws, 1) AS pos FROM w),
     f AS (SELECT conv_id, turn, lower(m) AS k, min(pos) AS pos, arg_min(m, pos) AS m FROM e
-          WHERE length(m) BETWEEN 1 AND 100 AND regexp_full_match(m, '[\\p{L}\\p{N}_ \\-.&,/]+') GROUP BY 1, 2, 3),
+          WHERE length(m) > 0 AND regexp_full_match(m, '[\\p{L}\\p{N}_ \\-.&,/]+') GROUP BY 1, 2, 3),
     g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS rn FROM f)
-    SELECT conv_id, turn, string_agg(m, '|' ORDER BY pos) AS entities FROM g WHERE rn <= 10 GROUP BY 1, 2
+    SELECT conv_id, turn, string_agg(m, '|' ORDER BY pos) AS entities FROM g GROUP BY 1, 2
     """,
 )
 def _clean_entities(data):
@@ -777,7 +775,7 @@ def _clean_entities(data):
     """
     WITH p AS (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) || '_' AS a,
                       CASE WHEN p_partkey % 2 = 0 THEN upper(p_type) || '_' ELSE 'X1_' END AS b FROM part)
-    SELECT p_partkey, CASE WHEN a = b THEN a ELSE a || '|' || b END AS prefixes FROM p
+    SELECT p_partkey, a || '|' || repeat('Z', 40) || '_' || CASE WHEN a = b THEN '' ELSE '|' || b END AS prefixes FROM p
     """,
 )
 def _norm_prefixes(data):
@@ -790,7 +788,7 @@ def _norm_prefixes(data):
 @query(
     "coerce_list",
     """
-    WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x, E' \\n')), lambda x: length(x) > 0)[1:10] AS xs
+    WITH w AS (SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: trim(x, E' \\n')), lambda x: length(x) > 0) AS xs
                FROM documents)
     SELECT doc_id, CAST(len(xs) AS BIGINT) AS n, md5(array_to_string(xs, '|')) AS items_md5 FROM w
     """,

@@ -78,7 +78,9 @@ def test_loose_json(spark, reply, want):
 def test_entities_and_prefixes(spark):
     raw = [" ACB ", "acb", "a" * 101, "bad<tag>", "Hòa Phát", "", None] + [f"m{i}" for i in range(20)]
     got = one(spark, text.clean_entities(F.col("x")), "x ARRAY<STRING>", (raw,))
-    assert got == ["ACB", "Hòa Phát"] + [f"m{i}" for i in range(8)]
+    assert got == ["ACB", "a" * 101, "Hòa Phát"] + [f"m{i}" for i in range(20)]
+    few = one(spark, text.clean_entities(F.col("x"), 100, 10), "x ARRAY<STRING>", (raw,))
+    assert few == ["ACB", "Hòa Phát"] + [f"m{i}" for i in range(8)]
     assert one(spark, text.normalize_prefixes(F.col("x")), "x ARRAY<STRING>", ([" vnm ", "VNM_", "a b", "x__", "hpg_"],)) == ["VNM_", "HPG_"]
 
 
@@ -132,7 +134,7 @@ def test_sparse_clean_edges(spark):
 def test_query_list_edges(spark):
     schema = "o STRING, r STRING, p ARRAY<STRING>, c BOOLEAN"
     ask = lambda *row: one(spark, arrays.query_list(*[F.col(c) for c in "orpc"]), schema, row)
-    assert ask("orig", "re", ["a", " a ", "", "re", "b", "c", "d"], False) == ["re", "a", "b", "c"]
+    assert ask("orig", "re", ["a", " a ", "", "re", "b", "c", "d"], False) == ["re", "a", "b", "c", "d"]
     assert ask("orig", "re", ["a"], True) == ["orig"]
     assert ask("orig", "", None, False) == ["orig"]
     assert ask("", "", ["a"], False) == []

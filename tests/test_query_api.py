@@ -1,6 +1,6 @@
 import pytest
 
-from quarry.operators.query import Agg, Filter, Order, aggregate, clamp_limit, distinct_values, predicate, select_rows, where
+from quarry.operators.query import Agg, Filter, Order, aggregate, distinct_values, predicate, select_rows, where
 
 
 @pytest.fixture(scope="module")
@@ -58,11 +58,19 @@ def test_bad_filters_are_rejected(people, entry):
         predicate(people, entry)
 
 
-@pytest.mark.parametrize(
-    "limit, want", [(5, 5), ("7", 7), (0, 1000), (-3, 1000), (None, 1000), ("x", 1000), (5000, 1000), (2.9, 2)]
-)
-def test_limit_clamp(limit, want):
-    assert clamp_limit(limit) == want
+@pytest.mark.parametrize("limit, want", [(5, 5), ("7", 7), (0, 1500), (-3, 1500), (None, 1500), ("x", 1500), (5000, 1500), (2.9, 2)])
+def test_only_a_given_limit_cuts(spark, limit, want):
+    numbers = spark.range(1500).toDF("id")
+    assert select_rows(numbers, limit=limit).count() == want
+    assert distinct_values(numbers, "id", limit=limit).count() == want
+    assert aggregate(numbers, [{"func": "count", "alias": "n"}], group_by=["id"], limit=limit).count() == want
+
+
+def test_boolean_literals_fit_the_column(spark):
+    df = spark.createDataFrame([(True, 1), (False, 0), (None, 5)], "flag BOOLEAN, n INT")
+    assert where(df, [{"column": "flag", "value": True}]).count() == 1
+    assert where(df, [{"column": "flag", "op": "IN", "value": [True, False]}]).count() == 2
+    assert where(df, [{"column": "n", "value": True}]).count() == 1
 
 
 def test_order_puts_nulls_last_both_ways(people):
