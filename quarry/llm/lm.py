@@ -9,7 +9,7 @@ The neural model predicts one of the `WORDS` most frequent words or "another wor
 the two tokens before: vector = R[t-1] A + R[t-2] B, logit of w = vector . Q[w] + b[w].
 It is trained on all training tokens by parameter averaging: each task runs stochastic
 gradient steps of the noise-contrastive loss over its shards in numpy, Spark averages the
-parameters by tokens, `ROUNDS` times. For scoring, batched matrix products give the
+parameters by tokens, once or for several `rounds`. For scoring, batched matrix products give the
 exact normaliser of every distinct context. "Another word" shares its probability
 among all other words by their smoothed counts, unseen words included, so
 the token probabilities of a context sum to one.
@@ -27,6 +27,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,10 +37,10 @@ from quarry.llm.common import stored
 SHARD_BYTES = 8 << 20
 WORDS = 1000
 DIMENSIONS = 16
-NOISE = 50
+NOISE = 30
 MINIBATCH = 4096
-LEARNING_RATE = 0.1
-ROUNDS = 2
+LEARNING_RATE = 0.3
+ROUNDS = 1
 SMOOTHING = 0.1
 CONTEXTS_AT_ONCE = 2048
 # The end mark; no word is empty.
@@ -59,6 +60,15 @@ def tokens_of(raw: bytes | None) -> list[bytes]:
     return [*(raw or b"").lower().split(), END]
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Integers byte by byte, all lowest bytes first, which compresses well."""
+    return np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int32)
+
+
 class Shard:
     """Texts of one shard as numbers of its own words."""
 
@@ -78,7 +88,7 @@ class Shard:
         training = [p for p, held in zip(self.parts, self.held) if not held]
         counts = np.bincount(np.concatenate([*training, np.zeros(0, np.int32)]), minlength=len(self.words))
         values = [
-            [self.number], [list(self.words)], [counts.astype(np.int32)], [np.concatenate(self.parts).tobytes()],
+            [self.number], [list(self.words)], [counts.astype(np.int32)], [packed(np.concatenate(self.parts))],
             [self.doc_ids], [self.held], [list(map(len, self.parts))],
         ]
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, SHARDS_ARROW)], schema=SHARDS_ARROW)
@@ -164,18 +174,18 @@ def new_model(counts: DataFrame, words: int = WORDS, dimensions: int = DIMENSION
     )
 
 
-def numbered(words: list[bytes], tokens: bytes, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per token of a shard: local number, model number, and the model numbers of the two tokens before."""
-    local = np.frombuffer(tokens, np.int32)
-    other = len(model.words)
-    names = np.array([model.words.get(w, other) for w in words], np.int32)
+def numbered(names: np.ndarray, local: np.ndarray, lengths: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Model numbers of every token of a shard and of the two tokens before it.
+
+    `names` has the model number of each word of the shard, `other` that of other words.
+    """
     target = names[local]
     first = np.cumsum(lengths) - lengths
     last, before = np.roll(target, 1), np.roll(target, 2)
     last[first] = before[first] = other + 1
     second = first[lengths > 1] + 1
     before[second] = other + 1
-    return local, target, last, before
+    return target, last, before
 
 
 def column_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -196,27 +206,22 @@ class Trainer:
         self.tokens = 0
 
     def shard(self, seed: int, target: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
-        """One pass over the distinct (context, word) triples of a shard, weighted by their counts."""
-        size = len(self.model.words) + 2
-        keys, weights = np.unique((before.astype(np.int64) * size + last) * size + target, return_counts=True)
+        """One pass over the tokens of a shard in random order."""
         self.tokens += len(target)
         rng = np.random.default_rng(seed & 0xFFFFFFFF)
-        order = rng.permutation(len(keys))
+        order = rng.permutation(len(target))
         for start in range(0, len(order), MINIBATCH):
             own = order[start : start + MINIBATCH]
-            rest, t = np.divmod(keys[own], size)
-            b, a = np.divmod(rest, size)
-            self.step(t, a, b, weights[own].astype(np.float32), rng.choice(len(self.share), self.noise, p=self.share))
+            self.step(target[own], last[own], before[own], rng.choice(len(self.share), self.noise, p=self.share))
 
-    def step(self, t: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, noise: np.ndarray) -> None:
-        p = self.p
+    def step(self, t: np.ndarray, a: np.ndarray, b: np.ndarray, noise: np.ndarray) -> None:
+        p, weight = self.p, np.float32(1 / MINIBATCH)
         ra, rb = p["rows"][a], p["rows"][b]
         vector = ra @ p["near"] + rb @ p["far"]
-        weight = weight / weight.sum()
         right = np.einsum("ij,ij->i", vector, p["targets"][t]) + p["bias"][t] - self.expected[t]
         wrong = vector @ p["targets"][noise].T + p["bias"][noise] - self.expected[noise]
         up = -weight / (1 + np.exp(np.clip(right, -30, 30)))
-        down = weight[:, None] / (1 + np.exp(-np.clip(wrong, -30, 30)))
+        down = weight / (1 + np.exp(-np.clip(wrong, -30, 30)))
         back = up[:, None] * p["targets"][t] + down @ p["targets"][noise]
         n = len(p["bias"])
         targets = column_sums(t, up[:, None] * vector, n) + column_sums(noise, down.T @ vector, n)
@@ -242,7 +247,9 @@ def train(shards: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
             for batch in batches:
                 for row in batch.to_pylist():
                     lengths, held = np.array(row["lengths"], np.int64), np.repeat(row["held"], row["lengths"])
-                    _, target, last, before = numbered(row["words"], row["tokens"], lengths, trainer.model)
+                    words = trainer.model.words
+                    names = np.array([words.get(w, len(words)) for w in row["words"]], np.int32)
+                    target, last, before = numbered(names, unpacked(row["tokens"]), lengths, len(words))
                     if not held.all():
                         trainer.shard(row["shard"] * 31 + turn, target[~held], last[~held], before[~held])
             if trainer.tokens:
@@ -280,10 +287,10 @@ SCORES_ARROW = pa.schema(
 )
 
 
-def shard_scores(row: dict, counts: np.ndarray, model: Model) -> pa.Table:
-    """Scores of all texts of a shard, given the training count of each of its words."""
-    lengths = np.array(row["lengths"], np.int64)
-    local, target, last, before = numbered(row["words"], row["tokens"], lengths, model)
+def shard_scores(row: dict, counts: np.ndarray, names: np.ndarray, model: Model) -> pa.Table:
+    """Scores of all texts of a shard, given the training count and model number of each of its words."""
+    lengths, local = np.array(row["lengths"], np.int64), unpacked(row["tokens"])
+    target, last, before = numbered(names, local, lengths, len(model.words))
     first = np.cumsum(lengths) - lengths
     base = model.base(counts)
     neural = log_probabilities(model, target, last, before)
@@ -306,16 +313,19 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, words: int = WO
     counts = word_counts(shards)
     model = train(shards, new_model(counts, words), rounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    numbers = docs.sparkSession.createDataFrame(list(model.words.items()), "word binary, number int")
     own = shards.select(F.col("shard").alias("part"), F.posexplode("words").alias("at", "word"))
-    known = own.join(counts, "word").select("part", "at", "c")
+    known = own.join(counts, "word").join(F.broadcast(numbers), "word", "left").select("part", "at", "c", "number")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
-        found = np.zeros(len(row["words"]), np.int64)
-        found[right.column("at").to_numpy()] = right.column("c").to_numpy()
-        return shard_scores(row, found, shared.value)
-
-    texts = shards.select("shard", "words", "tokens", "doc_ids", "held", "lengths")
+        row, model = left.to_pylist()[0], shared.value
+        found, names = np.zeros(row["n_words"], np.int64), np.full(row["n_words"], len(model.words), np.int32)
+        at = right.column("at").to_numpy()
+        found[at] = right.column("c").to_numpy()
+        names[at] = pc.fill_null(right.column("number"), len(model.words)).to_numpy()
+        return shard_scores(row, found, names, model)
+
+    texts = shards.select("shard", F.size("words").alias("n_words"), "tokens", "doc_ids", "held", "lengths")
     scored = texts.groupBy("shard").cogroup(known.groupBy("part")).applyInArrow(score, SCORES)
     names = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"]
     return scored.select(*names)
