@@ -79,19 +79,28 @@ def _vector_array(dense: np.ndarray, sparse: list[dict[str, float]]) -> pa.Struc
     return pa.StructArray.from_arrays([vectors, maps], ["embedding", "sparse"])
 
 
-def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = BATCH_TEXTS) -> DataFrame:
+def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = BATCH_TEXTS, strict: bool = True) -> DataFrame:
     """Add `embedding` and `sparse` columns.
 
     A narrow map: the model is loaded once per task, texts go to it in batches.
-    A model that returns another number of vectors than texts is an error.
+    A model that fails, or returns another number of vectors than texts, is an error;
+    unless `strict`, the texts of that batch get no vectors instead.
     """
 
+    def encoded(texts: list[str]) -> pa.StructArray:
+        try:
+            return _encode(embedder, texts)
+        except Exception:
+            if strict:
+                raise
+            return pa.nulls(len(texts), _vector_array([], []).type)
+
     @F.arrow_udf(_VECTORS)
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder.load()
         for column in batches:
             texts = [t or "" for t in column.to_pylist()]
-            parts = [_encode(embedder, texts[at : at + batch]) for at in range(0, len(texts), batch)]
+            parts = [encoded(texts[at : at + batch]) for at in range(0, len(texts), batch)]
             yield pa.concat_arrays(parts) if parts else _vector_array([], [])
 
     return df.withColumn("__v", vectors(F.col(text))).select("*", "__v.embedding", "__v.sparse").drop("__v")

@@ -33,6 +33,16 @@ LAYER_FIELDS = {
     "agent": (*COMMON_FIELDS, "expected_tools", "expected_chart", "expected_data_facts", "expected_caption_facts"),
 }
 CHART_FIELDS = ("expected_chart", "expected_data_facts", "expected_caption_facts")
+# Types of the case fields that are neither text nor boolean nor a list of texts.
+FIELD_TYPES = {
+    "history": "array<struct<role: string, content: string>>",
+    "expected_chart": (
+        "struct<chart_type: array<string>, table: string, x_column: string, y_columns: array<string>,"
+        " filters: map<string, string>, order_by: array<array<string>>>"
+    ),
+    "expected_data_facts": "array<string>",
+    "expected_caption_facts": "array<string>",
+}
 FIELD_DEFAULTS = {
     "category": "", "persona": "", "scope": "", "style": "", "complexity": "", "expected_timeframe": "",
     "needs_clarification": False, "unanswerable": False,
@@ -41,6 +51,20 @@ LIST_FIELDS = ("key_facts", "negative_facts", "expected_tools", "expected_entiti
 
 
 # Test sets ---------------------------------------------------------------------
+def complete_cases(cases: DataFrame) -> DataFrame:
+    """The cases with every field of every layer; absent ones are null."""
+
+    def kind(name: str) -> str:
+        if name in FIELD_TYPES:
+            return FIELD_TYPES[name]
+        if name in LIST_FIELDS:
+            return "array<string>"
+        return "boolean" if isinstance(FIELD_DEFAULTS.get(name), bool) else "string"
+
+    names = dict.fromkeys(name for fields in LAYER_FIELDS.values() for name in fields)
+    return cases.withColumns({n: F.lit(None).cast(kind(n)) for n in names if n not in cases.columns})
+
+
 def layer_filter(layer: str) -> Column:
     prefix = category_prefix(F.col("category"))
     if layer == "e2e":
@@ -56,23 +80,25 @@ def _layer_field(cases: DataFrame, layer: str, name: str) -> Column:
         value = F.coalesce(value, F.lit(FIELD_DEFAULTS[name]))
     elif name in LIST_FIELDS:
         value = F.coalesce(value, F.array().cast("array<string>"))
+    elif name == "history":
+        value = F.coalesce(value, F.array().cast(cases.schema[name].dataType))
     elif layer == "agent" and name in CHART_FIELDS:
         value = F.when(category_prefix(F.col("category")) == CHART_CATEGORY, value)
     return value.alias(name)
 
 
 def split_layers(cases: DataFrame) -> dict[str, DataFrame]:
-    """The cases of each layer with the layer's fields; absent lists and texts are empty."""
+    """The cases of each layer with all of the layer's fields; absent lists and texts are empty."""
+    cases = complete_cases(cases)
     return {
-        layer: cases.filter(layer_filter(layer)).select(
-            *[_layer_field(cases, layer, f) for f in LAYER_FIELDS[layer] if f in cases.columns]
-        )
+        layer: cases.filter(layer_filter(layer)).select(*[_layer_field(cases, layer, f) for f in LAYER_FIELDS[layer]])
         for layer in LAYERS
     }
 
 
 def tagged_layers(cases: DataFrame) -> DataFrame:
     """One row per case and layer it belongs to, from a single scan."""
+    cases = cases if "reference_answer" in cases.columns else cases.withColumn("reference_answer", F.lit(None).cast("string"))
     belongs = F.array(*[F.when(layer_filter(layer), F.lit(layer)) for layer in LAYERS])
     return cases.withColumn("layer", F.explode(F.array_compact(belongs)))
 

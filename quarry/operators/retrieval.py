@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,32 @@ def word_overlap(question: Column, text: Column) -> Column:
     return F.size(F.array_intersect(asked, words(text))) / F.greatest(F.size(asked), F.lit(1))
 
 
+def guarded(score: Callable[[list[str], list[str]], Sequence[float]]) -> Scorer:
+    """A scorer from a model call over (questions, texts); a batch for which it fails has no scores."""
+
+    def scorer(question: Column, text: Column) -> Column:
+        @F.pandas_udf("double")
+        def scores(questions: pd.Series, texts: pd.Series) -> pd.Series:
+            try:
+                found = list(score(questions.tolist(), texts.tolist()))
+            except Exception:  # candidates without a score keep their order
+                found = []
+            return pd.Series(found if len(found) == len(texts) else [None] * len(texts), dtype="float64")
+
+        return scores(question, text)
+
+    return scorer
+
+
+def attach_scores(candidates: DataFrame, scores: DataFrame) -> DataFrame:
+    """`rerank_score` by position: `scores` holds (question_id, position, score) of a model's reply.
+
+    Positions that no candidate has are dropped, of repeated ones the best score counts.
+    """
+    best = scores.groupBy("question_id", "position").agg(F.max("score").alias("rerank_score"))
+    return candidates.join(best, ["question_id", "position"], "left")
+
+
 def rerank(candidates: DataFrame, scorer: Scorer = word_overlap, top: int = TOP_N, chars: int | None = None) -> DataFrame:
     """Best `top` candidates per question by `scorer(question, text)`, of whole texts or their first `chars`.
 

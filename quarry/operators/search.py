@@ -1,12 +1,10 @@
 """Exact nearest-chunk search for tables of queries.
 
-All queries are answered in one pass over the chunks. Every task scores its
-chunks against the query matrix and keeps only the best `pool` per query, so
-what is shuffled grows with queries and tasks, never with query-chunk pairs.
-
-The query matrix is sent to all tasks only after its size was checked. Larger
-query tables use a grid: queries and chunks are hashed into blocks of bounded
-size, each task gets one block of each, and the best hits are merged.
+Queries are answered block by block; a block is bounded by its vector entries or
+tokens and sent to all tasks, chunks stay where they are. Chunks of projects that no
+query of a block may see are filtered before they reach Python, so a collection that is partitioned by
+project is pruned. Every task keeps only the best `pool` per query, so what is shuffled
+grows with queries and tasks, never with query-chunk pairs.
 """
 
 from __future__ import annotations
@@ -22,12 +20,12 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ranking import top_n
 
-# Vector entries or tokens of a query table that may be sent to every task.
+# Vector entries or tokens of a block of queries that is sent to every task.
 MAX_SHARED_VALUES = 4_000_000
 # Queries scored together, which bounds the size of a score matrix.
 QUERY_BLOCK = 256
-GRID_QUERY_ROWS = 2_048
-GRID_CHUNK_ROWS = 50_000
+# Projects of a block that are listed in a filter; more of them are joined.
+MAX_LISTED_PROJECTS = 1000
 SCORE_CELLS = 4_000_000
 SCORE_DIGITS = 12
 
@@ -91,25 +89,34 @@ class _DenseQueries(_Queries):
 
 
 class _SparseQueries(_Queries):
+    """Postings of the query tokens: for each token the queries and weights, in flat arrays."""
+
     positive_only = True
 
     def prepare(self, table: pa.Table) -> None:
         tokens = _flat(table["tokens"])
         self.vocabulary = pc.unique(tokens.flatten())
-        self.matrix = np.zeros((len(self.vocabulary), len(table)))
-        self._add(self.matrix.T, tokens, table["weights"])
+        at = pc.index_in(tokens.flatten(), value_set=self.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        self.query = tokens.value_parent_indices().to_numpy()[order]
+        self.weight = _flat(table["weights"]).flatten().to_numpy(zero_copy_only=False)[order].astype(np.float64)
+        self.sizes = np.bincount(at, minlength=len(self.vocabulary))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.matrix = np.zeros((0, len(table)))
 
-    def _add(self, target: np.ndarray, tokens: pa.ListArray, weights) -> None:
+    def scores(self, chunks: pa.Table) -> np.ndarray:
+        tokens = _flat(chunks["tokens"])
         column = pc.index_in(tokens.flatten(), value_set=self.vocabulary)
         known = column.is_valid().to_numpy(zero_copy_only=False)
+        at = column.drop_null().to_numpy().astype(np.int64)
         rows = tokens.value_parent_indices().to_numpy()[known]
-        values = _flat(weights).flatten().to_numpy(zero_copy_only=False)[known]
-        np.add.at(target, (rows, column.drop_null().to_numpy()), values)
-
-    def scores(self, chunks: pa.Table) -> np.ndarray:
-        block = np.zeros((len(chunks), len(self.vocabulary)))
-        self._add(block, _flat(chunks["tokens"]), chunks["weights"])
-        return np.round(block @ self.matrix, SCORE_DIGITS)
+        own = _flat(chunks["weights"]).flatten().to_numpy(zero_copy_only=False)[known].astype(np.float64)
+        sizes = self.sizes[at]
+        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[at], sizes)
+        cells = np.repeat(rows, sizes) * self.matrix.shape[1] + self.query[place]
+        shape = (len(chunks), self.matrix.shape[1])
+        total = np.bincount(cells, np.repeat(own, sizes) * self.weight[place], shape[0] * shape[1])
+        return np.round(total.reshape(shape), SCORE_DIGITS)
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, pool: int) -> np.ndarray:
@@ -188,36 +195,28 @@ def _shared_search(chunks: DataFrame, block: pa.Table, reader: type[_Queries], p
     return chunks.mapInArrow(scan, HIT_SCHEMA)
 
 
-def _grid_search(
-    chunks: DataFrame, queries: DataFrame, reader: type[_Queries], pool: int, query_blocks: int, chunk_blocks: int
-) -> DataFrame:
-    def spread(df: DataFrame, key, own: str, blocks: int, other: str, copies: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")
-        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-
-    left = spread(chunks, ["id"], "__c", chunk_blocks, "__q", query_blocks)
-    right = spread(queries, ["question_id", "query_no"], "__q", query_blocks, "__c", chunk_blocks)
-
-    def cell(chunk_block: pa.Table, query_block: pa.Table) -> pa.Table:
-        best = _Scan(reader, query_block, pool)
-        if len(chunk_block):
-            best.add(chunk_block)
-        return best.table()
-
-    return left.groupBy("__c", "__q").cogroup(right.groupBy("__c", "__q")).applyInArrow(cell, HIT_SCHEMA)
+def _in_scope(chunks: DataFrame, block: pa.Table) -> DataFrame:
+    """Chunks that some query of the block may see: its projects, and project 0 for positive ones."""
+    projects = set(block["project_id"].to_pylist()) - {None}
+    if any(p > 0 for p in projects):
+        projects.add(0)
+    if len(projects) <= MAX_LISTED_PROJECTS:
+        return chunks.filter(F.col("project_id").isin(*sorted(projects)))
+    listed = chunks.sparkSession.createDataFrame([(p,) for p in sorted(projects)], "project_id BIGINT")
+    return chunks.join(F.broadcast(listed), "project_id", "left_semi").select(*chunks.columns)
 
 
 def _search(
     chunks: DataFrame, queries: DataFrame, size: str, reader: type[_Queries], pool: int, max_shared: int
 ) -> DataFrame:
-    rows, values = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(size)), F.lit(0))).first()
-    if values <= max_shared:
-        hits = _shared_search(chunks, queries.toArrow(), reader, pool)
-    else:
-        cores = chunks.sparkSession.sparkContext.defaultParallelism
-        query_blocks = -(-rows // GRID_QUERY_ROWS)
-        chunk_blocks = max(-(-cores // query_blocks), -(-chunks.count() // GRID_CHUNK_ROWS))
-        hits = _grid_search(chunks, queries, reader, pool, query_blocks, chunk_blocks)
+    values = queries.agg(F.coalesce(F.sum(F.size(size)), F.lit(0))).first()[0]
+    blocks = 1 + int(values) // max_shared
+    hits = None
+    for k in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("question_id", "query_no"), F.lit(blocks)) == k) if blocks > 1 else queries
+        block = own.toArrow()
+        found = _shared_search(_in_scope(chunks, block), block, reader, pool)
+        hits = found if hits is None else hits.unionByName(found)
     best_first = [F.col("score").desc(), F.col("id").asc()]
     return top_n(hits, ["question_id", "query_no"], best_first, pool, rank="rank")
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
-from quarry.operators import catalog, retrieval, search
-from quarry.operators.chunking import chunk_documents, semantic_chunks
+from quarry.operators import catalog, ingest, retrieval, search
+from quarry.operators.chunking import register_sql, semantic_chunks
 from quarry.operators.embedding import HashedWords, embed, sparse_rows
 from quarry.operators.ranking import top_n
 from quarry.plans.registry import query
 from quarry.plans.tables import FILES, sql_round
-from quarry.session import scratch_path, spread
+from quarry.session import checkpoint, scratch_path, spread
 
 DIMS = 64
 
@@ -175,16 +175,73 @@ def _ingest_status(data):
     """,
 )
 def _rebuild_index(data):
-    """Chunk all ready files again and report per project."""
-    ready = data.files().filter("process_status = 'ready'")
-    counts = chunk_documents(spread(ready.select("file_id", "text")), ["file_id"]).groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))
-    done = ready.select("file_id", "project_id").join(counts, "file_id", "left")
-    some = F.coalesce("chunks", F.lit(0)) > 0
-    return done.groupBy("project_id").agg(
-        F.count_if(some).alias("ok"), F.count_if(~some).alias("failed"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks")
+    """Chunk and embed all ready files again, write them, and report per project."""
+    return ingest.rebuild_index(data.files(), HashedWords(DIMS), lambda rows: _written(data, rows))
+
+
+@query(
+    "ingest_files",
+    f"""
+    WITH RECURSIVE {CHUNKS}, n AS (SELECT file_id, count(*) AS chunks FROM chunks GROUP BY 1),
+    s AS (SELECT f.file_id, coalesce(chunks, 0) AS chunks, CASE
+            WHEN file_type NOT IN ('pdf', 'md', 'txt', 'docx') THEN 'unsupported file type'
+            WHEN length(trim(text, E' \\n')) < 1 THEN 'no extractable text' END AS error FROM files f LEFT JOIN n USING (file_id))
+    SELECT file_id, CASE WHEN error IS NULL THEN 'ready' ELSE 'failed' END AS status,
+           CASE WHEN error IS NULL THEN chunks ELSE 0 END AS chunks_count, CASE WHEN error IS NULL THEN chunks ELSE 0 END AS stored FROM s
+    """,
+)
+def _ingest_files(data):
+    """The whole job over all files; what was stored is counted from what was written."""
+    files = data.files().withColumn("file_bytes", F.octet_length("text"))
+    done = ingest.ingest_files(files, HashedWords(DIMS), lambda rows: _written(data, rows))
+    stored = done.chunks.groupBy("file_id").agg(F.count("embedding").alias("stored"))
+    return done.status.drop("error").join(stored, "file_id", "left").fillna({"stored": 0})
+
+
+@query(
+    "chunk_sql",
+    f"WITH RECURSIVE {CHUNKS} SELECT file_id, chunk_index, md5(text) AS text_md5 FROM chunks",
+)
+def _chunk_sql(data):
+    """The chunker as a table function of SQL."""
+    register_sql(data.spark)
+    data.table("documents").select("doc_id", "text").createOrReplaceTempView("quarry_chunk_input")
+    return data.spark.sql(
+        "SELECT doc_id AS file_id, c.chunk_index, md5(c.chunk) AS text_md5 FROM quarry_chunk_input, LATERAL chunk_text(text, 1500, 200) c"
     )
 
 
+@query(
+    "rerank_guarded",
+    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS source_no FROM conversations",
+)
+def _rerank_guarded(data):
+    """A scorer that always fails leaves the candidates in their order."""
+
+    def broken(questions, texts):
+        raise ValueError("no model")
+
+    candidates = data.table("conversations").select(F.col("conv_id").alias("question_id"), F.lit("q").alias("question"), F.col("turn").alias("position"), "text")
+    best = retrieval.rerank(candidates, retrieval.guarded(broken), top=1000)
+    return best.select(F.col("question_id").alias("conv_id"), F.col("position").alias("turn"), "source_no")
+
+
+@query(
+    "scores_by_position",
+    """
+    SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN CAST(length(text) AS DOUBLE) END AS score FROM conversations
+    """,
+)
+def _scores_by_position(data):
+    """Scores for every other position, once more with a lower value, and for positions that do not exist."""
+    said = data.table("conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("position"), "text")
+    given = said.filter("position % 2 = 0").select("question_id", "position", F.length("text").cast("double").alias("score"))
+    worse = given.withColumn("score", F.col("score") - 1)
+    beyond = given.withColumn("position", F.col("position") + 1000)
+    found = retrieval.attach_scores(said, given.unionByName(worse).unionByName(beyond))
+    return found.select(F.col("question_id").alias("conv_id"), F.col("position").alias("turn"), F.col("rerank_score").alias("score"))
+
+
 # Dense search over the given vectors ------------------------------------------------
 VECTORS = """
 points AS (
@@ -316,11 +373,16 @@ def _embedded_chunks(data):
     return retrieval.chunk_rows(embed(data.chunks(), HashedWords(DIMS)))
 
 
+def _written(data, rows):
+    """Chunks in the shared folder, in folders by project, so that a search reads its projects only."""
+    path = scratch_path(data.spark, "index")
+    rows.write.partitionBy("project_id").parquet(path)
+    return data.spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
 def _index(data):
     """All chunks with both vectors, written once to the shared folder."""
-    path = scratch_path(data.spark, "index")
-    _embedded_chunks(data).write.parquet(path)
-    return data.spark.read.parquet(path)
+    return _written(data, _embedded_chunks(data))
 
 
 @query(
@@ -341,7 +403,8 @@ def _sparse_topk(data):
     """,
 )
 def _multi_query(data):
-    queries = embed(retrieval.exploded_queries(_questions(data)), HashedWords(DIMS))
+    # Read twice below, so the model runs once.
+    queries = checkpoint(embed(retrieval.exploded_queries(_questions(data)), HashedWords(DIMS)))
     index = _index(data)
     dense = search.dense_search(index, queries, 40).withColumn("kind", F.lit(0).cast("long"))
     hits = dense.unionByName(search.sparse_search(index, queries, 40).withColumn("kind", F.lit(1).cast("long")))

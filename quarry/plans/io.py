@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import tokens
 from quarry.plans.registry import query
 from quarry.plans.structured import LATEST_LINEITEM
 from quarry.plans.tables import FILES, LOGS, TICKS, day_text
@@ -69,6 +70,66 @@ def _src_jsonl(data):
     return logs.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("usage.total_tokens").alias("total"))
 
 
+@query(
+    "logs_to_tokens",
+    """
+    SELECT role AS component, count(*) AS count, CAST(sum(length(text)) AS DOUBLE) AS total_sum FROM conversations GROUP BY 1
+    """,
+)
+def _logs_to_tokens(data):
+    """Logs written as nested JSON lines, read back and summed per component."""
+    size = F.length("text").cast("long")
+    usage = F.struct(size.alias("total_tokens"), F.lit(0).alias("input_tokens"), size.alias("output_tokens"))
+    record = F.struct(F.col("role").alias("component"), F.col("conv_id").cast("string").alias("test_id"), usage.alias("usage"))
+    path = scratch_path(data.spark, "logs")
+    data.table("conversations").select(F.to_json(record).alias("value")).write.text(path)
+    rows = tokens.usage_rows(json.read_logs(data.spark, path), ("system", "user", "assistant"))
+    return tokens.by_component(rows).select("component", "count", "total_sum")
+
+
+@query(
+    "read_cases",
+    """
+    SELECT CAST(doc_id AS VARCHAR) AS id, lang AS table_name, 'a|' || source AS y_columns, length(text) AS chars FROM documents
+    """,
+)
+def _read_cases(data):
+    """Case files with chart fields, an array of cases per file."""
+    chart = F.struct(F.col("lang").alias("table"), F.array(F.lit("a"), "source").alias("y_columns"))
+    case = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), chart.alias("expected_chart"))
+    path = scratch_path(data.spark, "cases")
+    # A file is one JSON array.
+    part = F.floor(F.col("doc_id") / 50).alias("part")
+    groups = data.table("documents").groupBy(part).agg(F.to_json(F.collect_list(case)).alias("value"))
+    groups.write.partitionBy("part").text(path)
+    cases = json.read_cases(data.spark, path)
+    return cases.select("id", F.col("expected_chart.table").alias("table_name"), F.array_join("expected_chart.y_columns", "|").alias("y_columns"), F.length("question").cast("long").alias("chars"))
+
+
+@query(
+    "scan_folder",
+    """
+    SELECT lang, source, CAST(sum(strlen(text) + 1) AS BIGINT) AS file_bytes, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY 1, 2
+    """,
+)
+def _scan_folder(data):
+    """A folder of text files, scanned, hashed and decoded."""
+    found = documents.parse_documents(documents.scan_documents(data.spark, _text_folder(data)))
+    place = F.split("path", "/")
+    folder = [F.element_at(F.split(F.get(place, k), "="), -1).alias(n) for k, n in ((0, "lang"), (1, "source"))]
+    return found.select(*folder, "file_bytes", F.length("text").cast("long").alias("chars"))
+
+
+def _text_folder(data) -> str:
+    """The texts of every language and source in a file of their own."""
+    path = scratch_path(data.spark, "texts")
+    texts = data.table("documents").select("lang", "source", "text")
+    # Without a success marker, which would be one more file to scan.
+    marked = texts.repartition("lang", "source").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    marked.partitionBy("lang", "source").text(path)
+    return path
+
+
 @query(
     "txt_decode",
     """
@@ -139,6 +200,20 @@ def _sink_append(data):
     return data.spark.read.parquet(path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "append_twice_same_batch",
+    "SELECT c_mktsegment, CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 1 END * count(*) AS n FROM customer GROUP BY 1",
+)
+def _append_twice_same_batch(data):
+    """The same file and batch twice, and one segment once more in another batch."""
+    path = scratch_path(data.spark, "once")
+    customers = data.table("customer")
+    for _ in range(2):
+        warehouse.append_once(customers, path, "customer.parquet", "b1")
+    warehouse.append_once(customers.filter("c_mktsegment = 'BUILDING'"), path, "customer.parquet", "b2")
+    return data.spark.read.parquet(path).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "sink_month_partitions",
     f"""
@@ -253,6 +328,19 @@ def _stream_bars(data):
     return emitted.select("symbol", day_text("time").alias("day"), "open", "high", "low", "close", "volume")
 
 
+@query(
+    "stream_scan",
+    "SELECT 'processed' AS decision, 'ready' AS process_status, count(*) AS files FROM (SELECT DISTINCT lang, source FROM documents)",
+)
+def _stream_scan(data):
+    """Every file of a folder is decided once, also when the job runs again."""
+    folder, out = _text_folder(data), scratch_path(data.spark, "scan")
+    for _ in range(2):
+        document_streams.scan_stream(document_streams.document_stream(data.spark, folder), f"{out}/catalog", f"{out}/checkpoint")
+    entries = document_streams.catalog(data.spark, f"{out}/catalog")
+    return entries.groupBy("decision", "process_status").agg(F.count(F.lit(1)).alias("files"))
+
+
 @query(
     "stream_dedup",
     f"WITH {FILES} SELECT DISTINCT project_id, file_hash FROM files",

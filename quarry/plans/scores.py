@@ -422,6 +422,31 @@ def _split_agent_fields(data):
     return agent.select("id", "category", "reference_answer", F.size("expected_tools").alias("n_tools"), "expected_chart")
 
 
+@query(
+    "split_all_fields",
+    f"""
+    WITH {CASES}, {_LAYERS}
+    SELECT layer, id, coalesce(persona, '') AS persona, 0 AS n_history, 0 AS n_tools, 0 AS n_sources, false AS unanswerable, 'none' AS timeframe
+    FROM layers JOIN cases USING (id)
+    """,
+)
+def _split_all_fields(data):
+    """Every layer with its own fields, from cases that lack most of them."""
+    layers = evaluation.split_layers(data.cases())
+    rows = None
+    for layer, found in layers.items():
+        fields = evaluation.LAYER_FIELDS[layer]
+        # A field the layer does not have counts like an absent one.
+        part = evaluation.complete_cases(found).join(data.cases().select("id", F.col("persona").alias("own")), "id").select(
+            F.lit(layer).alias("layer"), "id", F.coalesce("persona" if "persona" in fields else "own", F.lit("")).alias("persona"),
+            F.size("history").alias("n_history"), F.greatest(F.size("expected_tools"), F.lit(0)).alias("n_tools"),
+            F.greatest(F.size("sources"), F.lit(0)).alias("n_sources"), F.coalesce("unanswerable", F.lit(False)).alias("unanswerable"),
+            F.when(F.col("expected_timeframe") == "", "none").otherwise(F.col("expected_timeframe")).alias("timeframe"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query(
     "layer_lookup",
     f"""

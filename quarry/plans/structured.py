@@ -184,10 +184,10 @@ def _limit_clamp(data):
 
 
 # Filters ----------------------------------------------------------------------
-def _filtered(name: str, table: str, columns: str, condition: str, filters: list[dict]) -> None:
+def _filtered(name: str, table: str, columns: str, condition: str, filters: list[dict], source=None) -> None:
     @query(name, f"SELECT {columns} FROM {table} WHERE {condition}")
     def plan(data):
-        return where(data.table(table), filters).select(*[c.strip() for c in columns.split(",")])
+        return where(source(data) if source else data.table(table), filters).select(*[c.strip() for c in columns.split(",")])
 
 
 _filtered(
@@ -207,12 +207,27 @@ _filtered(
     ],
 )
 _filtered(
-    "filter_null_literal",
-    "orders",
+    "filter_boolean",
+    "(SELECT o_orderkey, o_orderstatus = 'F' AS done FROM orders) o",
     "o_orderkey",
-    "o_orderstatus = NULL",
-    [{"column": "o_orderstatus", "op": "=", "value": None}],
+    "done = true",
+    [{"column": "done", "value": True}],
+    lambda data: data.table("orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("done")),
 )
+
+
+@query("filter_null_literal", "SELECT 'null' AS kind, 0 AS n UNION ALL SELECT 'F', count(*) FROM orders WHERE o_orderstatus = 'F'")
+def _filter_null_literal(data):
+    """A null literal matches nothing, beside a filter that matches."""
+    orders = data.table("orders")
+    kinds = ((None, "null"), ("F", "F"))
+    parts = [
+        where(orders, [{"column": "o_orderstatus", "op": "=", "value": v}]).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n")
+        for v, k in kinds
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 _filtered(
     "filter_in",
     "orders",

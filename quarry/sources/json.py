@@ -19,7 +19,10 @@ CASE_SCHEMA = (
     "id STRING, question STRING, history ARRAY<STRUCT<role: STRING, content: STRING>>, category STRING,"
     " expected_tools ARRAY<STRING>, expected_entities ARRAY<STRING>, expected_timeframe STRING, scope STRING,"
     " style STRING, persona STRING, complexity STRING, needs_clarification BOOLEAN, reference_answer STRING,"
-    " sources ARRAY<STRING>, key_facts ARRAY<STRING>, negative_facts ARRAY<STRING>, unanswerable BOOLEAN"
+    " sources ARRAY<STRING>, key_facts ARRAY<STRING>, negative_facts ARRAY<STRING>, unanswerable BOOLEAN,"
+    " expected_chart STRUCT<chart_type: ARRAY<STRING>, table: STRING, x_column: STRING, y_columns: ARRAY<STRING>,"
+    " filters: MAP<STRING, STRING>, order_by: ARRAY<ARRAY<STRING>>>,"
+    " expected_data_facts ARRAY<STRING>, expected_caption_facts ARRAY<STRING>"
 )
 
 
@@ -28,6 +31,18 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def read_logs(spark: SparkSession, path: str, schema: str = LOG_SCHEMA) -> DataFrame:
+    """Log records with flat token counts, ready for the token statistics.
+
+    `line` orders the records of one file as they stand in it: where the part of the
+    file begins that a task has read, and the place of the record in that part.
+    """
+    logs = read_jsonl(spark, path, schema)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    kinds = ("input_tokens", "output_tokens", "total_tokens", "calls")
+    return logs.select("*", F.col("_metadata.file_name").alias("file"), place.alias("line"), *[F.col(f"usage.{k}").alias(k) for k in kinds])
+
+
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines `read_jsonl` cannot read as an object, for reporting."""
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
@@ -82,6 +83,16 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def append_once(df: DataFrame, path: str, source_file: str, batch: str) -> None:
+    """Append the rows of one source file and batch; loading the same again replaces them.
+
+    Each load has a folder of its own, named by `load`, a partition column of the table.
+    """
+    name = hashlib.sha256(f"{source_file}\n{batch}".encode()).hexdigest()[:16]
+    rows = df.withColumns({"source_file": F.lit(source_file), "batch": F.lit(batch)})
+    rows.write.mode("overwrite").parquet(f"{path}/load={name}")
+
+
 def append_by_month(df: DataFrame, path: str, time: str, cluster: Sequence[str] = ("symbol",), tasks: int | None = None) -> None:
     """Append to month folders, sorted inside the files.
 

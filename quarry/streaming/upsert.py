@@ -15,16 +15,19 @@ SEQUENCE = "ingest_seq"
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append every micro-batch to its own folder with a load sequence per row."""
+    """Append every micro-batch to its own folder with a load sequence per row.
+
+    The sequence is a hash of the row, the same whenever and wherever a batch runs again.
+    """
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        write_batch(rows.withColumn(SEQUENCE, F.monotonically_increasing_id()), path, batch_id)
+        write_batch(rows.withColumn(SEQUENCE, F.xxhash64(*rows.columns)), path, batch_id)
 
     return run_batches(stream, handle, checkpoint, once)
 
 
 def versioned(spark: SparkSession, path: str, schema: str, keys: Sequence[str], version: str | None, tie: Sequence[str] = ()) -> Table:
-    """The table behind a stream; later batches, then later rows win between equal versions."""
+    """The table behind a stream; later batches win between equal versions, inside a batch the row of the larger hash."""
     rows = read_batches(spark, path, f"{schema}, {SEQUENCE} BIGINT")
     return Table(rows, tuple(keys), version, (*tie, BATCH, SEQUENCE))
 

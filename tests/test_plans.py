@@ -12,6 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 PYTHON = {
     "chunk_documents", "chunk_upsert", "embed_dense", "embed_sparse", "ingest_status", "rebuild_index", "dense_topk",
     "boosted_topk", "rrf", "sparse_topk", "multi_query", "retrieve", "rag_sources",
+    "ingest_files", "chunk_sql", "rerank_guarded",
     "semantic_chunks",
 }
 
@@ -88,6 +89,6 @@ def test_only_needed_columns_are_read(plans, name, columns):
     assert read.count(":") <= columns
 
 
-@pytest.mark.parametrize("name", ["chunk_documents", "embed_sparse", "embed_dense", "rebuild_index"])
+@pytest.mark.parametrize("name", ["chunk_documents", "embed_sparse", "embed_dense"])
 def test_models_and_parsers_run_once_per_row(plans, name):
     assert plans[name].count("EvalPython") == 1

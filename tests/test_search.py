@@ -58,13 +58,13 @@ def got_lists(hits):
     return out
 
 
-@pytest.mark.parametrize("max_shared", [10**6, 0], ids=["shared", "grid"])
+@pytest.mark.parametrize("max_shared", [10**6, 150], ids=["one block", "blocks"])
 def test_dense_search_is_exact(points, asked, max_shared):
     want = brute_force(points[0], asked[0], lambda q, v, *_: float(np.dot(np.float64(np.float32(q)), np.float64(np.float32(v)))), False)
     assert got_lists(dense_search(points[1], asked[1], POOL, max_shared)) == want
 
 
-@pytest.mark.parametrize("max_shared", [10**6, 0], ids=["shared", "grid"])
+@pytest.mark.parametrize("max_shared", [10**6, 150], ids=["one block", "blocks"])
 def test_sparse_search_is_exact(points, asked, max_shared):
     score = lambda _q, _v, w, s: sum(x * s.get(t, 0.0) for t, x in w.items())
     want = {k: v for k, v in brute_force(points[0], asked[0], score, True).items() if v}
