@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import clean_entities, contains_ignore_case
 from quarry.operators.ranking import top_n
-from quarry.session import checkpoint
 
 GRAM_CHARS = 3
 SALTS = 16
@@ -105,25 +104,37 @@ def resolve_entities(
     return best.join(profile, "symbol", "left").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in extra})
 
 
+def _matched_mentions(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct `(call_id, mention)` that match at all.
+
+    A mention as short as a substring of the index matches if any name has that substring,
+    which takes no pairs; only longer ones are compared with names.
+    """
+    exact = mentions.join(names.select(F.upper("symbol").alias("__symbol")).distinct(), F.upper("mention") == F.col("__symbol"), "left_semi")
+    is_short = F.length(F.lower("mention")) <= GRAM_CHARS
+    grams = names.select(F.explode(_all_grams(F.lower("organ_name"))).alias("__gram")).distinct()
+    short = mentions.filter(is_short).join(grams, F.lower("mention") == F.col("__gram"), "left_semi")
+    long = _name_matches(mentions.filter(~is_short), names).select("call_id", "mention")
+    return exact.select("call_id", "mention").unionByName(short.select("call_id", "mention")).unionByName(long).distinct()
+
+
 def unresolved_entities(mentions: DataFrame, master: DataFrame) -> DataFrame:
-    """Mentions without a match of their own that also contain no matched name of their call."""
-    # Read several times below, so it is computed once.
-    matched = checkpoint(
-        match_mentions(mentions, master).select("call_id", "mention", F.lower("organ_name").alias("name")).distinct()
-    )
-    open_mentions = mentions.join(matched.select("call_id", "mention").distinct(), ["call_id", "mention"], "left_anti")
-    names = (
-        matched.filter("name <> ''")
-        .join(open_mentions.select("call_id").distinct(), "call_id", "left_semi")
-        .select("call_id", "name")
-        .distinct()
-        .withColumn("gram", F.substring("name", 1, GRAM_CHARS))
-    )
+    """Mentions without a match of their own that also contain no matched name of their call.
+
+    Names are first looked up inside the open mentions, which few are, and only those
+    found are held against the other mentions of the call.
+    """
+    names = master.select("symbol", F.coalesce("organ_name", F.lit("")).alias("organ_name"))
+    open_mentions = mentions.join(_matched_mentions(mentions, names), ["call_id", "mention"], "left_anti")
+    known = names.filter("organ_name <> ''").withColumn("name", F.lower("organ_name"))
     keyed = open_mentions.withColumn("gram", F.explode(_all_grams(F.lower("mention"))))
-    covered = (
-        keyed.join(names, ["call_id", "gram"])
+    inside = (
+        keyed.join(known.withColumn("gram", F.substring("name", 1, GRAM_CHARS)), "gram")
         .filter(F.contains(F.lower("mention"), F.col("name")))
-        .select("call_id", "mention")
+        .select("call_id", "mention", "symbol", "name")
         .distinct()
     )
+    others = mentions.select("call_id", F.col("mention").alias("other"))
+    said = F.contains(F.col("name"), F.lower("other")) | (F.upper("symbol") == F.upper("other"))
+    covered = inside.join(others, "call_id").filter(said).select("call_id", "mention").distinct()
     return open_mentions.join(covered, ["call_id", "mention"], "left_anti")

@@ -6,10 +6,10 @@ use one of two exact ways round that:
 
 * *first n per group* keeps `row_number() <= n` directly above the window, so
   Spark cuts each map task's rows to n per group before the shuffle;
-* *positions* cut every hot group into blocks that follow the sort order. Block
-  sizes are aggregated (map-side), their running sums are computed on the small
-  block table, and rows are only ever sorted inside their own block. Groups of
-  ordinary size are one block each.
+* *positions* cut every hot group into blocks that follow the sort order. One
+  counting pass sums the rows of every block (map-side); which groups are hot and
+  where their blocks begin follows from that small table, and rows are only ever
+  sorted inside their own block. Groups of ordinary size are one block each.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 
 # Groups with more rows than this are cut into blocks.
 HOT_ROWS = 1_000_000
+# The largest hot groups, which every task is told. A group that is not among them has at
+# most this fraction of all rows, so it needs no cutting.
+MAX_HOT_GROUPS = 100_000
 
 _BLOCK = "__block"
 _GROUP = "__group"
@@ -40,20 +43,28 @@ def top_n(
     return kept.withColumn(name, F.col(name).cast("long")) if rank else kept.drop(name)
 
 
-def _blocked(df: DataFrame, keys: Sequence[str], block: Column, hot_rows: int) -> DataFrame:
+def _grouped(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     # One struct key: a window and a join on it share the same shuffle, and
     # structs with null fields still compare equal.
-    grouped = df.withColumn(_GROUP, F.struct(*keys))
-    hot = (
-        grouped.groupBy(_GROUP)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > hot_rows)
-        .select(_GROUP, F.lit(True).alias("__hot"))
-    )
-    # At most one hot group per `hot_rows` rows of the table, so it is small.
+    return df.withColumn(_GROUP, F.struct(*keys))
+
+
+def _block_counts(grouped: DataFrame, block: Column, *more: Column) -> DataFrame:
+    """Rows, and `more` sums, of every block of every group: the one counting pass."""
+    return grouped.groupBy(_GROUP, block.alias("__b")).agg(F.count(F.lit(1)).alias("__rows"), *more)
+
+
+def _hot_groups(counts: DataFrame, hot_rows: int) -> DataFrame:
+    totals = counts.groupBy(_GROUP).agg(F.sum("__rows").alias("__rows")).filter(F.col("__rows") > hot_rows)
+    largest = totals.orderBy(F.col("__rows").desc(), _GROUP).limit(MAX_HOT_GROUPS)
+    return largest.select(_GROUP, F.lit(True).alias("__hot"))
+
+
+def _with_block(rows: DataFrame, hot: DataFrame, block: Column) -> DataFrame:
+    """Add the block of every row; a group that is not hot is one block."""
     is_hot = F.coalesce("__hot", F.lit(False))
     cut = F.struct(F.col(_GROUP).alias("group"), is_hot.alias("hot"), F.when(is_hot, block).alias("block"))
-    return grouped.join(F.broadcast(hot), _GROUP, "left").withColumn(_BLOCK, cut).drop("__hot")
+    return rows.join(F.broadcast(hot), _GROUP, "left").withColumn(_BLOCK, cut).drop("__hot")
 
 
 def _in_hot_groups(blocked: DataFrame) -> DataFrame:
@@ -61,13 +72,13 @@ def _in_hot_groups(blocked: DataFrame) -> DataFrame:
     return blocked.filter(F.col(f"{_BLOCK}.hot"))
 
 
-def _block_sizes(blocked: DataFrame) -> DataFrame:
+def _block_sizes(counted: DataFrame) -> DataFrame:
     """One row per block: its size, the rows before it, the rows in the group."""
     in_order = Window.partitionBy(_GROUP).orderBy(f"{_BLOCK}.block")
     whole = Window.partitionBy(_GROUP)
     return (
-        blocked.groupBy(_GROUP, _BLOCK)
-        .agg(F.count(F.lit(1)).alias("__rows"))
+        counted.groupBy(_GROUP, _BLOCK)
+        .agg(F.sum("__rows").alias("__rows"))
         .withColumn("__before", F.sum("__rows").over(in_order) - F.col("__rows"))
         .withColumn("__total", F.sum("__rows").over(whole))
     )
@@ -82,8 +93,11 @@ def group_position(
     of rows, for instance `floor(sequence / 100000)` or the day of a timestamp.
     It only matters for groups of more than `hot_rows` rows.
     """
-    blocked = _blocked(df, keys, block, hot_rows)
-    before = _block_sizes(_in_hot_groups(blocked)).select(_BLOCK, "__before")
+    grouped = _grouped(df, keys)
+    counts = _block_counts(grouped, block)
+    hot = _hot_groups(counts, hot_rows)
+    blocked = _with_block(grouped, hot, block)
+    before = _block_sizes(_in_hot_groups(_with_block(counts, hot, F.col("__b")))).select(_BLOCK, "__before")
     local = F.row_number().over(Window.partitionBy(_BLOCK).orderBy(*order))
     return (
         blocked.withColumn("__local", local)
@@ -107,10 +121,13 @@ def pick_positions(
     `wanted` maps the group size to an array of positions and may also use the
     key columns. Only blocks that hold a chosen position are ever sorted.
     """
-    blocked = _blocked(df, keys, block, hot_rows)
+    grouped = _grouped(df, keys)
+    counts = _block_counts(grouped, block)
+    hot = _hot_groups(counts, hot_rows)
+    blocked = _with_block(grouped, hot, block)
     key_columns = [F.col(f"{_GROUP}.{k}").alias(k) for k in keys]
     targets = (
-        _block_sizes(blocked)
+        _block_sizes(_with_block(counts, hot, F.col("__b")))
         .select("*", *key_columns)
         .withColumn("__want", wanted(F.col("__total")))
         .withColumn(
@@ -136,19 +153,20 @@ def next_marker(
     df: DataFrame, keys: Sequence[str], order: str, block: Column, markers: Mapping[str, Column], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add, per marker, the `order` value of the first such row after each row of a group."""
-    blocked = _blocked(df, keys, block, hot_rows)
+    grouped = _grouped(df, keys)
     for name, marker in markers.items():
-        blocked = blocked.withColumn(f"__mark_{name}", F.when(marker, F.col(order)))
+        grouped = grouped.withColumn(f"__mark_{name}", F.when(marker, F.col(order)))
     firsts = [F.min(f"__mark_{name}").alias(f"__first_{name}") for name in markers]
+    counts = _block_counts(grouped, block, *firsts)
+    hot = _hot_groups(counts, hot_rows)
+    blocked = _with_block(grouped, hot, block)
     later = (
         Window.partitionBy(_GROUP)
         .orderBy(F.col(f"{_BLOCK}.block").desc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     following = (
-        _in_hot_groups(blocked)
-        .groupBy(_GROUP, _BLOCK)
-        .agg(*firsts)
+        _in_hot_groups(_with_block(counts, hot, F.col("__b")))
         .select(_BLOCK, *[F.min(f"__first_{name}").over(later).alias(f"__later_{name}") for name in markers])
     )
     # Descending order with a growing frame: linear, unlike a shrinking frame.
@@ -178,7 +196,8 @@ def previous_rows(
     Rows are only windowed inside their block; blocks of hot groups also receive
     the last `n` values before them, from a table of at most `n` rows a block.
     """
-    blocked = _blocked(df, keys, block, hot_rows).withColumn("__value", value)
+    grouped = _grouped(df, keys)
+    blocked = _with_block(grouped, _hot_groups(_block_counts(grouped, block), hot_rows), block).withColumn("__value", value)
     hot = _in_hot_groups(blocked).select(_GROUP, _BLOCK, F.col(order).alias("__at"), "__value")
     tails = (
         top_n(hot, [_BLOCK], [F.col("__at").desc()], n)

@@ -163,8 +163,8 @@ def test_rewrite_defaults(spark):
     ]
     got = normalize_rewrites(spark.createDataFrame(data, schema)).collect()
     assert (got[0].rewritten, got[0].scope_type, got[0].preserved_entities) == ("u", "company", ["X"])
-    assert [len(p) for p in got[0].hypothetical_passages] == [1498, 1, 1] and got[0].clarification_suggestions == []
-    assert (len(got[1].rewritten), got[1].scope_type, got[1].hypothetical_passages) == (2000, "sector", [])
+    assert [len(p) for p in got[0].hypothetical_passages] == [2698, 1, 1, 1] and got[0].clarification_suggestions == []
+    assert (len(got[1].rewritten), got[1].scope_type, got[1].hypothetical_passages) == (3000, "sector", [])
     assert got[1].clarification.startswith("Bạn") and got[1].clarification_suggestions == ["s"]
     assert (got[2].rewritten, got[2].scope_type, got[2].needs_clarification) == ("u", "general", False)
 
@@ -194,10 +194,11 @@ def test_entities_resolve_and_leave_open(spark):
     m = spark.createDataFrame(master, "symbol STRING, organ_name STRING")
     q = spark.createDataFrame(mentions, "call_id INT, mention STRING")
     got = {}
-    for r in entities.resolve_entities(q, m).collect():
+    for r in entities.resolve_entities(q, m, most=20).collect():
         got.setdefault(r.call_id, []).append((not r.exact, r.symbol))
     assert [s for _, s in sorted(got[1])] == ["ACB", "VNM"]
     assert [s for _, s in sorted(got[2])] == ["S05", "B%", "S00", "S01", "S02", "S03", "S04"] + [f"S{i:02d}" for i in range(6, 19)]
+    assert entities.resolve_entities(q, m).filter("call_id = 2").count() == 32
     left = sorted(tuple(r) for r in entities.unresolved_entities(q, m).select("call_id", "mention").collect())
     assert left == [(1, "nothing"), (2, "The Asia Bank Group")]
 
