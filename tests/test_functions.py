@@ -198,7 +198,7 @@ def test_entities_resolve_and_leave_open(spark):
         got.setdefault(r.call_id, []).append((not r.exact, r.symbol))
     assert [s for _, s in sorted(got[1])] == ["ACB", "VNM"]
     assert [s for _, s in sorted(got[2])] == ["S05", "B%", "S00", "S01", "S02", "S03", "S04"] + [f"S{i:02d}" for i in range(6, 19)]
-    assert entities.resolve_entities(q, m).filter("call_id = 2").count() == 32
+    assert entities.resolve_entities(q, m).filter("call_id = 2").count() == 31
     left = sorted(tuple(r) for r in entities.unresolved_entities(q, m).select("call_id", "mention").collect())
     assert left == [(1, "nothing"), (2, "The Asia Bank Group")]
 
