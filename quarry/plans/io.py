@@ -347,8 +347,9 @@ def _stream_scan(data):
 )
 def _stream_dedup(data):
     path = scratch_path(data.spark, "uploads")
-    data.files().select("project_id", "file_hash", "file_id").write.parquet(path)
+    uploads = data.files().select("project_id", "file_hash", "file_id", F.col("process_at").cast("timestamp").alias("uploaded_at"))
+    uploads.write.parquet(path)
     out = scratch_path(data.spark, "first")
-    fresh = document_streams.first_uploads(_stream(data, path, 3))
+    fresh = document_streams.first_uploads(_stream(data, path, 3), "36500 days")
     batches.run_batches(fresh, lambda rows, n: batches.write_batch(rows, f"{out}/rows", n), f"{out}/checkpoint")
     return batches.read_batches(data.spark, f"{out}/rows", "project_id BIGINT, file_hash STRING").select("project_id", "file_hash")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import arrays, dates, numeric, text
 from quarry.operators import cleaning, evaluation, statements
 from quarry.operators.query import aggregate, distinct_values, select_rows, where
-from quarry.operators.ranking import pick_positions
+from quarry.operators.ranking import nearest_rank
 from quarry.plans.registry import query
 from quarry.plans.tables import FILES, STATEMENT, day_text, sql_round, time_text
 
@@ -637,17 +637,8 @@ def _unit_scale(data):
     """,
 )
 def _pct_pick(data):
-    """92nd percentile by nearest rank; values are cut into blocks of their integer part."""
-    events = data.table("events").select("event_type", "value")
-    picked = pick_positions(
-        events,
-        ["event_type"],
-        [F.col("value")],
-        F.floor("value"),
-        lambda n: F.array(numeric.nearest_rank(n, 0.92)),
-        "pos",
-    )
-    return picked.select("event_type", "value")
+    """92nd percentile by nearest rank."""
+    return nearest_rank(data.table("events"), ["event_type"], "value", 0.92)
 
 
 @query(

@@ -74,7 +74,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     The folder is the one the cluster names in `spark.checkpoint.dir`. Only a
     local session may fall back to a temporary folder of its own machine.
     """
-    return f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._quarry_scratch = [*getattr(context, "_quarry_scratch", ()), path]
+    return path
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove what this session has put under `scratch_path`.
+
+    To be called when the results that read it have been consumed.
+    """
+    context = spark.sparkContext
+    configuration = context._jsc.hadoopConfiguration()
+    for path in getattr(context, "_quarry_scratch", ()):
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(configuration).delete(folder, True)
+    context._quarry_scratch = []
 
 
 def _shared_folder(spark: SparkSession) -> str:

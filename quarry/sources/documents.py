@@ -46,15 +46,22 @@ def visible_files(files: DataFrame, root: str) -> DataFrame:
         name.alias("file_name"),
         file_extension(name).alias("file_type"),
         F.sha2("content", 256).alias("file_hash"),
-        F.length("content").cast("long").alias("file_bytes"),
+        F.col("length").alias("file_bytes"),
         "content",
     )
 
 
-def scan_documents(spark: SparkSession, root: str) -> DataFrame:
-    """All visible files below a folder, one row each."""
+def scan_documents(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+    """All visible files below a folder, one row each.
+
+    The size is judged before anything is read: larger files, and those that do not fit
+    into a row, are listed without content and hash.
+    """
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    limit = limit if max_bytes is None else min(limit, max_bytes)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return visible_files(files, root)
+    large = files.filter(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return visible_files(files.filter(F.col("length") <= limit).select("path", "length", "content").unionByName(large), root)
 
 
 def parse_documents(files: DataFrame, parsers: Mapping[str, DocParser] | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ import hashlib
 import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from quarry.operators.cleaning import cast_date_columns, fill_defaults, sanitize
 log = logging.getLogger(__name__)
 
 MONTH = "yyyymm"
+# Loads that run at the same time.
+PARALLEL_LOADS = 4
 
 AUDIT_SCHEMA = (
     "manifest_name STRING, table_name STRING, source_file STRING, file_type STRING, "
@@ -130,13 +134,14 @@ def load_tables(
     """Run every load and return the audit rows.
 
     Unknown tables are skipped. A load that fails is recorded and does not stop
-    the others. Rows are counted while they are written, not by a second job.
+    the others. Rows are counted while they are written, not by a second job. Several
+    loads run at a time, so that small tables do not wait for large ones.
     """
-    rows = []
-    for load in loads:
+
+    def run(load: Load) -> tuple | None:
         if load.table not in known:
             log.warning("table %s is not known, skipped", load.table)
-            continue
+            return None
         count, status = 0, "success"
         try:
             seen = Observation()
@@ -145,10 +150,13 @@ def load_tables(
         except Exception:
             log.exception("loading %s from %s failed", load.table, load.source_file)
             status = "failed"
-        rows.append(
-            (load.manifest, load.table, load.source_file, load.file_type, count, load.file_size,
-             None, spark.sparkContext.applicationId, status)
+        return (
+            load.manifest, load.table, load.source_file, load.file_type, count, load.file_size,
+            None, spark.sparkContext.applicationId, status,
         )
+
+    with ThreadPool(PARALLEL_LOADS) as pool:
+        rows = [row for row in pool.map(inheritable_thread_target(spark)(run), list(loads)) if row]
     audit = spark.createDataFrame(rows, AUDIT_SCHEMA)
     return audit.withColumn("ingested_at", F.current_timestamp())
 

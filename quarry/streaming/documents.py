@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,6 +19,8 @@ CATALOG_SCHEMA = (
     " decision STRING, process_status STRING"
 )
 
+STATE_SCHEMA = "file_hash STRING, project_id BIGINT, process_status STRING"
+
 Ingest = Callable[[DataFrame], DataFrame]
 
 
@@ -35,41 +37,54 @@ def document_stream(spark: SparkSession, root: str, files_per_batch: int = 1000)
     return visible_files(files, root)
 
 
-def catalog(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+def catalog(spark: SparkSession, path: str) -> DataFrame:
     """The current entry per project and content."""
-    rows = read_batches(spark, path, CATALOG_SCHEMA, before).filter(F.col("decision") != "skipped")
+    rows = read_batches(spark, path, CATALOG_SCHEMA).filter(F.col("decision") != "skipped")
     return latest_version(rows, ["project_id", "file_hash"], BATCH, ["path"])
 
 
+def project_of(path: Column) -> Column:
+    """The project that a folder `project_<id>` on the path names, else the base project 0."""
+    return F.coalesce(F.regexp_extract(path, r"(?:^|/)project_(\d+)/", 1).try_cast("long"), F.lit(0).cast("long"))
+
+
 def scan_stream(
     files: DataFrame, path: str, checkpoint: str, ingest: Ingest | None = None, force: bool = False, once: bool = True
 ) -> StreamingQuery:
     """Decide about every new file and record it in the catalog at `path`.
 
     `ingest` receives the files to process and returns `(file_hash, status)`;
-    without it they count as ready. Copies within a batch are decided once.
+    without it they count as ready. Copies within a batch are decided once. What is known is a
+    snapshot beside the catalog: a batch reads that of the batch before and writes its own.
     """
+    state = f"{path}-known"
 
     def handle(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
-        scanned = rows.withColumn("project_id", F.lit(0).cast("long"))
-        first = top_n(scanned, ["project_id", "file_hash"], [F.col("path").asc()], 1)
-        known = catalog(spark, path, before=batch_id).select("file_hash", "project_id", "process_status")
+        scanned = rows.withColumn("project_id", project_of(F.col("path")))
+        # Content stays behind until it is clear which files are wanted.
+        first = top_n(scanned.drop("content"), ["project_id", "file_hash"], [F.col("path").asc()], 1)
+        known = read_batches(spark, state, STATE_SCHEMA, before=batch_id).filter(F.col(BATCH) == batch_id - 1).drop(BATCH)
         decided = scan_decision(first, known, force)
-        todo = decided.filter(F.col("decision").isin("processed", "retried"))
+        wanted = decided.filter(F.col("decision").isin("processed", "retried"))
+        todo = wanted.join(rows.select("path", "content"), "path")
         done = ingest(todo) if ingest else todo.select("file_hash", F.lit("ready").alias("status"))
         status = F.when(F.col("decision") == "failed", "failed").otherwise(F.col("status"))
         entries = decided.join(done, "file_hash", "left").withColumn("process_status", status)
         write_batch(entries.select(*[c.split()[0] for c in CATALOG_SCHEMA.split(", ")]), path, batch_id)
+        new = read_batches(spark, path, CATALOG_SCHEMA).filter((F.col(BATCH) == batch_id) & (F.col("decision") != "skipped"))
+        new = new.select("file_hash", "project_id", "process_status")
+        old = known.join(new.select("file_hash", "project_id"), ["file_hash", "project_id"], "left_anti")
+        write_batch(old.unionByName(new), state, batch_id)
 
     return run_batches(files, handle, checkpoint, once)
 
 
-def first_uploads(uploads: DataFrame, within: str | None = None, time: str = "uploaded_at") -> DataFrame:
+def first_uploads(uploads: DataFrame, within: str | None = "90 days", time: str = "uploaded_at") -> DataFrame:
     """First upload per project and content on a stream.
 
-    Without `within` a copy is recognised for ever and the state only grows;
-    with it, state older than the given span is dropped.
+    State older than the span `within` is dropped, so a copy is recognised for at least that long.
+    With `None` it is recognised for ever and the state only grows.
     """
     keys = ["project_id", "file_hash"]
     if within is None:

@@ -66,6 +66,7 @@ def session():
 
 def main(argv: list[str]) -> int:
     import __spark_entry__ as entry
+    from quarry.session import release_scratch
 
     sf = "0.01"
     if "--sf" in argv:
@@ -88,6 +89,7 @@ def main(argv: list[str]) -> int:
             good, note = False, f"{type(error).__name__}: {str(error)[:600]}"
             if os.environ.get("TRACE"):
                 traceback.print_exc()
+        release_scratch(spark)
         bad += not good
         print(f"{'ok  ' if good else 'FAIL'} {name}: {note}", flush=True)
     print(f"{len(names) - bad}/{len(names)} agree", flush=True)

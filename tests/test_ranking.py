@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.numeric import even_positions, nearest_rank
+from quarry.operators import ranking
 from quarry.operators.ranking import group_position, next_marker, pick_positions, previous_rows, top_n
 from quarry.operators.versions import Table, latest_version
 
@@ -113,3 +114,14 @@ def test_value_filters_stay_above_the_version_cut(spark, tmp_path):
     assert [r.k for r in big.collect()] == [2]
     assert table.read(final=False).count() == 3
     assert "PushedFilters: [IsNotNull(k), EqualTo(k,1)]" in plan(table.read().filter("k = 1"))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.001, 0.5, 0.92, 1.0])
+def test_nearest_rank_is_exact(spark, share):
+    rng = random.Random(8)
+    rows = [("hot", float(rng.randint(0, 3000))) for _ in range(30_000)] + [("few", 1.5), ("few", 0.5), (None, 7.0), ("hot", None)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
+    got = {r.k: r.v for r in ranking.nearest_rank(df, ["k"], "v", share, accuracy=1000, small=5000).collect()}
+    for key in ("hot", "few", None):
+        values = sorted(v for k, v in rows if k == key and v is not None)
+        assert got[key] == values[int(share * (len(values) - 1))]

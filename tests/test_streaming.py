@@ -156,5 +156,5 @@ def test_first_uploads_within_a_time_span(spark, shared, rows):
         batches.run_batches(fresh, lambda r, n: batches.write_batch(r, shared(name), n), shared(f"{name}-ckpt"))
         return rows(batches.read_batches(spark, shared(name), schema).select("project_id", "file_hash", F.dayofmonth("uploaded_at")))
 
-    assert run(documents.first_uploads(stream()), "ever") == [(1, "x", 1), (1, "y", 9), (2, "x", 1)]
+    assert run(documents.first_uploads(stream(), None), "ever") == [(1, "x", 1), (1, "y", 9), (2, "x", 1)]
     assert run(documents.first_uploads(stream(), "3 days"), "span") == [(1, "x", 1), (1, "x", 10), (1, "y", 9), (2, "x", 1)]
