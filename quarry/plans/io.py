@@ -109,7 +109,7 @@ def _read_cases(data):
 @query(
     "scan_folder",
     """
-    SELECT lang, source, CAST(sum(strlen(text) + 1) AS BIGINT) AS file_bytes, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY 1, 2
+    SELECT lang, source, CAST(sum(strlen(lang || source || text) + 2) AS BIGINT) AS file_bytes, CAST(sum(length(lang || source || text) + 2) AS BIGINT) AS chars FROM documents GROUP BY 1, 2
     """,
 )
 def _scan_folder(data):
@@ -121,12 +121,13 @@ def _scan_folder(data):
 
 
 def _text_folder(data) -> str:
-    """The texts of every language and source in a file of their own."""
+    """The texts of every language and source in a file of their own, no two files alike."""
     path = scratch_path(data.spark, "texts")
-    texts = data.table("documents").select("lang", "source", "text")
+    marked = F.concat("lang", "source", F.lit(" "), "text")
+    texts = data.table("documents").select("lang", "source", marked.alias("text"))
     # Without a success marker, which would be one more file to scan.
-    marked = texts.repartition("lang", "source").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
-    marked.partitionBy("lang", "source").text(path)
+    files = texts.repartition("lang", "source").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    files.partitionBy("lang", "source").text(path)
     return path
 
 
