@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,12 +12,22 @@ from quarry.session import configure, scratch_path
 
 # Texts handed to a Python worker at once; a single longer text comes alone.
 BATCH_BYTES = 8 << 20
+# Texts above this are taken word by word instead of as a list of all their words.
+LONG_BYTES = 4 << 20
 # Written tables may hold rows of several megabytes; readers take a row group at a time.
 ROW_GROUP_BYTES = 32 << 20
 # Rows of a counted lookup table that may be sent to every executor.
 BROADCAST_ROWS = 500_000
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def words_in(raw: bytes) -> Iterable[bytes]:
+    """Runs of bytes between ASCII white space: a list, or for a long text an iterator."""
+    return raw.split() if len(raw) <= LONG_BYTES else (m.group() for m in _WORD.finditer(raw))
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the library, and Arrow batches bounded in bytes."""
     configure(spark)

@@ -23,7 +23,7 @@ list but its windows hit. Repeated rows are judged each. Extra columns are kept.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored, text_key, without
+from quarry.llm.common import stored, text_key, without, words_in
 
 WINDOW_WORDS = 10
 SHARD_BYTES = 8 << 20
@@ -45,8 +45,8 @@ _WORD_BYTES = bytes(
 )
 
 
-def words_of(raw: bytes | None) -> list[bytes]:
-    return (raw or b"").translate(_WORD_BYTES).split()
+def words_of(raw: bytes | None) -> Iterable[bytes]:
+    return words_in((raw or b"").translate(_WORD_BYTES))
 
 
 INDEX = (
@@ -70,11 +70,11 @@ class ShardWriter:
         self.terms: defaultdict[bytes, int] = defaultdict(lambda: len(self.terms))
 
     def add(self, doc_id: int | None, text_hash: int, raw: bytes | None) -> None:
-        words = words_of(raw)
-        self.ids.append(np.fromiter(map(self.terms.__getitem__, words), np.int32, len(words)))
+        ids = np.fromiter(map(self.terms.__getitem__, words_of(raw)), np.int32)
+        self.ids.append(ids)
         self.doc_ids.append(doc_id)
         self.hashes.append(text_hash)
-        self.n_words.append(len(words))
+        self.n_words.append(len(ids))
         self.size += len(raw or b"")
 
     def row(self) -> pa.RecordBatch:
@@ -120,14 +120,20 @@ class Phrases:
     def __init__(self, items: list[tuple[int | None, bytes | None]], window_words: int):
         owners: defaultdict[tuple[bytes, ...], set] = defaultdict(set)
         for item_id, raw in items:
-            words = words_of(raw)
+            words = list(words_of(raw))
             for start in range(max(1, len(words) - window_words + 1) if words else 0):
                 owners[tuple(words[start : start + window_words])].add(item_id)
         names = {word: k for k, word in enumerate(dict.fromkeys(w for window in owners for w in window))}
         self.terms = pa.array(list(names), pa.binary())
         self.windows = [np.array([names[w] for w in window], np.int64) for window in owners]
+        self.flat = np.concatenate([*self.windows, np.zeros(0, np.int64)])
+        self.firsts = np.cumsum([0, *map(len, self.windows)])[:-1]
         self.owners = [sorted(ids - {None}) for ids in owners.values()]
 
+    def among(self, present: np.ndarray) -> list[int]:
+        """Windows all of whose terms are present."""
+        return np.flatnonzero(np.logical_and.reduceat(present[self.flat], self.firsts)).tolist() if self.windows else []
+
 
 class ShardReader:
     """Posting lists of the test terms inside one shard."""
@@ -182,10 +188,8 @@ def shard_matches(row: dict, phrases: Phrases, slop: int) -> pa.RecordBatch:
     begins = np.cumsum(n_words + 1) - n_words - 1
     spans: defaultdict[int, list] = defaultdict(list)
     items: defaultdict[int, set] = defaultdict(set)
-    present = reader.rarity > 0
-    for window, owners in zip(phrases.windows, phrases.owners):
-        if not present[window].all():
-            continue
+    for k in phrases.among(reader.rarity > 0):
+        window, owners = phrases.windows[k], phrases.owners[k]
         starts = reader.starts(window, slop)
         docs = np.searchsorted(begins, np.maximum(starts, 0), side="right") - 1
         for start, doc in zip(starts.tolist(), docs.tolist()):

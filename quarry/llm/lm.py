@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
+from quarry.llm.common import stored, words_in
 
 SHARD_BYTES = 8 << 20
 WORDS = 1000
@@ -55,9 +56,9 @@ SHARDS_ARROW = pa.schema(
 )
 
 
-def tokens_of(raw: bytes | None) -> list[bytes]:
+def tokens_of(raw: bytes | None) -> Iterator[bytes]:
     """Lower-case words and the end mark; bytes know only A-Z and the six ASCII white-space characters."""
-    return [*(raw or b"").lower().split(), END]
+    return chain(words_in((raw or b"").lower()), (END,))
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -78,8 +79,7 @@ class Shard:
         self.words: defaultdict[bytes, int] = defaultdict(lambda: len(self.words))
 
     def add(self, doc_id: int | None, held: bool, raw: bytes | None) -> None:
-        tokens = tokens_of(raw)
-        self.parts.append(np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens)))
+        self.parts.append(np.fromiter(map(self.words.__getitem__, tokens_of(raw)), np.int32))
         self.doc_ids.append(doc_id)
         self.held.append(held)
         self.size += len(raw or b"")

@@ -12,17 +12,22 @@ fail `too_short`. Repeated rows get the same verdict each. Extra columns are kep
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import free_name
+from quarry.llm.common import LONG_BYTES, free_name, words_in
+
+_LINE = re.compile(rb"[^\n]+")
 
 SYMBOLS = b"#*$%&|<>"
 # White space, and the bytes that continue a character in UTF-8.
@@ -37,13 +42,24 @@ class Facts:
     def __init__(self, raw: bytes | None):
         self.raw = raw or b""
 
+    @property
+    def long(self) -> bool:
+        """Too long to hold all words at once; counted by numbers instead."""
+        return len(self.raw) > LONG_BYTES
+
     @cached_property
     def words(self) -> list[bytes]:
         return self.raw.split()  # bytes are split at the six ASCII white-space characters
 
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """The words as numbers, equal ones alike."""
+        names: defaultdict[bytes, int] = defaultdict(lambda: len(names))
+        return np.fromiter(map(names.__getitem__, words_in(self.raw)), np.int64)
+
     @property
     def n_words(self) -> int:
-        return len(self.words)
+        return len(self.numbers if self.long else self.words)
 
     @cached_property
     def word_chars(self) -> int:
@@ -54,16 +70,31 @@ class Facts:
         return len(self.raw) - len(self.raw.translate(None, SYMBOLS))
 
     @cached_property
-    def lines(self) -> list[bytes]:
-        return [line for line in self.raw.split(b"\n") if line.strip()]
+    def lines(self) -> tuple[int, int]:
+        """Lines with a word, and different ones among them."""
+        if not self.long:
+            lines = [line for line in self.raw.split(b"\n") if line.strip()]
+            return len(lines), len(set(lines))
+        seen, n = set(), 0
+        for match in _LINE.finditer(self.raw):
+            if match.group().strip():
+                n += 1
+                seen.add(hashlib.blake2b(match.group(), digest_size=16).digest())
+        return n, len(seen)
 
-    @cached_property
+    @property
+    def n_lines(self) -> int:
+        return self.lines[0]
+
+    @property
     def n_dup_lines(self) -> int:
-        return len(self.lines) - len(set(self.lines))
+        return self.lines[0] - self.lines[1]
 
     @cached_property
     def n_repeat_words(self) -> int:
         """Words inside any 3-word window that occurs at least twice."""
+        if self.long:
+            return repeated_in(self.numbers)
         grams = list(zip(self.words, self.words[1:], self.words[2:]))
         seen = Counter(grams) if len(set(grams)) < len(grams) else {}
         total, covered = 0, 0
@@ -82,6 +113,19 @@ class Facts:
         return len(self.raw.translate(None, NOT_LETTER))
 
 
+def repeated_in(numbers: np.ndarray) -> int:
+    """`n_repeat_words` of words given as numbers."""
+    if len(numbers) < 3:
+        return 0
+    size = int(numbers.max()) + 1
+    pairs = np.unique(numbers[:-1] * size + numbers[1:], return_inverse=True)[1]
+    _, at, counts = np.unique(pairs[:-1] * size + numbers[2:], return_inverse=True, return_counts=True)
+    again, covered = counts[at] > 1, np.zeros(len(numbers), bool)
+    for k in range(3):
+        covered[k : k + len(again)] |= again
+    return int(covered.sum())
+
+
 @dataclass(frozen=True)
 class Rule:
     """`fails` says whether a text with these facts goes."""
@@ -103,7 +147,7 @@ def symbol_heavy(f: Facts) -> bool:
 
 
 def duplicate_lines(f: Facts) -> bool:
-    return 2 * f.n_dup_lines > len(f.lines)
+    return 2 * f.n_dup_lines > f.n_lines
 
 
 def shouting(f: Facts) -> bool:

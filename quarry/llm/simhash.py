@@ -26,6 +26,7 @@ repeated ids are kept; a component's id is the smallest id that is not null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import small, stored, text_key, without
+from quarry.llm.common import small, stored, text_key, without, words_in
 from quarry.llm.components import connected_components
 
 SEED = 42
@@ -51,16 +52,19 @@ BLOCK = 1 << 14
 
 def fingerprint(raw: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """The 64-bit fingerprint of a whole text."""
-    words = (raw or b"").lower().split()  # bytes: only A-Z and the six ASCII white-space characters
-    if not words:
+    # Bytes know only A-Z and the six ASCII white-space characters.
+    words = iter(words_in((raw or b"").lower()))
+    part = list(islice(words, BLOCK + shingle_words - 1))
+    if not part:
         return 0
-    n = max(1, len(words) - shingle_words + 1)
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for start in range(0, n, BLOCK):
-        part = words[start : min(start + BLOCK, n) + shingle_words - 1]
-        shingles = map(b" ".join, zip(*(part[k:] for k in range(shingle_words)))) if len(words) >= shingle_words else [b" ".join(words)]
+    n, ones, digest = 0, np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    while part:
+        shingles = map(b" ".join, zip(*(part[k:] for k in range(shingle_words)))) if len(part) >= shingle_words else [b" ".join(part)]
         hashes = np.array([digest(s, SEED) for s in shingles], dtype=">u8")
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+        more = list(islice(words, BLOCK))
+        part = part[len(part) - shingle_words + 1 :] + more if more else []
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 

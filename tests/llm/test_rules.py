@@ -53,3 +53,11 @@ def test_best_ratio_first(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert rules.quality_facts(docs).count() == 0 and rules.filter_quality(docs).count() == 0
+
+
+def test_long_texts_count_the_same(monkeypatch):
+    texts = ["a b c a b c\na b\n\n a b\na b", "x y z y z x y z", "", " \n\t", "é b# c\nd", "a a a a\n" * 30, LONG]
+    whole = [[getattr(rules.Facts(t.encode()), n) for n in ("n_words", "n_lines", "n_dup_lines", "n_repeat_words")] for t in texts]
+    monkeypatch.setattr(rules, "LONG_BYTES", -1)
+    monkeypatch.setattr("quarry.llm.common.LONG_BYTES", -1)
+    assert [[getattr(rules.Facts(t.encode()), n) for n in ("n_words", "n_lines", "n_dup_lines", "n_repeat_words")] for t in texts] == whole

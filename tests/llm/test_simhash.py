@@ -48,6 +48,16 @@ def test_fingerprints_are_exact():
         assert simhash.fingerprint(raw) == plain_fingerprint(text)
 
 
+def test_long_texts_in_blocks(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    monkeypatch.setattr("quarry.llm.common.LONG_BYTES", -1)
+    rng = random.Random(3)
+    for n in (0, 1, 2, 3, 8, 9, 10, 50):
+        text = " ".join(rng.choice("abcdefgh") for _ in range(n))
+        for k in (1, 2, 3):
+            assert simhash.fingerprint(text.encode(), k) == plain_fingerprint(text, k)
+
+
 def near_fingerprints(rng, n):
     out = []
     for centre in [rng.getrandbits(64) for _ in range(4)]:
