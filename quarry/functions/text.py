@@ -132,6 +132,21 @@ def is_web_url(url: Column) -> Column:
     return strip(url).rlike("^https?://")
 
 
+def chunk_hash(text: Column) -> Column:
+    """What tells equal chunks."""
+    return F.md5(text)
+
+
+def file_hash(content: Column) -> Column:
+    """What tells equal files."""
+    return F.sha2(content, 256)
+
+
+def json_field(raw: Column, field: str) -> Column:
+    """A top-level field of stored JSON as text; null where there is none."""
+    return F.get_json_object(raw, f"$.{field}")
+
+
 def object_path(project: Column, user: Column, session: Column, file_hash: Column, file_name: Column) -> Column:
     """Storage path by project sign: private session, shared base, or personal project."""
     safe = F.regexp_replace(file_name, r"[/\\]", "_")

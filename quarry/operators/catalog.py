@@ -72,6 +72,23 @@ def scan_summary(decided: DataFrame) -> DataFrame:
     return decided.groupBy("decision").agg(F.count(F.lit(1)).alias("files"))
 
 
+def ready_counts(files: DataFrame) -> DataFrame:
+    """Ready files that each project may see: `asked`, `files`, and whether there are any.
+
+    Files are counted per project before the scope is looked up.
+    """
+    per_project = files.groupBy("project_id").agg(F.count_if(F.col("process_status") == "ready").alias("ready"))
+    asked = per_project.select(F.col("project_id").alias("asked"), F.explode(scope_list(F.col("project_id"))).alias("project_id"))
+    visible = asked.join(per_project, "project_id", "left").groupBy("asked").agg(F.coalesce(F.sum("ready"), F.lit(0)).alias("files"))
+    return visible.select("asked", "files", (F.col("files") > 0).alias("any_ready"))
+
+
+def sessions_by_owner(sessions: DataFrame, projects: DataFrame) -> DataFrame:
+    """Sessions with the owner of their project, per owner the newest first."""
+    owned = sessions.join(projects.select("project_id", "user_id"), "project_id")
+    return owned.orderBy("user_id", F.col("update_at").desc(), "session_id")
+
+
 def dedup_uploads(uploads: DataFrame, catalog: DataFrame) -> DataFrame:
     """First upload per project and content that has no ready file yet."""
     ready = catalog.filter(F.col("process_status") == "ready").select("project_id", "file_hash").distinct()

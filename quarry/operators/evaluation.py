@@ -114,6 +114,11 @@ def union_keep_first(master: DataFrame, extra: DataFrame, keys: Sequence[str]) -
     return master.unionByName(extra.join(master.select(*keys), list(keys), "left_anti"))
 
 
+def with_cases(results: DataFrame, cases: DataFrame, key: str = "id") -> DataFrame:
+    """Captured results beside their test case; ids without a case are skipped."""
+    return results.join(cases, key)
+
+
 def merge_batches(raw: DataFrame, done: DataFrame) -> DataFrame:
     """Enriched records replace the raw ones with the same id."""
     both = raw.withColumn("__done", F.lit(0)).unionByName(done.withColumn("__done", F.lit(1)))

@@ -80,14 +80,7 @@ def _files_list_project(data):
     """,
 )
 def _ready_counts(data):
-    """Ready files visible from each project; counted per project before the scope join."""
-    files = data.files()
-    per_project = files.groupBy("project_id").agg(F.count_if(F.col("process_status") == "ready").alias("ready"))
-    asked = per_project.select(
-        F.col("project_id").alias("asked"), F.explode(catalog.scope_list(F.col("project_id"))).alias("project_id")
-    )
-    visible = asked.join(per_project, "project_id", "left").groupBy("asked").agg(F.coalesce(F.sum("ready"), F.lit(0)).alias("files"))
-    return visible.select("asked", "files", (F.col("files") > 0).alias("any_ready"))
+    return catalog.ready_counts(data.files())
 
 
 @query(

@@ -14,7 +14,7 @@ from quarry.plans.structured import LATEST_LINEITEM
 from quarry.plans.tables import FILES, LOGS, TICKS, day_text
 from quarry.session import scratch_path, spread
 from quarry.sources import csv, documents, json, pages, warehouse
-from quarry.streaming import bars, batches, documents as document_streams, sequence, upsert
+from quarry.streaming import bars, batches, documents as document_streams, manifests, sequence, upsert
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -342,6 +342,27 @@ def _stream_scan(data):
     return entries.groupBy("decision", "process_status").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(
+    "manifests",
+    """
+    SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'failed' ELSE 'processed' END AS status,
+           CASE WHEN n_nationkey % 5 = 0 THEN 'missing field: table_name' ELSE 'none' END AS reason, count(*) AS n
+    FROM nation GROUP BY 1, 2
+    """,
+)
+def _manifests(data):
+    """A manifest file per nation, some without a table name."""
+    path, out = scratch_path(data.spark, "manifests"), scratch_path(data.spark, "outcomes")
+    key = F.col("n_nationkey")
+    fields = data.table("nation").select(
+        key, F.concat(F.lit("/in/"), "n_name").alias("file_path"), F.lit("csv").alias("file_type"), F.when(key % 5 != 0, F.col("n_name")).alias("table_name")
+    )
+    fields.write.partitionBy("n_nationkey").json(path)
+    manifests.process_manifests(manifests.manifest_stream(data.spark, path), lambda _: None, f"{out}/log", f"{out}/checkpoint")
+    log = batches.read_batches(data.spark, f"{out}/log", manifests.LOADED_SCHEMA)
+    return log.groupBy("status", F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "stream_dedup",
     f"WITH {FILES} SELECT DISTINCT project_id, file_hash FROM files",

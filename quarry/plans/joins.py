@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import entities, retention, statements
+from quarry.operators import catalog, entities, evaluation, retention, statements
 from quarry.operators.ranking import top_n
 from quarry.plans.registry import query
 from quarry.plans.tables import CASHFLOW, STATEMENT, day_text
@@ -139,8 +139,7 @@ def _sessions_by_owner(data):
     sessions = data.table("orders").select(
         F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("project_id"), F.col("o_orderdate").alias("update_at")
     )
-    joined = sessions.join(projects, "project_id").orderBy("user_id", F.col("update_at").desc(), "session_id")
-    return joined.select("user_id", "session_id", "project_id", day_text("update_at").alias("update_at"))
+    return catalog.sessions_by_owner(sessions, projects).select("user_id", "session_id", "project_id", day_text("update_at").alias("update_at"))
 
 
 @query(
@@ -151,7 +150,7 @@ def _sessions_by_owner(data):
 )
 def _score_join(data):
     captured = data.table("documents").select("doc_id", "lang")
-    return captured.join(data.table("labels"), "doc_id").select("doc_id", "lang", F.col("quality").cast("long").alias("quality"))
+    return evaluation.with_cases(captured, data.table("labels"), "doc_id").select("doc_id", "lang", F.col("quality").cast("long").alias("quality"))
 
 
 @query(

@@ -676,7 +676,7 @@ def _name_search(data):
     "SELECT doc_id, md5(text) AS chunk_hash, sha256(text) AS file_hash FROM documents",
 )
 def _hashes(data):
-    return data.table("documents").select("doc_id", F.md5("text").alias("chunk_hash"), F.sha2("text", 256).alias("file_hash"))
+    return data.table("documents").select("doc_id", text.chunk_hash(F.col("text")).alias("chunk_hash"), text.file_hash(F.col("text")).alias("file_hash"))
 
 
 @query(
@@ -825,7 +825,7 @@ def _extract_json(data):
 
 @query("json_field", "SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k FROM events")
 def _json_field(data):
-    return data.table("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return data.table("events").select("event_id", text.json_field(F.col("props"), "k").cast("long").alias("k"))
 
 
 @query(
