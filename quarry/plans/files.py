@@ -9,25 +9,25 @@ from quarry.plans.registry import query
 from quarry.plans.tables import FILES
 
 SCANS = f"""{FILES},
-known AS (SELECT file_hash, min(file_id) AS file_id FROM files WHERE project_id < 10 GROUP BY 1),
-listed AS (SELECT k.file_hash, f.process_status FROM known k JOIN files f USING (file_id)),
+known AS (SELECT file_hash, file_id % 3 AS project, min(file_id) AS file_id FROM files WHERE project_id < 10 GROUP BY 1, 2),
+listed AS (SELECT k.file_hash, k.project, f.process_status FROM known k JOIN files f USING (file_id)),
 decided AS (
   SELECT f.file_id, CASE WHEN l.process_status = 'ready' OR l.process_status = 'deleted' THEN 'skipped'
                          WHEN f.file_type NOT IN ('pdf', 'md', 'txt', 'docx') THEN 'failed'
                          WHEN l.process_status IS NULL THEN 'processed' ELSE 'retried' END AS decision
-  FROM files f LEFT JOIN listed l USING (file_hash))
+  FROM files f LEFT JOIN listed l ON l.file_hash = f.file_hash AND l.project = f.file_id % 3)
 """
 
 
 def _decided(data):
-    """All files scanned into project 0, against a catalog of the first ten projects."""
-    files = data.files()
-    # One catalog row per content, the oldest.
-    listed = files.filter("project_id < 10").groupBy("file_hash").agg(
+    """All files scanned into three projects, against a catalog of half of them."""
+    files = data.files().withColumn("project", F.col("file_id") % 3)
+    # One catalog row per project and content, the oldest.
+    listed = files.filter("project_id < 10").groupBy("file_hash", F.col("project").alias("project_id")).agg(
         F.min(F.struct("file_id", "process_status"))["process_status"].alias("process_status")
     )
-    scanned = files.select("file_id", "file_hash", "file_type", F.lit(0).cast("long").alias("project_id"))
-    return catalog.scan_decision(scanned, listed.withColumn("project_id", F.lit(0).cast("long")))
+    scanned = files.select("file_id", "file_hash", "file_type", F.col("project").alias("project_id"))
+    return catalog.scan_decision(scanned, listed)
 
 
 @query("scan_decision", f"WITH {SCANS} SELECT file_id, decision FROM decided")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import market, statements
 from quarry.plans.registry import query
-from quarry.plans.tables import BARS, CASHFLOW, STATEMENT, TICKS, day_text, sql_round, time_text
+from quarry.plans.tables import BARS, CASHFLOW, MONTH_TICKS, STATEMENT, TICKS, day_text, sql_round, time_text
 from quarry.sources.warehouse import with_month
 
 
@@ -91,10 +91,10 @@ def _price_history(data):
 
 @query(
     "month_part_counts",
-    "SELECT CAST(year(ts) * 100 + month(ts) AS BIGINT) AS yyyymm, count(*) AS n FROM events GROUP BY 1",
+    f"WITH {MONTH_TICKS} SELECT CAST(year(time) * 100 + month(time) AS BIGINT) AS yyyymm, count(*) AS n FROM month_ticks GROUP BY 1",
 )
 def _month_part_counts(data):
-    return with_month(data.ticks(), "time").groupBy(F.col("yyyymm").cast("long").alias("yyyymm")).agg(F.count(F.lit(1)).alias("n"))
+    return with_month(data.month_ticks(), "time").groupBy(F.col("yyyymm").cast("long").alias("yyyymm")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

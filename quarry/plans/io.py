@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.operators import tokens
 from quarry.plans.registry import query
 from quarry.plans.structured import LATEST_LINEITEM
-from quarry.plans.tables import FILES, LOGS, TICKS, day_text
+from quarry.plans.tables import FILES, LOGS, MONTH_TICKS, TICKS, day_text
 from quarry.session import scratch_path, spread
 from quarry.sources import csv, documents, json, pages, warehouse
 from quarry.streaming import bars, batches, documents as document_streams, manifests, sequence, upsert
@@ -218,14 +218,14 @@ def _append_twice_same_batch(data):
 @query(
     "sink_month_partitions",
     f"""
-    WITH {TICKS} SELECT CAST(year(time) * 100 + month(time) AS BIGINT) AS yyyymm, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume
-    FROM ticks WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-20' GROUP BY 1
+    WITH {MONTH_TICKS} SELECT CAST(year(time) * 100 + month(time) AS BIGINT) AS yyyymm, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume
+    FROM month_ticks WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-03-20' GROUP BY 1
     """,
 )
 def _sink_month_partitions(data):
     path = scratch_path(data.spark, "ticks")
-    warehouse.append_by_month(data.ticks(), path, "time")
-    start, end = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-05 00:00:00", "2024-01-20 00:00:00"))
+    warehouse.append_by_month(data.month_ticks(), path, "time")
+    start, end = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-05 00:00:00", "2024-03-20 00:00:00"))
     recent = warehouse.in_months(data.spark.read.parquet(path), "time", start, end)
     return recent.groupBy(F.col("yyyymm").cast("long").alias("yyyymm")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume")

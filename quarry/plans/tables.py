@@ -60,6 +60,11 @@ ticks AS (
   FROM events)
 """
 
+# The same over four months.
+MONTH_TICKS = f"""{TICKS}, month_ticks AS (
+  SELECT * REPLACE (time + to_months(CAST(seq % 4 AS INTEGER)) AS time) FROM ticks)
+"""
+
 BARS = f"""{TICKS}, bars AS (
   SELECT symbol, date_trunc('day', time) AS time, arg_min(price, time) AS open, max(price) AS high,
          min(price) AS low, arg_max(price, time) AS close, CAST(sum(volume) AS BIGINT) AS volume
@@ -142,6 +147,10 @@ class Data:
             F.col("event_id").alias("seq"),
         )
 
+    def month_ticks(self) -> DataFrame:
+        later = F.make_ym_interval(F.lit(0), (F.col("seq") % 4).cast("int"))
+        return self.ticks().withColumn("time", F.col("time") + later)
+
     def bars(self) -> DataFrame:
         return market.bars(self.ticks(), "day")
 
