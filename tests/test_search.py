@@ -1,8 +1,9 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import retrieval
+from quarry.operators import retrieval, search
 from quarry.operators.embedding import HashedWords, embed
 from quarry.operators.search import dense_search, sparse_search
 
@@ -58,19 +59,43 @@ def got_lists(hits):
     return out
 
 
-@pytest.mark.parametrize("max_shared", [10**6, 150], ids=["one block", "blocks"])
+@pytest.mark.parametrize("max_shared", [10**6, 20], ids=["one block", "blocks"])
 def test_dense_search_is_exact(points, asked, max_shared):
     want = brute_force(points[0], asked[0], lambda q, v, *_: float(np.dot(np.float64(np.float32(q)), np.float64(np.float32(v)))), False)
     assert got_lists(dense_search(points[1], asked[1], POOL, max_shared)) == want
 
 
-@pytest.mark.parametrize("max_shared", [10**6, 150], ids=["one block", "blocks"])
+@pytest.mark.parametrize("max_shared", [10**6, 20], ids=["one block", "blocks"])
 def test_sparse_search_is_exact(points, asked, max_shared):
     score = lambda _q, _v, w, s: sum(x * s.get(t, 0.0) for t, x in w.items())
     want = {k: v for k, v in brute_force(points[0], asked[0], score, True).items() if v}
     assert got_lists(sparse_search(points[1], asked[1], POOL, max_shared)) == want
 
 
+def test_only_projects_in_scope_are_read(points, asked, tmp_path, spark):
+    path = str(tmp_path / "collection")
+    points[1].write.partitionBy("project_id").parquet(path)
+    found = dense_search(spark.read.parquet(path), asked[1].filter("project_id = -3"), POOL)
+    scan = found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert "project_id" in scan and "-3" in scan and "IN (-3,0" not in scan
+    want = {k: v for k, v in got_lists(dense_search(points[1], asked[1], POOL)).items() if k[0] == "q2"}
+    assert got_lists(found) == want
+
+
+def test_many_sparse_queries_take_memory_by_their_tokens():
+    n, tokens = 20_000, 20
+    words = RNG.integers(0, 50_000, (n, tokens))
+    table = pa.table(
+        {
+            "question_id": [str(i) for i in range(n)], "query_no": np.zeros(n, np.int64), "project_id": np.ones(n, np.int64),
+            "tokens": pa.array([[f"w{w}" for w in row] for row in words]), "weights": pa.array(np.ones((n, tokens)).tolist()),
+        }
+    )
+    queries = search._SparseQueries.read(table)
+    held = sum(x.nbytes for x in (queries.query, queries.weight, queries.sizes, queries.starts, queries.matrix))
+    assert held < 40 * n * tokens
+
+
 def test_search_with_nothing_to_find(points, asked):
     none = points[1].filter("project_id = 77")
     assert dense_search(none, asked[1], POOL).count() == 0
