@@ -92,3 +92,11 @@ def test_only_needed_columns_are_read(plans, name, columns):
 @pytest.mark.parametrize("name", ["chunk_documents", "embed_sparse", "embed_dense"])
 def test_models_and_parsers_run_once_per_row(plans, name):
     assert plans[name].count("EvalPython") == 1
+
+
+@pytest.mark.parametrize("name", ["pct_pick", "spread_sample", "event_replay", "topic_change"])
+def test_position_helpers_read_their_input_twice_at_most(spark, name):
+    df = QUERIES[name](spark, SF_DIR)
+    df.collect()
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet", final)) <= 2
