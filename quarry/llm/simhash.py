@@ -196,21 +196,22 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS)
 
 
 def components(found: DataFrame, max_bits: int = MAX_BITS, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """`found` (doc_id, fp, ...) with `component_id`, the smallest doc_id reachable over links."""
+    """`found` (doc_id, fp, ...) with `component_id`, the smallest doc_id reachable over links,
+    and `group`, one of the fingerprints of the component."""
     owners = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-owners")
     edges = stored(links(owners.select("fp"), max_bits, cell_rows), "simhash-links")
     named = connected_components(edges).select(F.col("node").alias("fp"), "component")
     joined = owners.join(named, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = joined.select("fp", "component").join(least, "component").select("fp", "component_id")
+    ids = joined.select("fp", "component").join(least, "component").select("fp", "component_id", F.col("component").alias("group"))
     return found.join(ids, "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, text_hash, fingerprint, component_id), a row per row of `docs`."""
+    """(doc_id, text_hash, fingerprint, component_id, group), a row per row of `docs`."""
     found = stored(fingerprints(docs, shingle_words), "simhash-fingerprints")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return components(found, max_bits).select("doc_id", "text_hash", hexed.alias("fingerprint"), "component_id")
+    return components(found, max_bits).select("doc_id", "text_hash", hexed.alias("fingerprint"), "component_id", "group")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -222,9 +223,8 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     found = stored(near_duplicates(docs, shingle_words, max_bits), "simhash-groups")
     at_least = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # Repeats of the winning id only; usually one row a group.
-    winners = at_least.groupBy("component_id", "fingerprint", "doc_id", "text_hash").count()
-    group = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
-    first = F.row_number().over(Window.partitionBy("component_id", group).orderBy("text_hash"))
+    winners = at_least.groupBy("group", "doc_id", "text_hash").count()
+    first = F.row_number().over(Window.partitionBy("group").orderBy("text_hash"))
     winners = stored(winners.withColumn("rank", first).filter("rank = 1"), "simhash-winners")
     losers = found.join(winners.select("doc_id", "text_hash").alias("w"), (found["doc_id"].eqNullSafe(F.col("w.doc_id"))) & (found["text_hash"] == F.col("w.text_hash")), "left_anti")
     kept = without(docs, losers)

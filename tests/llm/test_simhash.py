@@ -102,6 +102,12 @@ def test_documents(spark, frame):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, groups.values()))
 
 
+def test_rows_without_ids_keep_one(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (None, "A b  c"), (None, "x y z"), (3, "q"), (3, "q"), (3, "Q")], "doc_id long, text string")
+    kept = sorted(str(tuple(r)) for r in simhash.keep_one(docs).collect())
+    assert len(kept) == 3 and sum("(3, " in k for k in kept) == 1 and "(None, 'x y z')" in kept
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_one(docs).count() == 0
