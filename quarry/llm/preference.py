@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.llm.common import small, stored
+
 # The markers of the chat template.
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
@@ -28,37 +30,48 @@ TURN = ("pair_id", "turn", "copy", "role", "text")
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """(pair_id, turn, copy, role, text): `copy` tells turns of one number apart."""
-    place = Window.partitionBy("pair_id", "turn").orderBy("role", "text")
+    """(pair_id, turn, copy, role, text): `copy` tells turns of one number apart.
+
+    Texts are only sorted if some number occurs twice in a conversation.
+    """
     rows = turns.filter(F.col("pair_id").isNotNull()).select("pair_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    if rows.groupBy("pair_id", "turn").count().filter("count > 1").isEmpty():
+        return rows.withColumn("copy", F.lit(1)).select(*TURN)
+    place = Window.partitionBy("pair_id", "turn").orderBy("role", "text")
     return rows.withColumn("copy", F.row_number().over(place)).select(*TURN)
 
 
-def segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """pair_id, part, turn, copy, role, header, body, train from two frames (pair_id, turn, role, text)."""
-    left, right = numbered(chosen).alias("l"), numbered(rejected).alias("r")
+def first_differences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(pair_id, first): where two numbered conversations differ first; digests stand for texts."""
+
+    def marks(rows: DataFrame, side: str) -> DataFrame:
+        digest = F.sha2(F.to_json(F.struct("role", "text")), 256)
+        return rows.select("pair_id", "turn", "copy", digest.alias("mark")).alias(side)
+
     same_place = (F.col("l.pair_id") == F.col("r.pair_id")) & F.col("l.turn").eqNullSafe(F.col("r.turn")) & (F.col("l.copy") == F.col("r.copy"))
-    both = left.join(right, same_place, "full_outer").select(
-        F.coalesce("l.pair_id", "r.pair_id").alias("pair_id"), F.coalesce("l.turn", "r.turn").alias("turn"), F.coalesce("l.copy", "r.copy").alias("copy"),
-        F.when(F.col("l.pair_id").isNotNull(), F.struct("l.role", "l.text")).alias("chosen"),
-        F.when(F.col("r.pair_id").isNotNull(), F.struct("r.role", "r.text")).alias("rejected"),
-    )
-    differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    firsts = both.filter(differs).groupBy("pair_id").agg(F.min(F.struct("turn", "copy")).alias("first"))
-    both = both.join(firsts, "pair_id", "left")
-    common = F.col("first").isNull() | (F.struct("turn", "copy") < F.col("first"))
-    sides = F.when(common, F.array(F.struct(F.lit("prompt").alias("part"), F.col("chosen").alias("t")))).otherwise(
-        F.filter(
-            F.array(*[F.struct(F.lit(s).alias("part"), F.col(s).alias("t")) for s in ("chosen", "rejected")]), lambda s: s["t"].isNotNull()
-        )
-    )
-    rows = both.select("pair_id", "turn", "copy", F.explode(sides).alias("s"))
-    role = F.coalesce("s.t.role", F.lit(""))
-    return rows.select(
-        "pair_id", F.col("s.part").alias("part"), "turn", "copy", F.col("s.t.role").alias("role"),
+    both = marks(chosen, "l").join(marks(rejected, "r"), same_place, "full_outer")
+    place = F.struct(F.coalesce("l.turn", "r.turn").alias("turn"), F.coalesce("l.copy", "r.copy").alias("copy"))
+    differing = both.filter(~F.col("l.mark").eqNullSafe(F.col("r.mark"))).select(F.coalesce("l.pair_id", "r.pair_id").alias("pair_id"), place.alias("place"))
+    return differing.groupBy("pair_id").agg(F.min("place").alias("first"))
+
+
+def segments(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """pair_id, part, turn, copy, role, header, body, train from two frames (pair_id, turn, role, text).
+
+    Texts meet only the place of their pair's first difference, by broadcast when pairs are few.
+    """
+    left, right = numbered(chosen), numbered(rejected)
+    firsts = small(stored(first_differences(left, right), "first-differences"))
+    place = F.struct("turn", "copy")
+    part = F.when(F.col("first").isNull() | (place < F.col("first")), "prompt").otherwise("chosen")
+    said = left.join(firsts, "pair_id", "left").withColumn("part", part)
+    other = right.join(firsts, "pair_id").filter(place >= F.col("first")).withColumn("part", F.lit("rejected"))
+    role = F.coalesce("role", F.lit(""))
+    return said.unionByName(other).select(
+        "pair_id", "part", "turn", "copy", "role",
         F.concat(F.lit(START), role, F.lit(MIDDLE)).alias("header"),
-        F.concat(F.coalesce("s.t.text", F.lit("")), F.lit(END)).alias("body"),
-        ((F.col("s.part") != "prompt") & (role == TRAINED_ROLE)).alias("train"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit(END)).alias("body"),
+        ((F.col("part") != "prompt") & (role == TRAINED_ROLE)).alias("train"),
     )
 
 
@@ -100,7 +113,7 @@ def swapped_endings(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     largest number; a conversation whose neighbour is missing just lacks them.
     """
     turns = conversations.select(F.col("conv_id").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    lasts = turns.groupBy("pair_id").agg(F.max("turn").alias("last"))
+    lasts = small(stored(turns.groupBy("pair_id").agg(F.max("turn").alias("last")), "last-turns"))
     turns = turns.filter(F.col("pair_id").isNotNull()).join(lasts, "pair_id")
     ending = F.col("turn").eqNullSafe(F.col("last"))
     neighbour = F.col("pair_id") + F.when(F.pmod("pair_id", F.lit(2)) == 0, 1).otherwise(-1)
