@@ -5,14 +5,22 @@ tokenised once into shards of about `SHARD_BYTES`; a shard holds its distinct wo
 the texts as numbers. Counts of all words of all training texts are summed in Spark
 and joined back shard by shard; no vocabulary of the corpus is ever in one place.
 
-The neural model predicts one of the `WORDS` most frequent words or "another word" from
-the two tokens before: vector = R[t-1] A + R[t-2] B, logit of w = vector . Q[w] + b[w].
-It is trained on all training tokens by parameter averaging: each task runs stochastic
-gradient steps of the noise-contrastive loss over its shards in numpy, Spark averages the
-parameters by tokens, once or for several `rounds`. For scoring, batched matrix products give the
-exact normaliser of every distinct context. "Another word" shares its probability
-among all other words by their smoothed counts, unseen words included, so
-the token probabilities of a context sum to one.
+The neural model works on two levels. The first predicts one of the `WORDS` most frequent
+words or "another word" from the two tokens before: vector = R[t-1] A + R[t-2] B, logit of
+w = vector . Q[w] + b[w]. It is trained on all training tokens by parameter averaging: each
+task runs stochastic gradient steps of the noise-contrastive loss over its shards in numpy,
+Spark averages the parameters by tokens, once or for several `rounds`. For scoring, batched
+matrix products give the exact normaliser of every distinct context.
+
+The second level shares out "another word" among all other training words, however many.
+The frequent words are clustered by their trained vectors, and every place of a text gets the
+component for which the words around it vote. Each distinct word has a target row (how
+often it stands at places of each component) and a context row (the same for the place that
+follows it). Rows are sums over the corpus, stay in a written table and are joined to the
+shards with the counts. p(w | context) is the sum over components k of p(k | context rows of
+the two tokens before) * (c(w) + SMOOTHING) * p(k | w) / Z(k), where Z(k) is the sum over all
+other words, one unseen word included, so the token probabilities of a context sum to one. The
+context row of a word outside the frequent ones also moves its R away from the shared one.
 
 Defined results: a null or empty text is a single end mark. Rows without an id belong to
 training. Without training rows counts are zero and the model falls back to the base
@@ -44,6 +52,12 @@ LEARNING_RATE = 0.3
 ROUNDS = 1
 SMOOTHING = 0.1
 CONTEXTS_AT_ONCE = 2048
+# Second level: components, places on each side that vote, pseudo-places of a row, weights of the two tokens before.
+COMPONENTS = 8
+WINDOW = 4
+PRIOR = 0.5
+NEAR, FAR = 1.0, 0.9
+PLACES_AT_ONCE = 1 << 16
 # The end mark; no word is empty.
 END = b""
 
@@ -267,18 +281,175 @@ def train(shards: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
     return model
 
 
+def log_normalisers(model: Model, vectors: np.ndarray) -> np.ndarray:
+    """Natural log of the sum over all targets, per context vector."""
+    out, ones = np.empty(len(vectors)), np.ones(len(model.bias), np.float32)
+    longest = np.sqrt(np.square(model.targets).sum(axis=1).max())
+    for start in range(0, len(vectors), CONTEXTS_AT_ONCE):
+        own = vectors[start : start + CONTEXTS_AT_ONCE]
+        logits = own @ model.targets.T
+        logits += model.bias
+        # Single precision holds sums of exp up to e**80; only larger ones need the maximum taken out.
+        safe = np.sqrt(np.square(own).sum(axis=1).max()) * longest + np.abs(model.bias).max() < 60
+        top = 0 if safe else logits.max(axis=1, keepdims=True)
+        if not safe:
+            logits -= top
+        np.exp(logits, out=logits)
+        out[start : start + CONTEXTS_AT_ONCE] = np.log(logits @ ones) + (0 if safe else top[:, 0])
+    return out
+
+
 def log_probabilities(model: Model, target: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log10 of the normalised probability of every target number in its context."""
-    size = len(model.words) + 2
-    pairs, at = np.unique(before.astype(np.int64) * size + last, return_inverse=True)
-    b, a = np.divmod(pairs, size)
-    vectors, normaliser = model.contexts(a, b), np.empty(len(pairs))
-    for start in range(0, len(pairs), CONTEXTS_AT_ONCE):
-        logits = vectors[start : start + CONTEXTS_AT_ONCE] @ model.targets.T + model.bias
-        top = logits.max(axis=1, keepdims=True)
-        normaliser[start : start + CONTEXTS_AT_ONCE] = np.log(np.exp(logits - top).sum(axis=1, dtype=np.float64)) + top[:, 0]
-    logits = np.einsum("ij,ij->i", vectors[at], model.targets[target]) + model.bias[target]
-    return (logits - normaliser[at]) / np.log(10)
+    """log10 of the normalised first-level probability of every target number in its context."""
+    return row_probabilities(model, target, last, before, model.rows)
+
+
+def row_probabilities(model: Model, target: np.ndarray, last: np.ndarray, before: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The same with `last` and `before` as places in a table of context rows."""
+    pairs, at = np.unique(before.astype(np.int64) * len(rows) + last, return_inverse=True)
+    b, a = np.divmod(pairs, len(rows))
+    near, far, out = rows @ model.near, rows @ model.far, np.empty(len(target))
+    normaliser = np.empty(len(pairs))
+    for start in range(0, len(pairs), PLACES_AT_ONCE):
+        own = slice(start, start + PLACES_AT_ONCE)
+        normaliser[own] = log_normalisers(model, near[a[own]] + far[b[own]])
+    for start in range(0, len(target), PLACES_AT_ONCE):
+        own = slice(start, start + PLACES_AT_ONCE)
+        t, vectors = target[own], near[last[own]] + far[before[own]]
+        out[own] = np.einsum("ij,ij->i", vectors, model.targets[t]) + model.bias[t] - normaliser[at[own]]
+    return out / np.log(10)
+
+
+def clusters(points: np.ndarray, weights: np.ndarray, k: int, turns: int = 30) -> np.ndarray:
+    """Number of the nearest of k weighted means, per point; starts from points far apart."""
+    rng, n = np.random.default_rng(5), len(points)
+    best, least = np.zeros(n, np.int64), np.inf
+    for _ in range(10):
+        means = points[[rng.choice(n, p=weights / weights.sum())]]
+        while len(means) < k:
+            far = weights * np.square(points[:, None] - means).sum(axis=2).min(axis=1)
+            means = np.vstack([means, points[rng.choice(n, p=far / far.sum()) if far.sum() > 0 else rng.integers(n)]])
+        for _ in range(turns):
+            distance = np.square(points[:, None] - means).sum(axis=2)
+            own = distance.argmin(axis=1)
+            for j in range(k):
+                if (own == j).any():
+                    means[j] = np.average(points[own == j], axis=0, weights=weights[own == j])
+        loss = (weights * distance.min(axis=1)).sum()
+        if loss < least:
+            best, least = own, loss
+    return best
+
+
+def votes_of(model: Model, components: int = COMPONENTS) -> np.ndarray:
+    """Vote of every model number for the components; other words and the start have none."""
+    k = len(model.words)
+    votes = np.zeros((k + 2, components), np.int64)
+    if k:
+        points = np.hstack([model.rows[:k], model.targets[:k]]).astype(np.float64)
+        points /= np.sqrt(np.square(points).sum(axis=1, keepdims=True)) + 1e-9
+        votes[np.arange(k), clusters(points, np.exp(model.unigram[:k].astype(np.float64)), components)] = 1
+    return votes
+
+
+def components_of(votes: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Component that the words around each place, itself left out, vote for; -1 without a vote."""
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = np.arange(len(target))
+    start, end = np.maximum(place - window, first), np.minimum(place + window + 1, first + np.repeat(lengths, lengths))
+    found, most = np.full(len(target), -1), np.zeros(len(target), np.int64)
+    for k in range(votes.shape[1]):
+        own = votes[:, k][target]
+        sums = np.append(0, np.cumsum(own))
+        around = sums[end] - sums[start] - own
+        found[around > most] = k
+        np.maximum(most, around, out=most)
+    return found
+
+
+def place_counts(names: np.ndarray, local: np.ndarray, lengths: np.ndarray, training: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Target and context rows of the words of a shard: training places of each component, and such places after them."""
+    n, k = len(names), votes.shape[1]
+    found = components_of(votes, names[local], lengths)
+    used = training & (found >= 0)
+    after = used[1:].copy()
+    after[(np.cumsum(lengths) - 1)[:-1]] = False
+    targets = np.bincount(local[used].astype(np.int64) * k + found[used], minlength=n * k)
+    contexts = np.bincount(local[:-1][after].astype(np.int64) * k + found[1:][after], minlength=n * k)
+    return targets.reshape(n, k).astype(np.int32), contexts.reshape(n, k).astype(np.int32)
+
+
+def word_rows(shards: DataFrame, model: Model, components: int = COMPONENTS) -> DataFrame:
+    """(word, c, t, n): count, target row and context row of each training word, summed over the corpus."""
+    shared = shards.sparkSession.sparkContext.broadcast((model.words, votes_of(model, components)))
+    columns = [*(f"t{k}" for k in range(components)), *(f"n{k}" for k in range(components))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, votes = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths = np.array(row["lengths"], np.int64)
+                names = np.array([words.get(w, len(words)) for w in row["words"]], np.int32)
+                t, n = place_counts(names, unpacked(row["tokens"]), lengths, ~np.repeat(row["held"], row["lengths"]), votes)
+                counts = np.array(row["n_train"], np.int32)
+                seen = np.flatnonzero(counts > 0)
+                # Bounded batches: a shard may have very many words.
+                for at in np.array_split(seen, len(seen) // 65536 + 1):
+                    values = [pa.array([row["words"][i] for i in at], pa.binary()), pa.array(counts[at])]
+                    values += [pa.array(np.ascontiguousarray(v[at, k])) for v in (t, n) for k in range(components)]
+                    yield pa.RecordBatch.from_arrays(values, names=["word", "c", *columns])
+
+    used = shards.select("words", "n_train", "tokens", "held", "lengths")
+    parts = used.mapInArrow(run, ", ".join(["word binary", "c int", *(f"{c} int" for c in columns)]))
+    sums = parts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ["c", *columns]))
+    return stored(sums.select("word", "c", F.array(*columns[:components]).alias("t"), F.array(*columns[components:]).alias("n")), "lm-rows")
+
+
+@dataclass(frozen=True)
+class Sharing:
+    """How "another word" is shared out: shares and normalisers of the components, R of a word by component."""
+
+    shares: np.ndarray
+    normalisers: np.ndarray
+    moves: np.ndarray
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """Share of each component given a row of places; the shares of all without any."""
+        return (places + PRIOR * self.shares) / (places.sum(axis=1, keepdims=True) + PRIOR)
+
+    def rows(self, model: Model, names: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Context rows of words: the trained one, or the shared one moved by the word's own places."""
+        other = (names == len(model.words))[:, None]
+        return np.where(other, model.rows[names] + self.of(contexts) @ self.moves, model.rows[names]).astype(np.float32)
+
+    def log_shares(self, counts: np.ndarray, targets: np.ndarray, contexts: np.ndarray, word: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """log10 p(word | another word, last, before) for places in the tables of words given first."""
+        weight = np.log(self.of(contexts) / self.shares)
+        per_word = (counts + SMOOTHING)[:, None] * self.of(targets) / self.normalisers
+        out = np.empty(len(word))
+        for start in range(0, len(word), PLACES_AT_ONCE):
+            own = slice(start, start + PLACES_AT_ONCE)
+            pull = np.log(self.shares) + NEAR * weight[last[own]] + FAR * weight[before[own]]
+            pull = np.exp(pull - pull.max(axis=1, keepdims=True))
+            out[own] = np.log10(np.einsum("ij,ij->i", pull, per_word[word[own]]) / pull.sum(axis=1))
+        return out
+
+
+def sharing(rows: DataFrame, model: Model, components: int = COMPONENTS) -> Sharing:
+    """Two passes over the rows of the other words: places of each component, then normalisers."""
+    numbers = rows.sparkSession.createDataFrame([(w,) for w in model.words], "word binary")
+    others = rows.join(F.broadcast(numbers), "word", "left_anti")
+    found = others.agg(*(F.sum(F.col("t")[k]) for k in range(components))).first()
+    places = np.array([v or 0 for v in found], np.float64) + 1
+    shares = places / places.sum()
+    all_places = F.aggregate("t", F.lit(0).cast("long"), lambda a, b: a + b)
+    weight = [(F.col("c") + SMOOTHING) * (F.col("t")[k] + float(PRIOR * shares[k])) / (all_places + PRIOR) for k in range(components)]
+    normalisers = np.array([v or 0 for v in others.agg(*map(F.sum, weight)).first()], np.float64) + SMOOTHING * shares
+    # R by component: mean of the frequent words that vote for it, less the mean over components.
+    k = len(model.words)
+    votes = votes_of(model, components)[:k].astype(np.float64) * np.exp(model.unigram[:k].astype(np.float64))[:, None]
+    means = votes.T @ model.rows[:k] / np.maximum(votes.sum(axis=0), 1e-12)[:, None]
+    return Sharing(shares, normalisers, means - shares @ means)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -287,15 +458,19 @@ SCORES_ARROW = pa.schema(
 )
 
 
-def shard_scores(row: dict, counts: np.ndarray, names: np.ndarray, model: Model) -> pa.Table:
-    """Scores of all texts of a shard, given the training count and model number of each of its words."""
+def shard_scores(row: dict, counts: np.ndarray, names: np.ndarray, targets: np.ndarray, contexts: np.ndarray, model: Model, share: Sharing) -> pa.Table:
+    """Scores of all texts of a shard, given training count, model number, target and context row of each of its words."""
     lengths, local = np.array(row["lengths"], np.int64), unpacked(row["tokens"])
-    target, last, before = numbered(names, local, lengths, len(model.words))
+    # One more word stands before a text; it has a trained row and no places.
+    start, none = len(names), np.zeros((1, targets.shape[1]))
+    counts, names = np.append(counts, 0), np.append(names, len(model.words) + 1)
+    targets, contexts = np.vstack([targets, none]), np.vstack([contexts, none])
+    _, last, before = numbered(np.arange(start), local, lengths, start - 1)
     first = np.cumsum(lengths) - lengths
-    base = model.base(counts)
-    neural = log_probabilities(model, target, last, before)
-    # Another word: its part of the smoothed share of all other words.
-    neural += np.where(target == len(model.words), base[local] - np.log10(model.other), 0)
+    base, target = model.base(counts), names[local]
+    neural = row_probabilities(model, target, last, before, share.rows(model, names, contexts))
+    other = np.flatnonzero(target == len(model.words))
+    neural[other] += share.log_shares(counts, targets, contexts, local[other], last[other], before[other])
     columns = [
         pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths),
         pa.array(np.add.reduceat((counts > 0)[local].astype(np.int64), first)),
@@ -310,20 +485,23 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, words: int = WO
     `docs` has doc_id, text and held_out; counts and model come from rows not held out.
     """
     shards = build_shards(docs, shard_bytes)
-    counts = word_counts(shards)
-    model = train(shards, new_model(counts, words), rounds)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = train(shards, new_model(word_counts(shards), words), rounds)
+    rows = word_rows(shards, model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, sharing(rows, model)))
     numbers = docs.sparkSession.createDataFrame(list(model.words.items()), "word binary, number int")
     own = shards.select(F.col("shard").alias("part"), F.posexplode("words").alias("at", "word"))
-    known = own.join(counts, "word").join(F.broadcast(numbers), "word", "left").select("part", "at", "c", "number")
+    known = own.join(rows, "word").join(F.broadcast(numbers), "word", "left").select("part", "at", "c", "number", "t", "n")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, model = left.to_pylist()[0], shared.value
+        row, (model, share) = left.to_pylist()[0], shared.value
         found, names = np.zeros(row["n_words"], np.int64), np.full(row["n_words"], len(model.words), np.int32)
+        targets, contexts = np.zeros((2, row["n_words"], COMPONENTS))
         at = right.column("at").to_numpy()
         found[at] = right.column("c").to_numpy()
         names[at] = pc.fill_null(right.column("number"), len(model.words)).to_numpy()
-        return shard_scores(row, found, names, model)
+        for values, name in ((targets, "t"), (contexts, "n")):
+            values[at] = pc.list_flatten(right.column(name)).to_numpy().reshape(-1, COMPONENTS)
+        return shard_scores(row, found, names, targets, contexts, model, share)
 
     texts = shards.select("shard", F.size("words").alias("n_words"), "tokens", "doc_ids", "held", "lengths")
     scored = texts.groupBy("shard").cogroup(known.groupBy("part")).applyInArrow(score, SCORES)

@@ -72,3 +72,34 @@ def test_held_out_text_scores_above_base(spark):
 
     found = QUERIES["op7_lm_score"](spark, "/root/testdata/sf0.01").filter("held_out").toPandas()
     assert len(found) > 50 and found.score.sum() > found.base_score.sum()
+
+
+def test_every_training_word_has_rows_of_its_own(spark):
+    """With two frequent words besides the end mark, all x and y are "another word"; x stand beside a, y beside b."""
+    rows = [(k, " ".join(f"{'ab'[k % 2]} {'xy'[k % 2]}{(k // 2 * 3 + i) % 20}" for i in range(6)), False) for k in range(200)]
+    asked = [(1000, "a x1", True), (1001, "a y1", True), (1002, "x3 x4", True), (1003, "x3 y4", True)]
+    found = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows + asked, SCHEMA).coalesce(1), words=3, rounds=20).collect()}
+    # Equal counts, so only the words' own target and context rows tell these apart.
+    for likely, unlikely in ((1000, 1001), (1002, 1003)):
+        assert found[likely]["base_score"] == pytest.approx(found[unlikely]["base_score"])
+        assert found[likely]["score"] > found[unlikely]["score"] + 0.1
+
+
+def test_shares_of_other_words_sum_to_one(spark):
+    shards = lm.build_shards(spark.createDataFrame(ROWS, SCHEMA))
+    model = lm.train(shards, lm.new_model(lm.word_counts(shards), words=4))
+    table = lm.word_rows(shards, model)
+    share = lm.sharing(table, model)
+    assert table.count() == model.distinct
+    rows = [r for r in table.collect() if bytes(r["word"]) not in model.words]
+    n, unseen = len(rows), np.zeros((1, lm.COMPONENTS))
+    counts = np.array([r["c"] for r in rows] + [0])
+    targets, contexts = np.vstack([[r["t"] for r in rows], unseen]), np.vstack([[r["n"] for r in rows], unseen])
+    names = np.full(n + 1, len(model.words))
+    for last, before in ((0, 1), (n, 2), (n, n)):
+        at = [np.full(n + 1, last), np.full(n + 1, before)]
+        p = 10 ** share.log_shares(counts, targets, contexts, np.arange(n + 1), *at)
+        assert p.sum() == pytest.approx(1, abs=1e-6)
+        first = [v[: len(model.words) + 1] for v in np.resize(at, (2, 9))]
+        p = 10 ** lm.row_probabilities(model, np.arange(len(model.words) + 1), *first, share.rows(model, names, contexts))
+        assert p.sum() == pytest.approx(1, abs=1e-4)
