@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterator
+from html.entities import html5
 from typing import Protocol
 
 import pandas as pd
@@ -15,13 +17,17 @@ from quarry.functions.text import is_web_url, strip
 SKIPPED_TAGS = ("script", "style", "nav", "footer", "header", "aside", "form")
 LINE_TAGS = ("p", "br", "li", "h1", "h2", "h3", "h4")
 
-# Named character references that are spelled out.
-ENTITIES = {
-    "quot;?": '"', "apos;": "'", "lt;?": "<", "gt;?": ">", "nbsp;?": "\u00a0", "copy;?": "©", "reg;?": "®", "middot;?": "·",
-    "hellip;": "…", "ndash;": "–", "mdash;": "—", "laquo;?": "«", "raquo;?": "»", "lsquo;": "‘", "rsquo;": "’",
-    "ldquo;": "“", "rdquo;": "”", "bull;": "•", "trade;": "™", "euro;": "€", "amp;?": "&",
-}
-
+# The HTML5 names by what they stand for; names that need no semicolon come first, as lookups go in order.
+ENTITIES = dict(sorted(html5.items(), key=lambda e: (e[0].rstrip(";") not in html5, e[0])))
+_OPEN_NAMES = sorted((n for n in ENTITIES if not n.endswith(";")), key=len, reverse=True)
+# Numbers that stand for another character than their own, or for none.
+_ODD_NUMBERS = {
+    n: html.unescape(f"&#{n};")
+    for n in (*range(0xA0), *range(0xFDD0, 0xFDF0), *(p << 16 | n for p in range(17) for n in (0xFFFE, 0xFFFF)))
+    if html.unescape(f"&#{n};") != chr(n)
+}
+
+_REFERENCE = r"&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\f <&#;]{1,32};?|[^&]+|&"
 _UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _MARKUP = r"<[^>]*>|[^<]+|<"
 _TAG = r"^</?([a-zA-Z][a-zA-Z0-9]*)"
@@ -33,21 +39,34 @@ class PageExtractor(Protocol):
     def extract(self, html: str) -> tuple[str, str]: ...
 
 
+def _lookup(table: dict) -> Column:
+    """A fixed map as one folded literal."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def _spelled(ref: Column) -> Column:
+    """One reference, `&` and all, by the rules of HTML5."""
+    hexadecimal = F.lower(F.substring(ref, 3, 1)) == "x"
+    digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    value = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(F.conv(digits, 10, 10)).cast("long")
+    code = F.when(digits == "", 0).when(F.length(digits) > 7, 0x110000).otherwise(value)
+    known = (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD).cast("long")), 8, "0")), "UTF-32")
+    number = F.coalesce(F.element_at(_lookup(_ODD_NUMBERS), code.cast("string")), char)
+    name = F.substring(ref, 2, 40)
+    prefix = "^(" + "|".join(_OPEN_NAMES) + ")"
+    start = F.regexp_extract(name, prefix, 1)
+    opened = F.concat(F.element_at(_lookup({n: ENTITIES[n] for n in _OPEN_NAMES}), start), F.regexp_replace(name, prefix, ""))
+    return F.when(F.startswith(ref, F.lit("&#")) & (F.length(ref) > 2), number).otherwise(
+        F.coalesce(F.element_at(_lookup(ENTITIES), name), F.when(start != "", opened), ref)
+    )
+
+
 def unescape(text: Column) -> Column:
-    """Character references spelled out: all numeric ones and the names in `ENTITIES`."""
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(1)))
-
-    def spell(acc: Column, number: Column) -> Column:
-        hexadecimal = F.lower(F.substring(number, 1, 1)) == "x"
-        code = F.when(hexadecimal, F.conv(F.substring(number, 2, 6), 16, 10)).otherwise(number).cast("int")
-        known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD).cast("long")), 8, "0")), "UTF-32")
-        return F.replace(acc, F.concat(F.lit("&#"), number, F.lit(";")), char)
-
-    text = F.aggregate(numbers, text, spell)
-    for name, char in ENTITIES.items():
-        text = F.regexp_replace(text, "&" + name, char)
-    return text
+    """Character references spelled out as `html.unescape` does, each place once."""
+    parts = F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    spelled = F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("&")), _spelled(p)).otherwise(p)), "")
+    return F.when(F.contains(text, F.lit("&")), spelled).otherwise(text)
 
 
 def visible_text(html: Column) -> Column:

@@ -183,3 +183,16 @@ def test_component_logs(spark, tmp_path):
     df = spark.createDataFrame([("rag", 1), (None, 2), ("", 3)], "component STRING, x INT")
     warehouse.append_component_logs(df, str(tmp_path))
     assert sorted(p.name for p in tmp_path.glob("component=*")) == ["component=rag", "component=unknown"]
+
+
+def test_character_references(spark):
+    """Every HTML5 name and the rules for numbers, against the standard library."""
+    import html
+    from html.entities import html5
+
+    from pyspark.sql import functions as F
+
+    texts = ["".join(f"[&{n}]" for n in html5), "&eacute; &uuml &szligx &zwj; &unknown; &#233 &#x00000e9; &#150; &#0; &#xD800; &#99999999999; &#x1F600; &# & &;"]
+    texts += ["&amp;lt; &lt; &copy &copy; &notit; &notin;", "&#1; &#65534; &#13; &#x80;", "none", "&"]
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", pages.unescape(F.col("t")).alias("u")).collect()
+    assert [r["u"] for r in found] == [html.unescape(r["t"]) for r in found]
