@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, decontaminate, langid, link_graph, lm, preference, quality_model, rules, simhash, warc
+from quarry.llm import bpe, decontaminate, langid, link_graph, lm, preference, quality_model, repair, rules, simhash, token_counts, warc, whitening
 from quarry.llm.common import in_fold, prepare
+from quarry.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -214,3 +215,113 @@ def op10(documents: DataFrame) -> DataFrame:
     model = langid.train(documents.filter(~held_out).select("doc_id", "text", "lang"))
     found = langid.identify(documents.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+# Cached token counts live here; unset, every run starts with an empty cache of its own.
+TOKEN_CACHE = "spark.quarry.tokenCache"
+
+
+@query("op11_token_counts", "documents")
+def op11(documents: DataFrame) -> DataFrame:
+    spark = documents.sparkSession
+    cache = spark.conf.get(TOKEN_CACHE, None) or scratch_path(spark, "token-cache")
+    tokenizer = token_counts.load_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(documents.select("doc_id", "text"), tokenizer, cache, limit=1024)
+
+
+@query("op12_whitening", "embeddings")
+def op12(embeddings: DataFrame) -> DataFrame:
+    return whitening.whiten(embeddings.select("vec_id", "embedding"))
+
+
+def op13_sql() -> str:
+    """The cheapest edits row by row: per place of the pattern the least (cost, audit, repaired text) so far.
+
+    The checksum is worked out bit by bit, as SQL has none.
+    """
+    inserts = {(p, q): (c, a) for (p, q), (c, a) in repair.NOTHING.items() if p != q}
+    words = {"I": {0: ["user:"], 1: ["user:"], 2: ["assistant:"], 3: ["user:"]}}
+
+    def cell(source: str, cost: str, audit: str, line: str | None) -> str:
+        text = f"{source}.o" if line is None else f"CASE WHEN {source}.o IS NULL THEN {line} ELSE {source}.o || chr(10) || {line} END"
+        return f"{{'c': {source}.c + {cost}, 'a': {source}.a || '{audit}', 'o': {text}}}"
+
+    def least(cells: list[str]) -> str:
+        return f"list_sort(list_filter([{', '.join(cells)}], lambda x: x.c IS NOT NULL))[1]"
+
+    def closed(names: dict[int, str]) -> dict[int, str]:
+        """Places after any insertions, from places before them."""
+        out = {}
+        for q in repair.PLACES:
+            cells = [names[q]]
+            for (p, to), (cost, audit) in inserts.items():
+                if to == q:
+                    lines, at = [], p
+                    for _ in audit:
+                        lines += words["I"][at]
+                        at = 3 if at == 2 else 2
+                    cells.append(cell(names[p], str(cost), audit, "'" + "' || chr(10) || '".join(lines) + "'"))
+            out[q] = least(cells)
+        return out
+
+    start = {0: "{'c': 0, 'a': '', 'o': CAST(NULL AS VARCHAR)}"}
+    start |= {q: "{'c': CAST(NULL AS INTEGER), 'a': '', 'o': CAST(NULL AS VARCHAR)}" for q in (1, 2, 3)}
+    before = {q: f"s{q}" for q in repair.PLACES}
+    after = {}
+    for q in repair.PLACES:
+        cells = [cell(before[q], str(repair.DELETE), "D", None)]
+        for (initial, p), to in repair.STEPS.items():
+            if to == q:
+                keep = f"CASE WHEN initial = '{initial}' AND NOT must THEN {repair.KEEP} + late END"
+                cells.append(cell(before[p], keep, "K", "line"))
+                if initial in repair.ROLES:
+                    role = f"CASE WHEN NOT must THEN {repair.REROLE} + late END"
+                    cells.append(cell(before[p], role, "R", f"'{repair.ROLES[initial]}:' || text"))
+        after[q] = least(cells)
+    pick = lambda cells: ", ".join(f"{e} AS s{q}" for q, e in cells.items())
+    white = r"[\x20\x09-\x0D]"
+    zeros = ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))
+    return rf"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+bits AS (
+  SELECT DISTINCT name, list_transform(range(0, 8 * length(name)), lambda i: (ascii(substr(name, CAST(i // 8 + 1 AS BIGINT), 1)) >> CAST(i % 8 AS INTEGER)) & 1) AS bits FROM named),
+kinds AS (
+  SELECT name, xor(list_reduce(list_concat([4294967295], bits), lambda c, b: xor(c >> 1, CASE WHEN xor(c & 1, b) = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 20 AS kind FROM bits),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM named JOIN kinds USING (name) WHERE kind <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+    regexp_extract(text, '([^ 	-
+]){white}*$', 1) AS said, substr(role, 1, 1) AS initial FROM damaged),
+facts AS (
+  SELECT *, said = '' AS blank, said <> '' AND again > 1 AS duplicate, said NOT IN ('', '.', '!', '?') AND again = 1 AS truncated,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS previous FROM numbered),
+rows AS (
+  SELECT conv_id, pos, initial, text, role || ':' || text AS line, blank OR duplicate AS must,
+    CASE WHEN truncated THEN {repair.TRUNCATED} ELSE 0 END AS late FROM facts),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate,
+    count_if(truncated) AS truncated, count_if(previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM facts GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, {pick({q: closed(start)[q] for q in repair.PLACES})} FROM counts
+  UNION ALL
+  SELECT conv_id, pos, {pick(closed(before))} FROM (
+    SELECT conv_id, r.pos, {pick(after)} FROM steps JOIN rows r USING (conv_id) WHERE r.pos = steps.pos + 1)),
+ends AS (
+  SELECT conv_id, {least(["s0", "s3"])} AS e FROM steps JOIN counts USING (conv_id) WHERE pos = n),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, {zeros}, CAST(coalesce(e.c, 0) AS BIGINT) AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(e.o, '')) AS repaired_sha256
+FROM ids LEFT JOIN counts ON ids.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN ends ON ids.conv_id IS NOT DISTINCT FROM ends.conv_id
+"""
+
+
+@query("op13_structure_repair", "conversations", sql=op13_sql())
+def op13(conversations: DataFrame) -> DataFrame:
+    return repair.repair(conversations, repair.damaged(conversations))
