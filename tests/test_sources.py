@@ -162,6 +162,34 @@ def test_pages(spark):
     assert pages.pages_to_text(df.limit(1), Broken()).first().error == "html parse failed: no"
 
 
+def test_page_segments_do_not_show(spark):
+    """Skipped tags, titles and lines that reach over segments, unclosed and stray tags, no tags at all."""
+    import random
+
+    rng = random.Random(3)
+    bits = ["<nav>", "</nav>", "<title>", "</title>", "<p>", "</p>", "<br/>", "text ", " &lt;x&gt; ", "<", "<!doctype>", "<form>", "</form>", "<div>", "\n"]
+    data = ["".join(rng.choices(bits, k=n)) for n in (1, 2, 5, 30, 60, 90, 200) for _ in range(6)]
+    data += ["", "plain", "<<<", "a < b > c", "<nav>" * 9 + "x" + "</nav>" * 9 + "y", "</nav>x<nav>y</nav>z"]
+    df = spark.createDataFrame(list(enumerate(data)), "i int, html string")
+    views = [{r["i"]: tuple(r["p"]) for r in df.select("i", pages.visible_text(F.col("html"), size).alias("p")).collect()} for size in (1, 3, 16, 1000)]
+    assert views[0] == views[1] == views[2] == views[3]
+    assert views[0][len(data) - 1] == ("", "x z") and views[0][len(data) - 2] == ("", "y")
+
+
+def test_page_time_grows_with_the_page(spark):
+    import time
+
+    def seconds(tags):
+        df = spark.createDataFrame([("<p>word &amp; more</p>" * (tags // 2),)], "html string")
+        started = time.perf_counter()
+        assert df.select(pages.visible_text(F.col("html")).alias("p")).first()["p"]["text"].count("more") == tags // 2
+        return time.perf_counter() - started
+
+    seconds(1000)
+    short = min(seconds(40_000) for _ in range(2))
+    assert seconds(160_000) < 6 * short  # a fold that copies takes sixteen times as long
+
+
 def test_month_folders_are_pruned_and_hot_months_split(spark, tmp_path):
     hot = spark.range(4000).select(
         F.lit("A").alias("symbol"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(id % 40000 AS INT))").alias("time"), "id"
