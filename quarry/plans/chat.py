@@ -229,7 +229,7 @@ def _usage_normalise(data):
     """
     WITH q AS (
       SELECT conv_id, turn, turn % 4 = 3 AS unclear, 'original ' || CAST(conv_id AS VARCHAR) AS original,
-             CASE WHEN turn % 3 = 0 THEN '' ELSE substring(text, 1, 30) END AS rewritten,
+             CASE WHEN turn % 3 = 0 THEN '' ELSE trim(text, E' \\n') END AS rewritten,
              list_transform(string_split(text, '.'), lambda x: trim(x, E' \\n')) AS passages FROM conversations),
     b AS (SELECT *, CASE WHEN unclear OR rewritten = '' THEN original ELSE rewritten END AS base FROM q),
     e AS (SELECT conv_id, turn, unnest(list_concat([base], CASE WHEN unclear THEN [] ELSE passages END)) AS t,
@@ -242,7 +242,7 @@ def _usage_normalise(data):
 def _query_list(data):
     queries = arrays.query_list(
         F.concat(F.lit("original "), F.col("conv_id").cast("string")),
-        F.when(F.col("turn") % 3 == 0, "").otherwise(F.substring("text", 1, 30)),
+        F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("text")),
         F.split("text", r"\."),
         F.col("turn") % 4 == 3,
     )

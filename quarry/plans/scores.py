@@ -90,25 +90,24 @@ scores AS (
   SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'e2e' WHEN 1 THEN 'rag' ELSE 'agent' END AS layer,
          'run' || CAST(doc_id % 2 AS VARCHAR) AS run, quality, toxic FROM labels),
 long AS (
-  SELECT run, layer || '.quality' AS metric, CAST(quality AS DOUBLE) AS value FROM scores WHERE layer <> 'agent'
-  UNION ALL SELECT run, layer || '.toxic', toxic / 3.0 FROM scores WHERE layer <> 'agent'
-  UNION ALL SELECT run, layer || '.none', NULL FROM scores WHERE layer <> 'agent')
+  SELECT run, layer || '.quality' AS metric, CAST(quality AS DOUBLE) AS value FROM scores
+  UNION ALL SELECT run, layer || '.toxic', toxic / 3.0 FROM scores
+  UNION ALL SELECT run, layer || '.none', NULL FROM scores)
 """
 
 
 def _scores(data):
-    """Score maps of two layers; the agent layer has none."""
+    """Score maps of all three layers."""
     doc = F.col("doc_id")
     metrics = F.create_map(
         F.lit("quality"), F.col("quality").cast("double"), F.lit("toxic"), F.col("toxic") / 3.0, F.lit("none"), F.lit(None).cast("double")
     )
-    rows = data.table("labels").select(
+    return data.table("labels").select(
         doc.alias("id"),
         pick(evaluation.LAYERS, doc % 3).alias("layer"),
         F.concat(F.lit("run"), (doc % 2).cast("string")).alias("run"),
         metrics.alias("metrics"),
     )
-    return rows.filter("layer <> 'agent'")
 
 
 @query(

@@ -276,3 +276,13 @@ def test_citations_and_language(spark):
     assert cite("[99999999999999]", [1]) == 0.0
     clean = lambda a: one(spark, evaluation.language_clean(F.col("x")), "x STRING", (a,))
     assert [clean(a) for a in ("fine", "fine 中", "ok\n  ## Head", "# a Ж", "", None, "#tag")] == [1.0, 0.4, 0.6, 0.0, 0.0, 0.0, 1.0]
+
+
+def test_a_layer_without_scores_averages_to_zero(spark, rows):
+    """Two layers have scores, one metric of them none; the third layer is empty."""
+    from quarry.operators import evaluation
+
+    summary = spark.createDataFrame([("e2e.a", 0.5), ("e2e.b", 1.0), ("rag.a", 0.25)], "metric string, mean double")
+    assert rows(evaluation.layer_averages(summary)) == [("agent", 0.0), ("e2e", 0.75), ("rag", 0.25)]
+    scores = spark.createDataFrame([("e2e", {"a": 1.0}), ("e2e", {"a": None}), ("rag", {"b": None}), ("agent", {})], "layer string, metrics map<string, double>")
+    assert rows(evaluation.score_summary(scores.selectExpr("1 AS id", "*")))[0][0] == "e2e.a"
