@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from quarry.functions.text import cut, first_of, normalize_prefixes, strip, words
 from quarry.operators.embedding import Embedder, embed
 from quarry.operators.ranking import top_n
-from quarry.operators.search import dense_search, sparse_search
+from quarry.operators.search import dense_search, hybrid_search
+from quarry.operators.search_index import DenseIndex, SparseIndex
 from quarry.session import checkpoint
 
 # Ranking constants and cuts.
@@ -179,24 +180,25 @@ def retrieve(
     top: int = TOP_N,
     hybrid: bool = True,
     scorer: Scorer = word_overlap,
+    indexes: tuple[DenseIndex, SparseIndex] | None = None,
 ) -> DataFrame:
-    """The best chunks for every question.
+    """The best chunks for every question. Runs jobs while it is called: queries are embedded, counted and searched.
 
     `questions`: `question_id, project_id, queries` (texts, the rewrite first)
     and optionally `prefixes` and `rerank_query`. `index`: stored chunks with
-    `id, project_id, file_name, text, embedding, sparse`; it is scanned once per
-    vector kind, and once for the names and texts of the hits.
+    `id, project_id, file_name, text, embedding, sparse`; it is scanned once for both vector
+    kinds, and once for the names and texts of the hits. With `indexes` written over the same chunks, only
+    what can still hold a hit is read.
     """
     # Queries are embedded once; the size of what follows is known from their number.
     vectors = checkpoint(embed(exploded_queries(questions), embedder))
     prefixes = questions.select("question_id", "prefixes") if "prefixes" in questions.columns else None
     if hybrid:
         pool = max(2 * top_k, MIN_POOL)
-        dense = dense_search(index, vectors, pool).withColumn("kind", F.lit(0))
-        hits = dense.unionByName(sparse_search(index, vectors, pool).withColumn("kind", F.lit(1)))
+        hits = _both_kinds(indexes, vectors, pool) if indexes else hybrid_search(index, vectors, pool)
     else:
         pool = 4 * top_k
-        hits = dense_search(index, vectors, pool).withColumn("kind", F.lit(0))
+        hits = (indexes[0].search(vectors, pool) if indexes else dense_search(index, vectors, pool)).withColumn("kind", F.lit(0))
     if vectors.count() * 2 * pool <= MAX_SHARED_HITS:
         small = F.broadcast
     else:
@@ -214,6 +216,11 @@ def retrieve(
     return rerank(candidates, scorer, top)
 
 
+def _both_kinds(indexes: tuple[DenseIndex, SparseIndex], vectors: DataFrame, pool: int) -> DataFrame:
+    dense, sparse = (index.search(vectors, pool).withColumn("kind", F.lit(k)) for k, index in enumerate(indexes))
+    return dense.unionByName(sparse)
+
+
 def _unchanged(df: DataFrame) -> DataFrame:
     return df
 

@@ -1,7 +1,9 @@
-"""Exact nearest-chunk search for tables of queries.
+"""Exact nearest-chunk search for tables of queries, by a scan of the chunks in scope.
 
 Queries are answered block by block; a block is bounded by its vector entries or
-tokens and sent to all tasks, chunks stay where they are. Chunks of projects that no
+tokens and sent to all tasks, chunks stay where they are. The driver holds one block at a time: the hits of a block
+are written before the next one is fetched. A hybrid search scores both kinds of vectors in one scan.
+For collections that are searched often, `search_index` writes indexes that read less. Chunks of projects that no
 query of a block may see are filtered before they reach Python, so a collection that is partitioned by
 project is pruned. Every task keeps only the best `pool` per query, so what is shuffled
 grows with queries and tasks, never with query-chunk pairs.
@@ -9,16 +11,17 @@ grows with queries and tasks, never with query-chunk pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.ranking import top_n
+from quarry.session import checkpoint
 
 # Vector entries or tokens of a block of queries that is sent to every task.
 MAX_SHARED_VALUES = 4_000_000
@@ -29,9 +32,9 @@ MAX_LISTED_PROJECTS = 1000
 SCORE_CELLS = 4_000_000
 SCORE_DIGITS = 12
 
-HIT_SCHEMA = "question_id STRING, query_no BIGINT, id STRING, score DOUBLE"
+HIT_SCHEMA = "kind INT, question_id STRING, query_no BIGINT, id STRING, score DOUBLE"
 _HIT_FIELDS = pa.schema(
-    [("question_id", pa.string()), ("query_no", pa.int64()), ("id", pa.string()), ("score", pa.float64())]
+    [("kind", pa.int32()), ("question_id", pa.string()), ("query_no", pa.int64()), ("id", pa.string()), ("score", pa.float64())]
 )
 
 
@@ -54,6 +57,8 @@ class _Queries:
     query_no: np.ndarray
     project_id: np.ndarray
 
+    # Place of this kind of list among those of a hybrid search.
+    kind = 0
     positive_only = False
     matrix = np.zeros((0, 0))
 
@@ -91,6 +96,7 @@ class _DenseQueries(_Queries):
 class _SparseQueries(_Queries):
     """Postings of the query tokens: for each token the queries and weights, in flat arrays."""
 
+    kind = 1
     positive_only = True
 
     def prepare(self, table: pa.Table) -> None:
@@ -137,18 +143,20 @@ class _Leaders:
         empty = (np.array([], dtype=object), np.array([], dtype=np.float64))
         self.hits = [empty] * len(queries.question_id)
 
-    def add(self, chunks: pa.Table) -> None:
+    def add(self, chunks: pa.Table, only: np.ndarray | None = None) -> None:
+        """Score chunks against all queries of the block, or `only` some of them."""
         step = max(64, SCORE_CELLS // max(1, *self.queries.matrix.shape))
         for at in range(0, len(chunks), step):
-            self._add(chunks.slice(at, step))
+            self._add(chunks.slice(at, step), only)
 
-    def _add(self, chunks: pa.Table) -> None:
+    def _add(self, chunks: pa.Table, only: np.ndarray | None) -> None:
         ids = np.array(chunks["id"].to_pylist(), dtype=object)
         visible = self.queries.visible(chunks["project_id"].to_numpy(zero_copy_only=False))
         scores = self.queries.scores(chunks)
         if self.queries.positive_only:
             visible &= scores > 0
-        for q, (old_ids, old_scores) in enumerate(self.hits):
+        for q in range(len(self.hits)) if only is None else only:
+            old_ids, old_scores = self.hits[q]
             rows = np.flatnonzero(visible[:, q])
             rows = rows[_best(ids[rows], scores[rows, q], self.pool)]
             if len(rows):
@@ -160,6 +168,7 @@ class _Leaders:
     def table(self) -> pa.Table:
         sizes = [len(ids) for ids, _ in self.hits]
         columns = [
+            np.full(sum(sizes), self.queries.kind),
             np.repeat(np.array(self.queries.question_id, dtype=object), sizes),
             np.repeat(self.queries.query_no, sizes),
             np.concatenate([ids for ids, _ in self.hits]) if self.hits else [],
@@ -171,9 +180,9 @@ class _Leaders:
 class _Scan:
     """Leaders of any number of queries, scored in blocks."""
 
-    def __init__(self, reader: type[_Queries], queries: pa.Table, pool: int):
+    def __init__(self, readers: Sequence[type[_Queries]], queries: pa.Table, pool: int):
         starts = range(0, len(queries), QUERY_BLOCK)
-        self.blocks = [_Leaders(reader.read(queries.slice(at, QUERY_BLOCK)), pool) for at in starts]
+        self.blocks = [_Leaders(reader.read(queries.slice(at, QUERY_BLOCK)), pool) for reader in readers for at in starts]
 
     def add(self, chunks: pa.Table) -> None:
         for block in self.blocks:
@@ -183,11 +192,11 @@ class _Scan:
         return pa.concat_tables([_HIT_FIELDS.empty_table(), *(block.table() for block in self.blocks)])
 
 
-def _shared_search(chunks: DataFrame, block: pa.Table, reader: type[_Queries], pool: int) -> DataFrame:
+def _shared_search(chunks: DataFrame, block: pa.Table, readers: Sequence[type[_Queries]], pool: int) -> DataFrame:
     shared = chunks.sparkSession.sparkContext.broadcast(block)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Scan(reader, shared.value, pool)
+        best = _Scan(readers, shared.value, pool)
         for batch in batches:
             best.add(pa.Table.from_batches([batch]))
         yield from best.table().to_batches()
@@ -206,19 +215,42 @@ def _in_scope(chunks: DataFrame, block: pa.Table) -> DataFrame:
     return chunks.join(F.broadcast(listed), "project_id", "left_semi").select(*chunks.columns)
 
 
-def _search(
-    chunks: DataFrame, queries: DataFrame, size: str, reader: type[_Queries], pool: int, max_shared: int
-) -> DataFrame:
+def query_blocks(queries: DataFrame, size: str, max_shared: int) -> Iterator[DataFrame]:
+    """The queries in blocks of about `max_shared` entries of the list column `size`."""
     values = queries.agg(F.coalesce(F.sum(F.size(size)), F.lit(0))).first()[0]
     blocks = 1 + int(values) // max_shared
-    hits = None
     for k in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("question_id", "query_no"), F.lit(blocks)) == k) if blocks > 1 else queries
+        yield queries.filter(F.pmod(F.xxhash64("question_id", "query_no"), F.lit(blocks)) == k) if blocks > 1 else queries
+
+
+def best_hits(hits: DataFrame, pool: int) -> DataFrame:
+    """The first `pool` hits of every list, ranked; equal scores by id."""
+    return top_n(hits, ["kind", "question_id", "query_no"], [F.col("score").desc(), F.col("id").asc()], pool, rank="rank")
+
+
+def _search(
+    chunks: DataFrame, queries: DataFrame, size: str, readers: Sequence[type[_Queries]], pool: int, max_shared: int
+) -> DataFrame:
+    parts, hits = list(query_blocks(queries, size, max_shared)), None
+    for own in parts:
         block = own.toArrow()
-        found = _shared_search(_in_scope(chunks, block), block, reader, pool)
+        found = _shared_search(_in_scope(chunks, block), block, readers, pool)
+        if len(parts) > 1:
+            found = checkpoint(found)
         hits = found if hits is None else hits.unionByName(found)
-    best_first = [F.col("score").desc(), F.col("id").asc()]
-    return top_n(hits, ["question_id", "query_no"], best_first, pool, rank="rank")
+    return best_hits(hits, pool)
+
+
+def query_keys() -> list[Column]:
+    return [F.col("question_id").cast("string"), F.col("query_no").cast("long"), F.col("project_id").cast("long")]
+
+
+def chunk_keys() -> list[Column]:
+    return [F.col("id").cast("string"), F.col("project_id").cast("long")]
+
+
+def _weights() -> list[Column]:
+    return [F.map_keys("sparse").alias("tokens"), F.map_values("sparse").alias("weights")]
 
 
 def dense_search(chunks: DataFrame, queries: DataFrame, pool: int, max_shared: int = MAX_SHARED_VALUES) -> DataFrame:
@@ -226,26 +258,20 @@ def dense_search(chunks: DataFrame, queries: DataFrame, pool: int, max_shared: i
 
     `chunks`: `id, project_id, embedding`; `queries`: `question_id, query_no,
     project_id, embedding`. A query sees its project and, if positive, project 0.
-    Returns `question_id, query_no, id, score, rank`.
+    Returns `question_id, query_no, id, score, rank`. Fetches the queries while it is called.
     """
-    return _search(
-        chunks.select(F.col("id").cast("string"), F.col("project_id").cast("long"), "embedding"),
-        queries.select(F.col("question_id").cast("string"), F.col("query_no").cast("long"), F.col("project_id").cast("long"), "embedding"),
-        "embedding",
-        _DenseQueries,
-        pool,
-        max_shared,
-    )
+    chunks, queries = chunks.select(*chunk_keys(), "embedding"), queries.select(*query_keys(), "embedding")
+    return _search(chunks, queries, "embedding", [_DenseQueries], pool, max_shared).drop("kind")
 
 
 def sparse_search(chunks: DataFrame, queries: DataFrame, pool: int, max_shared: int = MAX_SHARED_VALUES) -> DataFrame:
     """As `dense_search` for `sparse` token-weight maps; only chunks that share a token."""
-    weights = (F.map_keys("sparse").alias("tokens"), F.map_values("sparse").alias("weights"))
-    return _search(
-        chunks.select(F.col("id").cast("string"), F.col("project_id").cast("long"), *weights),
-        queries.select(F.col("question_id").cast("string"), F.col("query_no").cast("long"), F.col("project_id").cast("long"), *weights),
-        "tokens",
-        _SparseQueries,
-        pool,
-        max_shared,
-    )
+    chunks, queries = chunks.select(*chunk_keys(), *_weights()), queries.select(*query_keys(), *_weights())
+    return _search(chunks, queries, "tokens", [_SparseQueries], pool, max_shared).drop("kind")
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, pool: int, max_shared: int = MAX_SHARED_VALUES) -> DataFrame:
+    """Both searches in one scan of the chunks; `kind` is 0 for dense lists and 1 for sparse ones."""
+    chunks = chunks.select(*chunk_keys(), "embedding", *_weights())
+    queries = queries.select(*query_keys(), "embedding", *_weights())
+    return _search(chunks, queries, "embedding", [_DenseQueries, _SparseQueries], pool, max_shared)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
-from quarry.operators import catalog, ingest, retrieval, search
+from quarry.operators import catalog, ingest, retrieval, search, search_index
 from quarry.operators.chunking import register_sql, semantic_chunks
 from quarry.operators.embedding import HashedWords, embed, sparse_rows
 from quarry.operators.ranking import top_n
@@ -288,6 +288,17 @@ def _dense_topk(data):
     return hits.select("question_id", "query_no", "id", "rank", F.round("score", 6).alias("score"))
 
 
+@query(
+    "dense_topk_indexed",
+    f"WITH {VECTORS} SELECT question_id, query_no, id, rank, {sql_round('score', 6)} AS score FROM pool WHERE rank <= 20",
+)
+def _dense_topk_indexed(data):
+    """The rows of the scan, through a written coarse quantiser."""
+    index = search_index.write_dense_index(_points(data), scratch_path(data.spark, "dense-index"))
+    hits = index.search(checkpoint(_centres(data)), 20)
+    return hits.select("question_id", "query_no", "id", "rank", F.round("score", 6).alias("score"))
+
+
 BOOSTED = f"""{VECTORS},
 boosted AS (SELECT question_id, query_no, id, rank AS old_rank, file_name LIKE 'FR#_%' ESCAPE '#' AS boosted,
                    CASE WHEN file_name LIKE 'FR#_%' ESCAPE '#' THEN score * 1.2 ELSE score END AS score FROM pool),
@@ -396,6 +407,19 @@ def _sparse_topk(data):
     return search.sparse_search(_embedded_chunks(data), queries, 20).select("question_id", "query_no", "id", "rank", "score")
 
 
+@query(
+    "sparse_topk_indexed",
+    f"""
+    WITH RECURSIVE {HYBRID} SELECT question_id, query_no, id, rank, score FROM lists WHERE kind = 1 AND rank <= 20
+    """,
+)
+def _sparse_topk_indexed(data):
+    """The rows of the scan, through a written inverted index."""
+    queries = embed(retrieval.exploded_queries(_questions(data)), HashedWords(DIMS))
+    index = search_index.write_sparse_index(_embedded_chunks(data), scratch_path(data.spark, "sparse-index"))
+    return index.search(queries, 20).select("question_id", "query_no", "id", "rank", "score")
+
+
 @query(
     "multi_query",
     f"""
@@ -406,9 +430,8 @@ def _multi_query(data):
     # Read twice below, so the model runs once.
     queries = checkpoint(embed(retrieval.exploded_queries(_questions(data)), HashedWords(DIMS)))
     index = _index(data)
-    dense = search.dense_search(index, queries, 40).withColumn("kind", F.lit(0).cast("long"))
-    hits = dense.unionByName(search.sparse_search(index, queries, 40).withColumn("kind", F.lit(1).cast("long")))
-    return hits.select("question_id", "query_no", "kind", "id", "rank", F.round("score", 5).alias("score"))
+    hits = search.hybrid_search(index, queries, 40)
+    return hits.select("question_id", "query_no", F.col("kind").cast("long").alias("kind"), "id", "rank", F.round("score", 5).alias("score"))
 
 
 RERANKED = f"""{HYBRID},
@@ -437,6 +460,21 @@ def _retrieve(data):
     return best.select("question_id", "source_no", "id", "position", F.round("rerank_score", 6).alias("rerank_score"))
 
 
+@query(
+    "retrieve_indexed",
+    f"""
+    WITH RECURSIVE {RERANKED}
+    SELECT question_id, source_no, id, position, {sql_round("rerank_score", 6)} AS rerank_score FROM reranked WHERE source_no <= 5
+    """,
+)
+def _retrieve_indexed(data):
+    index = _index(data)
+    dense = search_index.write_dense_index(index, scratch_path(data.spark, "dense-index"))
+    sparse = search_index.write_sparse_index(index, scratch_path(data.spark, "sparse-index"))
+    best = retrieval.retrieve(_questions(data), index, HashedWords(DIMS), indexes=(dense, sparse))
+    return best.select("question_id", "source_no", "id", "position", F.round("rerank_score", 6).alias("rerank_score"))
+
+
 @query(
     "rag_sources",
     f"""

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators import retrieval, search
 from quarry.operators.embedding import HashedWords, embed
-from quarry.operators.search import dense_search, sparse_search
+from quarry.operators.search import dense_search, hybrid_search, sparse_search
+from quarry.operators.search_index import read_dense_index, recall, write_dense_index, write_sparse_index
 
 RNG = np.random.default_rng(4)
 N, Q, DIMS, POOL = 400, 9, 8, 7
@@ -72,6 +73,91 @@ def test_sparse_search_is_exact(points, asked, max_shared):
     assert got_lists(sparse_search(points[1], asked[1], POOL, max_shared)) == want
 
 
+def test_hybrid_search_gives_both_lists_in_one_scan(points, asked):
+    hits = hybrid_search(points[1], asked[1], POOL)
+    assert got_lists(hits.filter("kind = 0")) == got_lists(dense_search(points[1], asked[1], POOL))
+    assert got_lists(hits.filter("kind = 1")) == got_lists(sparse_search(points[1], asked[1], POOL))
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("lists", [1, 7, 40, None])
+@pytest.mark.parametrize("max_shared", [10**6, 20], ids=["one block", "blocks"])
+def test_dense_index_gives_the_rows_of_the_scan(points, asked, tmp_path, lists, max_shared):
+    index = write_dense_index(points[1], str(tmp_path / "dense"), lists)
+    assert index.rows.count() == N
+    want = dense_search(points[1], asked[1], POOL).collect()
+    assert sorted(index.search(asked[1], POOL, max_shared=max_shared).collect()) == sorted(want)
+
+
+def test_dense_index_reads_fewer_lists_where_chunks_cluster(spark, tmp_path, monkeypatch):
+    centres = unit(40)
+    near = np.repeat(centres, 50, axis=0) + RNG.normal(scale=0.01, size=(2000, DIMS))
+    rows = [(f"c{i}", 1, v.tolist()) for i, v in enumerate(near)]
+    chunks = spark.createDataFrame(rows, "id string, project_id long, embedding array<float>")
+    queries = spark.createDataFrame([("q", i, 1, c.tolist()) for i, c in enumerate(centres[:6])], "question_id string, query_no int, project_id long, embedding array<float>")
+    index = write_dense_index(chunks, str(tmp_path / "dense"), 40)
+    read, reach = [], type(index).lists_in_reach
+    monkeypatch.setattr(type(index), "lists_in_reach", lambda self, *range_: read.append(reach(self, *range_)) or read[-1])
+    assert got_lists(index.search(queries, 10)) == got_lists(dense_search(chunks, queries, 10))
+    assert len(read) == 2 and len({*read[0], *read[1]}) < 30
+    found = index.search(queries.limit(1), 10, probes=1)
+    assert len(read[2]) == 1 and "list#" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [", 1)[1][:200]
+    assert recall(index.search(queries, 10, probes=3), dense_search(chunks, queries, 10)) >= 0.9
+
+
+def test_dense_index_is_read_back(points, asked, tmp_path, spark):
+    write_dense_index(points[1], str(tmp_path / "dense"), 5)
+    again = read_dense_index(spark, str(tmp_path / "dense"))
+    assert got_lists(again.search(asked[1], POOL)) == got_lists(dense_search(points[1], asked[1], POOL))
+    none = write_dense_index(points[1].filter("id = 'no'"), str(tmp_path / "none"))
+    assert none.search(asked[1], POOL).count() == 0
+    assert again.search(asked[1].filter("query_no > 9"), POOL).count() == 0
+
+
+@pytest.mark.parametrize("bits", [0, 3, 6])
+def test_sparse_index_gives_the_rows_of_the_scan(points, asked, tmp_path, bits):
+    index = write_sparse_index(points[1], str(tmp_path / "sparse"), bits)
+    want = sparse_search(points[1], asked[1], POOL).collect()
+    for share in (0.2, 5.0):
+        assert sorted(index.search(asked[1], POOL, share).collect()) == sorted(want)
+
+
+def test_sparse_index_with_negative_weights_is_exact(spark, tmp_path):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(f"c{i:03d}", i % 3, {w: float(RNG.integers(-4, 5)) for w in RNG.choice(words, 4, replace=False)}) for i in range(200)]
+    chunks = spark.createDataFrame(rows, "id string, project_id long, sparse map<string, float>")
+    asked = [("q", i, i % 2, {w: float(RNG.integers(-3, 4)) for w in RNG.choice(words, 5, replace=False)}) for i in range(8)]
+    queries = spark.createDataFrame(asked, "question_id string, query_no int, project_id long, sparse map<string, float>")
+    index = write_sparse_index(chunks, str(tmp_path / "sparse"), 2)
+    assert sorted(index.search(queries, 5).collect()) == sorted(sparse_search(chunks, queries, 5).collect())
+
+
+def test_sparse_index_reads_the_folders_of_its_tokens_and_skips_blocks(spark, tmp_path, monkeypatch):
+    rows = [(f"c{i:04d}", 0, {f"topic{i % 40}": 1.0 + i % 7, "the": 0.1}) for i in range(2000)]
+    chunks = spark.createDataFrame(rows, "id string, project_id long, sparse map<string, float>")
+    queries = spark.createDataFrame([("q", 0, 0, {"topic3": 2.0, "the": 1.0})], "question_id string, query_no int, project_id long, sparse map<string, float>")
+    index = write_sparse_index(chunks, str(tmp_path / "sparse"), 3)
+    scored, plain = [], type(index)._scored
+
+    def watched(self, blocks, asked, tokens):
+        scored.append((blocks.count(), tokens.select("folder").distinct().count()))
+        return plain(self, blocks, asked, tokens)
+
+    monkeypatch.setattr(type(index), "_scored", watched)
+    assert got_lists(index.search(queries, 10)) == got_lists(sparse_search(chunks, queries, 10))
+    blocks = index.rows.select("block").distinct().count()
+    assert sum(n for n, _ in scored) < blocks / 5
+    assert scored[0][1] == 2 < index.rows.select("folder").distinct().count()
+
+
+def test_retrieve_with_indexes_gives_the_same(spark, library, tmp_path):
+    indexes = write_dense_index(library, str(tmp_path / "dense")), write_sparse_index(library, str(tmp_path / "sparse"))
+    for queries, project in ((["bank profit", "weather"], 5), (["profit"], 0), (["bank"], -6)):
+        question = ask(spark, queries, project)
+        want = retrieval.retrieve(question, library, HashedWords(64)).collect()
+        assert sorted(retrieval.retrieve(question, library, HashedWords(64), indexes=indexes).collect()) == sorted(want)
+
+
 def test_only_projects_in_scope_are_read(points, asked, tmp_path, spark):
     path = str(tmp_path / "collection")
     points[1].write.partitionBy("project_id").parquet(path)
