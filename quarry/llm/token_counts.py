@@ -214,6 +214,8 @@ def count_tokens(
     texts = texts.join(missing, (F.col("content") == F.col("miss")) & F.col("doc_id").eqNullSafe(F.col("first")), "left_semi")
     found = encode_misses(texts.select("content", "n_bytes", "text"), tokenizer)
     found.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").option("compression", "zstd").parquet(cache)
-    counted = keys.join(read_cache(spark, cache, version).select("content", "n_tokens"), "content")
+    # Written, so that the rows of a digest that very many share can be split in the join.
+    counts = stored(keys.select("content").distinct().join(read_cache(spark, cache, version), "content").select("content", "n_tokens"), "token-counts")
+    counted = keys.join(counts, "content")
     over = [(F.col("n_tokens") > limit).alias("over_limit")] if limit is not None else []
     return counted.select("doc_id", "n_bytes", "n_tokens", *over)
