@@ -3,12 +3,16 @@
 "Name contains mention" has no join key of its own. Each mention is keyed by
 its rarest short substring (gram), each name by all of its grams, so the search
 becomes an equality join followed by an exact check. Hot grams are salted.
+
+"Mention contains name" is the other way round: many fixed names, looked for in many texts. The names go into
+automata of bounded size (Aho-Corasick), and every distinct text passes each automaton once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ from quarry.operators.ranking import top_n
 
 GRAM_CHARS = 3
 SALTS = 16
+# Characters of names in one automaton, and of texts that one task runs through it.
+NAME_CHARS = 2_000_000
+TEXT_CHARS = 32_000_000
 
 
 def _grams(text: Column, widths: Iterable[Column]) -> Column:
@@ -118,22 +125,51 @@ def _matched_mentions(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return exact.select("call_id", "mention").unionByName(short.select("call_id", "mention")).unionByName(long).distinct()
 
 
+def names_inside(texts: DataFrame, names: DataFrame, name_chars: int = NAME_CHARS, text_chars: int = TEXT_CHARS) -> DataFrame:
+    """`(text, name)` for every name of `names` (name) that stands anywhere in a text of `texts` (text), once each.
+
+    Runs one job over either side to size the parts; a task holds one part of the names and one of the texts. Empty
+    names and nulls are in no text.
+    """
+    texts, names = (df.filter(f"{c} <> ''").distinct() for df, c in ((texts, "text"), (names, "name")))
+    parts, shares = (
+        1 + int(df.agg(F.coalesce(F.sum(F.length(c) + 8), F.lit(0))).first()[0]) // most
+        for df, c, most in ((names, "name", name_chars), (texts, "text", text_chars))
+    )
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    dealt_names = names.select("name", own("name", parts).alias("part"), every(shares).alias("share"))
+    dealt_texts = texts.select("text", every(parts).alias("part"), own("text", shares).alias("share"))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in left["name"].to_pylist():
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        found = []
+        if len(left):
+            for text in right["text"].to_pylist():
+                found += [(text, name) for name in {name for _, name in automaton.iter(text)}]
+        return pa.table({"text": pa.array([t for t, _ in found], pa.string()), "name": pa.array([n for _, n in found], pa.string())})
+
+    keys = ["part", "share"]
+    return dealt_names.groupBy(*keys).cogroup(dealt_texts.groupBy(*keys)).applyInArrow(search, "text string, name string")
+
+
 def unresolved_entities(mentions: DataFrame, master: DataFrame) -> DataFrame:
     """Mentions without a match of their own that also contain no matched name of their call.
 
-    Names are first looked up inside the open mentions, which few are, and only those
-    found are held against the other mentions of the call.
+    Names are first looked up inside the open mentions by automata, and only those
+    found are held against the other mentions of the call. Runs jobs while it is called.
     """
     names = master.select("symbol", F.coalesce("organ_name", F.lit("")).alias("organ_name"))
     open_mentions = mentions.join(_matched_mentions(mentions, names), ["call_id", "mention"], "left_anti")
-    known = names.filter("organ_name <> ''").withColumn("name", F.lower("organ_name"))
-    keyed = open_mentions.withColumn("gram", F.explode(_all_grams(F.lower("mention"))))
-    inside = (
-        keyed.join(known.withColumn("gram", F.substring("name", 1, GRAM_CHARS)), "gram")
-        .filter(F.contains(F.lower("mention"), F.col("name")))
-        .select("call_id", "mention", "symbol", "name")
-        .distinct()
-    )
+    known = names.select("symbol", F.lower("organ_name").alias("name"))
+    keyed = open_mentions.withColumn("text", F.lower("mention"))
+    found = names_inside(keyed.select("text"), known.select("name"))
+    inside = keyed.join(found, "text").join(known, "name").select("call_id", "mention", "symbol", "name").distinct()
     others = mentions.select("call_id", F.col("mention").alias("other"))
     said = F.contains(F.col("name"), F.lower("other")) | (F.upper("symbol") == F.upper("other"))
     covered = inside.join(others, "call_id").filter(said).select("call_id", "mention").distinct()

@@ -153,24 +153,27 @@ def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, share: float, a
     """The value at 0-based position floor(share * (n - 1)) of every group, exactly; nulls do not count.
 
     Mergeable sketches give two bounds per group between which the position lies for
-    certain. Rows below the bounds are only counted, and only those between them, about
-    4 / `accuracy` of the group, are sorted.
+    certain. Rows below the bounds are only counted; those between them, about
+    4 / `accuracy` of the group, are summed per value before they are shuffled, and the value is
+    selected on the running counts. A value that very many rows have is one weighted row.
     """
     grouped = _grouped(df, keys).filter(F.col(value).isNotNull()).select(_GROUP, F.col(value).alias("__value"))
     margin = 2.0 / accuracy
     shares = F.lit([max(0.0, share - margin), min(1.0, share + margin)])
     bounds = grouped.groupBy(_GROUP).agg(F.count(F.lit(1)).alias("__n"), F.approx_percentile("__value", shares, accuracy).alias("__ends"))
-    # In a small group the margin is less than a row, so it is sorted whole.
+    # In a small group the margin is less than a row, so it is taken whole.
     large = F.col("__n") > small
     low = F.when(large & F.lit(share > margin), F.get("__ends", 0))
     high = F.when(large & F.lit(share < 1 - margin), F.get("__ends", 1))
     bounded = grouped.join(bounds.select(_GROUP, "__n", low.alias("__low"), high.alias("__high")), _GROUP)
     below = F.coalesce(F.col("__value") < F.col("__low"), F.lit(False))
-    before = bounded.groupBy(_GROUP).agg(F.count_if(below).alias("__before"))
-    near = bounded.filter(~below & F.coalesce(F.col("__value") <= F.col("__high"), F.lit(True)))
-    place = F.row_number().over(Window.partitionBy(_GROUP).orderBy("__value")) - 1
+    # What lies below is one weighted row without a value, which comes first.
+    at = F.when(~below, F.col("__value"))
+    near = bounded.filter(below | F.coalesce(F.col("__value") <= F.col("__high"), F.lit(True)))
+    weights = near.groupBy(_GROUP, at.alias("__value")).agg(F.count(F.lit(1)).alias("__weight"), F.first("__n").alias("__n"))
+    upto = F.sum("__weight").over(Window.partitionBy(_GROUP).orderBy(F.col("__value").asc_nulls_first()))
     target = F.floor(F.lit(share) * (F.col("__n") - 1))
-    found = near.withColumn("__place", place).join(before, _GROUP).filter(F.col("__place") + F.col("__before") == target)
+    found = weights.withColumn("__upto", upto).filter((F.col("__upto") > target) & (F.col("__upto") - F.col("__weight") <= target))
     return found.select(*[F.col(f"{_GROUP}.{k}").alias(k) for k in keys], F.col("__value").alias(value))
 
 

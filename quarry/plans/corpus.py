@@ -12,6 +12,7 @@ from quarry.operators.ranking import top_n
 from quarry.plans.registry import query
 from quarry.plans.tables import FILES, sql_round
 from quarry.session import checkpoint, scratch_path, spread
+from quarry.sources.snapshots import KeyedFolders
 
 DIMS = 64
 
@@ -147,6 +148,26 @@ def _chunk_upsert(data):
     return retrieval.upsert_chunks(stored, incoming).select("id", "origin")
 
 
+@query(
+    "chunk_upsert_stored",
+    f"""
+    WITH RECURSIVE {CHUNKS}
+    SELECT id, 'old' AS origin FROM chunks WHERE project_id >= 10 AND file_id % 50 <> 49
+    UNION ALL SELECT CAST(doc_id AS VARCHAR) || '_0', 'new' FROM documents WHERE CAST(substr(source, 4) AS BIGINT) < 10
+    """,
+)
+def _chunk_upsert_stored(data):
+    """The same over a stored collection, after every fiftieth file was deleted: only folders of changed files are written."""
+    old = retrieval.chunk_rows(data.chunks()).select("file_id", "id", F.lit("old").alias("origin"))
+    arriving = data.files().filter("project_id < 10").select("file_id", F.lit(0).cast("long").alias("chunk_index"))
+    new = retrieval.chunk_rows(arriving).select("file_id", "id", F.lit("new").alias("origin"))
+    table = KeyedFolders(data.spark, scratch_path(data.spark, "collection"), "file_id BIGINT, id STRING, origin STRING", "file_id")
+    table.replace(old)
+    table.delete(data.files().select("file_id").filter("file_id % 50 = 49"))
+    table.replace(new)
+    return table.read().select("id", "origin")
+
+
 @query(
     "ingest_status",
     f"""

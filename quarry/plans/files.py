@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from quarry.operators import catalog, retention
 from quarry.plans.registry import query
 from quarry.plans.tables import FILES
+from quarry.session import scratch_path
+from quarry.sources import warehouse
+from quarry.sources.snapshots import KeyedFolders, drop_months, read_or_none
 
 SCANS = f"""{FILES},
 known AS (SELECT file_hash, file_id % 3 AS project, min(file_id) AS file_id FROM files WHERE project_id < 10 GROUP BY 1, 2),
@@ -207,3 +210,34 @@ def _trim_events(data):
 def _ttl_filter(data):
     kept = retention.within_ttl(data.table("events"), "ts", "2024-01-28 00:00:00", "INTERVAL 10 DAYS")
     return kept.select("event_id")
+
+
+@query("ttl_months", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-28' - INTERVAL 10 DAYS")
+def _ttl_months(data):
+    """The same on a table in month folders: old months go as folders, only the month of the limit is rewritten."""
+    path = scratch_path(data.spark, "log-months")
+    events = data.table("events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("time"), F.col("event_type").alias("symbol"))
+    warehouse.append_by_month(events, path, "time")
+    schema = "event_id BIGINT, time TIMESTAMP_NTZ, symbol STRING"
+    drop_months(data.spark, path, schema, "time", F.expr("TIMESTAMP_NTZ '2024-01-28 00:00:00' - INTERVAL 10 DAYS"))
+    return read_or_none(data.spark, path, schema).select("event_id")
+
+
+@query(
+    "purge_chunks_stored",
+    """
+    SELECT l_orderkey AS file_id, count(*) AS chunks FROM lineitem WHERE l_orderkey NOT IN (
+      SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderdate <= TIMESTAMP '2001-01-01 00:00:00' - INTERVAL 60 MINUTES)
+    GROUP BY 1
+    """,
+)
+def _purge_chunks_stored(data):
+    """Expired files as tombstones of a stored collection; no chunk is read or written to delete."""
+    status = F.when(F.col("o_orderstatus") == "P", "deleted").otherwise("ready")
+    files = data.table("orders").select(
+        F.col("o_orderkey").alias("file_id"), status.alias("process_status"), F.col("o_orderdate").alias("process_at")
+    )
+    table = KeyedFolders(data.spark, scratch_path(data.spark, "collection"), "file_id BIGINT, chunk_index INT", "file_id")
+    table.replace(data.table("lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").cast("int").alias("chunk_index")))
+    table.delete(retention.expired_files(files, "2001-01-01 00:00:00"))
+    return table.read().groupBy("file_id").agg(F.count(F.lit(1)).alias("chunks"))

@@ -286,3 +286,16 @@ def test_a_layer_without_scores_averages_to_zero(spark, rows):
     assert rows(evaluation.layer_averages(summary)) == [("agent", 0.0), ("e2e", 0.75), ("rag", 0.25)]
     scores = spark.createDataFrame([("e2e", {"a": 1.0}), ("e2e", {"a": None}), ("rag", {"b": None}), ("agent", {})], "layer string, metrics map<string, double>")
     assert rows(evaluation.score_summary(scores.selectExpr("1 AS id", "*")))[0][0] == "e2e.a"
+
+
+def test_names_inside_texts_in_parts(spark, rows):
+    """Nested, overlapping and repeated names, any number of parts, hot texts, empty and null values."""
+    from quarry.operators.entities import names_inside
+
+    names = ["bank", "an", "big bank of x", "of", "", None, "zz", "ünï", "an"]
+    texts = ["the big bank of x", "bank bank", "nothing", "", None, "ünïon"] + ["can"] * 50
+    want = sorted({(t, n) for t in texts if t for n in names if n and n in t})
+    frames = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in names], "name string")
+    for chars in ((1000, 1000), (20, 1000), (1000, 30), (20, 30)):
+        assert rows(names_inside(*frames, *chars)) == want
+    assert names_inside(frames[0], frames[1].limit(0)).count() == 0 == names_inside(frames[0].limit(0), frames[1]).count()

@@ -125,3 +125,20 @@ def test_nearest_rank_is_exact(spark, share):
     for key in ("hot", "few", None):
         values = sorted(v for k, v in rows if k == key and v is not None)
         assert got[key] == values[int(share * (len(values) - 1))]
+
+
+def test_nearest_rank_of_one_value_in_nearly_all_rows(spark):
+    """Rows of the same value are summed before the shuffle; the window sees a row per value."""
+    df = spark.range(200_000).select(
+        (F.col("id") * 0).alias("k"), F.when(F.col("id") % 100 == 0, F.col("id").cast("double")).otherwise(-5.0).alias("v")
+    )
+    values = sorted(float(i) if i % 100 == 0 else -5.0 for i in range(200_000))
+    for share in (0.0, 0.5, 0.989, 0.99, 0.995, 1.0):
+        found = ranking.nearest_rank(df, ["k"], "v", share, accuracy=1000, small=100)
+        assert found.first()["v"] == values[int(share * 199_999)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Window [") :]
+    lines = below.splitlines()
+    exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
+    summed = next(i for i, line in enumerate(lines) if "partial_count" in line)
+    assert exchange < summed and not any("Join" in line for line in lines[:summed])
