@@ -342,6 +342,35 @@ def _stream_scan(data):
     return entries.groupBy("decision", "process_status").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query(
+    "stream_scan_arrivals",
+    """
+    WITH f AS (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) % 3 AS project_id, lang FROM documents)
+    SELECT project_id, 0 AS arrival, 'processed' AS decision, CASE WHEN lang = 'de' THEN 'failed' ELSE 'ready' END AS process_status, count(*) AS files FROM f GROUP BY ALL
+    UNION ALL
+    SELECT project_id, 1, CASE WHEN lang = 'de' THEN 'retried' ELSE 'skipped' END, CASE WHEN lang = 'de' THEN 'failed' ELSE 'none' END, count(*) FROM f GROUP BY ALL
+    """,
+)
+def _stream_scan_arrivals(data):
+    """A file per project and language arrives twice under other names; those in German cannot be ingested."""
+    root, out = scratch_path(data.spark, "arrivals"), scratch_path(data.spark, "scan")
+    texts = data.table("documents").select("doc_id", "lang", "text", (F.expr("CAST(substr(source, 4) AS BIGINT)") % 3).alias("project"))
+    for arrival in ("first", "again"):
+        for project in range(3):
+            own = texts.filter(F.col("project") == project).repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "text")
+            files = own.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+            files.partitionBy("lang").text(f"{root}/project_{project}/{arrival}")
+        stream = document_streams.document_stream(data.spark, root)
+        document_streams.scan_stream(stream, f"{out}/catalog", f"{out}/checkpoint", _ingest_but_german)
+    entries = batches.read_batches(data.spark, f"{out}/catalog", document_streams.CATALOG_SCHEMA)
+    status = F.coalesce("process_status", F.lit("none")).alias("process_status")
+    return entries.groupBy("project_id", F.col("batch_id").alias("arrival"), "decision", status).agg(F.count(F.lit(1)).alias("files"))
+
+
+def _ingest_but_german(files):
+    return files.select("file_hash", F.when(F.contains("path", F.lit("lang=de/")), "failed").otherwise("ready").alias("status"))
+
+
 @query(
     "manifests",
     """

@@ -51,14 +51,19 @@ def visible_files(files: DataFrame, root: str) -> DataFrame:
     )
 
 
+def size_limit(spark: SparkSession, max_bytes: int | None) -> int:
+    """Bytes of the largest file that is read: what fits into a row, or less if asked."""
+    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
+    return limit if max_bytes is None else min(limit, max_bytes)
+
+
 def scan_documents(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
     """All visible files below a folder, one row each.
 
     The size is judged before anything is read: larger files, and those that do not fit
     into a row, are listed without content and hash.
     """
-    limit = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength"))
-    limit = limit if max_bytes is None else min(limit, max_bytes)
+    limit = size_limit(spark, max_bytes)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     large = files.filter(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content"))
     return visible_files(files.filter(F.col("length") <= limit).select("path", "length", "content").unionByName(large), root)

@@ -11,8 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from quarry.operators.catalog import scan_decision
 from quarry.operators.ranking import top_n
 from quarry.operators.versions import latest_version
-from quarry.sources.documents import visible_files
+from quarry.sources.documents import size_limit, visible_files
 from quarry.streaming.batches import BATCH, read_batches, run_batches, write_batch
+from quarry.streaming.state import KeyedState
 
 CATALOG_SCHEMA = (
     "project_id BIGINT, file_hash STRING, path STRING, file_name STRING, file_type STRING,"
@@ -24,23 +25,29 @@ STATE_SCHEMA = "file_hash STRING, project_id BIGINT, process_status STRING"
 Ingest = Callable[[DataFrame], DataFrame]
 
 
-def document_stream(spark: SparkSession, root: str, files_per_batch: int = 1000) -> DataFrame:
-    """New files below a folder, as the batch scan returns them."""
+def document_stream(spark: SparkSession, root: str, files_per_batch: int = 1000, max_bytes: int | None = None) -> DataFrame:
+    """New files below a folder, as the batch scan returns them.
+
+    The size is judged before anything is read: larger files come without content and hash.
+    """
     schema = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema(schema)
-        .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(root)
-    )
-    return visible_files(files, root)
+    limit = size_limit(spark, max_bytes)
+
+    def files() -> DataFrame:
+        reader = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True)
+        return reader.option("maxFilesPerTrigger", files_per_batch).load(root)
+
+    # The filter on the length reaches the source, which then opens no larger file.
+    usual = files().filter(F.col("length") <= limit).select("path", "length", "content")
+    large = files().filter(F.col("length") > limit).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return visible_files(usual.unionByName(large), root)
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """The current entry per project and content."""
+    """The current entry per project and content; files that were never read go by their path."""
     rows = read_batches(spark, path, CATALOG_SCHEMA).filter(F.col("decision") != "skipped")
-    return latest_version(rows, ["project_id", "file_hash"], BATCH, ["path"])
+    unread = F.when(F.col("file_hash").isNull(), F.col("path"))
+    return latest_version(rows.withColumn("__unread", unread), ["project_id", "file_hash", "__unread"], BATCH, ["path"]).drop("__unread")
 
 
 def project_of(path: Column) -> Column:
@@ -54,28 +61,30 @@ def scan_stream(
     """Decide about every new file and record it in the catalog at `path`.
 
     `ingest` receives the files to process and returns `(file_hash, status)`;
-    without it they count as ready. Copies within a batch are decided once. What is known is a
-    snapshot beside the catalog: a batch reads that of the batch before and writes its own.
+    without it they count as ready. Copies within a batch are decided once. Files without content, too large
+    to be read, are recorded as failed, each on its own. What is known is keyed state beside the catalog, of which a
+    batch writes what it has decided.
     """
-    state = f"{path}-known"
 
     def handle(rows: DataFrame, batch_id: int) -> None:
         spark = rows.sparkSession
+        state = KeyedState(spark, f"{path}-known", STATE_SCHEMA, ["file_hash", "project_id"])
+        state.clean(batch_id)
         scanned = rows.withColumn("project_id", project_of(F.col("path")))
         # Content stays behind until it is clear which files are wanted.
-        first = top_n(scanned.drop("content"), ["project_id", "file_hash"], [F.col("path").asc()], 1)
-        known = read_batches(spark, state, STATE_SCHEMA, before=batch_id).filter(F.col(BATCH) == batch_id - 1).drop(BATCH)
-        decided = scan_decision(first, known, force)
+        readable = scanned.drop("content").filter(F.col("file_hash").isNotNull())
+        first = top_n(readable, ["project_id", "file_hash"], [F.col("path").asc()], 1)
+        decided = scan_decision(first, state.read(batch_id), force)
         wanted = decided.filter(F.col("decision").isin("processed", "retried"))
         todo = wanted.join(rows.select("path", "content"), "path")
         done = ingest(todo) if ingest else todo.select("file_hash", F.lit("ready").alias("status"))
         status = F.when(F.col("decision") == "failed", "failed").otherwise(F.col("status"))
         entries = decided.join(done, "file_hash", "left").withColumn("process_status", status)
-        write_batch(entries.select(*[c.split()[0] for c in CATALOG_SCHEMA.split(", ")]), path, batch_id)
+        names = [c.split()[0] for c in CATALOG_SCHEMA.split(", ")]
+        too_large = scanned.filter(F.col("file_hash").isNull()).withColumns({"decision": F.lit("failed"), "process_status": F.lit("failed")})
+        write_batch(entries.select(*names).unionByName(too_large.select(*names)), path, batch_id)
         new = read_batches(spark, path, CATALOG_SCHEMA).filter((F.col(BATCH) == batch_id) & (F.col("decision") != "skipped"))
-        new = new.select("file_hash", "project_id", "process_status")
-        old = known.join(new.select("file_hash", "project_id"), ["file_hash", "project_id"], "left_anti")
-        write_batch(old.unionByName(new), state, batch_id)
+        state.write(new.filter(F.col("file_hash").isNotNull()).select("file_hash", "project_id", "process_status"), batch_id)
 
     return run_batches(files, handle, checkpoint, once)
 

@@ -1,9 +1,8 @@
 """Sequence numbers per session on a stream of events.
 
 Numbers are given per micro-batch in plain DataFrame operations, so one session
-with very many events is still spread over tasks. The state is a snapshot of the
-last number of every session; a batch reads the snapshot of the batch before and
-writes its own, so its cost does not grow with the number of batches.
+with very many events is still spread over tasks. The last number of every session is keyed
+state: a batch writes the counters of its own sessions.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.operators.conversation import assign_order
-from quarry.streaming.batches import BATCH, read_batches, run_batches, write_batch
+from quarry.streaming.batches import run_batches, write_batch
+from quarry.streaming.state import KeyedState
 
 _COUNTERS = "session_id {type}, last_order BIGINT"
 
@@ -23,19 +23,17 @@ def number_stream(
 ) -> StreamingQuery:
     """Write events with `num_order` to `path/events` and counters to `path/counters`.
 
-    A batch only reads the counters that the batch before has left and overwrites its
-    own folders, so running it again gives the same numbers.
+    A batch that runs again finds the same counters, overwrites its own
+    folders and gives the same numbers.
     """
     key_type = events.schema["session_id"].dataType.simpleString()
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        counters = read_batches(rows.sparkSession, f"{path}/counters", _COUNTERS.format(type=key_type), before=batch_id)
-        # The folder name is a partition column, so only one folder is read.
-        last = counters.filter(F.col(BATCH) == batch_id - 1).select("session_id", "last_order")
-        write_batch(assign_order(rows, last, order, block), f"{path}/events", batch_id)
-        written = rows.sparkSession.read.parquet(f"{path}/events/batch_id={batch_id}")
-        newest = written.groupBy("session_id").agg(F.max("num_order").cast("long").alias("last_order"))
-        both = last.unionByName(newest).groupBy("session_id").agg(F.max("last_order").alias("last_order"))
-        write_batch(both, f"{path}/counters", batch_id)
+        spark = rows.sparkSession
+        counters = KeyedState(spark, f"{path}/counters", _COUNTERS.format(type=key_type), ["session_id"])
+        counters.clean(batch_id)
+        write_batch(assign_order(rows, counters.read(batch_id), order, block), f"{path}/events", batch_id)
+        written = spark.read.parquet(f"{path}/events/batch_id={batch_id}")
+        counters.write(written.groupBy("session_id").agg(F.max("num_order").cast("long").alias("last_order")), batch_id)
 
     return run_batches(events, handle, checkpoint, once)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,25 +12,38 @@ from pyspark.sql.streaming import StreamingQuery
 from quarry.operators.versions import Table, latest_version
 from quarry.streaming.batches import BATCH, read_batches, run_batches, write_batch
 
-SEQUENCE = "ingest_seq"
+SEQUENCE, ORIGIN = "ingest_seq", "ingest_origin"
+ORIGIN_TYPE = "STRUCT<time: TIMESTAMP, file: STRING, block: BIGINT, row: BIGINT>"
+_FILE = ("file_modification_time", "file_path", "file_block_start")
 
 
 def append_stream(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append every micro-batch to its own folder with a load sequence per row.
+    """Append every micro-batch to its own folder with the origin of each row.
 
-    The sequence is a hash of the row, the same whenever and wherever a batch runs again.
+    For a stream of files that is the file, by time and name, the part of it and the place there; so
+    that of equal versions the last row inserted can be told. Rows of other streams have a hash of the
+    row only. Both are the same whenever and wherever a batch runs again.
     """
+    columns = stream.columns
+    try:
+        placed = stream.select("*", F.struct(*(F.col(f"_metadata.{c}") for c in _FILE)).alias(ORIGIN))
+    except AnalysisException:  # not a stream of files
+        placed = stream.withColumn(ORIGIN, F.lit(None).cast("struct<file_modification_time: timestamp, file_path: string, file_block_start: bigint>"))
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        write_batch(rows.withColumn(SEQUENCE, F.xxhash64(*rows.columns)), path, batch_id)
+        # Numbers of a task rise along the part of the file that it reads.
+        file = F.col(ORIGIN)
+        origin = F.struct(file[_FILE[0]].alias("time"), file[_FILE[1]].alias("file"), file[_FILE[2]].alias("block"), F.monotonically_increasing_id().alias("row"))
+        kept = rows.withColumns({ORIGIN: F.when(file.isNotNull(), origin), SEQUENCE: F.xxhash64(*columns)})
+        write_batch(kept.withColumn(ORIGIN, F.col(ORIGIN).cast(ORIGIN_TYPE)), path, batch_id)
 
-    return run_batches(stream, handle, checkpoint, once)
+    return run_batches(placed, handle, checkpoint, once)
 
 
 def versioned(spark: SparkSession, path: str, schema: str, keys: Sequence[str], version: str | None, tie: Sequence[str] = ()) -> Table:
-    """The table behind a stream; later batches win between equal versions, inside a batch the row of the larger hash."""
-    rows = read_batches(spark, path, f"{schema}, {SEQUENCE} BIGINT")
-    return Table(rows, tuple(keys), version, (*tie, BATCH, SEQUENCE))
+    """The table behind a stream: between equal versions the `tie` columns decide, then the row inserted last."""
+    rows = read_batches(spark, path, f"{schema}, {ORIGIN} {ORIGIN_TYPE}, {SEQUENCE} BIGINT")
+    return Table(rows, tuple(keys), version, (*tie, BATCH, ORIGIN, SEQUENCE))
 
 
 def compact(table: Table, target: str) -> None:

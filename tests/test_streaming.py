@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.streaming import bars, batches, documents, manifests, sequence, upsert
+from quarry.streaming.state import KeyedState
 
 
 @pytest.fixture
@@ -100,6 +101,67 @@ def test_sequence_continues_and_survives_a_rerun(spark, shared, rows):
     assert read() == want
 
 
+def test_last_row_inserted_wins_inside_a_batch(spark, shared, rows):
+    """Equal versions in one batch: the later file, and in a file the later row, whatever their values hash to."""
+    schema, folder = "k INT, ver INT, v STRING", shared("in")
+    stage(spark, folder, [(k, 1, f"old {k}") for k in range(30)] + [(k, 1, f"first {k}") for k in range(30)], schema, 2)
+    stage(spark, folder, [(k, 1, f"{name} {k}") for name in "abcd" for k in range(20)], schema, 5)
+    stream = spark.readStream.schema(schema).parquet(folder)
+    upsert.append_stream(stream, shared("t"), shared("ckpt"))
+    got = {r.k: r.v for r in upsert.versioned(spark, shared("t"), schema, ["k"], "ver").read().collect()}
+    assert got == {k: f"d {k}" if k < 20 else f"first {k}" for k in range(30)}
+
+
+def test_state_of_a_batch_follows_the_batch(spark, shared):
+    """Parts merge like a binary counter: few are read, rows are written again log2(batches) times at most."""
+    schema, written = "k INT, v INT", []
+    state = KeyedState(spark, shared("s"), schema, ["k"])
+    want = {}
+    for batch in range(24):
+        changed = [(batch * 3 + i, batch) for i in range(3)] + [(0, batch), (None, batch)] * (batch > 0)
+        state.clean(batch)
+        assert {r.k: r.v for r in state.read(batch).collect()} == want
+        for _ in range(1 + batch % 2):  # a batch may run again
+            state.write(spark.createDataFrame(changed, schema), batch)
+        want.update(dict(changed))
+        written.append(spark.read.parquet(state._folder((min(r[0] for r in state.parts() if r[1] == batch), batch))).count())
+        assert len(state.parts()) <= 12
+    state.clean(24)
+    assert len(state.parts()) <= 5
+    assert sum(written) <= 5 * 24 * 5 and sorted(written)[len(written) // 2] <= 12
+    # Folders of a broken write are not believed.
+    os.makedirs(f"{shared('s')}/part=24_24")
+    assert {r.k: r.v for r in state.read(25).collect()} == want
+
+
+def test_state_forgets_what_is_not_kept(spark, shared):
+    state = KeyedState(spark, shared("s"), "k INT, day INT", ["k"], keep=F.col("day") >= 3)
+    for batch in range(8):
+        state.write(spark.createDataFrame([(batch, batch)], "k INT, day INT"), batch)
+    state.clean(8)
+    assert sorted(r.k for r in state.read(8).collect()) == [3, 4, 5, 6, 7]
+
+
+def test_scan_stream_records_files_that_are_too_large(spark, shared):
+    root, out = shared("docs"), shared("catalog")
+    drop(root, "a.txt", "alpha", 1)
+    drop(root, "big.txt", "x" * 5000, 1)
+    drop(root, "bigger.txt", "x" * 6000, 1)
+    run = lambda: documents.scan_stream(documents.document_stream(spark, root, max_bytes=1000), out, shared("ckpt"))
+    run()
+    drop(root, "b.txt", "beta", 2)
+    run()
+    current = {r.file_name: (r.decision, r.process_status) for r in documents.catalog(spark, out).collect()}
+    assert current == {"a.txt": ("processed", "ready"), "b.txt": ("processed", "ready"), "big.txt": ("failed", "failed"), "bigger.txt": ("failed", "failed")}
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:  # what Spark itself refuses to read does not stop the stream
+        documents.scan_stream(documents.document_stream(spark, root), shared("other"), shared("other-ckpt"))
+        assert documents.catalog(spark, shared("other")).filter("decision = 'failed'").count() == 2
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+
+
 def test_late_ticks_are_dropped_and_open_windows_wait(spark, shared, rows):
     schema = "symbol STRING, time TIMESTAMP_NTZ, price DOUBLE, volume BIGINT"
     ts = lambda text: __import__("datetime").datetime.fromisoformat(f"2024-01-01 {text}")
