@@ -232,6 +232,19 @@ def _chunk_sql(data):
     )
 
 
+@query(
+    "chunk_sql_table",
+    f"WITH RECURSIVE {CHUNKS} SELECT file_id, chunk_index, md5(text) AS text_md5 FROM chunks",
+)
+def _chunk_sql_table(data):
+    """The chunker as a table function over a whole table, in Arrow batches."""
+    register_sql(data.spark)
+    data.table("documents").select("doc_id", "text").createOrReplaceTempView("quarry_chunk_input")
+    return data.spark.sql(
+        "SELECT id AS file_id, chunk_index, md5(chunk) AS text_md5 FROM chunk_table(TABLE(SELECT doc_id, text FROM quarry_chunk_input), 1500, 200)"
+    )
+
+
 @query(
     "rerank_guarded",
     "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS source_no FROM conversations",

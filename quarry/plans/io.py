@@ -23,15 +23,33 @@ TABLES = (
 
 
 # Files -----------------------------------------------------------------------------
-@query(
-    "src_csv_shape",
-    """
+CSV_SHAPE = """
     SELECT CASE WHEN s_suppkey % 10 = 0 THEN 'UNKNOWN' ELSE s_name END AS symbol, '2024-05-' || lpad(CAST(s_suppkey % 28 + 1 AS VARCHAR), 2, '0') AS record_date,
            CAST(floor(s_acctbal) AS DOUBLE) AS dps, CAST(2000 + s_nationkey AS DOUBLE) AS dividend_year, 'two' || chr(10) || 'lines "q"' AS duration
     FROM supplier
-    """,
-)
+    """
+
+
+@query("src_csv_shape", CSV_SHAPE)
 def _src_csv_shape(data):
+    path = _dividend_export(data)
+    return _dividends(csv.read_shaped_csv(data.spark, path, csv.target_of(path)))
+
+
+@query("src_csv_split", CSV_SHAPE)
+def _src_csv_split(data):
+    """The same from files that several tasks read, though a field holds line breaks."""
+    path = _dividend_export(data)
+    return _dividends(csv.read_shaped_csv(data.spark, path, csv.target_of(path), split=True))
+
+
+def _dividends(shaped):
+    return shaped.select(
+        "symbol", day_text("record_date").alias("record_date"), "dps", F.col("dividend_year").cast("double"), "duration"
+    )
+
+
+def _dividend_export(data) -> str:
     key = F.col("s_suppkey")
     day = F.make_date(F.lit(2024), F.lit(5), (key % 28 + 1).cast("int"))
     raw = data.table("supplier").select(
@@ -45,10 +63,7 @@ def _src_csv_shape(data):
     )
     path = scratch_path(data.spark, "csv") + "/cash_dividend.csv"
     raw.write.option("header", True).option("escape", '"').option("nullValue", "").option("emptyValue", "").csv(path)
-    shaped = csv.read_shaped_csv(data.spark, path, csv.target_of(path))
-    return shaped.select(
-        "symbol", day_text("record_date").alias("record_date"), "dps", F.col("dividend_year").cast("double"), "duration"
-    )
+    return path
 
 
 @query(
@@ -87,14 +102,28 @@ def _logs_to_tokens(data):
     return tokens.by_component(rows).select("component", "count", "total_sum")
 
 
-@query(
-    "read_cases",
-    """
+CASE_FILES = """
     SELECT CAST(doc_id AS VARCHAR) AS id, lang AS table_name, 'a|' || source AS y_columns, length(text) AS chars FROM documents
-    """,
-)
+    """
+
+
+@query("read_cases", CASE_FILES)
 def _read_cases(data):
     """Case files with chart fields, an array of cases per file."""
+    return _case_fields(json.read_cases(data.spark, _case_folder(data)))
+
+
+@query("read_cases_split", CASE_FILES)
+def _read_cases_split(data):
+    """The same from files that several tasks read, each some of the cases."""
+    return _case_fields(json.read_split_cases(data.spark, _case_folder(data)))
+
+
+def _case_fields(cases):
+    return cases.select("id", F.col("expected_chart.table").alias("table_name"), F.array_join("expected_chart.y_columns", "|").alias("y_columns"), F.length("question").cast("long").alias("chars"))
+
+
+def _case_folder(data) -> str:
     chart = F.struct(F.col("lang").alias("table"), F.array(F.lit("a"), "source").alias("y_columns"))
     case = F.struct(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("question"), chart.alias("expected_chart"))
     path = scratch_path(data.spark, "cases")
@@ -102,8 +131,7 @@ def _read_cases(data):
     part = F.floor(F.col("doc_id") / 50).alias("part")
     groups = data.table("documents").groupBy(part).agg(F.to_json(F.collect_list(case)).alias("value"))
     groups.write.partitionBy("part").text(path)
-    cases = json.read_cases(data.spark, path)
-    return cases.select("id", F.col("expected_chart.table").alias("table_name"), F.array_join("expected_chart.y_columns", "|").alias("y_columns"), F.length("question").cast("long").alias("chars"))
+    return path
 
 
 @query(

@@ -13,7 +13,7 @@ PYTHON = {
     "chunk_documents", "chunk_upsert", "embed_dense", "embed_sparse", "ingest_status", "rebuild_index", "dense_topk",
     "boosted_topk", "rrf", "sparse_topk", "multi_query", "retrieve", "rag_sources",
     "ingest_files", "chunk_sql", "rerank_guarded",
-    "semantic_chunks", "dense_topk_indexed", "sparse_topk_indexed", "retrieve_indexed", "unresolved_entities",
+    "semantic_chunks", "dense_topk_indexed", "sparse_topk_indexed", "retrieve_indexed", "chunk_sql_table", "src_csv_split", "read_cases_split", "unresolved_entities",
 }
 
 

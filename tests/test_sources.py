@@ -162,6 +162,64 @@ def test_pages(spark):
     assert pages.pages_to_text(df.limit(1), Broken()).first().error == "html parse failed: no"
 
 
+def test_csv_with_quoted_line_breaks_is_read_in_parts(spark, tmp_path):
+    """One file over many tasks: the same rows as in one task, whatever stands at the cuts."""
+    import csv as plain
+    import io
+    import random
+
+    rng = random.Random(11)
+    bits = ["a", "b,c", 'say ""hi""'.replace('""', '"'), "line\nbreak", "two\n\nbreaks", "", "é", "x" * 300, "\n" * 40, '"', " pad "]
+    rows = [[str(i), *("".join(rng.choices(bits, k=rng.randint(0, 3))) for _ in range(3))] for i in range(400)]
+    text = io.StringIO()
+    plain.writer(text, lineterminator="\r\n").writerows([["id", "first name", "b", "id"], *rows])
+    for name in ("one.csv", "two.csv"):
+        (tmp_path / name).write_text(text.getvalue() + ("\r\n" if name == "two.csv" else ""), newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = sorted(map(tuple, csv.read_csv(spark, str(tmp_path)).collect()), key=str)
+    assert len(want) == 800
+    try:
+        for size in ("200b", "1000b", "100000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = csv.read_split_csv(spark, str(tmp_path))
+            assert found.columns == csv.read_csv(spark, str(tmp_path)).columns
+            assert sorted(map(tuple, found.collect()), key=str) == want, size
+            if size == "200b":
+                assert spark.read.text(str(tmp_path / "one.csv")).rdd.getNumPartitions() > 50
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_json_arrays_are_read_in_parts(spark, tmp_path):
+    """Arrays and objects with `items` over many tasks: the same cases as in one task, whatever stands at the cuts."""
+    import random
+
+    rng = random.Random(12)
+    words = ["plain", "}", "{", "[", "]", '"', "\\", "a: b", "}}{", '\\"}', "é}", "items", "x" * 200, ""]
+    said = lambda: "".join(rng.choices(words, k=rng.randint(0, 4)))
+
+    def case(i):
+        chart = {"chart_type": [said()], "filters": {"a}": said()}} if i % 3 == 0 else None
+        return {"id": f"B-{i}", "question": said(), "history": [{"role": "user", "content": said()}], "key_facts": [said(), said()], "expected_chart": chart}
+
+    cases = [case(i) for i in range(300)]
+    (tmp_path / "array.json").write_text(json.dumps(cases[:100], ensure_ascii=False, indent=1))
+    (tmp_path / "line.json").write_text("  " + json.dumps(cases[100:200]))
+    others = {"note": [{"id": "no"}, {"items": [{"id": "no"}]}], "more": {"items": [{"id": "no"}]}, "items": cases[200:], "last": [{"id": "no"}]}
+    (tmp_path / "items.json").write_text(json.dumps(others))
+    (tmp_path / "empty.json").write_text("[]")
+    show = lambda df: sorted(str(r) for r in df.collect())
+    want = show(json_source.read_cases(spark, str(tmp_path)).filter("id IS NOT NULL"))
+    assert len(want) == 300 and not any("id='no'" in w for w in want)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("400b", "3000b", "1000000b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert show(json_source.read_split_cases(spark, str(tmp_path))) == want, size
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_page_segments_do_not_show(spark):
     """Skipped tags, titles and lines that reach over segments, unclosed and stray tags, no tags at all."""
     import random
