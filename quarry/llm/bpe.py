@@ -13,7 +13,8 @@ pieces. Vocabulary files are read by the driver and sent to the executors (they
 have a fixed size); their path is a parameter.
 
 Defined results: a null text is encoded like an empty one, to no ids. Any
-string round-trips. Repeated rows are encoded each. Extra columns are kept.
+string round-trips. Repeated rows are encoded each. Very long texts are encoded whole. An empty table has
+no rows. Extra columns are kept.
 """
 
 from __future__ import annotations

@@ -67,6 +67,7 @@ def text_key(doc_id: Column, text: Column) -> list[Column]:
 
 def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """Rows of `docs` whose id and text are not among `keys` (of `text_key`), columns unchanged."""
-    keys = small(keys.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    key_id, key_hash = free_name(docs, "key_id"), free_name(docs, "key_hash")
+    keys = small(keys.select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash)).distinct())
     id_, hash_ = text_key(F.col("doc_id"), F.col("text"))
-    return docs.join(keys, F.col("__id").eqNullSafe(id_) & (F.col("__hash") == hash_), "left_anti")
+    return docs.join(keys, F.col(key_id).eqNullSafe(id_) & (F.col(key_hash) == hash_), "left_anti")

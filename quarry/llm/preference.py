@@ -12,7 +12,8 @@ and a minimum per pair.
 Defined results: turns are ordered by their number, null first. Several turns of one
 number in a conversation are ordered by role and text, and exact repeats after that;
 a null role is shown as an empty name and a null text as an empty one. A side
-without turns has no completion. A null pair id belongs to no pair and is left out.
+without turns has no completion. A null pair id belongs to no pair and is left out. Very long
+texts are whole; only their digests are compared. Empty tables have no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

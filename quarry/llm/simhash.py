@@ -20,7 +20,9 @@ fingerprints at most `max_bits` apart are found in three steps:
 
 Defined results: a null text, an empty text and a text of white space have no
 shingles and the fingerprint zero, which links like any other. Repeated rows and
-repeated ids are kept; a component's id is the smallest id that is not null.
+repeated ids are kept; a component's id is the smallest id that is not null. Equal fingerprints are
+always linked. Very long texts are taken word by word, in blocks, whole. An empty table has no rows. Extra columns are
+kept by `keep_one`, whatever their names, and ignored by the rest.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import small, stored, text_key, without, words_in
+from quarry.llm.common import free_name, small, stored, text_key, without, words_in
 from quarry.llm.components import connected_components
 
 SEED = 42
@@ -232,5 +234,7 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int
     if repeated.isEmpty():
         return kept
     id_, hash_ = text_key(F.col("doc_id"), F.col("text"))
-    repeats = kept.join(small(repeated.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))), F.col("__id").eqNullSafe(id_) & (F.col("__hash") == hash_), "left_semi")
+    key_id, key_hash = free_name(docs, "key_id"), free_name(docs, "key_hash")
+    keys = small(repeated.select(F.col("doc_id").alias(key_id), F.col("text_hash").alias(key_hash)))
+    repeats = kept.join(keys, F.col(key_id).eqNullSafe(id_) & (F.col(key_hash) == hash_), "left_semi")
     return without(kept, repeated).unionByName(repeats.dropDuplicates(["doc_id", "text"]))
