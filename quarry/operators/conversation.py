@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import cut, topic_tokens
-from quarry.operators.ranking import group_position, next_marker, previous_rows, top_n
+from quarry.operators.ranking import HOT_ROWS, group_position, next_marker, previous_rows, top_n
 
 # Window sizes and the topic-change rule.
 HISTORY_MESSAGES = 6
@@ -17,6 +17,8 @@ TOPIC_MIN_OVERLAP = 0.25
 TRANSCRIPT_MESSAGES = 8
 
 BLOCK_ROWS = 100_000
+# Pages that reach further than this are not cut before the shuffle; Spark's limit for such cuts, see `session.py`.
+DEEP_ROWS = 5000
 
 
 def sequence_block(order: Column) -> Column:
@@ -102,9 +104,16 @@ def session_activity(events: DataFrame) -> DataFrame:
     return events.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.max("num_order").alias("last_order"))
 
 
-def page(events: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of every session in sequence order; at least one row."""
+def page(events: DataFrame, limit: int = 100, offset: int = 0, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One page of every session in sequence order; at least one row.
+
+    Pages near the start are cut in the tasks before the shuffle. For deep ones every row gets its place, long sessions in blocks of numbers.
+    """
     limit, offset = max(1, int(limit)), max(0, int(offset))
+    if offset + limit > DEEP_ROWS:
+        block = F.coalesce(F.floor(F.col("num_order") / DEEP_ROWS), F.lit(-(1 << 62)))
+        placed = group_position(events, ["session_id"], [F.col("num_order").asc()], block, "position", hot_rows)
+        return placed.filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
     wanted = top_n(events, ["session_id"], [F.col("num_order").asc()], offset + limit, rank="position")
     return wanted.filter(F.col("position") > offset)
 

@@ -142,3 +142,16 @@ def test_nearest_rank_of_one_value_in_nearly_all_rows(spark):
     exchange = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line)
     summed = next(i for i, line in enumerate(lines) if "partial_count" in line)
     assert exchange < summed and not any("Join" in line for line in lines[:summed])
+
+
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_deep_pages_equal_slices(spark, hot_rows):
+    from quarry.operators.conversation import page
+
+    rng = random.Random(3)
+    data = [("hot", n) for n in range(0, 24_000, 2)] + [("few", n) for n in (5, 1, 9)] + [("none", None)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "session_id string, num_order bigint")
+    got = [(r.session_id, r.num_order, r.position) for r in page(df, 5, 5998, hot_rows).collect()]
+    assert sorted(got) == [("hot", 2 * (p - 1), p) for p in range(5999, 6004)]
+    assert {(r.session_id, r.position) for r in page(df, 10_000, 0, hot_rows).collect() if r.session_id != "hot"} == {("few", 1), ("few", 2), ("few", 3), ("none", 1)}
