@@ -16,15 +16,19 @@ The second level shares out "another word" among all other training words, howev
 The frequent words are clustered by their trained vectors, and every place of a text gets the
 component for which the words around it vote. Each distinct word has a target row (how
 often it stands at places of each component) and a context row (the same for the place that
-follows it). Rows are sums over the corpus, stay in a written table and are joined to the
-shards with the counts. p(w | context) is the sum over components k of p(k | context rows of
-the two tokens before) * (c(w) + SMOOTHING) * p(k | w) / Z(k), where Z(k) is the sum over all
+follows it), summed over the corpus into a written table. A row stands for the shares of its components; the
+shares of all words are put into a codebook by their two largest components and how large these are, and a
+code means what its words have on average, so a word travels as its count and two codes in one
+number. p(w | context) is the sum over components k of p(k | context codes of the two tokens before) *
+(c(w) + SMOOTHING) * p(k | target code) / Z(k), where Z(k) is the sum over all
 other words, one unseen word included, so the token probabilities of a context sum to one. The
-context row of a word outside the frequent ones also moves its R away from the shared one.
+context code of a word outside the frequent ones also moves its R away from the shared one. Contexts are
+pairs of frequent words and codes, so they repeat within a shard, and the normalisers of both levels are worked out once for each.
 
 Defined results: a null or empty text is a single end mark. Rows without an id belong to
 training. Without training rows counts are zero and the model falls back to the base
-score. Repeated rows are counted and scored each. Extra columns are ignored.
+score. Repeated rows are counted and scored each. Very long texts are a shard of their own, whole. An empty table
+has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +40,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +52,24 @@ DIMENSIONS = 16
 NOISE = 30
 MINIBATCH = 4096
 LEARNING_RATE = 0.3
-ROUNDS = 1
+ROUNDS = 2
 SMOOTHING = 0.1
 CONTEXTS_AT_ONCE = 2048
+# A word is counted at first where a shard has it so often; candidates for each frequent word that are counted fully.
+OFTEN, CANDIDATES = 3, 20
 # Second level: components, places on each side that vote, pseudo-places of a row, weights of the two tokens before.
 COMPONENTS = 8
 WINDOW = 4
 PRIOR = 0.5
 NEAR, FAR = 1.0, 0.9
 PLACES_AT_ONCE = 1 << 16
+# Pairs of contexts up to which they are numbered by a table instead of by sorting.
+PAIRS_IN_TABLE = 1 << 24
+# Steps of the largest and second largest share that tell codes apart; code 0 is a word without places.
+TARGET_LEVELS = (0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+CONTEXT_LEVELS = (0.2, 0.3, 0.5, 0.7, 0.9)
+# Bits of the codes in a packed word.
+TARGET_BITS = CONTEXT_BITS = 13
 # The end mark; no word is empty.
 END = b""
 
@@ -128,11 +140,33 @@ def build_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     return stored(rows.mapInArrow(lambda batches: shard_rows(batches, shard_bytes), SHARDS), "lm-shards")
 
 
-def word_counts(shards: DataFrame) -> DataFrame:
-    """(word, c): how often each word of the training texts occurs in them, end mark included."""
-    pairs = shards.select(F.explode(F.arrays_zip("words", "n_train")).alias("w"))
-    counts = pairs.filter("w.n_train > 0").groupBy(F.col("w.words").alias("word"))
-    return stored(counts.agg(F.sum("w.n_train").alias("c")), "lm-counts")
+def word_counts(shards: DataFrame, least: int = 1) -> DataFrame:
+    """(word, c, shards): how often each word of the training texts occurs in shards that have it `least` times, and in how many."""
+    pairs = shards.select(F.explode(F.arrays_zip("words", "n_train")).alias("w")).filter(F.col("w.n_train") >= least)
+    return pairs.groupBy(F.col("w.words").alias("word")).agg(F.sum("w.n_train").alias("c"), F.count(F.lit(1)).alias("shards"))
+
+
+def frequent_words(shards: DataFrame, words: int, often: int = OFTEN) -> list[tuple[bytes, int]]:
+    """The `words` most frequent words with their counts, of equals those first in order.
+
+    Words are first counted where a shard has them `often` times, which leaves out most pairs of word and shard. A word
+    may have up to often - 1 more in every other shard; those that could be among the first by that are counted fully. When
+    too many could, as with few or tiny shards, all words are counted.
+    """
+    number = shards.count()
+    seen = stored(word_counts(shards, often), "lm-often")
+    most = F.col("c") + (often - 1) * (number - F.col("shards"))
+    best = [r["c"] for r in seen.orderBy(F.desc("c")).limit(words).collect()]
+    counts = None
+    if len(best) == words and best[-1] > (often - 1) * number:
+        near = stored(seen.filter(most >= best[-1]).select(F.col("word").alias("near")), "lm-near")
+        if near.count() <= CANDIDATES * words:
+            pairs = shards.select(F.explode(F.arrays_zip("words", "n_train")).alias("w")).select("w.words", "w.n_train")
+            own = pairs.join(F.broadcast(near), F.col("words") == F.col("near"), "left_semi")
+            counts = own.groupBy(F.col("words").alias("word")).agg(F.sum("n_train").alias("c"))
+    if counts is None:
+        counts = word_counts(shards)
+    return [(bytes(r["word"]), r["c"]) for r in counts.filter("c > 0").orderBy(F.desc("c"), "word").limit(words).collect()]
 
 
 @dataclass(frozen=True)
@@ -142,7 +176,8 @@ class Model:
     words: dict[bytes, int]
     total: int
     distinct: int
-    # Smoothed share of all other words, and log share of every target.
+    # Training counts of the words by number; smoothed share of all other words, and log share of every target.
+    counts: np.ndarray
     other: float
     unigram: np.ndarray
     rows: np.ndarray
@@ -172,19 +207,18 @@ class Model:
         return self.rows[last] @ self.near + self.rows[before] @ self.far
 
 
-def new_model(counts: DataFrame, words: int = WORDS, dimensions: int = DIMENSIONS) -> Model:
-    """Untrained parameters over the most frequent words; starts as the unigram model."""
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(sums["n"] or 0), int(sums["v"])
-    top = counts.orderBy(F.desc("c"), "word").limit(words).collect()
-    share = (np.array([r["c"] for r in top], np.float64) + SMOOTHING) / (total + SMOOTHING * (distinct + 1))
+def new_model(shards: DataFrame, words: int = WORDS, dimensions: int = DIMENSIONS) -> Model:
+    """Untrained parameters over the most frequent words; starts as the unigram model. The number of words is not known yet."""
+    total = int(shards.agg(F.sum(F.aggregate("n_train", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0)
+    top = frequent_words(shards, words)
+    share = (np.array([c for _, c in top], np.float64) + SMOOTHING) / (total + SMOOTHING * (len(top) + 1))
     other = max(1.0 - share.sum(), 1e-12)
     rng, k = np.random.default_rng(3), len(top)
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     unigram = np.log(np.append(share, other)).astype(np.float32)
     return Model(
-        {bytes(r["word"]): i for i, r in enumerate(top)}, total, distinct, float(other), unigram,
-        small(k + 2, dimensions), np.eye(dimensions, dtype=np.float32), 0.5 * np.eye(dimensions, dtype=np.float32), small(k + 1, dimensions), unigram.copy(),
+        {word: i for i, (word, _) in enumerate(top)}, total, 0, np.array([c for _, c in top], np.int64),
+        float(other), unigram, small(k + 2, dimensions), np.eye(dimensions, dtype=np.float32), 0.5 * np.eye(dimensions, dtype=np.float32), small(k + 1, dimensions), unigram.copy(),
     )
 
 
@@ -202,13 +236,22 @@ def numbered(names: np.ndarray, local: np.ndarray, lengths: np.ndarray, other: i
     return target, last, before
 
 
-def column_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+def row_sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sum of the value rows that go to each of n rows."""
-    return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1).astype(np.float32)
+    order = np.argsort(rows.astype(np.int32), kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    out = np.zeros((n, values.shape[1]), np.float32)
+    out[rows[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
 
 
 class Trainer:
-    """Noise-contrastive steps with per-parameter rates on the shards of one task."""
+    """Noise-contrastive steps with per-parameter rates on the shards of one task.
+
+    A step takes its tokens together by context and target, as few contexts are many times in a minibatch; the
+    gradient is that of the single tokens.
+    """
 
     def __init__(self, model: Model, noise: int = NOISE):
         self.model, self.noise = model, noise
@@ -222,29 +265,47 @@ class Trainer:
     def shard(self, seed: int, target: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
         """One pass over the tokens of a shard in random order."""
         self.tokens += len(target)
-        rng = np.random.default_rng(seed & 0xFFFFFFFF)
-        order = rng.permutation(len(target))
-        for start in range(0, len(order), MINIBATCH):
-            own = order[start : start + MINIBATCH]
-            self.step(target[own], last[own], before[own], rng.choice(len(self.share), self.noise, p=self.share))
-
-    def step(self, t: np.ndarray, a: np.ndarray, b: np.ndarray, noise: np.ndarray) -> None:
-        p, weight = self.p, np.float32(1 / MINIBATCH)
-        ra, rb = p["rows"][a], p["rows"][b]
-        vector = ra @ p["near"] + rb @ p["far"]
-        right = np.einsum("ij,ij->i", vector, p["targets"][t]) + p["bias"][t] - self.expected[t]
-        wrong = vector @ p["targets"][noise].T + p["bias"][noise] - self.expected[noise]
-        up = -weight / (1 + np.exp(np.clip(right, -30, 30)))
-        down = weight / (1 + np.exp(-np.clip(wrong, -30, 30)))
-        back = up[:, None] * p["targets"][t] + down @ p["targets"][noise]
-        n = len(p["bias"])
-        targets = column_sums(t, up[:, None] * vector, n) + column_sums(noise, down.T @ vector, n)
-        bias = np.bincount(t, up, n) + np.bincount(noise, down.sum(axis=0), n)
-        rows = column_sums(a, back @ p["near"].T, n + 1) + column_sums(b, back @ p["far"].T, n + 1)
+        rng, n = np.random.default_rng(seed & 0xFFFFFFFF), len(self.share)
+        codes = rng.permutation((before.astype(np.int64) * (n + 1) + last) * n + target)
+        for start in range(0, len(codes), MINIBATCH):
+            self.step(codes[start : start + MINIBATCH], rng.choice(n, self.noise, p=self.share))
+
+    def step(self, codes: np.ndarray, noise: np.ndarray) -> None:
+        p, weight, n = self.p, np.float32(1 / MINIBATCH), len(self.expected)
+        codes = np.sort(codes)
+        firsts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        times = np.diff(firsts, append=len(codes)).astype(np.float32)
+        pairs, t = np.divmod(codes[firsts], n)
+        contexts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        b, a = np.divmod(pairs[contexts], n + 1)
+        at = np.repeat(np.arange(len(contexts)), np.diff(contexts, append=len(pairs)))
+        noise, repeats = np.unique(noise, return_counts=True)
+        ra, rb, own, others = p["rows"][a], p["rows"][b], p["targets"][t], p["targets"][noise]
+        offset = p["bias"] - self.expected
+        vector = ra @ p["near"]
+        vector += rb @ p["far"]
+        # A logit beyond single precision's exp has a slope of zero, which dividing by infinity gives.
+        with np.errstate(over="ignore"):
+            up = -weight * times / (1 + np.exp(np.einsum("ij,ij->i", vector[at], own) + offset[t]))
+            down = vector @ others.T
+            down += offset[noise]
+            np.negative(down, out=down)
+            np.exp(down, out=down)
+        down += 1
+        np.divide(weight * np.add.reduceat(times, contexts)[:, None] * repeats.astype(np.float32), down, out=down)
+        right = up[:, None] * own
+        back = down @ others
+        back += np.add.reduceat(right, contexts, axis=0)
+        targets = row_sums(t, up[:, None] * vector[at], n)
+        targets[noise] += down.T @ vector
+        bias = np.bincount(t, up, n)
+        bias[noise] += down.sum(axis=0)
+        rows = row_sums(np.concatenate([a, b]), np.concatenate([back @ p["near"].T, back @ p["far"].T]), n + 1)
         grads = {"rows": rows, "near": ra.T @ back, "far": rb.T @ back, "targets": targets, "bias": bias.astype(np.float32)}
         for name, g in grads.items():
-            self.squares[name] += g * g
-            p[name] -= LEARNING_RATE * g / np.sqrt(self.squares[name])
+            squares = self.squares[name]
+            squares += g * g
+            p[name] -= LEARNING_RATE * g / np.sqrt(squares)
 
     def flat(self) -> np.ndarray:
         return replace(self.model, **self.p).flat()
@@ -301,22 +362,32 @@ def log_normalisers(model: Model, vectors: np.ndarray) -> np.ndarray:
 
 def log_probabilities(model: Model, target: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
     """log10 of the normalised first-level probability of every target number in its context."""
-    return row_probabilities(model, target, last, before, model.rows)
-
-
-def row_probabilities(model: Model, target: np.ndarray, last: np.ndarray, before: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The same with `last` and `before` as places in a table of context rows."""
-    pairs, at = np.unique(before.astype(np.int64) * len(rows) + last, return_inverse=True)
-    b, a = np.divmod(pairs, len(rows))
-    near, far, out = rows @ model.near, rows @ model.far, np.empty(len(target))
-    normaliser = np.empty(len(pairs))
-    for start in range(0, len(pairs), PLACES_AT_ONCE):
-        own = slice(start, start + PLACES_AT_ONCE)
-        normaliser[own] = log_normalisers(model, near[a[own]] + far[b[own]])
+    return row_probabilities(model, target, *distinct_contexts(last, before, len(model.rows)), model.rows)
+
+
+def distinct_contexts(last: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of context rows as two arrays, and which of them each place has."""
+    codes = before.astype(np.int64) * size + last
+    if size * size <= PAIRS_IN_TABLE:
+        seen = np.zeros(size * size, bool)
+        seen[codes] = True
+        pairs, number = np.flatnonzero(seen), np.empty(size * size, np.int32)
+        number[pairs] = np.arange(len(pairs), dtype=np.int32)
+        at = number[codes]
+    else:
+        pairs, at = np.unique(codes, return_inverse=True)
+    return pairs % size, pairs // size, at
+
+
+def row_probabilities(model: Model, target: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The same for places that have context `at` of the pairs (a, b) in a table of context rows."""
+    vectors, out = (rows @ model.near)[a], np.empty(len(target))
+    vectors += (rows @ model.far)[b]
+    normaliser = log_normalisers(model, vectors)
     for start in range(0, len(target), PLACES_AT_ONCE):
         own = slice(start, start + PLACES_AT_ONCE)
-        t, vectors = target[own], near[last[own]] + far[before[own]]
-        out[own] = np.einsum("ij,ij->i", vectors, model.targets[t]) + model.bias[t] - normaliser[at[own]]
+        t, pair = target[own], at[own]
+        out[own] = np.einsum("ij,ij->i", vectors[pair], model.targets[t]) + model.bias[t] - normaliser[pair]
     return out / np.log(10)
 
 
@@ -342,34 +413,34 @@ def clusters(points: np.ndarray, weights: np.ndarray, k: int, turns: int = 30) -
 
 
 def votes_of(model: Model, components: int = COMPONENTS) -> np.ndarray:
-    """Vote of every model number for the components; other words and the start have none."""
+    """The component that every model number votes for; other words and the start have none (-1)."""
     k = len(model.words)
-    votes = np.zeros((k + 2, components), np.int64)
+    votes = np.full(k + 2, -1)
     if k:
         points = np.hstack([model.rows[:k], model.targets[:k]]).astype(np.float64)
         points /= np.sqrt(np.square(points).sum(axis=1, keepdims=True)) + 1e-9
-        votes[np.arange(k), clusters(points, np.exp(model.unigram[:k].astype(np.float64)), components)] = 1
+        votes[:k] = clusters(points, np.exp(model.unigram[:k].astype(np.float64)), components)
     return votes
 
 
-def components_of(votes: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Component that the words around each place, itself left out, vote for; -1 without a vote."""
-    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = np.arange(len(target))
-    start, end = np.maximum(place - window, first), np.minimum(place + window + 1, first + np.repeat(lengths, lengths))
-    found, most = np.full(len(target), -1), np.zeros(len(target), np.int64)
-    for k in range(votes.shape[1]):
-        own = votes[:, k][target]
-        sums = np.append(0, np.cumsum(own))
-        around = sums[end] - sums[start] - own
-        found[around > most] = k
-        np.maximum(most, around, out=most)
-    return found
+def components_of(votes: np.ndarray, target: np.ndarray, lengths: np.ndarray, window: int = WINDOW, components: int = COMPONENTS) -> np.ndarray:
+    """Component that most words around each place, itself left out, vote for, the first of equals; -1 without a vote."""
+    text, own, n = np.repeat(np.arange(len(lengths)), lengths), votes[target], len(target)
+    counts = np.zeros((n, components), np.int8)
+    flat, base = counts.reshape(-1), np.arange(n) * components
+    for away in range(1, min(window, n - 1) + 1):
+        near = text[away:] == text[:-away]
+        # In one direction and distance every place gets one vote at most.
+        ahead, back = near & (own[away:] >= 0), near & (own[:-away] >= 0)
+        flat[base[:-away][ahead] + own[away:][ahead]] += 1
+        flat[base[away:][back] + own[:-away][back]] += 1
+    found = counts.argmax(axis=1)
+    return np.where(counts[np.arange(n), found] > 0, found, -1)
 
 
 def place_counts(names: np.ndarray, local: np.ndarray, lengths: np.ndarray, training: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Target and context rows of the words of a shard: training places of each component, and such places after them."""
-    n, k = len(names), votes.shape[1]
+    n, k = len(names), COMPONENTS
     found = components_of(votes, names[local], lengths)
     used = training & (found >= 0)
     after = used[1:].copy()
@@ -387,15 +458,16 @@ def word_rows(shards: DataFrame, model: Model, components: int = COMPONENTS) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, votes = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                spelled, row = batch.column(0)[i].values, batch.slice(i, 1).drop_columns(["words"]).to_pylist()[0]
                 lengths = np.array(row["lengths"], np.int64)
-                names = np.array([words.get(w, len(words)) for w in row["words"]], np.int32)
+                names = np.array([words.get(w, len(words)) for w in spelled.to_pylist()], np.int32)
                 t, n = place_counts(names, unpacked(row["tokens"]), lengths, ~np.repeat(row["held"], row["lengths"]), votes)
                 counts = np.array(row["n_train"], np.int32)
                 seen = np.flatnonzero(counts > 0)
                 # Bounded batches: a shard may have very many words.
                 for at in np.array_split(seen, len(seen) // 65536 + 1):
-                    values = [pa.array([row["words"][i] for i in at], pa.binary()), pa.array(counts[at])]
+                    values = [spelled.take(pa.array(at)), pa.array(counts[at])]
                     values += [pa.array(np.ascontiguousarray(v[at, k])) for v in (t, n) for k in range(components)]
                     yield pa.RecordBatch.from_arrays(values, names=["word", "c", *columns])
 
@@ -405,51 +477,125 @@ def word_rows(shards: DataFrame, model: Model, components: int = COMPONENTS) ->
     return stored(sums.select("word", "c", F.array(*columns[:components]).alias("t"), F.array(*columns[components:]).alias("n")), "lm-rows")
 
 
+def shares_of(places: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Share of each component given rows of places; the shares of all without any."""
+    return (places + PRIOR * shares) / (places.sum(axis=1, keepdims=True) + PRIOR)
+
+
+def codes_of(places: np.ndarray, shares: np.ndarray, levels: tuple[float, ...]) -> np.ndarray:
+    """Code of rows of places: the two largest components and the steps of their shares; 0 without places."""
+    own, steps, row = shares_of(places, shares), len(levels) + 1, np.arange(len(places))
+    first = own.argmax(axis=1)
+    rest = own.copy()
+    rest[row, first] = -1
+    second = rest.argmax(axis=1)
+    codes = first * steps + np.searchsorted(levels, own[row, first])
+    codes = (codes * own.shape[1] + second) * steps + np.searchsorted(levels, own[row, second])
+    return np.where(places.sum(axis=1) > 0, codes + 1, 0)
+
+
+def code_count(components: int, levels: tuple[float, ...]) -> int:
+    return (components * (len(levels) + 1)) ** 2 + 1
+
+
 @dataclass(frozen=True)
 class Sharing:
-    """How "another word" is shared out: shares and normalisers of the components, R of a word by component."""
+    """How "another word" is shared out: by components, with what the codes of words mean.
+
+    Context rows are the frequent words by number, then the start of a text, then the context codes:
+    `rows` has their R, `pulls` the log of what they make of the shares of the components.
+    """
 
     shares: np.ndarray
     normalisers: np.ndarray
-    moves: np.ndarray
-
-    def of(self, places: np.ndarray) -> np.ndarray:
-        """Share of each component given a row of places; the shares of all without any."""
-        return (places + PRIOR * self.shares) / (places.sum(axis=1, keepdims=True) + PRIOR)
-
-    def rows(self, model: Model, names: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Context rows of words: the trained one, or the shared one moved by the word's own places."""
-        other = (names == len(model.words))[:, None]
-        return np.where(other, model.rows[names] + self.of(contexts) @ self.moves, model.rows[names]).astype(np.float32)
-
-    def log_shares(self, counts: np.ndarray, targets: np.ndarray, contexts: np.ndarray, word: np.ndarray, last: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 p(word | another word, last, before) for places in the tables of words given first."""
-        weight = np.log(self.of(contexts) / self.shares)
-        per_word = (counts + SMOOTHING)[:, None] * self.of(targets) / self.normalisers
+    target_book: np.ndarray
+    rows: np.ndarray
+    pulls: np.ndarray
+
+    def log_shares(self, counts: np.ndarray, codes: np.ndarray, word: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 p(word | another word, context) for places in the tables of words and contexts given."""
+        pull = np.log(self.shares) + NEAR * self.pulls[a] + FAR * self.pulls[b]
+        pull = np.exp(pull - pull.max(axis=1, keepdims=True))
+        pull /= pull.sum(axis=1, keepdims=True)
+        per_word = (counts + SMOOTHING)[:, None] * (self.target_book / self.normalisers)[codes]
         out = np.empty(len(word))
         for start in range(0, len(word), PLACES_AT_ONCE):
             own = slice(start, start + PLACES_AT_ONCE)
-            pull = np.log(self.shares) + NEAR * weight[last[own]] + FAR * weight[before[own]]
-            pull = np.exp(pull - pull.max(axis=1, keepdims=True))
-            out[own] = np.log10(np.einsum("ij,ij->i", pull, per_word[word[own]]) / pull.sum(axis=1))
+            out[own] = np.log10(np.einsum("ij,ij->i", pull[at[own]], per_word[word[own]]))
         return out
 
 
+def lists(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def code_sums(others: DataFrame, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per target code and per context code: summed shares of the words by count, then counts, then words."""
+    k = len(shares)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((code_count(k, levels), k + 2)) for levels in (TARGET_LEVELS, CONTEXT_LEVELS)]
+        for batch in batches:
+            counts = batch.column(0).to_numpy(zero_copy_only=False)
+            for total, column, levels in zip(sums, (1, 2), (TARGET_LEVELS, CONTEXT_LEVELS)):
+                places = lists(batch.column(column), k)
+                codes = codes_of(places, shares, levels)
+                values = np.hstack([shares_of(places, shares) * counts[:, None], counts[:, None], np.ones((len(counts), 1))])
+                for j in range(k + 2):
+                    total[:, j] += np.bincount(codes, values[:, j], len(total))
+        for kind, total in enumerate(sums):
+            seen = np.flatnonzero(total[:, k + 1])
+            yield pa.RecordBatch.from_pydict({"kind": np.full(len(seen), kind), "code": seen, **{f"s{j}": total[seen, j] for j in range(k + 2)}})
+
+    names = [f"s{j}" for j in range(k + 2)]
+    parts = others.select("c", "t", "n").mapInArrow(run, "kind long, code long, " + ", ".join(f"{c} double" for c in names))
+    out = [np.zeros((code_count(k, levels), k + 2)) for levels in (TARGET_LEVELS, CONTEXT_LEVELS)]
+    # At most as many rows as there are codes.
+    for row in parts.groupBy("kind", "code").agg(*(F.sum(c).alias(c) for c in names)).collect():
+        out[row["kind"]][row["code"]] = [row[c] for c in names]
+    return out[0], out[1]
+
+
 def sharing(rows: DataFrame, model: Model, components: int = COMPONENTS) -> Sharing:
-    """Two passes over the rows of the other words: places of each component, then normalisers."""
-    numbers = rows.sparkSession.createDataFrame([(w,) for w in model.words], "word binary")
+    """Two passes over the rows of the other words: places of each component, then what the codes mean."""
+    numbers = rows.sparkSession.createDataFrame(list(model.words.items()), "word binary, number int")
     others = rows.join(F.broadcast(numbers), "word", "left_anti")
     found = others.agg(*(F.sum(F.col("t")[k]) for k in range(components))).first()
     places = np.array([v or 0 for v in found], np.float64) + 1
     shares = places / places.sum()
-    all_places = F.aggregate("t", F.lit(0).cast("long"), lambda a, b: a + b)
-    weight = [(F.col("c") + SMOOTHING) * (F.col("t")[k] + float(PRIOR * shares[k])) / (all_places + PRIOR) for k in range(components)]
-    normalisers = np.array([v or 0 for v in others.agg(*map(F.sum, weight)).first()], np.float64) + SMOOTHING * shares
+    targets, contexts = code_sums(others, shares)
+
+    def book(sums: np.ndarray) -> np.ndarray:
+        mass = sums[:, components : components + 1]
+        return np.where(mass > 0, sums[:, :components] / np.maximum(mass, 1e-300), shares)
+
+    target_book, context_book = book(targets), book(contexts)
+    weight = targets[:, components] + SMOOTHING * targets[:, components + 1]
+    normalisers = weight @ target_book + SMOOTHING * shares
     # R by component: mean of the frequent words that vote for it, less the mean over components.
     k = len(model.words)
-    votes = votes_of(model, components)[:k].astype(np.float64) * np.exp(model.unigram[:k].astype(np.float64))[:, None]
+    votes = np.eye(components)[votes_of(model, components)[:k]] * np.exp(model.unigram[:k].astype(np.float64))[:, None]
     means = votes.T @ model.rows[:k] / np.maximum(votes.sum(axis=0), 1e-12)[:, None]
-    return Sharing(shares, normalisers, means - shares @ means)
+    known = np.zeros((k, components))
+    for row in rows.join(F.broadcast(numbers), "word").select("number", "n").collect():
+        known[row["number"]] = row["n"]
+    moved = model.rows[k] + context_book @ (means - shares @ means)
+    pulls = [np.log(shares_of(known, shares) / shares), np.zeros((1, components)), np.log(context_book / shares)]
+    return Sharing(shares, normalisers, target_book, np.vstack([model.rows[:k], model.rows[k + 1 :], moved]).astype(np.float32), np.vstack(pulls))
+
+
+def packed_words(others: DataFrame, shares: np.ndarray) -> DataFrame:
+    """(word, packed): count, target code and context code of each word in one number."""
+    k = len(shares)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = batch.column(1).to_numpy(zero_copy_only=False)
+            t, n = (codes_of(lists(batch.column(i), k), shares, levels) for i, levels in ((2, TARGET_LEVELS), (3, CONTEXT_LEVELS)))
+            packed_ = (counts << TARGET_BITS | t) << CONTEXT_BITS | n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed_.astype(np.int64))], names=["word", "packed"])
+
+    return others.select("word", "c", "t", "n").mapInArrow(run, "word binary, packed long")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -458,19 +604,19 @@ SCORES_ARROW = pa.schema(
 )
 
 
-def shard_scores(row: dict, counts: np.ndarray, names: np.ndarray, targets: np.ndarray, contexts: np.ndarray, model: Model, share: Sharing) -> pa.Table:
-    """Scores of all texts of a shard, given training count, model number, target and context row of each of its words."""
-    lengths, local = np.array(row["lengths"], np.int64), unpacked(row["tokens"])
-    # One more word stands before a text; it has a trained row and no places.
-    start, none = len(names), np.zeros((1, targets.shape[1]))
-    counts, names = np.append(counts, 0), np.append(names, len(model.words) + 1)
-    targets, contexts = np.vstack([targets, none]), np.vstack([contexts, none])
-    _, last, before = numbered(np.arange(start), local, lengths, start - 1)
+def shard_scores(row: dict, names: np.ndarray, packed_: np.ndarray, model: Model, share: Sharing) -> pa.Table:
+    """Scores of all texts of a shard, given the model number and the packed row of each of its words."""
+    lengths, local, k = np.array(row["lengths"], np.int64), unpacked(row["tokens"]), len(model.words)
+    counts = np.where(names < k, np.append(model.counts, 0)[names], packed_ >> TARGET_BITS + CONTEXT_BITS)
+    codes = (packed_ >> CONTEXT_BITS) & ((1 << TARGET_BITS) - 1)
+    context = np.where(names < k, names, k + 1 + (packed_ & ((1 << CONTEXT_BITS) - 1)))
+    _, last, before = numbered(context, local, lengths, k - 1)
+    a, b, at = distinct_contexts(last, before, len(share.rows))
     first = np.cumsum(lengths) - lengths
     base, target = model.base(counts), names[local]
-    neural = row_probabilities(model, target, last, before, share.rows(model, names, contexts))
-    other = np.flatnonzero(target == len(model.words))
-    neural[other] += share.log_shares(counts, targets, contexts, local[other], last[other], before[other])
+    neural = row_probabilities(model, target, a, b, at, share.rows)
+    other = np.flatnonzero(target == k)
+    neural[other] += share.log_shares(counts, codes, local[other], a, b, at[other])
     columns = [
         pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths),
         pa.array(np.add.reduceat((counts > 0)[local].astype(np.int64), first)),
@@ -485,25 +631,25 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, words: int = WO
     `docs` has doc_id, text and held_out; counts and model come from rows not held out.
     """
     shards = build_shards(docs, shard_bytes)
-    model = train(shards, new_model(word_counts(shards), words), rounds)
+    model = train(shards, new_model(shards, words), rounds)
     rows = word_rows(shards, model)
-    shared = docs.sparkSession.sparkContext.broadcast((model, sharing(rows, model)))
-    numbers = docs.sparkSession.createDataFrame(list(model.words.items()), "word binary, number int")
+    model = replace(model, distinct=rows.count())
+    share = sharing(rows, model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, share))
+    numbers = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in model.words], "word binary"))
     own = shards.select(F.col("shard").alias("part"), F.posexplode("words").alias("at", "word"))
-    known = own.join(rows, "word").join(F.broadcast(numbers), "word", "left").select("part", "at", "c", "number", "t", "n")
+    # Frequent words are in every shard and known to every task; they never meet in a join.
+    others = packed_words(rows.join(numbers, "word", "left_anti"), share.shares)
+    known = own.join(numbers, "word", "left_anti").join(others, "word").select("part", "at", "packed")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row, (model, share) = left.to_pylist()[0], shared.value
-        found, names = np.zeros(row["n_words"], np.int64), np.full(row["n_words"], len(model.words), np.int32)
-        targets, contexts = np.zeros((2, row["n_words"], COMPONENTS))
-        at = right.column("at").to_numpy()
-        found[at] = right.column("c").to_numpy()
-        names[at] = pc.fill_null(right.column("number"), len(model.words)).to_numpy()
-        for values, name in ((targets, "t"), (contexts, "n")):
-            values[at] = pc.list_flatten(right.column(name)).to_numpy().reshape(-1, COMPONENTS)
-        return shard_scores(row, found, names, targets, contexts, model, share)
-
-    texts = shards.select("shard", F.size("words").alias("n_words"), "tokens", "doc_ids", "held", "lengths")
+        names = np.array([model.words.get(w, len(model.words)) for w in row["words"]], np.int64)
+        packed_ = np.zeros(len(names), np.int64)
+        packed_[right.column("at").to_numpy()] = right.column("packed").to_numpy()
+        return shard_scores(row, names, packed_, model, share)
+
+    texts = shards.select("shard", "words", "tokens", "doc_ids", "held", "lengths")
     scored = texts.groupBy("shard").cogroup(known.groupBy("part")).applyInArrow(score, SCORES)
     names = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"]
     return scored.select(*names)

@@ -1,6 +1,7 @@
 import math
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -42,16 +43,29 @@ def test_base_equals_brute_force(spark, shard_bytes):
 def test_probabilities_sum_to_one(spark):
     shards = lm.build_shards(spark.createDataFrame(ROWS, SCHEMA))
     counts = lm.word_counts(shards)
-    model = lm.train(shards, lm.new_model(counts, words=6))
+    model = replace(lm.train(shards, lm.new_model(shards, words=6)), distinct=counts.count())
     size = len(model.words)
     assert size == 6
     for last, before in ((0, 1), (size, size), (size + 1, size + 1)):
         p = 10 ** lm.log_probabilities(model, np.arange(size + 1), np.full(size + 1, last), np.full(size + 1, before))
         assert p.sum() == pytest.approx(1, abs=1e-4)
-    # What "another word" shares out: all other known words and one unseen.
-    known = [(bytes(r["word"]), r["c"]) for r in counts.collect()]
-    rest = np.array([c for w, c in known if w not in model.words] + [0])
-    assert (10 ** (model.base(rest) - np.log10(model.other))).sum() == pytest.approx(1, abs=1e-6)
+    # The base score shares out all known words and one unseen.
+    every = np.array([r["c"] for r in counts.collect()] + [0])
+    assert (10 ** model.base(every)).sum() == pytest.approx(1, abs=1e-6)
+
+
+@pytest.mark.parametrize("shard_bytes", [400, 8 << 20])
+def test_frequent_words_are_exact(spark, shard_bytes, monkeypatch):
+    words = [(k, " ".join(f"w{int(j**1.5) % (k % 17 + 1)}" for j in range(60)), k % 5 == 0) for k in range(80)]
+    shards = lm.build_shards(spark.createDataFrame(words, SCHEMA), shard_bytes)
+    counts = Counter(t for _, text, held in words if not held for t in plain_tokens(text))
+    for n in (4, 100):
+        want = sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:n]
+        for often in (2, 50):
+            assert lm.frequent_words(shards, n, often) == want
+        monkeypatch.setattr(lm, "CANDIDATES", 1)
+        assert lm.frequent_words(shards, n, 2) == want
+        monkeypatch.undo()
 
 
 def test_learns_contexts(spark):
@@ -87,19 +101,33 @@ def test_every_training_word_has_rows_of_its_own(spark):
 
 def test_shares_of_other_words_sum_to_one(spark):
     shards = lm.build_shards(spark.createDataFrame(ROWS, SCHEMA))
-    model = lm.train(shards, lm.new_model(lm.word_counts(shards), words=4))
+    model = lm.train(shards, lm.new_model(shards, words=4))
     table = lm.word_rows(shards, model)
     share = lm.sharing(table, model)
-    assert table.count() == model.distinct
+    assert table.count() == lm.word_counts(shards).count()
     rows = [r for r in table.collect() if bytes(r["word"]) not in model.words]
-    n, unseen = len(rows), np.zeros((1, lm.COMPONENTS))
+    k, shares = len(model.words), share.shares
     counts = np.array([r["c"] for r in rows] + [0])
-    targets, contexts = np.vstack([[r["t"] for r in rows], unseen]), np.vstack([[r["n"] for r in rows], unseen])
-    names = np.full(n + 1, len(model.words))
-    for last, before in ((0, 1), (n, 2), (n, n)):
-        at = [np.full(n + 1, last), np.full(n + 1, before)]
-        p = 10 ** share.log_shares(counts, targets, contexts, np.arange(n + 1), *at)
+    unseen = [[0] * lm.COMPONENTS]
+    codes = lm.codes_of(np.array([r["t"] for r in rows] + unseen), shares, lm.TARGET_LEVELS)
+    after = k + 1 + lm.codes_of(np.array([r["n"] for r in rows] + unseen), shares, lm.CONTEXT_LEVELS)
+    assert codes[-1] == 0 and after[-1] == k + 1 and codes.max() < 1 << lm.TARGET_BITS and after.max() - k - 1 < 1 << lm.CONTEXT_BITS
+    # Any two of: a frequent word, the start, a code, an unseen word.
+    for last, before in ((0, k), (after[0], 1), (after[-1], after[1]), (k, k)):
+        one = np.array([last]), np.array([before])
+        p = 10 ** share.log_shares(counts, codes, np.arange(len(counts)), *one, np.zeros(len(counts), int))
         assert p.sum() == pytest.approx(1, abs=1e-6)
-        first = [v[: len(model.words) + 1] for v in np.resize(at, (2, 9))]
-        p = 10 ** lm.row_probabilities(model, np.arange(len(model.words) + 1), *first, share.rows(model, names, contexts))
+        p = 10 ** lm.row_probabilities(model, np.arange(k + 1), *one, np.zeros(k + 1, int), share.rows)
         assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_packed_words_keep_count_and_codes(spark):
+    shards = lm.build_shards(spark.createDataFrame(ROWS, SCHEMA))
+    model = lm.train(shards, lm.new_model(shards, words=4))
+    table = lm.word_rows(shards, model)
+    share = lm.sharing(table, model)
+    packed = {bytes(r["word"]): r["packed"] for r in lm.packed_words(table, share.shares).collect()}
+    for r in table.collect():
+        code = lm.codes_of(np.array([r["t"]]), share.shares, lm.TARGET_LEVELS)[0]
+        after = lm.codes_of(np.array([r["n"]]), share.shares, lm.CONTEXT_LEVELS)[0]
+        assert packed[bytes(r["word"])] == (r["c"] << 26) + (int(code) << 13) + int(after)
