@@ -17,7 +17,8 @@ blocks of bounded size; every block is searched in all shards.
 Defined results: null, empty and word-less texts have no words and no hits; items
 without a word match nothing. Repeated items with one id count once; equal
 windows of several items hit for each of them; a null item id is left out of the
-list but its windows hit. Repeated rows are judged each. Extra columns are kept.
+list but its windows hit. Repeated rows are judged each. Very long texts are indexed whole. An empty
+table has no rows, and without items nothing is hit. Extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -240,22 +241,25 @@ def search(index: DataFrame, items: list[tuple[int | None, bytes | None]], windo
     return index.mapInArrow(run, MATCHES)
 
 
-def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, bytes | None]]]:
-    """The distinct test texts (item_id, text), a bounded block after the other."""
+def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[int | None, bytes | None]], bool]]:
+    """The distinct test texts (item_id, text), a bounded block after the other, and whether it is the last."""
     rows = items.select("item_id", F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull()).distinct()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + int(total) // block_bytes
     for k in range(n):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"].encode()) for r in own.orderBy("item_id", "text").collect()]
+        yield [(r["item_id"], r["text"].encode()) for r in own.orderBy("item_id", "text").collect()], k == n - 1
 
 
 def contamination(docs: DataFrame, items: DataFrame, window_words: int = WINDOW_WORDS, slop: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated: a row per row of `docs`."""
     index = build_index(docs, shard_bytes)
     found = None
-    for block in blocks(items):
+    for block, last in blocks(items):
         part = search(index, block, window_words, slop)
+        if not last or found is not None:
+            # Written, so that the driver lets go of a block before it fetches the next.
+            part = stored(part, "block-matches")
         found = part if found is None else found.unionByName(part)
     # One row per document and block of phrases.
     merged = found.groupBy("shard", "at").agg(

@@ -16,7 +16,7 @@ that turns its output into a probability.
 Defined results: null and empty texts pool to zeros and get a score like any other. Several
 labels of one id count by their mean; null labels are ignored. With labels of one kind
 only, or none, every score is the smoothed share of label 1. Repeated rows are scored
-each. Extra columns are kept out.
+each. Very long texts are pooled in blocks, whole. An empty table has no rows. Extra columns are kept out.
 """
 
 from __future__ import annotations
@@ -214,7 +214,10 @@ def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray) -> QualityModel:
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, train_docs: int = TRAIN_DOCS) -> QualityModel:
     """Fit on at most `train_docs` ids of `labels` (doc_id, quality) that `docs` (doc_id, text) has."""
     marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good"))
-    drawn = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
+    # Ids are taken by their hash; those far beyond the last one wanted are left out before any are gathered.
+    rate = 2 * train_docs / max(1, marks.count())
+    near = marks if rate >= 0.5 else marks.filter(F.xxhash64("doc_id") < int((rate - 0.5) * 2.0**64))
+    drawn = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     @F.arrow_udf("binary")

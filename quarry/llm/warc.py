@@ -18,7 +18,8 @@ digest and, in an extension field, the length of the full payload.
 Defined results: a null payload is empty. A null URL gives a record without a target.
 Rows that repeat the largest id are all responses. If no row of equal payloads has an
 id, all are responses. Control characters and blanks in URLs are percent-encoded in
-the header, the index keeps the URL as it was. Extra columns are ignored.
+the header, the index keeps the URL as it was. Very long payloads are written and read whole, one at
+a time. An empty table writes no archive and has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -273,10 +274,14 @@ def read_task(batches: Iterator[pa.RecordBatch], gap_bytes: int, range_bytes: in
 
 
 def read_records(index: DataFrame, with_payload: bool = True, gap_bytes: int = GAP_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The records behind the given index rows, each once per row, in tasks of about `TASK_BYTES`."""
+    """The records behind the given index rows, each once per row, in tasks of about `TASK_BYTES`.
+
+    Stretches of `TASK_BYTES` of an archive go to one task, by a hash, so no sample of the index is gathered to deal them out.
+    """
     rows = index.select("archive", "offset", "length")
     total = rows.agg(F.sum("length")).first()[0] or 0
-    dealt = rows.repartitionByRange(1 + int(total) // TASK_BYTES, "archive", "offset").sortWithinPartitions("archive", "offset")
+    stretch = F.floor(F.col("offset") / TASK_BYTES)
+    dealt = rows.repartition(1 + int(total) // TASK_BYTES, "archive", stretch).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(lambda batches: read_task(batches, gap_bytes, range_bytes, with_payload), RECORDS)
 
 
