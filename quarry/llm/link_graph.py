@@ -8,12 +8,17 @@ with damping `DAMPING` and seeds that are not scaled to sum 1, so values do not
 size of the graph. Pages without a rule are blocked if the distrust of their host
 exceeds its trust by `THRESHOLD`.
 
+Round k adds what arrives over paths of k links. If it adds the mass m to all hosts together, all later rounds add at most
+m * damping / (1 - damping), so rounds go on until that cannot turn the verdict on any host, or
+is less than the rounding of the values: the number of rounds follows from the graph.
+
 Edges are summed per pair of hosts first; every round is a join and a sum whose
 result is written to the shared folder, so a hub costs no more than its edges.
 
 Defined results: a null URL or one without `://` has an empty host and path, fits no
 rule, takes no part in the graph and is allowed. Links of a host to itself are
-left out. Pages repeated in the table count and are judged each. Null html has no links.
+left out. Pages repeated in the table count and are judged each. Null html has no links; very long html is searched whole.
+An empty table has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +31,9 @@ from pyspark.sql import functions as F
 from quarry.llm.common import small, stored
 
 DAMPING = 0.85
-ROUNDS = 12
 THRESHOLD = 0.05
+# Values are rounded to so many digits.
+DIGITS = 9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:[a-z][a-z0-9+.\-]*:)?//[^"'\s>]+)"""
 
@@ -71,8 +77,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return rows.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from `seeds` (host, trust, distrust) over `edges` (source, target, n)."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
+    """(host, trust, distrust) from `seeds` (host, trust, distrust) over `edges` (source, target, n).
+
+    Values are exact to the rounding, or as far as it takes to tell on which side of `threshold` every host's
+    distrust - trust lies.
+    """
     edges = stored(edges, "host-edges")
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("trust", "distrust")]))
     base = seeds.select("host", kinds.alias("s")).select("host", "s.kind", (F.col("s.value") * (1 - damping)).alias("value"))
@@ -84,18 +94,31 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         )
         sums = steps.groupBy("kind", "from").agg(F.sum("n").alias("total"))
         steps = stored(steps.join(sums, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("total")).alias("share")), "host-steps")
-        for _ in range(rounds):
-            moved = ranks.join(steps, (ranks["kind"] == steps["kind"]) & (ranks["host"] == steps["from"]))
-            moved = moved.select(F.col("to").alias("host"), ranks["kind"], (F.col("value") * F.col("share") * damping).alias("value"))
-            ranks = stored(moved.unionByName(base).groupBy("host", "kind").agg(F.sum("value").alias("value")), "host-ranks")
-
+        added = base
+        while True:
+            moved = added.join(steps, (added["kind"] == steps["kind"]) & (added["host"] == steps["from"]))
+            moved = moved.select(F.col("to").alias("host"), added["kind"], (F.col("value") * F.col("share") * damping).alias("value"))
+            added = stored(moved.groupBy("host", "kind").agg(F.sum("value").alias("value")), "host-added")
+            ranks = stored(ranks.unionByName(added).groupBy("host", "kind").agg(F.sum("value").alias("value")), "host-ranks")
+            # Either kind may still grow by so much at one host.
+            masses = [r["mass"] for r in added.groupBy("kind").agg(F.sum("value").alias("mass")).collect()]
+            missing = max(masses, default=0.0) * damping / (1 - damping)
+            if missing < 0.5 * 10**-DIGITS:
+                break
+            nearest = by_host(ranks).agg(F.min(F.abs(F.col("distrust") - F.col("trust") - threshold))).first()[0]
+            if nearest is None or nearest > missing + 10**-DIGITS:
+                break
+    return by_host(ranks)
+
+
+def by_host(ranks: DataFrame) -> DataFrame:
     def of(kind: str) -> Column:
-        return F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value"))), F.lit(0.0)), 9).alias(kind)
+        return F.round(F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value"))), F.lit(0.0)), DIGITS).alias(kind)
 
     return ranks.groupBy("host").agg(of("trust"), of("distrust"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...], damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...], damping: float = DAMPING, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule and verdict per row of `pages` (page_id, url, html)."""
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -105,7 +128,7 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...], damping: float = DA
         return F.avg(F.when(F.col("fit.action") == action, 1.0).otherwise(0.0)).alias(name)
 
     seeds = judged.filter("host <> ''").groupBy("host").agg(share("allow", "trust"), share("block", "distrust"))
-    found = propagate(seeds, host_edges(pages.select("url", "html")), damping, rounds)
+    found = propagate(seeds, host_edges(pages.select("url", "html")), damping, threshold)
     bad = stored(found.filter(F.col("distrust") - F.col("trust") >= threshold).select("host"), "bad-hosts")
     bad = bad.withColumn("bad", F.lit(True))
     judged = judged.join(small(bad), "host", "left")

@@ -64,6 +64,10 @@ URL_RULES = (
 )
 
 
+# Rounds of the propagation in SQL, more than the given pages need: they link to no other host.
+SQL_ROUNDS = 24
+
+
 def op4_sql() -> str:
     """The rules, then the rounds of the propagation one after the other."""
 
@@ -83,7 +87,7 @@ r{k + 1} AS (
   SELECT host, kind, sum(value) AS value FROM (
     SELECT t AS host, kind, {d} * value * share AS value FROM r{k} JOIN steps ON kind = k AND host = f UNION ALL SELECT * FROM r0)
   GROUP BY ALL),"""
-        for k in range(link_graph.ROUNDS)
+        for k in range(SQL_ROUNDS)
     )
     return f"""
 WITH parts AS (SELECT page_id, html, {parts("url")} FROM pages),
@@ -98,7 +102,7 @@ r0 AS (
   SELECT host, kind, (1 - {d}) * avg(CASE WHEN action = a THEN 1.0 ELSE 0.0 END) AS value
   FROM judged, (VALUES ('trust', 'allow'), ('distrust', 'block')) v(kind, a) WHERE host <> '' GROUP BY ALL),{rounds}
 bad AS (
-  SELECT host FROM r{link_graph.ROUNDS} GROUP BY host
+  SELECT host FROM r{SQL_ROUNDS} GROUP BY host
   HAVING round(coalesce(sum(value) FILTER (kind = 'distrust'), 0), 9) - round(coalesce(sum(value) FILTER (kind = 'trust'), 0), 9) >= {link_graph.THRESHOLD})
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged

@@ -20,7 +20,7 @@ def plain_rule(host, path):
     return max(fits, key=lambda r: len(r.name), default=None)
 
 
-def plain_ranks(seeds, edges, rounds=lg.ROUNDS):
+def plain_ranks(seeds, edges, rounds=200):
     base = {h: (1 - lg.DAMPING) * s for h, s in seeds.items()}
     ranks = dict(base)
     for _ in range(rounds):
@@ -88,3 +88,25 @@ def test_graph_equals_brute_force(spark, seed):
     assert got(spark.createDataFrame(rows, SCHEMA)) == want
     assert any("'spam.info', '/', None, 'block'" in w for w in want)
     assert {w.split(", ")[-1] for w in want if "None" in w} == {"'block')", "'allow')"}
+
+
+def test_paths_longer_than_any_fixed_number_of_rounds(spark):
+    """Distrust that comes back around a long ring of hosts only just turns the verdict."""
+    n = 20
+    ring = [(k, f"http://r{k}.info/", f'<a href="http://r{(k + 1) % n}.info/">') for k in range(n)]
+    rows = [*ring, (100, "http://bad.net/", None), (101, "http://r0.info/", '<a href="http://bad.net/">')]
+    assert got(spark.createDataFrame(rows, SCHEMA)) == plain(rows)
+    edges = spark.createDataFrame([(f"r{k}", f"r{(k + 1) % n}", 1) for k in range(n)], "source string, target string, n long")
+    seeds = spark.createDataFrame([(f"r{k}", 0.0, float(k == 0)) for k in range(n)], "host string, trust double, distrust double")
+    exact = {f"r{-j % n}": (1 - lg.DAMPING) * lg.DAMPING**j / (1 - lg.DAMPING**n) for j in range(n)}
+    host = "r7"
+    for shift in (-1e-6, 1e-6):
+        found = {r["host"]: r["distrust"] for r in lg.propagate(seeds, edges, threshold=exact[host] + shift).collect()}
+        assert (found[host] >= exact[host] + shift) == (shift < 0)
+        assert all(abs(found[h] - v) < 1e-6 for h, v in exact.items())
+
+
+def test_long_html_and_clashing_columns(spark):
+    rows = [(1, "http://a.info/", "<p>x</p>" * 200_000 + '<a href="http://b.net/">'), (2, "http://b.net/", None)]
+    frame = spark.createDataFrame([(*r, 7, "x", 1.0) for r in rows], SCHEMA + ", host int, verdict string, value double")
+    assert got(frame) == plain(rows)
