@@ -12,7 +12,8 @@ every logit, so scoring adds up rows of one small table over the whole text.
 
 Defined results: null texts and texts without a letter are `und` with score 0 and
 rejected. Without any labelled row everything is `und`. Equal texts get equal
-results; a language name is any non-null value of `lang`. Extra columns are kept.
+results; a language name is any non-null value of `lang`. Very long texts are hashed whole. An empty table has
+no rows. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -170,8 +171,7 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: tuple[
     p = softmax(logits / temperature)
     right = p.argmax(axis=1) == y[check]
     scores = p.max(axis=1)[right]
-    # Never above one half: a text that clearly leans to one language stays.
-    threshold = min(0.5, float(np.quantile(scores, REJECTED_SHARE))) if len(scores) else 0.0
+    threshold = float(np.quantile(scores, REJECTED_SHARE)) if len(scores) else 0.0
     return LanguageModel(languages, table.astype(np.float32), bias, temperature, threshold)
 
 
