@@ -636,20 +636,22 @@ def score_texts(docs: DataFrame, shard_bytes: int = SHARD_BYTES, words: int = WO
     model = replace(model, distinct=rows.count())
     share = sharing(rows, model)
     shared = docs.sparkSession.sparkContext.broadcast((model, share))
-    numbers = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in model.words], "word binary"))
+    numbers = F.broadcast(docs.sparkSession.createDataFrame(list(model.words.items()), "word binary, number long"))
     own = shards.select(F.col("shard").alias("part"), F.posexplode("words").alias("at", "word"))
-    # Frequent words are in every shard and known to every task; they never meet in a join.
+    # Frequent words are in every shard; they never meet in a join. Below zero stands the model number.
+    frequent = own.join(numbers, "word").select("part", "at", (-1 - F.col("number")).alias("packed"))
     others = packed_words(rows.join(numbers, "word", "left_anti"), share.shares)
-    known = own.join(numbers, "word", "left_anti").join(others, "word").select("part", "at", "packed")
+    known = own.join(numbers, "word", "left_anti").join(others, "word").select("part", "at", "packed").unionByName(frequent)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         row, (model, share) = left.to_pylist()[0], shared.value
-        names = np.array([model.words.get(w, len(model.words)) for w in row["words"]], np.int64)
-        packed_ = np.zeros(len(names), np.int64)
-        packed_[right.column("at").to_numpy()] = right.column("packed").to_numpy()
+        packed_, names = np.zeros(row["n_words"], np.int64), np.full(row["n_words"], len(model.words), np.int64)
+        at, found = right.column("at").to_numpy(), right.column("packed").to_numpy()
+        packed_[at] = np.maximum(found, 0)
+        names[at[found < 0]] = -1 - found[found < 0]
         return shard_scores(row, names, packed_, model, share)
 
-    texts = shards.select("shard", "words", "tokens", "doc_ids", "held", "lengths")
+    texts = shards.select("shard", F.size("words").alias("n_words"), "tokens", "doc_ids", "held", "lengths")
     scored = texts.groupBy("shard").cogroup(known.groupBy("part")).applyInArrow(score, SCORES)
     names = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"]
     return scored.select(*names)
