@@ -36,7 +36,7 @@ TRAIN_DOCS = 2000
 EPOCHS = 12
 LEARNING_RATE = 0.5
 # Share of rightly predicted calibration texts that rejection may cost.
-REJECTED_SHARE = 0.002
+REJECTED_SHARE = 0.004
 # Subwords looked up at once, so that a long text needs no more memory.
 BLOCK = 1 << 18
 
@@ -171,7 +171,9 @@ def fit(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: tuple[
     p = softmax(logits / temperature)
     right = p.argmax(axis=1) == y[check]
     scores = p.max(axis=1)[right]
-    threshold = float(np.quantile(scores, REJECTED_SHARE)) if len(scores) else 0.0
+    # Of n + 1 texts of the learned languages at most this share scores less; too few rows to tell reject nothing.
+    rank = int(REJECTED_SHARE * (len(scores) + 1))
+    threshold = float(np.sort(scores)[rank - 1]) if rank else 0.0
     return LanguageModel(languages, table.astype(np.float32), bias, temperature, threshold)
 
 

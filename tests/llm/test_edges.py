@@ -43,8 +43,9 @@ def test_whole_pipeline_on_an_empty_table(spark, tmp_path):
 
 
 def test_a_language_that_was_not_learned_is_rejected(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = langid.train(docs)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert model.threshold > 0.5
     strange = ["これは日本語で書かれた長い文章です。" * 8, "Это длинный текст на русском языке. " * 8, "זהו טקסט ארוך בעברית " * 8]
     asked = spark.createDataFrame([(k, t) for k, t in enumerate(strange)], "doc_id long, text string")
