@@ -4,6 +4,9 @@
 its rarest short substring (gram), each name by all of its grams, so the search
 becomes an equality join followed by an exact check. Hot grams are salted.
 
+Names are never broadcast: Spark knows the size of their files, not that of their grams or of compressed texts once
+read. So joins with them ask for a shuffle.
+
 "Mention contains name" is the other way round: many fixed names, looked for in many texts. The names go into
 automata of bounded size (Aho-Corasick), and every distinct text passes each automaton once.
 """
@@ -37,6 +40,11 @@ def _grams(text: Column, widths: Iterable[Column]) -> Column:
     return F.array_distinct(F.concat(*map(of_width, widths)))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the master table."""
+    return df.hint("merge")
+
+
 def _all_grams(text: Column) -> Column:
     return _grams(text, [F.lit(w) for w in range(1, GRAM_CHARS + 1)])
 
@@ -57,12 +65,8 @@ def _name_matches(mentions: DataFrame, master: DataFrame) -> DataFrame:
         F.explode(_all_grams(F.lower("organ_name"))).alias("gram"),
         F.pmod(F.xxhash64("symbol"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    frequency = (
-        name_grams.select("gram")
-        .join(mention_grams.select("gram").distinct(), "gram", "left_semi")
-        .groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("names"))
-    )
+    name_grams = name_grams.join(mention_grams.select("gram").distinct(), "gram", "left_semi")
+    frequency = name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("names"))
     # Mentions without a common gram cannot match, so the inner join may drop them.
     rarest = (
         mention_grams.join(frequency, "gram")
@@ -71,7 +75,7 @@ def _name_matches(mentions: DataFrame, master: DataFrame) -> DataFrame:
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     return (
-        name_grams.join(rarest, ["gram", "salt"])
+        _shuffled(name_grams).join(rarest, ["gram", "salt"])
         .filter(contains_ignore_case(F.col("organ_name"), F.col("mention")))
         .select("call_id", "mention", "symbol", "organ_name")
     )
@@ -83,7 +87,7 @@ def match_mentions(mentions: DataFrame, master: DataFrame) -> DataFrame:
     A mention matches a symbol exactly (ignoring case) or as a part of the name.
     """
     names = master.select("symbol", F.coalesce("organ_name", F.lit("")).alias("organ_name"))
-    exact = mentions.join(names, F.upper("mention") == F.upper("symbol")).select(
+    exact = mentions.join(_shuffled(names), F.upper("mention") == F.upper("symbol")).select(
         "call_id", "mention", "symbol", "organ_name", F.lit(True).alias("exact")
     )
     return exact.unionByName(_name_matches(mentions, names).withColumn("exact", F.lit(False)))
@@ -108,7 +112,7 @@ def resolve_entities(
     if profile is None:
         return best
     extra = [c for c in profile.columns if c != "symbol"]
-    return best.join(profile, "symbol", "left").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in extra})
+    return best.join(_shuffled(profile), "symbol", "left").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in extra})
 
 
 def _matched_mentions(mentions: DataFrame, names: DataFrame) -> DataFrame:
@@ -117,7 +121,8 @@ def _matched_mentions(mentions: DataFrame, names: DataFrame) -> DataFrame:
     A mention as short as a substring of the index matches if any name has that substring,
     which takes no pairs; only longer ones are compared with names.
     """
-    exact = mentions.join(names.select(F.upper("symbol").alias("__symbol")).distinct(), F.upper("mention") == F.col("__symbol"), "left_semi")
+    symbols = _shuffled(names.select(F.upper("symbol").alias("__symbol")).distinct())
+    exact = mentions.join(symbols, F.upper("mention") == F.col("__symbol"), "left_semi")
     is_short = F.length(F.lower("mention")) <= GRAM_CHARS
     grams = names.select(F.explode(_all_grams(F.lower("organ_name"))).alias("__gram")).distinct()
     short = mentions.filter(is_short).join(grams, F.lower("mention") == F.col("__gram"), "left_semi")
@@ -169,7 +174,7 @@ def unresolved_entities(mentions: DataFrame, master: DataFrame) -> DataFrame:
     known = names.select("symbol", F.lower("organ_name").alias("name"))
     keyed = open_mentions.withColumn("text", F.lower("mention"))
     found = names_inside(keyed.select("text"), known.select("name"))
-    inside = keyed.join(found, "text").join(known, "name").select("call_id", "mention", "symbol", "name").distinct()
+    inside = keyed.join(found, "text").join(_shuffled(known), "name").select("call_id", "mention", "symbol", "name").distinct()
     others = mentions.select("call_id", F.col("mention").alias("other"))
     said = F.contains(F.col("name"), F.lower("other")) | (F.upper("symbol") == F.upper("other"))
     covered = inside.join(others, "call_id").filter(said).select("call_id", "mention").distinct()

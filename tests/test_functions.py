@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +204,20 @@ def test_entities_resolve_and_leave_open(spark):
     assert left == [(1, "nothing"), (2, "The Asia Bank Group")]
 
 
+def test_names_are_not_broadcast(spark, tmp_path):
+    """Their files are small, the rows and grams read from them are not."""
+    spark.range(2000).selectExpr("concat('S', id) AS symbol", "concat('Steel ', id) AS organ_name", "'x' AS sector").write.parquet(f"{tmp_path}/m")
+    spark.createDataFrame([(1, "S7"), (1, "eel 19"), (1, "The Steel 3 Group")], "call_id INT, mention STRING").write.parquet(f"{tmp_path}/q")
+    m, q = (spark.read.parquet(f"{tmp_path}/{t}") for t in "mq")
+    found = entities.resolve_entities(q, m, m.select("symbol", "sector"))
+    left = entities.unresolved_entities(q, m)
+    for df in (found, left):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.findall(r"BroadcastHashJoin \[[^\]]*\], \[[^\]]*\b(?:symbol|salt|name)#", plan)
+    assert found.filter("symbol = 'S7' AND exact").count() == 1 and found.count() == 112
+    assert left.count() == 1
+
+
 def test_topic_change_rule(spark):
     said = [
         (1, 0, "user", "banking profits rising quickly"),
