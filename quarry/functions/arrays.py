@@ -21,6 +21,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / F.greatest(union, F.lit(1)))
 
 
+def first_spellings(words: Column) -> Column:
+    """Words without those that came before in any case, in order. Takes sorting, no comparison of all pairs."""
+    placed = F.array_sort(F.transform(words, lambda w, at: F.struct(F.lower(w).alias("k"), at.alias("pos"), w.alias("word"))))
+    # Inside a list of one, so that the sorted words are a variable and are sorted once.
+    new = F.transform(F.array(placed), lambda own: F.filter(own, lambda e, i: (i == 0) | (F.get(own, i - 1)["k"] != e["k"])))[0]
+    return F.transform(F.array_sort(F.transform(new, lambda e: F.struct(e["pos"], e["word"]))), lambda e: e["word"])
+
+
 def clean_sparse(weights: Column) -> Column:
     """Sparse vector with integer keys; bad entries dropped, never empty.
 

@@ -10,7 +10,7 @@ from quarry.operators.query import aggregate, distinct_values, select_rows, wher
 from quarry.operators.ranking import nearest_rank
 from quarry.plans.registry import query
 from quarry.plans.tables import FILES, STATEMENT, day_text, sql_round, time_text
-from quarry.session import scratch_path
+from quarry.session import scratch_path, spread
 from quarry.sources.versioned import VersionedTable
 
 LATEST_LINEITEM = """
@@ -549,13 +549,21 @@ def _jaccard(data):
     """,
 )
 def _dedupe_list(data):
-    """Words of a text without repeats; the first spelling of each is kept."""
+    """Words of a text without repeats; the first spelling of each is kept.
+
+    A document with one row is done inside that row; only the words of documents with several rows are shuffled.
+    """
+    texts = data.table("documents").select("doc_id", "text")
+    several = texts.groupBy(F.col("doc_id").alias("own")).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("own"))
     split = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0)
-    words = data.table("documents").select("doc_id", F.posexplode(split).alias("pos", "word"))
+    alone = spread(texts).join(several, same, "left_anti").select("doc_id", arrays.first_spellings(split).alias("first")).filter(F.size("first") > 0)
+    words = texts.join(several, same, "left_semi").select("doc_id", F.posexplode(split).alias("pos", "word"))
     first = words.groupBy("doc_id", F.lower("word").alias("k")).agg(F.min(F.struct("pos", "word")).alias("first"))
     # Bounded by the distinct words of one text.
     kept = first.groupBy("doc_id").agg(F.array_sort(F.collect_list("first")).alias("first"))
-    joined = F.array_join(F.transform("first", lambda e: e["word"]), " ")
+    kept = alone.unionByName(kept.withColumn("first", F.transform("first", lambda e: e["word"])))
+    joined = F.array_join("first", " ")
     return kept.select("doc_id", F.size("first").cast("long").alias("n"), F.md5(joined).alias("words_md5"))
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import re
 
@@ -218,6 +219,28 @@ def test_names_are_not_broadcast(spark, tmp_path):
     assert left.count() == 1
 
 
+def test_first_spellings(spark):
+    df = spark.createDataFrame([(["B", "a", "b", "A", "c", "B"],), ([],), (None,)], "w ARRAY<STRING>")
+    assert [r.v for r in df.select(arrays.first_spellings(F.col("w")).alias("v")).collect()] == [["B", "a", "c"], [], None]
+
+
+def test_words_of_documents_with_one_row_are_not_shuffled(spark, tmp_path):
+    from quarry.plans import QUERIES
+
+    texts = [(i, " ".join(f"W{j} w{j}" for j in range(i % 40))) for i in range(200)] + [(7, "x W3 X"), (None, "b B"), (None, "c b"), (300, None), (301, " ")]
+    spark.createDataFrame(texts, "doc_id LONG, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    before, spark_rows = {}, QUERIES["dedupe_list"](spark, str(tmp_path))
+    for doc, text in texts:
+        for at, word in enumerate((text or "").split()):
+            own = before.setdefault(doc, {})
+            own[word.lower()] = min(own.get(word.lower(), (at, word)), (at, word))
+    assert {r.doc_id: r.n for r in spark_rows.collect()} == {d: len(w) for d, w in before.items()}
+    md5 = lambda w: hashlib.md5(" ".join(x for _, x in sorted(w.values())).encode()).hexdigest()
+    assert {r.doc_id: r.words_md5 for r in spark_rows.collect()} == {d: md5(w) for d, w in before.items()}
+    plan = spark_rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Union" in plan
+
+
 def test_topic_change_rule(spark):
     said = [
         (1, 0, "user", "banking profits rising quickly"),
