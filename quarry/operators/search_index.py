@@ -7,9 +7,9 @@ floor, and of the other lists only those whose bound reaches it are scanned. Wit
 are scanned per query, which is approximate.
 
 Sparse: an inverted index. Chunks are numbered in blocks of neighbours (same project, same strongest token). A token
-has one row per block that holds it: its largest and smallest weight there, and the postings. Rows are in folders by
-token hash, so a search reads the folders of its tokens only, and first no more than the maxima: they
-bound what a block can give to a query. The best blocks are scored first, then those whose bound reaches the floor.
+has one row per block that holds it: its largest and smallest weight there. Rows are in folders by
+token hash, so a search reads the folders of its tokens only. The extremes bound what a block can give to a query. The
+chunks of the best blocks are scanned first, then those of blocks whose bound reaches the floor.
 
 Both return the rows of `dense_search` and `sparse_search`. Queries and chunks see each other by
 project as there. Indexes are built and searched while the functions are called.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from quarry.operators.ranking import top_n
 from quarry.operators.search import (
-    HIT_SCHEMA, MAX_SHARED_VALUES, QUERY_BLOCK, SCORE_DIGITS, _DenseQueries, _in_scope, _Leaders, _matrix, best_hits, chunk_keys, query_blocks, query_keys,
+    HIT_SCHEMA, MAX_SHARED_VALUES, QUERY_BLOCK, SCORE_CELLS, _DenseQueries, _in_scope, _Leaders, _matrix, _search, _SparseQueries, best_hits, chunk_keys,
+    query_blocks, query_keys,
 )
 from quarry.session import checkpoint
 
@@ -49,6 +50,15 @@ def _bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.n
     return queries @ centres.T + np.linalg.norm(queries, axis=1, keepdims=True) * radii
 
 
+def _nearest(vectors: np.ndarray, centres: np.ndarray, cells: int = SCORE_CELLS) -> np.ndarray:
+    """The nearest centre of every vector; so many pairs are scored at a time, however many of either there are."""
+    half = np.square(centres).sum(axis=1) / 2
+    near, step = np.zeros(len(vectors), np.int64), max(1, cells // max(1, len(centres)))
+    for at in range(0, len(vectors), step):
+        near[at : at + step] = (vectors[at : at + step] @ centres.T - half).argmax(axis=1)
+    return near
+
+
 def _trained_centres(chunks: DataFrame, lists: int | None, sample_rows: int, rounds: int) -> np.ndarray:
     rows = chunks.count()
     wanted = lists or min(MAX_LISTS, max(1, round(rows**0.5)))
@@ -149,10 +159,9 @@ def write_dense_index(
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
-        half = np.square(centres).sum(axis=1) / 2
         for batch in batches:
             vectors = _matrix(batch.column(2))
-            near = (vectors @ centres.T - half).argmax(axis=1) if len(vectors) else np.zeros(0, np.int64)
+            near = _nearest(vectors, centres)
             away = np.linalg.norm(vectors - centres[near], axis=1) if len(vectors) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(away)], names=["id", "project_id", "embedding", "list", "away"])
 
@@ -180,16 +189,16 @@ def read_dense_index(spark: SparkSession, path: str, kind: str = "array<float>")
 
 
 # Sparse -----------------------------------------------------------------------------
-POSTINGS = (
-    "token string, project_id long, block long, largest double, smallest double, postings array<struct<id: string, weight: double>>, folder int"
-)
+EXTREMES = "token string, project_id long, block long, largest double, smallest double, folder int"
+CHUNKS = "id string, project_id long, sparse map<string, double>, block long"
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """Postings of every token by block of chunks, with the extremes of each block."""
+    """The extremes of every token by block of chunks, and the chunks by block."""
 
     rows: DataFrame
+    chunks: DataFrame
 
     def search(self, queries: DataFrame, pool: int, first_share: float = FIRST_BLOCKS) -> DataFrame:
         """Best `pool` chunks per query among those that share a token, exactly."""
@@ -197,18 +206,22 @@ class SparseIndex:
         tokens = self._of(asked)
         gives = F.greatest(F.col("asked") * F.col("largest"), F.col("asked") * F.col("smallest"), F.lit(0.0))
         keys = ["question_id", "query_no"]
-        # Only the extremes are read here, not the postings.
         seen = tokens.select("token", F.col("project_id").alias("own"), "block", "largest", "smallest")
         bounds = seen.join(asked, "token").filter(_visible(F.col("own"), F.col("project_id"))).groupBy(*keys, "own", "block").agg(F.sum(gives).alias("bound"))
         first = max(1, round(pool * first_share))
         best = [F.col("bound").desc(), F.col("block").asc(), F.col("own").asc()]
         bounds = checkpoint(bounds.filter(F.col("bound") > 0))
         early = checkpoint(top_n(bounds, keys, best, first))
-        near = checkpoint(best_hits(self._scored(early, asked, tokens), pool).drop("rank"))
+        words = F.collect_list(F.struct("token", "asked")).alias("words")
+        lists = asked.groupBy(*keys, "project_id").agg(words)
+        lists = lists.select(*keys, "project_id", F.col("words.token").alias("tokens"), F.col("words.asked").alias("weights"))
+        scan = lambda chunks: _search(chunks, lists, "tokens", [_SparseQueries], pool, MAX_SHARED_VALUES).drop("rank")
+        near = checkpoint(scan(self._scored(early, asked, tokens)))
         floors = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") >= pool)
         late = bounds.join(early.select(*keys, "own", "block"), [*keys, "own", "block"], "left_anti").join(floors, keys, "left")
         late = late.filter(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK).select(*keys, "own", "block")
-        hits = near.unionByName(self._scored(checkpoint(late), asked, tokens))
+        # A chunk is scored for all queries at once, so for some of them twice.
+        hits = near.unionByName(scan(self._scored(checkpoint(late), asked, tokens))).distinct()
         return best_hits(hits, pool).drop("kind")
 
     def _of(self, asked: DataFrame) -> DataFrame:
@@ -217,13 +230,9 @@ class SparseIndex:
         return self.rows.filter(F.col("folder").isin(*folders)) if folders else self.rows.filter(F.lit(False))
 
     def _scored(self, blocks: DataFrame, asked: DataFrame, tokens: DataFrame) -> DataFrame:
-        """Scores of all chunks of the given blocks that share a token with the query."""
-        terms = blocks.select("question_id", "query_no", "own", "block").join(asked.drop("project_id"), ["question_id", "query_no"])
-        held = tokens.select("token", F.col("project_id").alias("own"), "block", F.explode("postings").alias("p"))
-        parts = held.join(terms, ["token", "own", "block"])
-        score = F.round(F.sum(F.col("asked") * F.col("p.weight")), SCORE_DIGITS)
-        found = parts.groupBy("question_id", "query_no", F.col("p.id").alias("id")).agg(score.alias("score")).filter("score > 0")
-        return found.select(F.lit(1).alias("kind"), "question_id", "query_no", "id", "score")
+        """The chunks that are scored: all in `blocks`, which `asked` has found by `tokens`. No posting is shuffled."""
+        held = self.chunks.join(blocks.select("block").distinct(), "block", "left_semi")
+        return held.select("id", "project_id", F.map_keys("sparse").alias("tokens"), F.map_values("sparse").alias("weights"))
 
 
 def _visible(own: Column, asking: Column) -> Column:
@@ -234,28 +243,41 @@ def _folder(token: Column, folders: int = TOKEN_FOLDERS) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(folders)).cast("int")
 
 
+def _each_once(chunks: DataFrame) -> DataFrame:
+    """Chunks (id, project_id, sparse) with the weights of equal ids of a project added up; only these are shuffled."""
+    keys = ["project_id", "id"]
+    several = checkpoint(chunks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*(F.col(k).alias(f"__{k}") for k in keys)))
+    if not several.head(1):
+        return chunks
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    weights = chunks.join(several, same, "left_semi").select(*keys, F.explode("sparse").alias("token", "weight"))
+    summed = weights.groupBy(*keys, "token").agg(F.sum("weight").alias("weight"))
+    merged = summed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("sparse"))
+    return chunks.join(several, same, "left_anti").unionByName(merged)
+
+
 def write_sparse_index(chunks: DataFrame, path: str, block_bits: int = BLOCK_BITS) -> SparseIndex:
     """Index every row of `chunks` (id, project_id, sparse) in `path`, in blocks of 2 ** block_bits chunks."""
     spark = chunks.sparkSession
+    # Written before they are put in order, which reads them twice; models run once.
+    used = chunks.select(*chunk_keys(), F.col("sparse").cast("map<string, double>").alias("sparse"))
+    used.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    placed = _each_once(spark.read.schema(used.schema).parquet(f"{path}/chunks"))
     strongest = F.array_max(F.transform(F.map_entries("sparse"), lambda e: F.struct(e["value"].alias("w"), e["key"].alias("t"))))["t"]
-    placed = chunks.select(*chunk_keys(), "sparse").withColumn("strongest", strongest)
+    placed = placed.withColumn("strongest", strongest)
     in_order = placed.repartitionByRange("project_id", "strongest", "id").sortWithinPartitions("project_id", "strongest", "id")
     # Numbers depend on how rows were dealt out, so they are written before anything is derived from them.
     numbered = in_order.withColumn("block", F.shiftright(F.monotonically_increasing_id(), block_bits)).drop("strongest")
     numbered.write.option("compression", "zstd").parquet(f"{path}/blocks")
-    rows = spark.read.schema(numbered.schema).parquet(f"{path}/blocks").select("id", "project_id", "block", F.explode("sparse").alias("token", "weight"))
-    weight = F.col("weight").cast("double")
-    postings = rows.groupBy("token", "project_id", "block").agg(
-        F.max(weight).alias("largest"), F.min(weight).alias("smallest"), F.collect_list(F.struct("id", weight.alias("weight"))).alias("postings")
-    )
-    foldered = postings.withColumn("folder", _folder(F.col("token")))
-    together = foldered.hint("rebalance", "folder").sortWithinPartitions("folder", "token", F.col("largest").desc())
-    together.write.partitionBy("folder").option("compression", "zstd").parquet(f"{path}/postings")
+    rows = spark.read.schema(CHUNKS).parquet(f"{path}/blocks").select("project_id", "block", F.explode("sparse").alias("token", "weight"))
+    extremes = rows.groupBy("token", "project_id", "block").agg(F.max("weight").alias("largest"), F.min("weight").alias("smallest"))
+    together = extremes.withColumn("folder", _folder(F.col("token"))).hint("rebalance", "folder").sortWithinPartitions("folder", "token")
+    together.write.partitionBy("folder").option("compression", "zstd").parquet(f"{path}/extremes")
     return read_sparse_index(spark, path)
 
 
 def read_sparse_index(spark: SparkSession, path: str) -> SparseIndex:
-    return SparseIndex(spark.read.schema(POSTINGS).parquet(f"{path}/postings"))
+    return SparseIndex(spark.read.schema(EXTREMES).parquet(f"{path}/extremes"), spark.read.schema(CHUNKS).parquet(f"{path}/blocks"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

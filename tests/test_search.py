@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import retrieval, search
+from quarry.operators import retrieval, search, search_index
 from quarry.operators.embedding import HashedWords, embed
 from quarry.operators.search import dense_search, hybrid_search, sparse_search
 from quarry.operators.search_index import read_dense_index, recall, write_dense_index, write_sparse_index
@@ -284,3 +284,18 @@ def test_upsert_replaces_whole_files(spark, rows):
     old = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], "file_id INT, chunk_index INT, text STRING")
     new = spark.createDataFrame([(1, 0, "A"), (3, 0, "D")], "file_id INT, chunk_index INT, text STRING")
     assert rows(retrieval.upsert_chunks(old, new)) == [(1, 0, "A"), (2, 0, "c"), (3, 0, "D")]
+
+
+def test_sparse_index_shuffles_no_postings_and_adds_up_equal_ids(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 1, {"x": 1.0}), ("a", 1, {"x": 1.0, "y": 3.0}), ("b", 1, {"x": 1.5})], "id STRING, project_id LONG, sparse MAP<STRING, FLOAT>")
+    queries = spark.createDataFrame([("q", 0, 1, {"x": 2.0})], "question_id STRING, query_no LONG, project_id LONG, sparse MAP<STRING, FLOAT>")
+    index = write_sparse_index(chunks, str(tmp_path / "sparse"))
+    assert "postings" not in index.rows.columns
+    assert [(r.id, r.score) for r in index.search(queries, 2).orderBy("rank").collect()] == [("a", 4.0), ("b", 3.0)]
+
+
+def test_lists_of_chunks_are_found_in_bounded_parts(spark, tmp_path):
+    points = RNG.normal(size=(60, 4))
+    chunks = spark.createDataFrame([(str(i), 1, p.tolist()) for i, p in enumerate(points)], "id STRING, project_id LONG, embedding ARRAY<DOUBLE>")
+    assert search_index._nearest(points, points[:7], 21).tolist() == search_index._nearest(points, points[:7]).tolist()
+    assert write_dense_index(chunks, str(tmp_path / "dense"), 7).rows.count() == 60
