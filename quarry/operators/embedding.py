@@ -15,8 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BATCH_TEXTS = 32
+# Texts whose vectors are held at a time; Arrow batches of texts can be larger.
+HELD_TEXTS = 512
 
 _VECTORS = "struct<embedding: array<float>, sparse: map<string, float>>"
+_DENSE = "struct<embedding: array<float>>"
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -45,14 +48,12 @@ class HashedWords:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, list[dict[str, float]]]:
         counts = [Counter(_WORD.findall(t.lower())) for t in texts]
-        dense = np.array([self._buckets(c) for c in counts]).reshape(len(texts), self.dims)
+        at = [i * self.dims + word_bucket(w, self.dims) for i, c in enumerate(counts) for w in c]
+        times = [n for c in counts for n in c.values()]
+        dense = np.bincount(np.array(at, np.int64), np.array(times, np.float64), len(texts) * self.dims).reshape(len(texts), self.dims)
         norms = np.linalg.norm(dense, axis=1, keepdims=True)
         return dense / np.where(norms > 0, norms, 1.0), counts
 
-    def _buckets(self, words: Counter) -> np.ndarray:
-        at = [word_bucket(w, self.dims) for w in words]
-        return np.bincount(np.array(at, dtype=np.int64), list(words.values()) if at else None, self.dims)
-
 
 @lru_cache(maxsize=200_000)
 def word_bucket(word: str, dims: int) -> int:
@@ -68,7 +69,7 @@ def _encode(embedder: Embedder, texts: list[str]) -> pa.StructArray:
 
 def _vector_array(dense: np.ndarray, sparse: list[dict[str, float]]) -> pa.StructArray:
     """Both vectors as one Arrow struct column, built from flat arrays."""
-    matrix = np.asarray(dense, dtype=np.float32).reshape(len(sparse), -1)
+    matrix = np.asarray(dense, dtype=np.float32).reshape(len(sparse), -1 if len(sparse) else 0)
     vectors = pa.ListArray.from_arrays(
         pa.array(np.arange(len(sparse) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel(), pa.float32())
     )
@@ -79,10 +80,13 @@ def _vector_array(dense: np.ndarray, sparse: list[dict[str, float]]) -> pa.Struc
     return pa.StructArray.from_arrays([vectors, maps], ["embedding", "sparse"])
 
 
-def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = BATCH_TEXTS, strict: bool = True) -> DataFrame:
-    """Add `embedding` and `sparse` columns.
+def embed(
+    df: DataFrame, embedder: Embedder, text: str = "text", batch: int = BATCH_TEXTS, strict: bool = True, sparse: bool = True
+) -> DataFrame:
+    """Add `embedding` and `sparse` columns; without `sparse` only the first.
 
-    A narrow map: the model is loaded once per task, texts go to it in batches.
+    A narrow map: the model is loaded once per task, texts go to it in batches, and a task holds the vectors of
+    about `HELD_TEXTS` texts.
     A model that fails, or returns another number of vectors than texts, is an error;
     unless `strict`, the texts of that batch get no vectors instead.
     """
@@ -95,15 +99,28 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "text", batch: int = BA
                 raise
             return pa.nulls(len(texts), _vector_array([], []).type)
 
-    @F.arrow_udf(_VECTORS)
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embedder.load()
         for column in batches:
-            texts = [t or "" for t in column.to_pylist()]
-            parts = [encoded(texts[at : at + batch]) for at in range(0, len(texts), batch)]
-            yield pa.concat_arrays(parts) if parts else _vector_array([], [])
+            for texts in held_texts(column, max(1, HELD_TEXTS // batch) * batch):
+                parts = [encoded([t or "" for t in texts[at : at + batch]]) for at in range(0, len(texts), batch)]
+                found = pa.concat_arrays(parts) if parts else _vector_array([], [])
+                yield found if sparse else _only_dense(found)
+
+    kinds = ["embedding", "sparse"] if sparse else ["embedding"]
+    found = F.arrow_udf(_VECTORS if sparse else _DENSE)(vectors)(F.col(text))
+    return df.withColumn("__v", found).select("*", *(f"__v.{k}" for k in kinds)).drop("__v")
+
+
+def _only_dense(vectors: pa.StructArray) -> pa.StructArray:
+    # `flatten` keeps what was null as a whole null.
+    return pa.StructArray.from_arrays([vectors.flatten()[0]], ["embedding"])
+
 
-    return df.withColumn("__v", vectors(F.col(text))).select("*", "__v.embedding", "__v.sparse").drop("__v")
+def held_texts(column: pa.Array, size: int) -> Iterator[list[str | None]]:
+    """The texts of a column, `size` of them at a time; an empty list of an empty one."""
+    for at in range(0, max(1, len(column)), size):
+        yield column.slice(at, size).to_pylist()
 
 
 def sparse_rows(df: DataFrame, keys: list[str]) -> DataFrame:

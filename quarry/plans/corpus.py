@@ -84,7 +84,7 @@ def _embed_sparse(data):
     """,
 )
 def _embed_dense(data):
-    vectors = embed(spread(data.table("documents").select("doc_id", "text")), HashedWords(DIMS))
+    vectors = embed(spread(data.table("documents").select("doc_id", "text")), HashedWords(DIMS), sparse=False)
     long = vectors.select("doc_id", F.posexplode_outer("embedding").alias("dim", "x")).filter("x > 0")
     return long.select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
