@@ -4,6 +4,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import lm
@@ -131,3 +132,52 @@ def test_packed_words_keep_count_and_codes(spark):
         code = lm.codes_of(np.array([r["t"]]), share.shares, lm.TARGET_LEVELS)[0]
         after = lm.codes_of(np.array([r["n"]]), share.shares, lm.CONTEXT_LEVELS)[0]
         assert packed[bytes(r["word"])] == (r["c"] << 26) + (int(code) << 13) + int(after)
+
+
+def test_names_of_looks_up_without_python_words():
+    words = pa.array([b"b", b"", b"zz", b"a", b"b"], pa.binary())
+    assert lm.names_of(words, pa.array([b"a", b"b"], pa.binary())).tolist() == [1, 2, 2, 0, 1]
+    assert lm.names_of(words.cast(pa.large_binary()), pa.array([], pa.binary())).tolist() == [0] * 5
+    assert lm.names_of(words, pa.array([], pa.binary())).dtype == np.int32
+
+
+def test_shard_columns_take_each_shard_of_a_batch_alone():
+    shards = []
+    for number, texts in ((4, [(1, False, b"a b"), (2, True, b"c")]), (5, [(3, False, None)])):
+        shard = lm.Shard(number)
+        for text in texts:
+            shard.add(*text)
+        shards.append(shard.row())
+    batch = pa.Table.from_batches(shards).combine_chunks().to_batches()[0]
+    first, second = lm.shard_columns([batch])
+    assert (first["shard"].as_py(), second["shard"].as_py()) == (4, 5)
+    assert first["words"].to_pylist() == [b"a", b"b", b"", b"c"] and second["words"].to_pylist() == [b""]
+    lengths, training = lm.places_of(first)
+    assert (lengths.tolist(), training.tolist()) == ([3, 2], [True, True, True, False, False])
+    lengths, training = lm.places_of(second)
+    assert (lengths.tolist(), training.tolist()) == ([1], [True])
+
+
+@pytest.mark.parametrize("window, components", [(0, 3), (1, 8), (4, 8), (3, 19), (40, 9), (70, 2)])
+def test_components_of_counts_the_votes_around(window, components):
+    rng = np.random.default_rng(window)
+    votes = np.append(np.arange(30) % components, [-1, -1])
+    lengths = np.array([1, 2, 1, 90, 3])
+    target = rng.integers(0, 32, lengths.sum())
+    expected, start = [], 0
+    for length in lengths:
+        own = votes[target[start : start + length]]
+        for i in range(length):
+            near = [v for j, v in enumerate(own) if 0 < abs(i - j) <= window and v >= 0]
+            expected.append(max(range(components), key=lambda k: (near.count(k), -k)) if near else -1)
+        start += length
+    assert lm.components_of(votes, target, lengths, window, components).tolist() == expected
+
+
+def test_row_sums_with_more_rows_than_two_bytes_hold():
+    rows = np.array([40_000, 2, 40_000, 0], np.int64)
+    values = np.arange(8, dtype=np.float32).reshape(4, 2)
+    for n, shift in ((40_001, 0), (1 << 15, 40_000 - 32_767)):
+        own = np.where(rows == 40_000, rows - shift, rows)
+        out = lm.row_sums(own, values, n)
+        assert out[own[0]].tolist() == [4, 6] and out[2].tolist() == [2, 3] and out[0].tolist() == [6, 7] and out.sum() == values.sum()
