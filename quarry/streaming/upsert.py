@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quarry.operators.versions import Table, latest_version
+from quarry.operators.versions import Table
 from quarry.streaming.batches import BATCH, read_batches, run_batches, write_batch
 
 SEQUENCE, ORIGIN = "ingest_seq", "ingest_origin"
@@ -41,11 +41,15 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, once: bool = Tr
 
 
 def versioned(spark: SparkSession, path: str, schema: str, keys: Sequence[str], version: str | None, tie: Sequence[str] = ()) -> Table:
-    """The table behind a stream: between equal versions the `tie` columns decide, then the row inserted last."""
+    """The table behind a stream: between equal versions the `tie` columns decide, then the row inserted last.
+
+    Rows carry the path of their file and a reading task has very many, so they are sorted after the shuffle only, in
+    twice as many partitions as are read.
+    """
     rows = read_batches(spark, path, f"{schema}, {ORIGIN} {ORIGIN_TYPE}, {SEQUENCE} BIGINT")
-    return Table(rows, tuple(keys), version, (*tie, BATCH, ORIGIN, SEQUENCE))
+    return Table(rows, tuple(keys), version, (*tie, BATCH, ORIGIN, SEQUENCE), 2 * rows.rdd.getNumPartitions())
 
 
 def compact(table: Table, target: str) -> None:
     """Write only the latest versions to a new folder; the old one stays readable."""
-    latest_version(table.df, table.keys, table.version, table.tie).write.mode("errorifexists").parquet(target)
+    table.read().write.mode("errorifexists").parquet(target)

@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import os
 
@@ -220,3 +221,25 @@ def test_first_uploads_within_a_time_span(spark, shared, rows):
 
     assert run(documents.first_uploads(stream(), None), "ever") == [(1, "x", 1), (1, "y", 9), (2, "x", 1)]
     assert run(documents.first_uploads(stream(), "3 days"), "span") == [(1, "x", 1), (1, "x", 10), (1, "y", 9), (2, "x", 1)]
+
+
+def test_versions_of_a_stream_are_sorted_after_the_shuffle_only(spark, shared, rows):
+    path, schema = shared("many"), "k INT, ver INT, v STRING"
+    for batch in range(6):
+        new = spark.createDataFrame([(k, batch if k % 3 else 0, f"{batch}") for k in range(40)] + [(None, batch, f"n{batch}")], schema)
+        batches.write_batch(new.select("*", F.lit(None).cast(upsert.ORIGIN_TYPE).alias(upsert.ORIGIN), F.xxhash64("k").alias(upsert.SEQUENCE)).coalesce(1), path, batch)
+    table = upsert.versioned(spark, path, schema, ["k"], "ver")
+    assert table.partitions == 2 * table.df.rdd.getNumPartitions()
+    for fewer, more in (("4", 9), ("200", 200)):
+        spark.conf.set("spark.sql.shuffle.partitions", fewer)
+        try:
+            latest = dataclasses.replace(table, partitions=9).read()
+            plan = latest._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and f", {more})" in plan
+            below = plan[plan.index("Exchange hashpartitioning") :]
+            assert "Sort [" not in below and "WindowGroupLimit" not in below
+            assert sorted(latest.select(F.coalesce("k", F.lit(-1)), "v").collect()) == [(-1, "n5"), *((k, "5") for k in range(40))]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert table.read(final=False).count() == 6 * 41
+    assert sorted(r.v for r in table.read().collect()) == ["5"] * 40 + ["n5"]
