@@ -1,10 +1,13 @@
 import dataclasses
+import hashlib
 import json
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.sources import documents as document_files
 from quarry.streaming import bars, batches, documents, manifests, sequence, upsert
 from quarry.streaming.state import KeyedState
 
@@ -163,6 +166,77 @@ def test_scan_stream_records_files_that_are_too_large(spark, shared):
         spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
 
 
+LONG_FILES = {
+    "ends.txt": b"one\ntwo two\n\nthree\n" * 9,
+    "open.txt": b"one\r\ntwo\rtwo\n" * 9 + b"no line end",
+    "marked.txt": b"\xef\xbb\xbfmark\n" * 9,
+    "marked-open.txt": b"\xef\xbb\xbfmark\n" * 9 + b"x",
+    "bytes.pdf": bytes(range(256)) * 3,
+    "one-line.txt": b"y" * 300,
+    "breaks.txt": b"\n" * 99,
+    "a b%20[x]{y}?*,#\u00e9\\.txt": b"odd name\n" * 9,
+}
+
+
+def test_long_files_are_hashed_in_parts(spark, shared):
+    root, out = shared("docs"), shared("catalog")
+    hashes = {}
+    for folder, project, more in (("lang=de", 0, b""), ("b", 0, b""), ("project_7/c", 7, b"seven")):  # some look like partitions
+        for name, content in LONG_FILES.items():
+            drop(f"{root}/{folder}", name, content + more, 1)
+            hashes[project, name] = hashlib.sha256(content + more).hexdigest()
+    drop(root, "short.txt", "short", 1)
+    drop(root, "huge.txt", "z" * 2000, 1)
+    stream = documents.document_stream(spark, root, max_bytes=1000, whole_bytes=20)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "20", "spark.sql.files.maxPartitionBytes": "64"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:  # Spark now refuses to read a long file whole
+        documents.scan_stream(stream, out, shared("ckpt"))
+        drop(f"{root}/again", "open2.txt", LONG_FILES["open.txt"], 5)
+        documents.scan_stream(stream, out, shared("ckpt"))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    rows = batches.read_batches(spark, out, documents.CATALOG_SCHEMA).collect()
+    got = sorted((r.batch_id, r.project_id, r.file_hash or "", r.decision, r.process_status) for r in rows)
+    read = {(project, h): ("processed", "ready") for (project, _), h in hashes.items()}
+    read |= {(0, hashlib.sha256(b"short").hexdigest()): ("processed", "ready"), (0, ""): ("failed", "failed")}
+    again = (1, 0, hashes[0, "open.txt"], "skipped", None)
+    assert got == sorted([(0, *key, *what) for key, what in read.items()] + [again])
+
+
+def test_contents_of_long_files_reach_ingest(spark, shared):
+    root, out, seen = shared("docs"), shared("catalog"), []
+    drop(root, "packed.txt.gz", b"not really packed\n" * 9, 1)
+    drop(root, "long.txt", LONG_FILES["open.txt"], 1)
+    drop(root, "short.txt", "short", 1)
+
+    def ingest(todo):
+        seen.append((sorted(todo.columns), {r.path: bytes(r.content) for r in todo.collect()}))
+        return todo.select("file_hash", F.lit("ready").alias("status"))
+
+    documents.scan_stream(documents.document_stream(spark, root, whole_bytes=20), out, shared("ckpt"), ingest)
+    assert len(seen) == 1 and seen[0][1] == {"long.txt": LONG_FILES["open.txt"], "short.txt": b"short"}
+    assert seen[0][0] == sorted(["project_id", "file_hash", "path", "file_name", "file_type", "file_bytes", "decision", "content"])
+    entries = {r.path: (r.file_hash, r.decision) for r in documents.catalog(spark, out).collect()}
+    assert entries["packed.txt.gz"] == (hashlib.sha256(b"not really packed\n" * 9).hexdigest(), "failed")
+
+
+def test_blocks_of_long_files_give_the_hash_of_the_file(monkeypatch):
+    monkeypatch.setattr(document_files, "BLOCK_BYTES", 7)
+    contents = [b"alpha\nbeta\n\ngamma delta\n", b"\xef\xbb\xbfmarked\nopen"]
+    lines = [("u0", 0, b"alpha"), ("u0", 0, b"beta"), ("u0", 9, b""), ("u0", 9, b"gamma delta"), ("u1", 0, b"marked"), ("u1", 0, b"open")]
+    read = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], names=["at", "start", "line"]) for part in (lines[:3], lines[3:])]
+    blocks = list(document_files._packed(iter(read), {"u0": 0, "u1": 1}))
+    assert [b["size"].to_pylist() for b in blocks] == [[11], [13], [7], [5]]
+    hashed = [tuple(r.values()) for b in document_files._hashed(iter(blocks), [len(c) for c in contents]) for r in b.to_pylist()]
+    assert hashed == [(n, hashlib.sha256(c).hexdigest()) for n, c in enumerate(contents)]
+    with pytest.raises(ValueError, match="was read as"):
+        list(document_files._hashed(iter(blocks[:1]), [len(contents[0])]))
+
+
 def test_late_ticks_are_dropped_and_open_windows_wait(spark, shared, rows):
     schema = "symbol STRING, time TIMESTAMP_NTZ, price DOUBLE, volume BIGINT"
     ts = lambda text: __import__("datetime").datetime.fromisoformat(f"2024-01-01 {text}")
