@@ -64,6 +64,8 @@ WINDOW = 4
 PRIOR = 0.5
 NEAR, FAR = 1.0, 0.9
 PLACES_AT_ONCE = 1 << 16
+# Places of whole texts that vote at once.
+VOTES_AT_ONCE = 1 << 18
 # Pairs of contexts up to which they are numbered by a table instead of by sorting.
 PAIRS_IN_TABLE = 1 << 24
 # Steps of the largest and second largest share that tell codes apart; code 0 is a word without places.
@@ -136,9 +138,9 @@ def shard_rows(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[
 
 
 def build_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Tokenise `docs` (doc_id, held_out, text) once into a written table."""
+    """Tokenise `docs` (doc_id, held_out, text) once into a written table, a shard a row group, as readers hold a whole one."""
     rows = docs.select("doc_id", "held_out", F.col("text").cast("string"))
-    return stored(rows.mapInArrow(lambda batches: shard_rows(batches, shard_bytes), SHARDS), "lm-shards")
+    return stored(rows.mapInArrow(lambda batches: shard_rows(batches, shard_bytes), SHARDS), "lm-shards", 1)
 
 
 def word_counts(shards: DataFrame, least: int = 1) -> DataFrame:
@@ -287,7 +289,12 @@ class Trainer:
         """One pass over the tokens of a shard in random order."""
         self.tokens += len(target)
         rng, n = np.random.default_rng(seed & 0xFFFFFFFF), len(self.share)
-        codes = rng.permutation((before.astype(np.int64) * (n + 1) + last) * n + target)
+        codes = before.astype(np.int64)
+        codes *= n + 1
+        codes += last
+        codes *= n
+        codes += target
+        rng.shuffle(codes)
         for start in range(0, len(codes), MINIBATCH):
             self.step(codes[start : start + MINIBATCH], rng.choice(n, self.noise, p=self.share))
 
@@ -388,7 +395,9 @@ def log_probabilities(model: Model, target: np.ndarray, last: np.ndarray, before
 
 def distinct_contexts(last: np.ndarray, before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct pairs of context rows as two arrays, and which of them each place has."""
-    codes = before.astype(np.int64) * size + last
+    codes = before.astype(np.int64)
+    codes *= size
+    codes += last
     if size * size <= PAIRS_IN_TABLE:
         seen = np.zeros(size * size, bool)
         seen[codes] = True
@@ -402,14 +411,17 @@ def distinct_contexts(last: np.ndarray, before: np.ndarray, size: int) -> tuple[
 
 def row_probabilities(model: Model, target: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The same for places that have context `at` of the pairs (a, b) in a table of context rows."""
-    vectors, out = (rows @ model.near)[a], np.empty(len(target))
-    vectors += (rows @ model.far)[b]
+    vectors, far, out = (rows @ model.near)[a], rows @ model.far, np.empty(len(target))
+    for start in range(0, len(b), PLACES_AT_ONCE):
+        own = slice(start, start + PLACES_AT_ONCE)
+        vectors[own] += far[b[own]]
     normaliser = log_normalisers(model, vectors)
     for start in range(0, len(target), PLACES_AT_ONCE):
         own = slice(start, start + PLACES_AT_ONCE)
         t, pair = target[own], at[own]
         out[own] = np.einsum("ij,ij->i", vectors.take(pair, 0), model.targets.take(t, 0)) + model.bias[t] - normaliser[pair]
-    return out / np.log(10)
+    out /= np.log(10)
+    return out
 
 
 def clusters(points: np.ndarray, weights: np.ndarray, k: int, turns: int = 30) -> np.ndarray:
@@ -465,16 +477,28 @@ def components_of(votes: np.ndarray, target: np.ndarray, lengths: np.ndarray, wi
     return np.where(counts[np.arange(n), found] > 0, found, -1)
 
 
+def text_blocks(lengths: np.ndarray, places: int) -> Iterator[tuple[slice, slice]]:
+    """Neighbouring whole texts of up to so many places, a longer text alone: which texts, and which places they have."""
+    ends, text, place = np.cumsum(lengths), 0, 0
+    while text < len(lengths):
+        last = max(text + 1, int(np.searchsorted(ends, place + places, "right")))
+        yield slice(text, last), slice(place, int(ends[last - 1]))
+        text, place = last, int(ends[last - 1])
+
+
 def place_counts(names: np.ndarray, local: np.ndarray, lengths: np.ndarray, training: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Target and context rows of the words of a shard: training places of each component, and such places after them."""
     n, k = len(names), COMPONENTS
-    found = components_of(votes, names[local], lengths)
-    used = training & (found >= 0)
-    after = used[1:].copy()
-    after[(np.cumsum(lengths) - 1)[:-1]] = False
-    targets = np.bincount(local[used].astype(np.int64) * k + found[used], minlength=n * k)
-    contexts = np.bincount(local[:-1][after].astype(np.int64) * k + found[1:][after], minlength=n * k)
-    return targets.reshape(n, k).astype(np.int32), contexts.reshape(n, k).astype(np.int32)
+    targets, contexts = np.zeros(n * k, np.int32), np.zeros(n * k, np.int32)
+    for texts, places in text_blocks(lengths, VOTES_AT_ONCE):
+        own = local[places]
+        found = components_of(votes, names[own], lengths[texts])
+        used = training[places] & (found >= 0)
+        after = used[1:].copy()
+        after[(np.cumsum(lengths[texts]) - 1)[:-1]] = False
+        targets += np.bincount(own[used].astype(np.int64) * k + found[used], minlength=n * k)
+        contexts += np.bincount(own[:-1][after].astype(np.int64) * k + found[1:][after], minlength=n * k)
+    return targets.reshape(n, k), contexts.reshape(n, k)
 
 
 def word_rows(shards: DataFrame, model: Model, components: int = COMPONENTS) -> DataFrame:
@@ -538,9 +562,12 @@ class Sharing:
 
     def log_shares(self, counts: np.ndarray, codes: np.ndarray, word: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 p(word | another word, context) for places in the tables of words and contexts given."""
-        pull = np.log(self.shares) + NEAR * self.pulls[a] + FAR * self.pulls[b]
-        pull = np.exp(pull - pull.max(axis=1, keepdims=True))
-        pull /= pull.sum(axis=1, keepdims=True)
+        pull = np.empty((len(a), len(self.shares)))
+        for start in range(0, len(a), PLACES_AT_ONCE):
+            own = slice(start, start + PLACES_AT_ONCE)
+            part = np.log(self.shares) + NEAR * self.pulls[a[own]] + FAR * self.pulls[b[own]]
+            part = np.exp(part - part.max(axis=1, keepdims=True))
+            pull[own] = part / part.sum(axis=1, keepdims=True)
         per_word = (counts + SMOOTHING)[:, None] * (self.target_book / self.normalisers)[codes]
         out = np.empty(len(word))
         for start in range(0, len(word), PLACES_AT_ONCE):
@@ -633,9 +660,8 @@ def shard_scores(row: dict, names: np.ndarray, packed_: np.ndarray, model: Model
     lengths, local, k = np.array(row["lengths"], np.int64), unpacked(row["tokens"]), len(model.words)
     counts = np.where(names < k, np.append(model.counts, 0)[names], packed_ >> TARGET_BITS + CONTEXT_BITS)
     codes = (packed_ >> CONTEXT_BITS) & ((1 << TARGET_BITS) - 1)
-    context = np.where(names < k, names, k + 1 + (packed_ & ((1 << CONTEXT_BITS) - 1)))
-    _, last, before = numbered(context, local, lengths, k - 1)
-    a, b, at = distinct_contexts(last, before, len(share.rows))
+    context = np.where(names < k, names, k + 1 + (packed_ & ((1 << CONTEXT_BITS) - 1))).astype(np.int32)
+    a, b, at = distinct_contexts(*numbered(context, local, lengths, k - 1)[1:], len(share.rows))
     first = np.cumsum(lengths) - lengths
     base, target = model.base(counts), names[local]
     neural = row_probabilities(model, target, a, b, at, share.rows)

@@ -1,10 +1,12 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from quarry.llm import lm
@@ -181,3 +183,57 @@ def test_row_sums_with_more_rows_than_two_bytes_hold():
         own = np.where(rows == 40_000, rows - shift, rows)
         out = lm.row_sums(own, values, n)
         assert out[own[0]].tolist() == [4, 6] and out[2].tolist() == [2, 3] and out[0].tolist() == [6, 7] and out.sum() == values.sum()
+
+
+def test_every_shard_is_a_row_group(spark):
+    """Readers hold a row group at once, so several shards of megabytes in one are several times the memory."""
+    shards = lm.build_shards(spark.createDataFrame(ROWS, SCHEMA).coalesce(1), 300)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in shards.inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert len(groups) > 5 and set(groups) == {1} and len(groups) == shards.count()
+
+
+def test_text_blocks_are_whole_texts():
+    lengths = np.array([3, 1, 7, 2, 2, 1])
+    assert list(lm.text_blocks(lengths, 4)) == [(slice(0, 2), slice(0, 4)), (slice(2, 3), slice(4, 11)), (slice(3, 5), slice(11, 15)), (slice(5, 6), slice(15, 16))]
+    assert list(lm.text_blocks(lengths, 100)) == [(slice(0, 6), slice(0, 16))] and not list(lm.text_blocks(lengths[:0], 4))
+
+
+def a_shard(texts, seed=11):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 600, texts)
+    local = rng.integers(0, 500, lengths.sum()).astype(np.int32)
+    return np.where(np.arange(500) < 100, np.arange(500), 100), local, lengths, rng.random(len(local)) < 0.9, np.append(rng.integers(0, 8, 100), [-1, -1])
+
+
+def test_place_counts_by_blocks_of_texts(monkeypatch):
+    found = lm.place_counts(*a_shard(40))
+    for places in (1, 700, 5000):
+        monkeypatch.setattr(lm, "VOTES_AT_ONCE", places)
+        for one, whole in zip(lm.place_counts(*a_shard(40)), found):
+            assert one.dtype == np.int32 and one.shape == (500, 8) and (one == whole).all()
+    names, local, lengths, training, votes = a_shard(40)
+    component = lm.components_of(votes, names[local], lengths)
+    assert found[0].sum() == (training & (component >= 0)).sum()
+
+
+def test_place_counts_hold_a_part_of_the_places():
+    shard = a_shard(4000)
+    assert len(shard[1]) > 1 << 20
+    tracemalloc.start()
+    lm.place_counts(*shard)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 36 * len(shard[1])
+
+
+def test_scores_by_blocks_of_contexts(monkeypatch):
+    rng = np.random.default_rng(13)
+    small = lambda *shape: rng.normal(0, 0.5, shape).astype(np.float32)
+    model = lm.Model({bytes([k]): k for k in range(9)}, 100, 20, np.arange(9), 0.5, small(10), small(11, 4), small(4, 4), small(4, 4), small(10, 4), small(10))
+    share = lm.Sharing(np.full(8, 1 / 8), rng.random(8) + 1, rng.random((5, 8)), small(30, 4), small(30, 8))
+    a, b, at = rng.integers(0, 30, 50), rng.integers(0, 30, 50), rng.integers(0, 50, 400)
+    ask = lambda: (lm.row_probabilities(model, at % 10, a, b, at, share.rows), share.log_shares(np.arange(7), np.arange(7) % 5, at % 7, a, b, at))
+    whole = ask()
+    monkeypatch.setattr(lm, "PLACES_AT_ONCE", 7)
+    assert all((one == other).all() for one, other in zip(ask(), whole))
